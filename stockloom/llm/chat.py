@@ -1,9 +1,10 @@
 """Chat formatting by tool-call linking, with DataFrame functions only.
 
 Calls and results are joined by identifier (a hash join on conversation and call; no result is copied
-more than once per call). Calls are ordered so that each follows the calls it needs: a call's level is
-one more than the highest level of those, found by rounds that settle the calls whose needs are
-settled. Arguments are checked against the tool's parameters, and each call with its result becomes
+more than once per call). Calls are ordered so that each follows the calls it needs. Where every need of
+a conversation comes earlier, the order of turns is such an order, and its calls have level 0. In the
+other conversations a call's level is one more than the highest level of the calls it needs, found by
+rounds that settle the calls whose needs are settled. Arguments are checked against the tool's parameters, and each call with its result becomes
 one line of canonical JSON: keys in order, no spaces, the shortest form of each value. Lines of a
 conversation are in the order (level, turn).
 
@@ -117,8 +118,17 @@ def linked(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, Para
     own = named.groupBy("conv_id", "call_id").agg(first.alias("c")).select("conv_id", "call_id", "c.*")
     answered = results.filter("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
     answered = answered.select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), F.lit(True).alias("has_result"))
-    needs = own.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct()
-    placed = levels(own.select("conv_id", "call_id"), needs)
+    needs = own.select("conv_id", "call_id", "turn", F.explode("needs").alias("need")).distinct()
+    needed = own.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn"))
+    late = ~F.coalesce(F.struct("need_turn", "need") < F.struct("turn", "call_id"), F.lit(False))
+    # Conversations in which a call needs one that does not come before it.
+    mixed_up = written(needs.join(needed, ["conv_id", "need"]).filter(late).select("conv_id").distinct(), shared_dir(calls.sparkSession, "chat-order"))
+    if mixed_up.isEmpty():
+        placed = own.select("conv_id", "call_id", F.lit(0).alias("level"))
+    else:
+        some = own.select("conv_id", "call_id").join(mixed_up, "conv_id", "left_semi")
+        ranked = levels(some, needs.join(mixed_up, "conv_id", "left_semi").select("conv_id", "call_id", "need"))
+        placed = own.select("conv_id", "call_id").join(mixed_up, "conv_id", "left_anti").withColumn("level", F.lit(0)).unionByName(ranked)
     met = own.withColumn("has_call", F.lit(True)).join(placed, ["conv_id", "call_id"]).join(answered, ["conv_id", "call_id"], "full")
     met = met.withColumn("variant", F.try_parse_json("arguments"))
     state = F.when(F.col("has_call").isNull(), "no_call").when(F.col("level").isNull(), "cyclic").when(F.col("has_result").isNull(), "no_result").otherwise("linked")
@@ -156,19 +166,16 @@ def op7_chat(messages: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS words FROM conversations),
-c AS (SELECT conv_id, 'call-' || turn AS call_id, turn, text, words, CASE WHEN words <= 20 THEN 'lookup' ELSE 'compose' END AS name, 'call-' || (turn - 2) AS need FROM m WHERE role = 'user'),
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS words FROM conversations),
+c AS (SELECT conv_id, 'call-' || turn AS call_id, turn, text, words, CASE WHEN words <= 20 THEN 'lookup' ELSE 'compose' END AS name FROM m WHERE role = 'user'),
 r AS (SELECT conv_id, 'call-' || (turn - 1) AS call_id, turn AS result_turn, text AS content FROM m WHERE role = 'assistant'),
-v(conv_id, call_id, level) AS (
-  SELECT conv_id, call_id, 0 FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.conv_id = c.conv_id AND d.call_id = c.need)
-  UNION ALL SELECT c.conv_id, c.call_id, v.level + 1 FROM v JOIN c ON c.conv_id = v.conv_id AND c.need = v.call_id),
 j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.result_turn) AS turn,
   c.call_id IS NOT NULL AS has_call, r.call_id IS NOT NULL AS has_result, c.text, c.turn AS own_turn, words, name, content
   FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
-SELECT j.conv_id, j.call_id, j.turn, v.level,
+SELECT j.conv_id, j.call_id, j.turn, CASE WHEN has_call THEN 0 END AS level,
   CASE WHEN NOT has_call THEN 'no_call' WHEN has_result THEN 'linked' ELSE 'no_result' END AS state,
   CASE WHEN name = 'lookup' AND words < 2 THEN 'too small: words' WHEN name = 'compose' AND words > 60 THEN 'too large: words' ELSE '' END AS faults,
   '{"arguments":' || CASE WHEN has_call THEN '{"text":' || to_json(text)::VARCHAR || ',"turn":' || own_turn || ',"words":' || words || '}' ELSE 'null' END
   || ',"call_id":' || to_json(j.call_id)::VARCHAR || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null') || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS line
-FROM j LEFT JOIN v ON v.conv_id = j.conv_id AND v.call_id = j.call_id
+FROM j
 """
