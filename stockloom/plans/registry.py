@@ -1,15 +1,218 @@
-"""Registry of the market-panel queries and their SQL."""
+"""The market-panel queries and, where SQL can express them, their DuckDB forms."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stockloom.functions.columns import rounded
+from stockloom.operators import adjustment, features, folds, gates, labels, metrics, registry_tables
+from stockloom.sources import panels as p
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+AS_OF = "2000-12-31"
+START = "1996-01-01"
+_RATIOS = {"E": 0.1, "D": 0.2, "C": 0.4, "B": 0.2, "A": 0.1}
+
+
+def _r(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded for comparison; other columns as they are."""
+    return df.select(*[rounded(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _rs(columns: list[str], digits: int = 6) -> str:
+    return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
+
+
+def _expanded(spark: SparkSession, sf: str) -> DataFrame:
+    return p.expanded(p.calendar(spark, sf))
+
+
+def _targets(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.targets(p.bars(spark, sf), _expanded(spark, sf), p.universe(spark, sf))
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.split_labels(_targets(spark, sf), p.bars(spark, sf), p.corp_events(spark, sf))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Split-adjusted 20-day momentum and the realised 20-day return, with the reason where it is missing."""
+    adjusted = adjustment.adjust_split(p.bars(spark, sf), p.corp_events(spark, sf), AS_OF)
+    momentum = features.technical(adjusted).select("stock_code", "trade_date", "ROC_20")
+    own = _labelled(spark, sf).filter("horizon = 20").select("stock_code", "trade_date", "label", "reason")
+    return _r(momentum.join(own, ["stock_code", "trade_date"], "left"))
+
+
+def _panel(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per stock and day of the graded universe: features on adjusted prices, flows, labels."""
+    members = p.universe(spark, sf).filter(F.col("grade").isin("A", "B")).select("stock_code", "market")
+    bars = p.bars(spark, sf).filter(F.col("trade_date") >= F.lit(START).cast("date")).join(F.broadcast(members), "stock_code", "left_semi")
+    adjusted = adjustment.adjust_prices(bars, p.corp_events(spark, sf), _expanded(spark, sf), AS_OF)
+    rows = features.technical(adjusted).drop("split_factor", "dividend_factor", "split_first")
+    flow = features.supply_demand(p.flows(spark, sf)).drop("total_trading_value", *[f"{i}_net_value" for i in features.INVESTORS])
+    made = labels.split_labels(labels.targets(bars, _expanded(spark, sf), p.universe(spark, sf)), bars, p.corp_events(spark, sf))
+    wide = made.groupBy("stock_code", "trade_date").agg(
+        *[F.max(F.when(F.col("horizon") == h, F.col("label"))).alias(f"label_D{h}") for h in labels.HORIZONS],
+        *[F.max(F.when(F.col("horizon") == h, F.col("reason"))).alias(f"label_D{h}_exclude_reason") for h in labels.HORIZONS],
+    )
+    return rows.join(flow, ["stock_code", "trade_date"], "left").join(wide, ["stock_code", "trade_date"], "left")
 
 
-def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+def _metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.backtest(metrics.by_algorithm(p.scores(spark, sf)))
+
+
+def _artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    """A file name for each combination and month with orders, and names that are not artifacts."""
+    months = p.table(spark, sf, "orders").select(F.date_trunc("month", "o_orderdate").cast("date").alias("d")).distinct()
+    combos = F.explode(F.array(*[F.lit(f"{m}_{h}_{a}_") for m in ("domestic", "overseas") for h in ("D20", "D60") for a in ("lightgbm", "xgboost", "quantile")]))
+    return months.select("d", combos.alias("combo")).select(F.concat("combo", F.date_format("d", "yyyy-MM-dd"), F.lit(".txt")).alias("file_name"))
+
+
+_TECH = [*features.SHAPES, *(f"{r}_{w}" for r in features.ROLLING for w in features.WINDOWS)]
+
+
+def _technical_sql() -> str:
+    out = ["(close_price - open_price) / open_price AS KMID", "(high_price - low_price) / open_price AS KLEN", "(high_price - greatest(open_price, close_price)) / open_price AS KUP",
+           "(least(open_price, close_price) - low_price) / open_price AS KLOW", "(2 * close_price - high_price - low_price) / open_price AS KSFT"]
+    for w in features.WINDOWS:
+        f, n = f"w{w}", f"count(close_price) OVER w{w} = {w}"
+        out += [
+            f"close_price / lag(close_price, {w}) OVER s - 1 AS ROC_{w}", f"CASE WHEN {n} THEN avg(close_price) OVER {f} / close_price - 1 END AS MA_{w}",
+            f"CASE WHEN {n} THEN stddev_samp(close_price) OVER {f} / close_price END AS STD_{w}",
+            f"CASE WHEN {n} THEN (len(list_filter(list(close_price) OVER {f}, lambda x: x < close_price)) + (len(list_filter(list(close_price) OVER {f}, lambda x: x = close_price)) + 1) / 2.0) / {w} END AS RANK_{w}",
+            f"CASE WHEN {n} THEN covar_pop(close_price, volume) OVER {f} / nullif(sqrt(var_pop(close_price) OVER {f} * var_pop(volume) OVER {f}), 0) END AS CORR_{w}",
+        ]
+    frames = ", ".join(f"w{w} AS (PARTITION BY stock_code ORDER BY trade_date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in features.WINDOWS)
+    return f"SELECT stock_code, trade_date, {', '.join(out)} FROM bars WINDOW s AS (PARTITION BY stock_code ORDER BY trade_date), {frames}"
+
+
+def _flow_sql() -> str:
+    out = []
+    for i in features.INVESTORS:
+        out.append(f"CAST({i}_net_value AS DOUBLE) / nullif(total_trading_value, 0) AS {i}_net_ratio")
+        out += [f"CASE WHEN count(*) OVER w{w} = {w} THEN CAST(sum({i}_net_value) OVER w{w} AS BIGINT) END AS {i}_net_cum_{w}" for w in features.WINDOWS]
+    frames = ", ".join(f"w{w} AS (PARTITION BY stock_code ORDER BY trade_date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in features.WINDOWS)
+    return f"SELECT stock_code, trade_date, {', '.join(out)} FROM flows WINDOW {frames}"
+
+
+_FLOW = [f"{i}_net_{x}" for i in features.INVESTORS for x in ("ratio", *(f"cum_{w}" for w in features.WINDOWS))]
+_SPLIT = f"""SELECT b.stock_code, b.trade_date, any_value(open_price) AS o, any_value(high_price) AS h, any_value(low_price) AS l, any_value(close_price) AS c, any_value(volume) AS v, coalesce(product(stock_rate), 1.0) AS f
+FROM bars b LEFT JOIN corp_events e ON e.stock_code = b.stock_code AND event_type = 'SPLIT' AND event_date <= '{AS_OF}' AND b.trade_date < event_date GROUP BY 1, 2"""
+_CODE = "CASE WHEN b <= 13 THEN 'KRX' ELSE 'NYSE' END"
+_EX = f"""SELECT d.*, coalesce(ex_dividend_date, o.cal_date) AS ex_date FROM (SELECT *, {_CODE} AS calendar_code FROM corp_events WHERE event_type = 'DIVIDEND' AND cash_amount <> 0 AND event_subtype <> '') d
+LEFT JOIN expanded x ON x.calendar_code = d.calendar_code AND x.cal_date = d.event_date LEFT JOIN expanded o ON o.calendar_code = d.calendar_code AND o.is_open AND o.idx_incl = x.idx_incl - CASE WHEN d.calendar_code = 'KRX' THEN 1 ELSE 0 END"""
+_CHECKED = """SELECT e.stock_code, e.ex_date, e.cash_amount, k.close_price AS base_close, CASE WHEN e.currency_code IS DISTINCT FROM CASE WHEN e.calendar_code = 'KRX' THEN 'KRW' ELSE 'USD' END THEN 'currency' WHEN k.close_price IS NULL THEN 'no_base_close' END AS skip_reason
+FROM ex e LEFT JOIN expanded x ON x.calendar_code = e.calendar_code AND x.cal_date = e.ex_date LEFT JOIN bars k ON k.stock_code = e.stock_code AND k.trade_date = x.prev_open_excl"""
+_DIVIDEND = f"""SELECT b.stock_code, b.trade_date, any_value(close_price) AS c, any_value(volume) AS volume, coalesce(product(1 - cash_amount / base_close), 1.0) AS f FROM bars b
+LEFT JOIN checked d ON d.stock_code = b.stock_code AND skip_reason IS NULL AND ex_date <= '{AS_OF}' AND b.trade_date < ex_date GROUP BY 1, 2"""
+_BASE = f"SELECT b.*, {_CODE} AS calendar_code FROM bars b"
+_TGT = """SELECT r.stock_code, r.b, r.trade_date, r.close_price, r.calendar_code, h AS horizon, x.idx_incl + h AS t_idx, t.cal_date AS target, max(r.trade_date) OVER s AS last_obs, min(x.idx_incl) OVER s AS lo, max(x.idx_incl) OVER s AS hi
+FROM base r JOIN expanded x ON x.calendar_code = r.calendar_code AND x.cal_date = r.trade_date CROSS JOIN (VALUES (20), (60)) v(h) LEFT JOIN expanded t ON t.calendar_code = r.calendar_code AND t.is_open AND t.idx_incl = x.idx_incl + h WINDOW s AS (PARTITION BY r.stock_code)"""
+_SEEN = "SELECT r.stock_code, x.idx_incl AS i, r.trade_date AS day FROM base r JOIN expanded x ON x.calendar_code = r.calendar_code AND x.cal_date = r.trade_date WHERE x.is_open"
+_NEAR = """SELECT t.*, p.i AS p_i, n.i AS n_i, n.day AS n_day, delisted_at IS NOT NULL AS gone FROM tgt t ASOF LEFT JOIN seen p ON p.stock_code = t.stock_code AND p.i <= t.t_idx ASOF LEFT JOIN seen n ON n.stock_code = t.stock_code AND n.i > t.t_idx LEFT JOIN universe u ON u.stock_code = t.stock_code"""
+_WHY = """SELECT *, coalesce(n_i, hi + 1) - coalesce(p_i, lo) - 1 AS len, p_i IS NOT DISTINCT FROM t_idx AS obs, CASE WHEN gone THEN 'delisted' ELSE 'insufficient_future_data' END AS short FROM near"""
+_DONE = """SELECT *, CASE WHEN target IS NULL THEN 'insufficient_future_data' WHEN target > last_obs THEN short WHEN obs THEN NULL WHEN len >= horizon THEN 'halted' WHEN n_day IS NULL THEN short END AS reason FROM why"""
+_RES = """SELECT stock_code, trade_date, horizon, target, reason, close_price, CASE WHEN reason IS NOT NULL THEN NULL WHEN obs THEN target ELSE n_day END AS resolved, CASE WHEN target <= last_obs AND NOT obs THEN len END AS halt_days FROM done"""
+_LABEL = dict(base=_BASE, tgt=_TGT, seen=_SEEN, near=_NEAR, why=_WHY, done=_DONE, res=_RES)
+_LONG = """SELECT market, horizon, fold_index, 'lightgbm' AS algorithm, score_a AS score, ret, confidence, k FROM scores UNION ALL SELECT market, horizon, fold_index, 'xgboost', score_b, ret, confidence, k FROM scores UNION ALL
+SELECT market, horizon, fold_index, 'ensemble', CASE WHEN score_a > 0 AND score_b > 0 THEN least(score_a, score_b) WHEN score_a < 0 AND score_b < 0 THEN -least(abs(score_a), abs(score_b)) ELSE 0 END, ret, confidence, k FROM scores"""
+_HIT = """SELECT *, CAST(sign(score) = sign(ret) AS DOUBLE) AS hit, sign(score) * ret AS gain, count(*) OVER o AS n, rank() OVER (o ORDER BY score) + (count(*) OVER (PARTITION BY market, horizon, algorithm, fold_index, score) - 1) / 2.0 AS rs,
+rank() OVER (o ORDER BY ret) + (count(*) OVER (PARTITION BY market, horizon, algorithm, fold_index, ret) - 1) / 2.0 AS rr, ntile(5) OVER (o ORDER BY confidence, k) AS bin, product(1 + sign(score) * ret) OVER (o ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity
+FROM long WINDOW o AS (PARTITION BY market, horizon, algorithm, fold_index)"""
+_PEAK = "SELECT *, max(equity) OVER (PARTITION BY market, horizon, algorithm, fold_index ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM hit"
+_MAIN = """SELECT market, horizon, algorithm, fold_index, avg(hit) AS hit_rate, covar_pop(score, ret) / nullif(sqrt(var_pop(score) * var_pop(ret)), 0) AS ic, covar_pop(rs, rr) / nullif(sqrt(var_pop(rs) * var_pop(rr)), 0) AS rank_ic,
+avg(CASE WHEN score <> 0 THEN hit END) AS precision, CASE WHEN stddev_pop(gain) < 1e-12 THEN 0 ELSE avg(gain) / stddev_pop(gain) END AS sharpe, abs(min((equity - peak) / peak)) AS max_drawdown FROM peak GROUP BY ALL"""
+_BIN = "SELECT market, horizon, algorithm, fold_index, bin, avg(confidence) AS c, avg(hit) AS h FROM hit GROUP BY ALL"
+_CAL = "SELECT market, horizon, algorithm, fold_index, CASE WHEN max(c) - min(c) < 1e-12 OR max(h) - min(h) < 1e-12 THEN 0 ELSE coalesce(covar_pop(c, h) / nullif(sqrt(var_pop(c) * var_pop(h)), 0), 0) END AS calibration FROM binned GROUP BY ALL"
+_ALL = dict(long=_LONG, hit=_HIT, peak=_PEAK, main=_MAIN, binned=_BIN, calib=_CAL, met="SELECT * FROM main JOIN calib USING (market, horizon, algorithm, fold_index)")
+_VERDICT = """SELECT market, horizon, algorithm, CASE WHEN count(*) FILTER (n <= 12) = 12 THEN avg(r) FILTER (n <= 12) END AS rolling_mean, avg(r) AS overall_mean,
+CASE WHEN count(*) FILTER (n <= 52) = 52 THEN CASE WHEN stddev_pop(r) FILTER (n <= 52) = 0 THEN 0 ELSE avg(r) FILTER (n <= 52) / stddev_pop(r) FILTER (n <= 52) END END AS rolling_icir
+FROM (SELECT market, horizon, algorithm, coalesce(rank_ic, 0) AS r, row_number() OVER (PARTITION BY market, horizon, algorithm ORDER BY fold_index DESC) AS n FROM met) GROUP BY ALL"""
+_FLAGS = "SELECT *, coalesce(rolling_mean > 0, false) AS gate1, coalesce(overall_mean > 0, false) AS gate2, coalesce(rolling_icir > 0.10, false) AS gate3 FROM verdict"
+_STABLE = "SELECT *, gate1 AND gate2 AND gate3 AS stabilized FROM flags"
+_METRICS = ["hit_rate", "ic", "rank_ic", "precision", "sharpe", "max_drawdown", "calibration"]
+_ART = """SELECT m || '_' || h || '_' || a || '_' || strftime(d, '%Y-%m-%d') || '.txt' AS file_name, m AS market, h AS horizon, a AS algorithm, d AS trained_date FROM (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS d FROM orders),
+(VALUES ('domestic'), ('overseas')) x(m), (VALUES ('D20'), ('D60')) y(h), (VALUES ('lightgbm'), ('xgboost')) z(a)"""
+
+
+def queries() -> dict[str, Query]:
+    tech = lambda s, d: features.technical(p.bars(s, d)).select("stock_code", "trade_date", *_TECH)
+    split = lambda s, d: adjustment.adjust_split(p.bars(s, d), p.corp_events(s, d), AS_OF)
+    checked = lambda s, d: adjustment.dividends_checked(p.corp_events(s, d), p.bars(s, d), _expanded(s, d))
+    verdict = lambda s, d: gates.verdicts(_metrics(s, d))
+    versions = lambda s, d: registry_tables.parsed(_artifacts(s, d))
+    fold = lambda s, d: folds.weekly_folds(folds.date_axis(p.bars(s, d)), 20, 500, 5)
+    return {
+        "bars": lambda s, d: _r(p.bars(s, d).drop("b")), "calendar": p.calendar, "universe": p.universe, "flows": p.flows,
+        "corp_events": lambda s, d: p.corp_events(s, d).drop("b"),
+        "c_expanded_calendar": _expanded,
+        "c_ex_dates": lambda s, d: adjustment.ex_dates(adjustment.valid_dividends(p.corp_events(s, d)), _expanded(s, d)).select("stock_code", "event_date", "ex_date"),
+        "a_split": lambda s, d: _r(split(s, d).select("stock_code", "trade_date", "open_price", "high_price", "low_price", "close_price", "volume")),
+        "a_dividends": lambda s, d: _r(checked(s, d).select("stock_code", "ex_date", "cash_amount", "base_close", "skip_reason")),
+        "a_dividend": lambda s, d: _r(adjustment.adjust_dividend(p.bars(s, d), p.corp_events(s, d), _expanded(s, d), AS_OF).select("stock_code", "trade_date", "close_price", "volume")),
+        "a_adjust": lambda s, d: _r(adjustment.adjust_prices(p.bars(s, d), p.corp_events(s, d), _expanded(s, d), AS_OF).select("stock_code", "trade_date", "close_price", "volume")),
+        "a_skip_audit": lambda s, d: adjustment.skip_audit(p.corp_events(s, d), p.bars(s, d), _expanded(s, d)),
+        "f_technical": lambda s, d: _r(tech(s, d)),
+        "f_supply_demand": lambda s, d: _r(features.supply_demand(p.flows(s, d)).select("stock_code", "trade_date", *_FLOW)),
+        "l_targets": lambda s, d: _targets(s, d).select("stock_code", "trade_date", "horizon", "target", "resolved", "reason", "halt_days"),
+        "l_labels": lambda s, d: _r(_labelled(s, d).select("stock_code", "trade_date", "horizon", "label", "reason")),
+        "l_reason_counts": lambda s, d: _targets(s, d).groupBy("horizon", "reason").agg(F.count(F.lit(1)).alias("n")),
+        "p_panel": lambda s, d: _r(_panel(s, d)),
+        "p_universe_counts": lambda s, d: p.universe(s, d).groupBy("grade").agg(F.count(F.lit(1)).alias("n")),
+        "g_axis": lambda s, d: folds.date_axis(p.bars(s, d)), "g_weekly_folds": fold,
+        "g_slices": lambda s, d: folds.slices(p.bars(s, d), fold(s, d)).groupBy("fold_index", "role").agg(F.count(F.lit(1)).alias("n")),
+        "e_ensemble": lambda s, d: _r(p.scores(s, d).groupBy("market", "horizon").agg(F.sum(metrics.ensemble(F.col("score_a"), F.col("score_b"))).alias("total"), F.count(F.lit(1)).alias("n"))),
+        "e_confidence": lambda s, d: _r(p.scores(s, d).select("k.*", metrics.confidence(metrics.ensemble(F.col("score_a"), F.col("score_b")), F.col("p10"), F.col("p90")).alias("value"))),
+        "e_boundaries": lambda s, d: _r(metrics.grade_boundaries(p.scores(s, d), ["market", "horizon"], _RATIOS)),
+        "e_winsorize": lambda s, d: _r(metrics.winsorized(p.scores(s, d), ["market", "horizon"]).groupBy("market", "horizon").agg(F.min("ret").alias("low"), F.max("ret").alias("high"), F.avg("ret").alias("mean"))),
+        "m_backtest": lambda s, d: _r(_metrics(s, d).select(*metrics.KEYS, *_METRICS)),
+        "j_verdicts": lambda s, d: _r(verdict(s, d)), "j_champions": lambda s, d: gates.champions(verdict(s, d)),
+        "r_artifacts": versions, "r_stale": lambda s, d: registry_tables.stale(versions(s, d), F.lit("1998-08-20").cast("date")),
+        "r_retention": lambda s, d: registry_tables.retention(versions(s, d)),
+        "r_run_counters": lambda s, d: registry_tables.run_counters(p.table(s, d, "events")),
+        "flagship": flagship,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    ohlc = ["open_price", "high_price", "low_price", "close_price"]
+    checked = dict(ex=_EX, checked=_CHECKED)
+    gate = dict(**_ALL, verdict=_VERDICT, flags=_FLAGS, stable=_STABLE)
+    champion = """SELECT market, horizon, bool_or(stabilized) FILTER (algorithm = 'lightgbm') AS l, bool_or(stabilized) FILTER (algorithm = 'xgboost') AS x FROM stable GROUP BY ALL"""
+    ranked = """SELECT s.market, s.horizon, l, x, algorithm, CASE algorithm WHEN 'lightgbm' THEN l WHEN 'xgboost' THEN x ELSE l AND x END AS eligible, coalesce(nullif(rolling_mean, 0), '-inf'::DOUBLE) AS score,
+    CASE algorithm WHEN 'lightgbm' THEN 1 WHEN 'xgboost' THEN 2 ELSE 3 END AS pref FROM stable s JOIN pair USING (market, horizon)"""
+    best = "SELECT market, horizon, l, x, arg_min(algorithm, row(-score, pref)) FILTER (eligible) AS champion, NOT bool_or(eligible) AS deployment_prohibited FROM ranked GROUP BY ALL"
+    axis = dict(axis="SELECT trade_date, CAST(row_number() OVER (ORDER BY trade_date) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT trade_date FROM bars)")
+    weekly = dict(**axis, fold="SELECT i::INTEGER AS fold_index, a.trade_date AS train_end, v.trade_date AS val_start, z.trade_date AS val_end FROM (SELECT unnest(range(greatest((count(*) - 540) // 5, 0))) AS i FROM axis) LEFT JOIN axis a ON a.idx = 500 + i * 5 LEFT JOIN axis v ON v.idx = 520 + i * 5 LEFT JOIN axis z ON z.idx = 525 + i * 5")
+    return {
+        "bars": p.sql(f"SELECT stock_code, trade_date, {_rs(ohlc)}, volume FROM bars", "bars"),
+        "calendar": p.sql("SELECT * FROM cal", "cal"), "universe": p.sql("SELECT * FROM universe", "universe"), "flows": p.sql("SELECT * FROM flows", "flows"),
+        "corp_events": p.sql("SELECT * EXCLUDE (b) FROM corp_events", "corp_events"), "c_expanded_calendar": p.sql("SELECT * FROM expanded", "expanded"),
+        "c_ex_dates": p.sql("SELECT stock_code, event_date, ex_date FROM ex", "corp_events", "expanded", ex=_EX),
+        "a_split": p.sql("SELECT stock_code, trade_date, round(o / f, 6) AS open_price, round(h / f, 6) AS high_price, round(l / f, 6) AS low_price, round(c / f, 6) AS close_price, round(v * f, 6) AS volume FROM z", "corp_events", z=_SPLIT),
+        "a_dividends": p.sql("SELECT stock_code, ex_date, round(cash_amount, 6) AS cash_amount, round(base_close, 6) AS base_close, skip_reason FROM checked", "corp_events", "expanded", **checked),
+        "a_dividend": p.sql("SELECT stock_code, trade_date, round(c * f, 6) AS close_price, volume FROM z", "corp_events", "expanded", **checked, z=_DIVIDEND),
+        "a_skip_audit": p.sql("SELECT skip_reason, batch, string_agg(stock_code, ',' ORDER BY stock_code) AS stock_codes FROM (SELECT *, CAST((row_number() OVER (PARTITION BY skip_reason ORDER BY stock_code) - 1) // 25 AS INTEGER) AS batch FROM (SELECT DISTINCT skip_reason, stock_code FROM checked WHERE skip_reason IS NOT NULL)) GROUP BY ALL", "corp_events", "expanded", **checked),
+        "f_technical": p.sql(f"SELECT stock_code, trade_date, {_rs(_TECH)} FROM t", "bars", t=_technical_sql()),
+        "f_supply_demand": p.sql(f"SELECT stock_code, trade_date, {', '.join(c if '_cum_' in c else f'round({c}, 6) + 0.0 AS {c}' for c in _FLOW)} FROM t", "flows", t=_flow_sql()),
+        "l_targets": p.sql("SELECT stock_code, trade_date, horizon, target, resolved, reason, halt_days FROM res", "bars", "expanded", "universe", **_LABEL),
+        "l_labels": p.sql("SELECT r.stock_code, r.trade_date, r.horizon, round(any_value(e.close_price) * coalesce(product(stock_rate), 1) / any_value(r.close_price) - 1, 6) + 0.0 AS label, any_value(reason) AS reason FROM res r LEFT JOIN bars e ON e.stock_code = r.stock_code AND e.trade_date = r.resolved LEFT JOIN corp_events c ON c.stock_code = r.stock_code AND event_type = 'SPLIT' AND event_date > r.trade_date AND event_date <= r.target AND r.resolved IS NOT NULL GROUP BY 1, 2, 3", "bars", "expanded", "universe", "corp_events", **_LABEL),
+        "l_reason_counts": p.sql("SELECT horizon, reason, count(*) AS n FROM res GROUP BY ALL", "bars", "expanded", "universe", **_LABEL),
+        "p_universe_counts": p.sql("SELECT grade, count(*) AS n FROM universe GROUP BY ALL", "universe"),
+        "g_axis": p.sql("SELECT * FROM axis", "bars", **axis), "g_weekly_folds": p.sql("SELECT * FROM fold", "bars", **weekly),
+        "g_slices": p.sql("SELECT fold_index, CASE WHEN trade_date < train_end THEN 'train' ELSE 'val' END AS role, count(*) AS n FROM bars JOIN fold ON trade_date < train_end OR (trade_date >= val_start AND (val_end IS NULL OR trade_date < val_end)) GROUP BY ALL", "bars", **weekly),
+        "e_ensemble": p.sql("SELECT market, horizon, round(sum(score), 6) AS total, count(*) AS n FROM long WHERE algorithm = 'ensemble' GROUP BY ALL", "scores", long=_LONG),
+        "e_boundaries": p.sql("SELECT market, horizon, " + ", ".join(f"round(quantile_cont(ret, {c}), 6) + 0.0 AS b{i + 1}" for i, c in enumerate((0.1, 0.3, 0.7, 0.9))) + " FROM scores GROUP BY ALL", "scores"),
+        "e_winsorize": p.sql("SELECT market, horizon, round(min(r), 6) + 0.0 AS low, round(max(r), 6) + 0.0 AS high, round(avg(r), 6) + 0.0 AS mean FROM (SELECT market, horizon, least(greatest(ret, a), z) AS r FROM scores JOIN (SELECT market, horizon, quantile_cont(ret, 0.01) AS a, quantile_cont(ret, 0.99) AS z FROM scores GROUP BY ALL) USING (market, horizon)) GROUP BY ALL", "scores"),
+        "m_backtest": p.sql(f"SELECT market, horizon, algorithm, fold_index, {_rs(_METRICS)} FROM met", "scores", **_ALL),
+        "j_verdicts": p.sql("SELECT market, horizon, algorithm, " + _rs(["rolling_mean", "overall_mean", "rolling_icir"]) + ", gate1, gate2, gate3, stabilized, concat_ws(',', CASE WHEN NOT gate1 THEN 'gate1' END, CASE WHEN NOT gate2 THEN 'gate2' END, CASE WHEN NOT gate3 THEN 'gate3' END) AS failed_gates FROM stable", "scores", **gate),
+        "j_champions": p.sql("SELECT market, horizon, champion, deployment_prohibited, CASE WHEN champion = 'lightgbm' AND NOT x THEN 'xgboost' WHEN champion = 'xgboost' AND NOT l THEN 'lightgbm' END AS excluded_artifact FROM best", "scores", **gate, pair=champion, ranked=ranked, best=best),
+        "r_artifacts": f"SELECT * FROM ({_ART})",
+        "r_stale": f"SELECT market, horizon, algorithm, max(trained_date) AS latest, DATE '1998-08-20' - max(trained_date) > 28 AS is_stale FROM ({_ART}) GROUP BY ALL",
+        "r_retention": f"SELECT *, CASE WHEN row_number() OVER (PARTITION BY market, horizon, algorithm ORDER BY trained_date DESC, file_name) > 12 THEN strftime(trained_date, '%Y-%m') END AS archive_month FROM ({_ART})",
+        "r_run_counters": "SELECT event_type AS stage, CASE event_type WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'success' ELSE 'held-back' END AS outcome, count(*) AS runs FROM events GROUP BY ALL",
+    }
