@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockloom.functions.columns import correlation
 
@@ -20,7 +21,7 @@ def ensemble(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.least(a, b)).when((a < 0) & (b < 0), -F.least(F.abs(a), F.abs(b))).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else 0.5 * (1 + math.erf(v / math.sqrt(2))))
 

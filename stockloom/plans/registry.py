@@ -147,13 +147,13 @@ def queries() -> dict[str, Query]:
     versions = lambda s, d: registry_tables.parsed(_artifacts(s, d))
     fold = lambda s, d: folds.weekly_folds(folds.date_axis(p.bars(s, d)), 20, 500, 5)
     return {
-        "bars": lambda s, d: _r(p.bars(s, d).drop("b")), "calendar": p.calendar, "universe": p.universe, "flows": p.flows,
+        "bars": lambda s, d: _r(p.bars(s, d).drop("b"), 9), "calendar": p.calendar, "universe": p.universe, "flows": p.flows,
         "corp_events": lambda s, d: p.corp_events(s, d).drop("b"),
         "c_expanded_calendar": _expanded,
         "c_ex_dates": lambda s, d: adjustment.ex_dates(adjustment.valid_dividends(p.corp_events(s, d)), _expanded(s, d)).select("stock_code", "event_date", "ex_date"),
-        "a_split": lambda s, d: _r(split(s, d).select("stock_code", "trade_date", "open_price", "high_price", "low_price", "close_price", "volume")),
-        "a_dividends": lambda s, d: _r(checked(s, d).select("stock_code", "ex_date", "cash_amount", "base_close", "skip_reason")),
-        "a_dividend": lambda s, d: _r(adjustment.adjust_dividend(p.bars(s, d), p.corp_events(s, d), _expanded(s, d), AS_OF).select("stock_code", "trade_date", "close_price", "volume")),
+        "a_split": lambda s, d: _r(split(s, d).select("stock_code", "trade_date", "open_price", "high_price", "low_price", "close_price", "volume"), 9),
+        "a_dividends": lambda s, d: _r(checked(s, d).select("stock_code", "ex_date", "cash_amount", "base_close", "skip_reason"), 9),
+        "a_dividend": lambda s, d: _r(adjustment.adjust_dividend(p.bars(s, d), p.corp_events(s, d), _expanded(s, d), AS_OF).select("stock_code", "trade_date", "close_price", "volume"), 9),
         "a_adjust": lambda s, d: _r(adjustment.adjust_prices(p.bars(s, d), p.corp_events(s, d), _expanded(s, d), AS_OF).select("stock_code", "trade_date", "close_price", "volume")),
         "a_skip_audit": lambda s, d: adjustment.skip_audit(p.corp_events(s, d), p.bars(s, d), _expanded(s, d)),
         "f_technical": lambda s, d: _r(tech(s, d)),
@@ -189,13 +189,13 @@ def oracle_sql() -> dict[str, str]:
     axis = dict(axis="SELECT trade_date, CAST(row_number() OVER (ORDER BY trade_date) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT trade_date FROM bars)")
     weekly = dict(**axis, fold="SELECT i::INTEGER AS fold_index, a.trade_date AS train_end, v.trade_date AS val_start, z.trade_date AS val_end FROM (SELECT unnest(range(greatest((count(*) - 540) // 5, 0))) AS i FROM axis) LEFT JOIN axis a ON a.idx = 500 + i * 5 LEFT JOIN axis v ON v.idx = 520 + i * 5 LEFT JOIN axis z ON z.idx = 525 + i * 5")
     return {
-        "bars": p.sql(f"SELECT stock_code, trade_date, {_rs(ohlc)}, volume FROM bars", "bars"),
+        "bars": p.sql(f"SELECT stock_code, trade_date, {_rs(ohlc, 9)}, volume FROM bars", "bars"),
         "calendar": p.sql("SELECT * FROM cal", "cal"), "universe": p.sql("SELECT * FROM universe", "universe"), "flows": p.sql("SELECT * FROM flows", "flows"),
         "corp_events": p.sql("SELECT * EXCLUDE (b) FROM corp_events", "corp_events"), "c_expanded_calendar": p.sql("SELECT * FROM expanded", "expanded"),
         "c_ex_dates": p.sql("SELECT stock_code, event_date, ex_date FROM ex", "corp_events", "expanded", ex=_EX),
-        "a_split": p.sql("SELECT stock_code, trade_date, round(o / f, 6) AS open_price, round(h / f, 6) AS high_price, round(l / f, 6) AS low_price, round(c / f, 6) AS close_price, round(v * f, 6) AS volume FROM z", "corp_events", z=_SPLIT),
-        "a_dividends": p.sql("SELECT stock_code, ex_date, round(cash_amount, 6) AS cash_amount, round(base_close, 6) AS base_close, skip_reason FROM checked", "corp_events", "expanded", **checked),
-        "a_dividend": p.sql("SELECT stock_code, trade_date, round(c * f, 6) AS close_price, volume FROM z", "corp_events", "expanded", **checked, z=_DIVIDEND),
+        "a_split": p.sql("SELECT stock_code, trade_date, round(o / f, 9) AS open_price, round(h / f, 9) AS high_price, round(l / f, 9) AS low_price, round(c / f, 9) AS close_price, round(v * f, 9) AS volume FROM z", "corp_events", z=_SPLIT),
+        "a_dividends": p.sql("SELECT stock_code, ex_date, round(cash_amount, 9) AS cash_amount, round(base_close, 9) AS base_close, skip_reason FROM checked", "corp_events", "expanded", **checked),
+        "a_dividend": p.sql("SELECT stock_code, trade_date, round(c * f, 9) AS close_price, volume FROM z", "corp_events", "expanded", **checked, z=_DIVIDEND),
         "a_skip_audit": p.sql("SELECT skip_reason, batch, string_agg(stock_code, ',' ORDER BY stock_code) AS stock_codes FROM (SELECT *, CAST((row_number() OVER (PARTITION BY skip_reason ORDER BY stock_code) - 1) // 25 AS INTEGER) AS batch FROM (SELECT DISTINCT skip_reason, stock_code FROM checked WHERE skip_reason IS NOT NULL)) GROUP BY ALL", "corp_events", "expanded", **checked),
         "f_technical": p.sql(f"SELECT stock_code, trade_date, {_rs(_TECH)} FROM t", "bars", t=_technical_sql()),
         "f_supply_demand": p.sql(f"SELECT stock_code, trade_date, {', '.join(c if '_cum_' in c else f'round({c}, 6) + 0.0 AS {c}' for c in _FLOW)} FROM t", "flows", t=_flow_sql()),
