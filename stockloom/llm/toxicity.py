@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,7 +45,7 @@ CACHE_WORDS = 500_000
 class Settings:
     """per_label: documents of each label in the sample. signal: least likelihood ratio (2 ln) of a marking feature."""
 
-    per_label: int = 1_200
+    per_label: int = 700
     signal: float = 28.0
     lift: float = 10.0
     buckets: int = 1 << 18
@@ -137,19 +138,20 @@ def document_sums(marginal: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarra
     return np.column_stack((np.clip(some, -9, 9) / 9, np.log1p(np.bincount(doc, marginal, docs))))
 
 
-def _laid_out(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words of all texts, with their document and sentence numbers."""
-    words, doc, sentence, at = [], [], [], 0
+def _laid_out(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words; and for every word of all texts its place among them, its document and its sentence."""
+    place: dict[str, int] = {}
+    number, doc, sentence, at = array("i"), array("i"), array("i"), 0
     for i, text in enumerate(texts):
         for x in tokens(text):
             if x in ".!?\n":
                 at += 1
             else:
-                words.append(x)
+                number.append(place.setdefault(x, len(place)))
                 doc.append(i)
                 sentence.append(at)
         at += 1
-    return words, np.asarray(doc, np.int64), np.asarray(sentence, np.int64)
+    return list(place), *(np.frombuffer(x, np.int32) if len(x) else np.empty(0, np.int32) for x in (number, doc, sentence))
 
 
 def _distinct(texts: list[str], labels: list[int]) -> tuple[list[str], list[int]]:
@@ -171,14 +173,20 @@ def _distinct(texts: list[str], labels: list[int]) -> tuple[list[str], list[int]
 def marked_features(texts: list[str], labels: list[int], settings: Settings) -> set[str]:
     """Token features bound to toxic documents, by likelihood ratio and lift of document counts."""
     counts = (Counter(), Counter())
-    for text, label in zip(texts, labels):
-        counts[label].update(set().union(*map(marking, set(tokens(text)))))
+    # Toxic documents first; of the others only what is left is counted.
+    for label in (1, 0):
+        for text, own in zip(texts, labels):
+            if own == label:
+                seen = set().union(*map(marking, set(tokens(text))))
+                counts[label].update(seen if label else seen & counts[1].keys())
+        if label:
+            counts = (counts[0], Counter({f: k for f, k in counts[1].items() if k >= 3}))
     n1 = sum(labels)
     n0 = len(labels) - n1
     found = set()
     for f, k1 in counts[1].items():
         k0 = counts[0][f]
-        if k1 < 3 or (k1 + 0.5) * (n0 + 1) < settings.lift * (k0 + 0.5) * (n1 + 1):
+        if (k1 + 0.5) * (n0 + 1) < settings.lift * (k0 + 0.5) * (n1 + 1):
             continue
         p = (k1 + k0) / (n1 + n0)
         ratio = 0.0
@@ -198,19 +206,16 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
         return model
     texts, labels = _distinct(texts, labels)
     marks = marked_features(texts, labels, settings)
-    words, doc, sentence = _laid_out(texts)
-    if not words:
+    names, number, doc, sentence = _laid_out(texts)
+    if not names:
         return model
-    place: dict[str, int] = {}
-    number = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
-    names = list(place)
-    del words
     marked = np.asarray([bool(marking(w) & marks) for w in names])
     label = np.asarray(labels)
     tag = marked[number] & (label[doc] == 1)
     own = [features(w, settings.buckets) for w in names]
     width = np.asarray([len(x) for x in own])
-    flat, row = np.concatenate(own), np.repeat(np.arange(len(names)), width)
+    flat, row = np.concatenate(own).astype(np.int32), np.repeat(np.arange(len(names), dtype=np.int32), width)
+    del own
     chains = Chains(sentence)
     # Observed pairs of tags, and starts of sentences.
     inner = np.flatnonzero(np.diff(sentence) == 0)
