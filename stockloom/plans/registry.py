@@ -151,7 +151,7 @@ def queries() -> dict[str, Query]:
         "corp_events": lambda s, d: p.corp_events(s, d).drop("b"),
         "c_expanded_calendar": _expanded,
         "c_ex_dates": lambda s, d: adjustment.ex_dates(adjustment.valid_dividends(p.corp_events(s, d)), _expanded(s, d)).select("stock_code", "event_date", "ex_date"),
-        "a_split": lambda s, d: _r(split(s, d).select("stock_code", "trade_date", "open_price", "high_price", "low_price", "close_price", "volume"), 9),
+        "a_split": lambda s, d: split(s, d).select("stock_code", "trade_date", "open_price", "high_price", "low_price", "close_price", "volume"),
         "a_dividends": lambda s, d: _r(checked(s, d).select("stock_code", "ex_date", "cash_amount", "base_close", "skip_reason"), 9),
         "a_dividend": lambda s, d: _r(adjustment.adjust_dividend(p.bars(s, d), p.corp_events(s, d), _expanded(s, d), AS_OF).select("stock_code", "trade_date", "close_price", "volume"), 9),
         "a_adjust": lambda s, d: _r(adjustment.adjust_prices(p.bars(s, d), p.corp_events(s, d), _expanded(s, d), AS_OF).select("stock_code", "trade_date", "close_price", "volume")),
@@ -193,7 +193,7 @@ def oracle_sql() -> dict[str, str]:
         "calendar": p.sql("SELECT * FROM cal", "cal"), "universe": p.sql("SELECT * FROM universe", "universe"), "flows": p.sql("SELECT * FROM flows", "flows"),
         "corp_events": p.sql("SELECT * EXCLUDE (b) FROM corp_events", "corp_events"), "c_expanded_calendar": p.sql("SELECT * FROM expanded", "expanded"),
         "c_ex_dates": p.sql("SELECT stock_code, event_date, ex_date FROM ex", "corp_events", "expanded", ex=_EX),
-        "a_split": p.sql("SELECT stock_code, trade_date, round(o / f, 9) AS open_price, round(h / f, 9) AS high_price, round(l / f, 9) AS low_price, round(c / f, 9) AS close_price, round(v * f, 9) AS volume FROM z", "corp_events", z=_SPLIT),
+        "a_split": p.sql("SELECT stock_code, trade_date, o / f AS open_price, h / f AS high_price, l / f AS low_price, c / f AS close_price, v * f AS volume FROM z", "corp_events", z=_SPLIT),
         "a_dividends": p.sql("SELECT stock_code, ex_date, round(cash_amount, 9) AS cash_amount, round(base_close, 9) AS base_close, skip_reason FROM checked", "corp_events", "expanded", **checked),
         "a_dividend": p.sql("SELECT stock_code, trade_date, round(c * f, 9) AS close_price, volume FROM z", "corp_events", "expanded", **checked, z=_DIVIDEND),
         "a_skip_audit": p.sql("SELECT skip_reason, batch, string_agg(stock_code, ',' ORDER BY stock_code) AS stock_codes FROM (SELECT *, CAST((row_number() OVER (PARTITION BY skip_reason ORDER BY stock_code) - 1) // 25 AS INTEGER) AS batch FROM (SELECT DISTINCT skip_reason, stock_code FROM checked WHERE skip_reason IS NOT NULL)) GROUP BY ALL", "corp_events", "expanded", **checked),
