@@ -24,10 +24,14 @@ def purged_split(spark: SparkSession, n: int, gap: int, ratios=(0.70, 0.15, 0.15
     return spark.createDataFrame([tuple(bounds)], "train_start int, train_end int, val_start int, val_end int, test_start int, test_end int")
 
 
-def weekly_folds(axis: DataFrame, gap: int, train_end: int, size: int) -> DataFrame:
-    """Folds that advance by their validation size, as dates; the last upper bound may be open (null)."""
+def weekly_folds(axis: DataFrame, gap: int, train_end: int, size: int, reserve: int | None = None) -> DataFrame:
+    """Folds that advance by their validation size, as dates; the last upper bound may be open (null).
+
+    ``reserve`` days stay free after the initial history: twice the gap, or the largest of several horizons
+    that share a number of folds.
+    """
     n = axis.agg(F.count(F.lit(1)).alias("n"))
-    room = F.greatest(F.floor((F.col("n") - train_end - 2 * gap) / size), F.lit(0)).cast("int")
+    room = F.greatest(F.floor((F.col("n") - train_end - (2 * gap if reserve is None else reserve)) / size), F.lit(0)).cast("int")
     folds = n.select(F.explode(F.when(room > 0, F.sequence(F.lit(0), room - 1)).otherwise(F.array().cast("array<int>"))).alias("fold_index"))
     folds = folds.withColumn("a", F.lit(train_end) + F.col("fold_index") * size).withColumns({"v": F.col("a") + gap, "z": F.col("a") + gap + size})
     for at, name in (("a", "train_end"), ("v", "val_start"), ("z", "val_end")):

@@ -42,7 +42,7 @@ def champions(verdict: DataFrame) -> DataFrame:
     return out.select("market", "horizon", champion.alias("champion"), (~F.col("any")).alias("deployment_prohibited"), excluded.alias("excluded_artifact"))
 
 
-def promotions(challenger: DataFrame, champion: DataFrame, threshold: float = 0.0) -> DataFrame:
+def promotions(challenger: DataFrame, champion: DataFrame, threshold: float = 0.0, keys: tuple[str, ...] = COMBO) -> DataFrame:
     """Challengers that beat the champion of the same combination by more than the threshold."""
-    own = champion.select(*COMBO, F.col("rank_ic").alias("champion_rank_ic"))
-    return challenger.join(own, [*COMBO]).withColumn("promoted", F.col("rank_ic") - F.col("champion_rank_ic") > threshold)
+    own = champion.select(*keys, F.col("rank_ic").alias("champion_rank_ic"))
+    return challenger.join(own, [*keys]).withColumn("promoted", F.col("rank_ic") - F.col("champion_rank_ic") > threshold)

@@ -58,3 +58,22 @@ def split_labels(targets_: DataFrame, bars: DataFrame, events: DataFrame) -> Dat
     factor = meets.groupBy("stock_code", "trade_date", "horizon").agg(F.product("stock_rate").alias("rate"))
     rows = rows.join(factor, ["stock_code", "trade_date", "horizon"], "left")
     return rows.withColumn("label", F.col("end_close") * F.coalesce("rate", F.lit(1.0)) / F.col("close_price") - 1).drop("rate", "end_close")
+
+
+def all_labels(targets_: DataFrame, bars: DataFrame, events: DataFrame, dividends: DataFrame, order: DataFrame) -> DataFrame:
+    """Adds ``label`` with splits and dividends up to the target.
+
+    ``dividends`` are checked ones; ``order`` says which stocks' splits come first: their base closes
+    are divided by the splits between the base day and the target.
+    """
+    splits = events.filter("event_type = 'SPLIT'").select("stock_code", F.col("event_date").alias("split_date"), "stock_rate")
+    applied = dividends.filter("skip_reason IS NULL").select("stock_code", "ex_date", "event_date", "base_date", "cash_amount", "base_close")
+    applied = applied.join(order, "stock_code", "left").withColumn("split_first", F.coalesce("split_first", F.lit(False)))
+    asked = targets_.filter("resolved IS NOT NULL").select("stock_code", "trade_date", "horizon", "target")
+    meets = asked.join(applied, "stock_code").filter("ex_date > trade_date AND ex_date <= target").alias("m")
+    held = (F.col("m.stock_code") == F.col("s.stock_code")) & F.expr("m.split_first AND s.split_date > m.base_date AND s.split_date <= m.target")
+    own = [f"m.{c}" for c in ("stock_code", "trade_date", "horizon", "event_date", "cash_amount", "base_close")]
+    each = meets.join(splits.alias("s"), held, "left").groupBy(*own).agg(F.coalesce(F.product("s.stock_rate"), F.lit(1.0)).alias("rate"))
+    deflator = each.groupBy("stock_code", "trade_date", "horizon").agg(F.product(1 - F.col("cash_amount") * F.col("rate") / F.col("base_close")).alias("deflator"))
+    rows = split_labels(targets_, bars, events).join(deflator, ["stock_code", "trade_date", "horizon"], "left")
+    return rows.withColumn("label", (F.col("label") + 1) / F.coalesce("deflator", F.lit(1.0)) - 1).drop("deflator")

@@ -77,6 +77,22 @@ def grade_boundaries(rows: DataFrame, keys: list[str], ratios: dict[str, float])
     return rows.groupBy(*keys).agg(at.alias("q")).select(*keys, *[F.col("q")[i].alias(f"b{i + 1}") for i in range(len(cuts))])
 
 
+def grade(value: Column, cuts: list[Column], grades: list[str]) -> Column:
+    """The first grade whose upper boundary is above the value; missing values fall in the last."""
+    out = F.lit(grades[-1])
+    for cut, name in reversed(list(zip(cuts, grades))):
+        out = F.when(value < cut, name).otherwise(out)
+    return out
+
+
+def aggregated(folds: DataFrame) -> DataFrame:
+    """Mean, population deviation and their ratio of the folds' rank correlations; none gives zeros."""
+    mean, spread = F.avg("rank_ic"), F.stddev_pop("rank_ic")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    ratio = F.when(spread > 0, F.try_divide(mean, spread))
+    return folds.groupBy("market", "horizon", "algorithm").agg(zero(mean).alias("mean"), zero(spread).alias("stddev"), zero(ratio).alias("icir"))
+
+
 def winsorized(rows: DataFrame, keys: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Returns clipped to two quantiles of their key."""
     cuts = rows.groupBy(*keys).agg(F.percentile("ret", F.array(F.lit(low), F.lit(high))).alias("q"))

@@ -53,7 +53,9 @@ def _panel(spark: SparkSession, sf: str) -> DataFrame:
     adjusted = adjustment.adjust_prices(bars, p.corp_events(spark, sf), _expanded(spark, sf), AS_OF)
     rows = features.technical(adjusted).drop("split_factor", "dividend_factor", "split_first")
     flow = features.supply_demand(p.flows(spark, sf)).drop("total_trading_value", *[f"{i}_net_value" for i in features.INVESTORS])
-    made = labels.split_labels(labels.targets(bars, _expanded(spark, sf), p.universe(spark, sf)), bars, p.corp_events(spark, sf))
+    events = p.corp_events(spark, sf)
+    found = adjustment.dividends_checked(events, bars, _expanded(spark, sf))
+    made = labels.all_labels(labels.targets(bars, _expanded(spark, sf), p.universe(spark, sf)), bars, events, found, adjustment.event_order(events))
     wide = made.groupBy("stock_code", "trade_date").agg(
         *[F.max(F.when(F.col("horizon") == h, F.col("label"))).alias(f"label_D{h}") for h in labels.HORIZONS],
         *[F.max(F.when(F.col("horizon") == h, F.col("reason"))).alias(f"label_D{h}_exclude_reason") for h in labels.HORIZONS],
@@ -154,7 +156,7 @@ def queries() -> dict[str, Query]:
         "a_split": lambda s, d: split(s, d).select("stock_code", "trade_date", "open_price", "high_price", "low_price", "close_price", "volume"),
         "a_dividends": lambda s, d: _r(checked(s, d).select("stock_code", "ex_date", "cash_amount", "base_close", "skip_reason"), 9),
         "a_dividend": lambda s, d: _r(adjustment.adjust_dividend(p.bars(s, d), p.corp_events(s, d), _expanded(s, d), AS_OF).select("stock_code", "trade_date", "close_price", "volume"), 9),
-        "a_adjust": lambda s, d: _r(adjustment.adjust_prices(p.bars(s, d), p.corp_events(s, d), _expanded(s, d), AS_OF).select("stock_code", "trade_date", "close_price", "volume")),
+        "a_adjust": lambda s, d: _r(adjustment.adjust_prices(p.bars(s, d), p.corp_events(s, d), _expanded(s, d), AS_OF).select("stock_code", "trade_date", "close_price", "volume"), 9),
         "a_skip_audit": lambda s, d: adjustment.skip_audit(p.corp_events(s, d), p.bars(s, d), _expanded(s, d)),
         "f_technical": lambda s, d: _r(tech(s, d)),
         "f_supply_demand": lambda s, d: _r(features.supply_demand(p.flows(s, d)).select("stock_code", "trade_date", *_FLOW)),
