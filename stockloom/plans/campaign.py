@@ -157,6 +157,13 @@ _LOG = "SELECT market, horizon, algorithm, trained_date, trained_date + 7 AS pro
 _NOW = "SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY market, horizon, algorithm ORDER BY promoted_at DESC, trained_date DESC) = 1"
 
 
+def adjusted_sql() -> str:
+    """Closes after splits and dividends; for a comparison with a tolerance, since products round in their own order."""
+    names = dict(z=r._SPLIT, ex=r._EX, ord=_ORD, applied=_APPLIED, q=_Q)
+    select = "SELECT z.stock_code, z.trade_date, any_value(c) / any_value(f) * coalesce(product(q), 1) AS close_price FROM z LEFT JOIN q ON q.stock_code = z.stock_code AND z.trade_date < ex_date GROUP BY 1, 2"
+    return p.sql(select, "corp_events", "expanded", **names)
+
+
 def oracle_sql() -> dict[str, str]:
     ex = dict(ex=r._EX, ord=_ORD, applied=_APPLIED)
     axis = "SELECT trade_date, CAST(row_number() OVER (ORDER BY trade_date) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT trade_date FROM bars)"
@@ -166,7 +173,6 @@ def oracle_sql() -> dict[str, str]:
     wanted = "SELECT fold_index, m AS market, h AS horizon FROM (SELECT DISTINCT fold_index FROM scores), (VALUES ('domestic'), ('overseas')) a(m), (VALUES (20), (60)) b(h)"
     cuts = "SELECT market, horizon, " + ", ".join(f"quantile_cont(ret, {c}) AS b{i + 1}" for i, c in enumerate((0.1, 0.3, 0.7, 0.9))) + " FROM scores GROUP BY ALL"
     return {
-        "a_adjust": p.sql("SELECT z.stock_code, z.trade_date, round(any_value(c) / any_value(f) * coalesce(product(q), 1), 9) + 0.0 AS close_price, round(any_value(v) * any_value(f), 9) + 0.0 AS volume FROM z LEFT JOIN q ON q.stock_code = z.stock_code AND z.trade_date < ex_date GROUP BY 1, 2", "corp_events", "expanded", z=r._SPLIT, **ex, q=_Q),
         "flagship": p.sql("SELECT m.stock_code, m.trade_date, round(roc, 6) + 0.0 AS ROC_20, round(up - 1, 6) + 0.0 AS label, reason FROM mom m LEFT JOIN ups u ON u.stock_code = m.stock_code AND u.trade_date = m.trade_date AND horizon = 20", "bars", "expanded", "universe", "corp_events", **r._LABEL, z=r._SPLIT, mom=momentum, ups=_SPLIT_LABEL),
         "l_labels_all": p.sql("SELECT stock_code, trade_date, horizon, round(up / coalesce(d, 1) - 1, 6) + 0.0 AS label, reason FROM ups LEFT JOIN (SELECT stock_code, trade_date, horizon, product(q) AS d FROM each GROUP BY ALL) USING (stock_code, trade_date, horizon)", "bars", "expanded", "universe", "corp_events", **ex, **r._LABEL, ups=_SPLIT_LABEL, each=_EACH),
         "p_batches": p.sql("SELECT market, CAST(n // 25 AS INTEGER) AS batch, string_agg(stock_code, ',' ORDER BY stock_code) AS stock_codes FROM (SELECT market, stock_code, row_number() OVER (PARTITION BY market ORDER BY stock_code) - 1 AS n FROM (SELECT DISTINCT stock_code FROM bars) JOIN universe USING (stock_code)) GROUP BY ALL", "bars", "universe"),
