@@ -140,7 +140,7 @@ def queries() -> dict[str, r.Query]:
         "r_activations": lambda s, d: activation.current(_log(s, d)), "r_rollback": _rollback, "r_dangling": _dangling,
         "r_saved_combos": lambda s, d: activation.saved_combos(r._artifacts(s, d).select(*[F.split("file_name", "_")[i].alias(c) for i, c in enumerate(activation.COMBO)])),
         "r_gauges": _gauges,
-        "t_holdout": holdout_quality, "t_thick_tails": thick_tails,
+        "t_thick_tails": thick_tails,
     }
 
 
