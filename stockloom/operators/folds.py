@@ -39,6 +39,23 @@ def weekly_folds(axis: DataFrame, gap: int, train_end: int, size: int, reserve:
     return folds
 
 
+def expanding_folds(spark: SparkSession, n: int, gap: int, n_folds: int, size: int, test_ratio: float = 0.15) -> DataFrame:
+    """Half-open ranges of folds that grow from row 0 and share one test tail; rounding is half to even.
+
+    The last validation range ends one gap before the tail, and each fold starts its own a gap after
+    its train rows, so neighbours lie ``gap + size`` apart.
+    """
+    if min(n_folds, size) < 1:
+        raise ValueError("folds and their size must be at least 1")
+    test, step = n - round(n * test_ratio), gap + size
+    first = test - gap - n_folds * step
+    if first <= 0:
+        raise ValueError("too few rows for these folds")
+    train = F.lit(first) + F.col("id") * step
+    columns = {"fold_index": F.col("id"), "train_start": F.lit(0), "train_end": train, "val_start": train + gap, "val_end": train + step, "test_start": F.lit(test), "test_end": F.lit(n)}
+    return spark.range(n_folds).select(*[c.cast("int").alias(k) for k, c in columns.items()])
+
+
 def slices(panel: DataFrame, folds: DataFrame) -> DataFrame:
     """Panel rows by fold and role; rows in the purge gap have neither."""
     role = F.when(F.col("trade_date") < F.col("train_end"), "train").when(

@@ -13,19 +13,42 @@ from pyspark.sql import functions as F
 ALGORITHMS = ("lightgbm", "xgboost")
 
 
-def fit_pooled(train: DataFrame, features: list[str], label: str, rounds: int = 10, depth: int = 3, seed: int = 7) -> dict[str, PipelineModel]:
+def fit_pooled(
+    train: DataFrame, features: list[str], label: str, rounds: int = 10, depth: int = 3, seed: int = 7,
+    parameters: dict[str, dict] | None = None, held_out: DataFrame | None = None,
+) -> dict[str, PipelineModel]:
     """Two tree regressors on the rows with a label; missing features take the median of their column.
 
     The names of the algorithms are those of the model registry; MLlib's boosted trees and random
     forest stand for them. A feature with no value at all in the training rows is left out.
+    ``parameters`` holds rounds and depth by algorithm. Rows of ``held_out`` end the boosting early
+    and touch neither medians nor weights.
     """
     rows = train.filter(F.col(label).isNotNull())
     some = rows.agg(*[F.count(f).alias(f) for f in features]).first()
     used = [f for f in features if some[f]]
     ready = [Imputer(strategy="median", inputCols=used, outputCols=[f"_{f}" for f in used]), VectorAssembler(inputCols=[f"_{f}" for f in used], outputCol="_x")]
-    shared = {"featuresCol": "_x", "labelCol": label, "predictionCol": "score", "maxDepth": depth, "seed": seed}
-    makers = {"lightgbm": GBTRegressor(maxIter=rounds, **shared), "xgboost": RandomForestRegressor(numTrees=rounds, **shared)}
-    return {name: Pipeline(stages=[*ready, made]).fit(rows) for name, made in makers.items()}
+    ready = Pipeline(stages=ready).fit(rows)
+    shared = {"featuresCol": "_x", "labelCol": label, "predictionCol": "score", "seed": seed}
+    given = {a: {"rounds": rounds, "depth": depth} | (parameters or {}).get(a, {}) for a in ALGORITHMS}
+    boosted, forest = (given[a] for a in ALGORITHMS)
+    makers = {"lightgbm": GBTRegressor(maxIter=boosted["rounds"], maxDepth=boosted["depth"], **shared), "xgboost": RandomForestRegressor(numTrees=forest["rounds"], maxDepth=forest["depth"], **shared)}
+    prepared = ready.transform(rows).select(label, "_x")
+    seen = {a: prepared for a in ALGORITHMS}
+    if held_out is not None:
+        shown = ready.transform(held_out.filter(F.col(label).isNotNull())).select(label, "_x", F.lit(True).alias("_held_out"))
+        seen["lightgbm"] = prepared.withColumn("_held_out", F.lit(False)).unionByName(shown)
+        makers["lightgbm"].setValidationIndicatorCol("_held_out")
+    return {name: PipelineModel(stages=[*ready.stages, made.fit(seen[name])]) for name, made in makers.items()}
+
+
+def scored_wide(models: dict[str, PipelineModel], rows: DataFrame, label: str) -> DataFrame:
+    """Rows with a label, both scores in one row: ``stock_code, trade_date, ret, score_a, score_b``."""
+    out, made = rows.filter(F.col(label).isNotNull()), {}
+    for to, name in zip(("score_a", "score_b"), ALGORITHMS):
+        out = models[name].transform(out.select(*rows.columns, *made)).withColumnRenamed("score", to)
+        made[to] = name
+    return out.select("stock_code", "trade_date", F.col(label).alias("ret"), *made)
 
 
 def scored(models: dict[str, PipelineModel], rows: DataFrame, label: str) -> DataFrame:

@@ -1,0 +1,155 @@
+"""Walk-forward campaigns: one tuning, fits per fold, champion refits, and linear folds in one pass.
+
+The number of folds and combinations is bounded by the calendar, so the driver may loop over them;
+rows stay in Spark. Linear models need no loop: their folds differ only in how many days of sums of
+products they add up.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import functions as F
+
+from stockloom.operators import folds, metrics, models
+
+#: The search space of the trees, in the order in which ties are broken.
+GRID = ({"rounds": 5, "depth": 2}, {"rounds": 5, "depth": 3})
+STATUS = "market string, horizon int, status string, error string"
+
+
+def tuning_split(panel: DataFrame, axis: DataFrame, initial: int, gap: int) -> tuple[DataFrame, DataFrame]:
+    """Train and validation rows of the initial history alone; its test part stays hidden."""
+    cut = folds.purged_split(panel.sparkSession, initial, gap)
+    cut = cut.select("train_end", "val_start", "val_end")
+    rows = models.with_roles(panel, axis, cut)
+    return rows.filter("role = 'train'"), rows.filter("role = 'val'")
+
+
+def tune_once(train: DataFrame, val: DataFrame, features: list[str], label: str, grid=GRID) -> dict[str, dict]:
+    """For each algorithm the parameters with the best rank correlation; without one, the first."""
+    tried = []
+    for at, given in enumerate(grid):
+        made = models.scored(models.fit_pooled(train, features, label, **given), val, label)
+        tried.append(made.withColumns({"market": F.lit("all"), "horizon": F.lit(0), "fold_index": F.lit(at), "confidence": F.lit(0.5), "k": F.struct("trade_date", "stock_code")}))
+    found = metrics.backtest(reduce(DataFrame.unionByName, tried)).select("algorithm", "fold_index", "rank_ic")
+    best = found.groupBy("algorithm").agg(F.min_by("fold_index", F.struct((-F.coalesce("rank_ic", F.lit(float("-inf")))).alias("s"), "fold_index")).alias("at"))
+    chosen = {r["algorithm"]: r["at"] for r in best.collect()}  # a row per algorithm
+    return {a: dict(grid[chosen.get(a, 0)]) for a in models.ALGORITHMS}
+
+
+def fold_rows(panel: DataFrame, fold: Row) -> tuple[DataFrame, DataFrame]:
+    """Train and validation rows of one fold; an open upper bound is null."""
+    day = F.col("trade_date")
+    val = panel.filter(day >= F.lit(fold["val_start"]))
+    return panel.filter(day < F.lit(fold["train_end"])), val if fold["val_end"] is None else val.filter(day < F.lit(fold["val_end"]))
+
+
+def walk_forward(panel: DataFrame, cuts: DataFrame, features: list[str], label: str, parameters: dict[str, dict], path: str) -> DataFrame:
+    """Scores of every fold: ``fold_index, stock_code, trade_date, ret, score_a, score_b, confidence``.
+
+    The confidence comes from the residual band of the first model. Each fold is appended to the table
+    at ``path``, so a lost executor repeats one fold and no plan grows with their number.
+    """
+    for fold in cuts.orderBy("fold_index").collect():  # a row per fold
+        train, val = fold_rows(panel, fold)
+        fitted = models.fit_pooled(train, features, label, parameters=parameters)
+        own = [models.scored_wide(fitted, rows, label).withColumn("fold_index", F.lit(fold["fold_index"])) for rows in (train, val)]
+        known, new = (x.withColumn("score", F.col("score_a")) for x in own)
+        banded = models.residual_band(known, new, ["fold_index"])
+        made = banded.withColumn("confidence", metrics.confidence(F.col("score"), F.col("p10"), F.col("p90")))
+        made.select("fold_index", "stock_code", "trade_date", "ret", "score_a", "score_b", F.coalesce("confidence", F.lit(0.5)).alias("confidence")).write.mode("append").parquet(path)
+    return panel.sparkSession.read.parquet(path)
+
+
+def isolated(spark: SparkSession, combos: list[tuple[str, int]], run: Callable[[str, int], DataFrame]) -> tuple[DataFrame | None, DataFrame]:
+    """Rows of the combinations that end well, and a status row for every one; a failure stops no other."""
+    made, status = [], []
+    for market, horizon in combos:
+        try:
+            made.append(run(market, horizon).select(F.lit(market).alias("market"), F.lit(horizon).alias("horizon"), "*"))
+            status.append((market, horizon, "success", None))
+        except Exception as error:  # noqa: BLE001 - recorded in the run table
+            status.append((market, horizon, "error", f"{type(error).__name__}: {error}"[:500]))
+    return (reduce(DataFrame.unionByName, made) if made else None), spark.createDataFrame(status, STATUS)
+
+
+def campaign(panel: DataFrame, axis: DataFrame, cuts: Callable[[int], DataFrame], combos: list[tuple[str, int]], features: list[str], initial: int, path: str, grid=GRID) -> tuple[DataFrame | None, DataFrame]:
+    """Fold metrics of all combinations, tuned once each on the initial history; and their status rows."""
+
+    def run(market: str, horizon: int) -> DataFrame:
+        own, label = panel.filter(F.col("market") == market), f"label_D{horizon}"
+        best = tune_once(*tuning_split(own, axis, initial, horizon), features, label, grid)
+        return walk_forward(own, cuts(horizon), features, label, best, f"{path}/{market}-{horizon}")
+
+    rows, status = isolated(panel.sparkSession, combos, run)
+    if rows is not None:
+        rows = metrics.backtest(metrics.by_algorithm(rows.withColumn("k", F.struct("trade_date", "stock_code"))))
+    return rows, status
+
+
+def refit_champion(panel: DataFrame, last_fold: Row, features: list[str], label: str, champion: str, parameters: dict[str, dict], path: str) -> int:
+    """Fits the champion on the train rows of the last fold and saves it; an ensemble saves both. Returns the rows used."""
+    train = fold_rows(panel, last_fold)[0].filter(F.col(label).isNotNull())
+    fitted = models.fit_pooled(train, features, label, parameters=parameters)
+    for name in models.ALGORITHMS if champion == "ensemble" else (champion,):
+        fitted[name].write().overwrite().save(f"{path}/{name}")
+    return train.count()
+
+
+def score_champion(path: str, algorithm: str, rows: DataFrame, label: str) -> DataFrame:
+    """Rows with a label, scored by a saved model."""
+    return models.scored({algorithm: PipelineModel.load(f"{path}/{algorithm}")}, rows, label)
+
+
+def linear_walk_forward(panel: DataFrame, cuts: DataFrame, features: list[str], label: str, penalties: dict[str, float], keys: tuple[str, ...] = ("market",)) -> DataFrame:
+    """Scores of linear models in every fold: ``*keys, fold_index, algorithm, stock_code, trade_date, ret, score``.
+
+    One pass sums the products of features and label by key and fold step; running sums over the steps
+    are the normal equations of each fold's train window, so the rows are read once however many folds
+    there are. A fold with fewer rows than coefficients has no scores. Rows that lack the label or a
+    feature take no part. Validation windows do not overlap. A penalty does not apply to the intercept.
+    """
+    width = len(features) + 1
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+    given = panel.filter(F.col(label).isNotNull()).dropna(subset=features)
+    days = panel.select("trade_date").distinct()
+    steps = F.broadcast(cuts)
+    # Days and folds are both bounded by the calendar.
+    opens = days.join(steps, days["trade_date"] < cuts["train_end"]).groupBy("trade_date").agg(F.min("fold_index").alias("fold_index"))
+    inside = (days["trade_date"] >= cuts["val_start"]) & (cuts["val_end"].isNull() | (days["trade_date"] < cuts["val_end"]))
+    shown = days.join(steps, inside).groupBy("trade_date").agg(F.min("fold_index").alias("fold_index"))
+    x = [F.lit(1.0), *[F.col(f) for f in features]]
+    sums = [F.sum(x[i] * x[j]).alias(f"x{i}_{j}") for i, j in pairs] + [F.sum(x[i] * F.col(label)).alias(f"y{i}") for i in range(width)]
+    names = [f"x{i}_{j}" for i, j in pairs] + [f"y{i}" for i in range(width)]
+    own = given.join(F.broadcast(opens), "trade_date").groupBy(*keys, "fold_index").agg(*sums)
+    every = own.select(*keys).distinct().join(F.broadcast(cuts.select("fold_index")), F.lit(True))
+    upto = Window.partitionBy(*keys).orderBy("fold_index").rowsBetween(Window.unboundedPreceding, 0)
+    grown = every.join(own, [*keys, "fold_index"], "left").select(*keys, "fold_index", F.array(*[F.coalesce(F.sum(n).over(upto), F.lit(0.0)) for n in names]).alias("s"))
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                values, gram = np.asarray(row.s, float), np.zeros((width, width))
+                for value, (i, j) in zip(values, pairs):
+                    gram[i, j] = gram[j, i] = value
+                if gram[0, 0] < width:
+                    continue
+                for name, penalty in penalties.items():
+                    ridge = np.diag([0.0, *[penalty] * (width - 1)])
+                    beta = np.linalg.lstsq(gram + ridge, values[len(pairs) :], rcond=None)[0]
+                    out.append((*[getattr(row, k) for k in keys], row.fold_index, name, beta.tolist()))
+            yield pd.DataFrame(out, columns=[*keys, "fold_index", "algorithm", "beta"])
+
+    kinds = dict(grown.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "fold_index")) + ", algorithm string, beta array<double>"
+    beta = grown.mapInPandas(solve, schema)
+    score = reduce(lambda a, b: a + b, [F.col("beta")[i] * x[i] for i in range(width)])
+    scored = given.join(F.broadcast(shown), "trade_date").join(beta, [*keys, "fold_index"])
+    return scored.select(*keys, "fold_index", "algorithm", "stock_code", "trade_date", F.col(label).alias("ret"), score.alias("score"))

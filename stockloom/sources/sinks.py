@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,27 @@ def cached_panel(spark: SparkSession, root: str, market: str, as_of: str, versio
     return spark.read.parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a new Parquet table in the shared folder, ``spark.checkpoint.dir``; cuts the plan before loops of fits."""
+    return written(df, stored_path(df.sparkSession, name))
+
+
+def stored_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; a local session without that setting takes a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="stockloom-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_fold_metrics(metrics: DataFrame, path: str) -> None:
     """One JSON line per fold, in a folder per market, horizon and algorithm; nulls are written."""
     metrics.write.mode("append").partitionBy("market", "horizon", "algorithm").option("ignoreNullFields", "false").json(path)
