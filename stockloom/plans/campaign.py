@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.operators import activation, adjustment, features, folds, gates, labels, metrics, models, registry_tables
+from stockloom.operators import activation, adjustment, features, folds, gates, labels, metrics, models, registry_tables, walkforward
 from stockloom.plans import registry as r
 from stockloom.sources import panels as p
 from stockloom.sources import sinks
@@ -107,26 +107,73 @@ def _summary(spark: SparkSession, sf: str) -> DataFrame:
 _PRICES = [f for f, kind in features.registry().items() if kind == "PRICE_DERIVED"]
 
 
+#: Days of a fold where trees are fitted anew in each; linear models keep the short folds.
+TREE_SIZE = 250
+PENALTIES = {"least_squares": 0.0, "ridge": 1.0}
+
+
+def _stored_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel with its market as a table: fits read it many times."""
+    rows = r._panel(spark, sf).join(F.broadcast(p.universe(spark, sf).select("stock_code", "market")), "stock_code")
+    return sinks.stored(rows, "panel")
+
+
 def holdout_quality(spark: SparkSession, sf: str) -> DataFrame:
-    """Challengers of every market and horizon, fitted before a purge gap, with the metrics of their holdout."""
-    panel = r._panel(spark, sf).join(F.broadcast(p.universe(spark, sf).select("stock_code", "market")), "stock_code").persist()
-    axis = folds.date_axis(panel).persist()
+    """Challengers of every market and horizon, fitted before a purge gap, with the metrics of their holdout.
+
+    The holdout ends the boosting early and never touches weights.
+    """
+    panel = _stored_panel(spark, sf)
+    axis = sinks.stored(folds.date_axis(panel), "axis")
     found = []
     for h in labels.HORIZONS:
         rows = models.with_roles(panel, axis, models.holdout_bounds(axis, h, HOLDOUT))
         for market in ("domestic", "overseas"):
-            own = rows.filter(F.col("market") == market)
+            own, label = rows.filter(F.col("market") == market), f"label_D{h}"
             train, test = own.filter("role = 'train'"), own.filter("role = 'val'")
-            made = models.scored(models.fit_pooled(train, _PRICES, f"label_D{h}"), test, f"label_D{h}")
+            made = models.scored(models.fit_pooled(train, _PRICES, label, rounds=5, held_out=test), test, label)
             found.append(made.select(F.lit(market).alias("market"), F.lit(h).alias("horizon"), "algorithm", F.lit(0).alias("fold_index"), "score", "ret", F.lit(0.5).alias("confidence"), F.struct("trade_date", "stock_code").alias("k")))
     return metrics.backtest(reduce(DataFrame.unionByName, found)).drop("fold_index")
 
 
+def walk_forward_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of every weekly fold of both horizons for two linear models, from one pass over the panel each."""
+    panel = _stored_panel(spark, sf)
+    cuts, used = _campaign_folds(spark, sf), [*features.SHAPES, "ROC_5", "MA_5", "STD_5"]
+    each = [walkforward.linear_walk_forward(panel, cuts.filter(F.col("horizon") == h), used, f"label_D{h}", PENALTIES).withColumn("horizon", F.lit(h)) for h in labels.HORIZONS]
+    rows = reduce(DataFrame.unionByName, each)
+    return metrics.backtest(rows.withColumns({"confidence": F.lit(0.5), "k": F.struct("trade_date", "stock_code")}))
+
+
+def _tree_campaign(spark: SparkSession, sf: str) -> tuple[DataFrame | None, DataFrame]:
+    panel = _stored_panel(spark, sf)
+    axis = sinks.stored(folds.date_axis(panel), "axis")
+    combos = [(m, h) for m in ("domestic", "overseas") for h in labels.HORIZONS]
+    cuts = lambda h: folds.weekly_folds(axis, h, INITIAL, TREE_SIZE, 2 * max(labels.HORIZONS))
+    return walkforward.campaign(panel, axis, cuts, combos, [*features.SHAPES, "ROC_5", "MA_5", "STD_5"], INITIAL, sinks.stored_path(spark, "campaign"))
+
+
+def tree_campaign(spark: SparkSession, sf: str) -> DataFrame:
+    """A status row for each market and horizon, with the number of folds and the mean rank correlation by algorithm."""
+    rows, status = _tree_campaign(spark, sf)
+    if rows is None:
+        return status.select("market", "horizon", "status", "error", *[F.lit(None).cast(t).alias(c) for c, t in (("algorithm", "string"), ("folds", "long"), ("rank_ic", "double"))])
+    found = rows.groupBy("market", "horizon", "algorithm").agg(F.count(F.lit(1)).alias("folds"), F.avg("rank_ic").alias("rank_ic"))
+    return status.join(found, ["market", "horizon"], "left").select("market", "horizon", "status", "error", "algorithm", "folds", "rank_ic")
+
+
 def thick_tails(spark: SparkSession, sf: str) -> DataFrame:
-    panel = r._panel(spark, sf).persist()
+    """Errors of two fits that bear outliers, for both horizons."""
+    panel = _stored_panel(spark, sf)
     return reduce(DataFrame.unionByName, [models.thick_tails(panel, [*features.SHAPES, "ROC_5", "MA_5", "STD_5"], f"label_D{h}").withColumn("horizon", F.lit(h)) for h in labels.HORIZONS])
 
 
+def _expanding(spark: SparkSession, sf: str) -> DataFrame:
+    """Three folds of 60 days for each horizon on the days of the bars, with a shared test tail."""
+    n = p.bars(spark, sf).select("trade_date").distinct().count()
+    return reduce(DataFrame.unionByName, [folds.expanding_folds(spark, n, h, 3, 60).withColumn("horizon", F.lit(h)) for h in labels.HORIZONS])
+
+
 def queries() -> dict[str, r.Query]:
     return {
         "l_labels_all": lambda s, d: r._r(_labelled(s, d).select("stock_code", "trade_date", "horizon", "label", "reason")),
@@ -140,7 +187,8 @@ def queries() -> dict[str, r.Query]:
         "r_activations": lambda s, d: activation.current(_log(s, d)), "r_rollback": _rollback, "r_dangling": _dangling,
         "r_saved_combos": lambda s, d: activation.saved_combos(r._artifacts(s, d).select(*[F.split("file_name", "_")[i].alias(c) for i, c in enumerate(activation.COMBO)])),
         "r_gauges": _gauges,
-        "t_thick_tails": thick_tails,
+        "g_expanding_folds": _expanding,
+        "t_thick_tails": thick_tails, "t_holdout": holdout_quality, "t_walk_forward": walk_forward_linear, "t_campaign": tree_campaign,
     }
 
 
@@ -180,6 +228,7 @@ def oracle_sql() -> dict[str, str]:
         "p_missing_combos": p.sql("SELECT market, horizon, fold_index, 'missing' AS state FROM wanted ANTI JOIN scores USING (market, horizon, fold_index) UNION ALL SELECT DISTINCT market, horizon, fold_index, 'unexpected' FROM scores ANTI JOIN wanted USING (market, horizon, fold_index)", "scores", wanted=wanted),
         "g_campaign_folds": p.sql(f"SELECT i::INTEGER AS fold_index, h AS horizon, a.trade_date AS train_end, v.trade_date AS val_start, z.trade_date AS val_end FROM (SELECT unnest(range(greatest((count(*) - {INITIAL + 120}) // {SIZE}, 0))) AS i FROM axis) CROSS JOIN (VALUES (20), (60)) x(h) LEFT JOIN axis a ON a.idx = {INITIAL} + i * {SIZE} LEFT JOIN axis v ON v.idx = {INITIAL} + h + i * {SIZE} LEFT JOIN axis z ON z.idx = {INITIAL + SIZE} + h + i * {SIZE}", "bars", axis=axis),
         "g_holdout": p.sql(f"SELECT h AS horizon, CASE WHEN idx < n - 2 * h - {HOLDOUT} THEN 'train' ELSE 'val' END AS role, count(*) AS n FROM (SELECT h, idx, n FROM bars JOIN axis USING (trade_date), (SELECT count(*) AS n FROM axis), (VALUES (20), (60)) x(h)) WHERE idx < n - 2 * h - {HOLDOUT} OR (idx >= n - h - {HOLDOUT} AND idx < n - h) GROUP BY ALL", "bars", axis=axis),
+        "g_expanding_folds": p.sql("SELECT i::INTEGER AS fold_index, 0 AS train_start, (t - h - (3 - i) * (h + 60))::INTEGER AS train_end, (t - (3 - i) * (h + 60))::INTEGER AS val_start, (t - h - (2 - i) * (h + 60))::INTEGER AS val_end, t::INTEGER AS test_start, n::INTEGER AS test_end, h AS horizon FROM (SELECT n, n - round_even(n * 0.15, 0)::INTEGER AS t FROM (SELECT count(DISTINCT trade_date) AS n FROM bars)), (VALUES (20), (60)) x(h), range(3) y(i)", "bars"),
         "e_grades": p.sql("SELECT market, horizon, CASE WHEN ret < b1 THEN 'E' WHEN ret < b2 THEN 'D' WHEN ret < b3 THEN 'C' WHEN ret < b4 THEN 'B' ELSE 'A' END AS grade, count(*) AS n FROM scores JOIN cuts USING (market, horizon) GROUP BY ALL", "scores", cuts=cuts),
         "m_aggregate": p.sql("SELECT market, horizon, algorithm, round(coalesce(avg(rank_ic), 0), 6) + 0.0 AS mean, round(coalesce(stddev_pop(rank_ic), 0), 6) + 0.0 AS stddev, round(CASE WHEN stddev_pop(rank_ic) > 0 THEN avg(rank_ic) / stddev_pop(rank_ic) ELSE 0 END, 6) + 0.0 AS icir FROM met GROUP BY ALL", "scores", **r._ALL),
         "j_promotions": p.sql("SELECT a.market, a.horizon, a.fold_index, 'fold model' AS algorithm, round(a.rank_ic, 6) + 0.0 AS rank_ic, round(b.rank_ic, 6) + 0.0 AS champion_rank_ic, a.rank_ic - b.rank_ic > 0 AS promoted FROM met a JOIN met b USING (market, horizon, fold_index) WHERE a.algorithm = 'xgboost' AND b.algorithm = 'lightgbm'", "scores", **r._ALL),
