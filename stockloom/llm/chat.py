@@ -1,10 +1,11 @@
 """Chat formatting by tool-call linking, with DataFrame functions only.
 
 Calls and results are joined by identifier (a hash join on conversation and call; no result is copied
-more than once per call). Calls are ordered so that each follows the calls it needs. Where every need of
-a conversation comes earlier, the order of turns is such an order, and its calls have level 0. In the
-other conversations a call's level is one more than the highest level of the calls it needs, found by
-rounds that settle the calls whose needs are settled. Arguments are checked against the tool's parameters, and each call with its result becomes
+more than once per call). Calls are ordered so that each follows the calls it needs: a call's level is
+one more than the highest level of those, in every conversation. Where every need comes earlier, one
+aggregate over the conversation's calls in their order settles them all; other conversations, and such
+with more than ``IN_ONE_ROW`` calls and needs, take rounds that settle the calls whose needs are
+settled. Arguments are checked against the tool's parameters, and each call with its result becomes
 one line of canonical JSON: keys in order, no spaces, the shortest form of each value. Lines of a
 conversation are in the order (level, turn).
 
@@ -40,6 +41,8 @@ TOOLS = {
     "lookup": {"text": Parameter("string"), "turn": Parameter("integer", least=0), "words": Parameter("integer", least=2, most=20)},
     "compose": {"text": Parameter("string"), "turn": Parameter("integer", least=0), "words": Parameter("integer", least=21, most=60)},
 }
+#: Calls and needs of a conversation that one row may hold; larger conversations take rounds.
+IN_ONE_ROW = 20_000
 _KINDS = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"]}
 
 
@@ -107,6 +110,43 @@ def _waiting(state: DataFrame, newest: DataFrame) -> DataFrame:
     return waiting.join(newest.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
 
 
+def _in_order(own: DataFrame) -> DataFrame:
+    """``conv_id, calls, level``: a conversation's call ids and their levels; null levels where a need is not earlier.
+
+    ``own``: conv_id, call_id, turn, needs, distinct in conversation and call.
+    """
+    row = F.struct("turn", "call_id", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"))
+    one = own.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("c"))
+    one = one.select("conv_id", F.col("c.call_id").alias("calls"), F.col("c.needs").alias("needs"))
+    # The places of a call's needs; a need that names no call has none.
+    at = F.transform("needs", lambda own: F.filter(F.transform(own, lambda need: F.array_position("calls", need)), lambda x: x > 0))
+    one = one.select("conv_id", "calls", at.alias("at"))
+    late = F.exists(F.zip_with("at", F.sequence(F.lit(1), F.size("at")), lambda x, i: F.coalesce(F.array_max(x) >= i, F.lit(False))), lambda x: x)
+    none = F.array().cast("array<int>")
+    found = F.aggregate("at", none, lambda done, own: F.array_append(done, F.coalesce(F.array_max(F.transform(own, lambda i: F.element_at(done, i.cast("int")))) + 1, F.lit(0))))
+    return one.select("conv_id", "calls", F.when(~late, found).alias("level"))
+
+
+def _placed(own: DataFrame, in_one_row: int = IN_ONE_ROW) -> DataFrame:
+    """``conv_id, call_id, level`` of all calls; null on or behind a cycle."""
+    spark = own.sparkSession
+    base = shared_dir(spark, "chat-order")
+    sizes = own.groupBy("conv_id").agg((F.count(F.lit(1)) + F.sum(F.coalesce(F.size("needs"), F.lit(0)))).alias("n"))
+    large = written(sizes.filter(F.col("n") > in_one_row).select("conv_id"), f"{base}/large")
+    some_large = not large.isEmpty()
+    ordered = _in_order(own.join(large, "conv_id", "left_anti") if some_large else own)
+    rows = written(ordered, f"{base}/ordered")
+    settled = rows.filter("level IS NOT NULL").select("conv_id", F.explode(F.arrays_zip("calls", "level")).alias("z")).select("conv_id", F.col("z.calls").alias("call_id"), F.col("z.level").alias("level"))
+    rest = rows.filter("level IS NULL").select("conv_id")
+    if some_large:
+        rest = rest.unionByName(large)
+    elif rest.isEmpty():
+        return settled
+    calls = own.join(rest, "conv_id", "left_semi")
+    ranked = levels(calls.select("conv_id", "call_id"), calls.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct())
+    return settled.unionByName(ranked)
+
+
 def linked(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, Parameter]] = TOOLS) -> DataFrame:
     """One row per call or unlinked result: ``conv_id, call_id, turn, level, state, faults, line``.
 
@@ -118,17 +158,7 @@ def linked(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, Para
     own = named.groupBy("conv_id", "call_id").agg(first.alias("c")).select("conv_id", "call_id", "c.*")
     answered = results.filter("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
     answered = answered.select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), F.lit(True).alias("has_result"))
-    needs = own.select("conv_id", "call_id", "turn", F.explode("needs").alias("need")).distinct()
-    needed = own.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn"))
-    late = ~F.coalesce(F.struct("need_turn", "need") < F.struct("turn", "call_id"), F.lit(False))
-    # Conversations in which a call needs one that does not come before it.
-    mixed_up = written(needs.join(needed, ["conv_id", "need"]).filter(late).select("conv_id").distinct(), shared_dir(calls.sparkSession, "chat-order"))
-    if mixed_up.isEmpty():
-        placed = own.select("conv_id", "call_id", F.lit(0).alias("level"))
-    else:
-        some = own.select("conv_id", "call_id").join(mixed_up, "conv_id", "left_semi")
-        ranked = levels(some, needs.join(mixed_up, "conv_id", "left_semi").select("conv_id", "call_id", "need"))
-        placed = own.select("conv_id", "call_id").join(mixed_up, "conv_id", "left_anti").withColumn("level", F.lit(0)).unionByName(ranked)
+    placed = _placed(own)
     met = own.withColumn("has_call", F.lit(True)).join(placed, ["conv_id", "call_id"]).join(answered, ["conv_id", "call_id"], "full")
     met = met.withColumn("variant", F.try_parse_json("arguments"))
     state = F.when(F.col("has_call").isNull(), "no_call").when(F.col("level").isNull(), "cyclic").when(F.col("has_result").isNull(), "no_result").otherwise("linked")

@@ -224,3 +224,31 @@ def test_pipeline_stages(spark):
         docs = kept
     want = sum(len(_ids(r["text"])) + 1 for r in docs.collect())
     assert sum(r["length"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()) == want
+
+
+def test_chat_levels_follow_needs_in_every_conversation(spark):
+    # 1: a chain and a branch, all earlier; 2: the same chain beside a late need; 3: a need twice, a null one, one that names no call.
+    chain = [("a", 1, []), ("b", 3, ["a"]), ("c", 5, ["b", "a"]), ("d", 7, [])]
+    given = {1: chain, 2: [*chain, ("e", 2, ["f"]), ("f", 9, [])], 3: [("a", 1, None), ("b", 2, ["a", "a", None, "zz"]), ("c", None, [])]}
+    rows = [(conv, i, turn, "lookup", "{}", needs) for conv, calls in given.items() for i, turn, needs in calls]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string, needs array<string>")
+    want = {}
+    for conv, own in given.items():
+        known = {i: [n for n in needs or [] if n in {x[0] for x in own}] for i, _, needs in own}
+        level = lambda i, known=known: max((level(n, known) + 1 for n in known[i]), default=0)  # noqa: E731, B023
+        want |= {(conv, i): level(i, known) for i in known}
+    for bound in (chat.IN_ONE_ROW, 7, 0):
+        assert {(r["conv_id"], r["call_id"]): r["level"] for r in chat._placed(calls, bound).collect()} == want
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in chat.linked(calls, results).collect()} == want
+
+
+def test_chat_query_has_the_depth_along_each_chain(spark):
+    messages = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    turns = {}
+    for r in messages.filter("role = 'user'").select("conv_id", "turn").collect():
+        turns.setdefault(r["conv_id"], set()).add(r["turn"])
+    depth = lambda conv, turn: depth(conv, turn - 2) + 1 if turn - 2 in turns[conv] else 0
+    want = {(conv, turn): depth(conv, turn) for conv, own in turns.items() for turn in own}
+    got = {(r["conv_id"], r["turn"]): r["level"] for r in chat.op7_chat(messages).collect() if r["level"] is not None}
+    assert got == want and max(got.values()) > 0
