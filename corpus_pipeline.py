@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from stockloom.llm import line_dedup, mixing, ngram_join, packing, toxicity
 from stockloom.llm.common import shared_dir, table, written
 
-#: A document goes when less than this share of its words is left after line dedup: the rest is a copy.
-LEAST_LEFT = 0.2
-
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below one half; the model is fitted to the labels of the given documents."""
@@ -23,9 +20,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of line runs; documents that were all or nearly all copies go."""
+    """Documents without later copies of line runs; a document goes if no word of its own is left."""
     found = line_dedup.deduplicated(docs)
-    copied = (F.col("n_lines_removed") > 0) & (F.col("words_left") < LEAST_LEFT * F.col("words_before"))
+    copied = (F.col("n_lines_removed") > 0) & (F.col("words_left") == 0)
     kept = found.filter(~copied)
     n_chars = F.when(F.col("n_lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", n_chars).select(*docs.columns)

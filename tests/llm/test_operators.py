@@ -252,3 +252,14 @@ def test_chat_query_has_the_depth_along_each_chain(spark):
     want = {(conv, turn): depth(conv, turn) for conv, own in turns.items() for turn in own}
     got = {(r["conv_id"], r["turn"]): r["level"] for r in chat.op7_chat(messages).collect() if r["level"] is not None}
     assert got == want and max(got.values()) > 0
+
+
+def test_line_dedup_stage_keeps_what_is_a_documents_own(spark):
+    import corpus_pipeline
+
+    copied, own = " ".join(f"w{i}" for i in range(400)), "a few words of its own"
+    texts = [copied, f"{copied}\n{own}", copied, "", None]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_repeated_lines(spark, given, "").collect()}
+    assert kept == {0: (copied, len(copied)), 1: (own, len(own)), 3: ("", 0), 4: (None, 0)}
