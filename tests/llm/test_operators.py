@@ -6,6 +6,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -263,3 +264,25 @@ def test_line_dedup_stage_keeps_what_is_a_documents_own(spark):
     given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_repeated_lines(spark, given, "").collect()}
     assert kept == {0: (copied, len(copied)), 1: (own, len(own)), 3: ("", 0), 4: (None, 0)}
+
+
+def test_tiles_link_texts_that_share_no_band():
+    settings = ngram_join.Settings(bands=20, rows=5)
+    factors = np.random.default_rng(settings.seed).integers(0, 1 << 64, (100, 1), np.uint64) | np.uint64(1)
+    r, found = np.random.default_rng(1), []
+    while not found:
+        union = np.unique(r.integers(0, 1 << 63, 100).astype(np.uint64))
+        sets = [union[:90], union[10:]]  # 80 of 100 are shared
+        values = np.stack([ngram_join.minhash(ngram_join._mix(x), factors) for x in sets])
+        same = values[0] == values[1]
+        if not same.reshape(20, 5).all(1).any() and all(same[:n].sum() >= m for n, m in ngram_join.least_matches(settings)):
+            found = [(k, [i] * 20, v.tobytes(), x.tobytes()) for i, (k, v, x) in enumerate(zip("ab", values, sets))]
+    one = pd.DataFrame(found, columns=["text_key", "bands", "signature", "shingles"])
+    for a, b in ((one, None), (one[:1], one[1:])):
+        names, x, y = ngram_join._tiles(a, b, settings)
+        assert names == ["a", "b"] and (x.tolist(), y.tolist()) == ([0], [1])
+
+
+def test_bands_miss_few_pairs_at_the_threshold():
+    s = ngram_join.Settings()
+    assert s.bands * s.rows == 100 and (1 - s.threshold**s.rows) ** s.bands < 1e-5
