@@ -73,17 +73,24 @@ def residual_band(fitted: DataFrame, new: DataFrame, keys: list[str], bins: int
 
 
 def thick_tails(rows: DataFrame, features: list[str], label: str, train_share: int = 8) -> DataFrame:
-    """Mean absolute error of a Huber fit and of least squares on clipped targets, on the same split by row hash."""
-    given = rows.filter(F.col(label).isNotNull()).dropna(subset=features)
+    """Mean absolute error of a Huber fit and of least squares on clipped targets, on the same split by row hash.
+
+    Missing features take the median of their column in the training rows; a feature without any value there is left out.
+    """
+    given = rows.filter(F.col(label).isNotNull())
     part = F.pmod(F.xxhash64("stock_code", "trade_date"), F.lit(10)) < train_share
     train, test = given.filter(part), given.filter(~part)
     low, high = train.agg(F.percentile(label, F.array(F.lit(0.01), F.lit(0.99))).alias("q")).first()["q"]
     clipped = train.withColumn(label, F.least(F.greatest(F.col(label), F.lit(low)), F.lit(high)))
     shared = {"featuresCol": "_x", "labelCol": label, "predictionCol": "score"}
     cases = {"huber": (train, LinearRegression(loss="huber", epsilon=1.35, **shared)), "winsorized": (clipped, LinearRegression(**shared))}
+    some = train.agg(*[F.count(f).alias(f) for f in features]).first()
+    used = [f for f in features if some[f]]
+    ready = [Imputer(strategy="median", inputCols=used, outputCols=[f"_{f}" for f in used]), VectorAssembler(inputCols=[f"_{f}" for f in used], outputCol="_x")]
+    ready = Pipeline(stages=ready).fit(train)
     found = []
     for name, (own, maker) in cases.items():
-        model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), maker]).fit(own)
+        model = PipelineModel(stages=[*ready.stages, maker.fit(ready.transform(own))])
         found.append(model.transform(test).agg(F.lit(name).alias("strategy"), F.avg(F.abs(F.col(label) - F.col("score"))).alias("mae")))
     return reduce(DataFrame.unionByName, found)
 

@@ -104,7 +104,9 @@ def _summary(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.campaign_summary(verdicts, gates.champions(verdicts))
 
 
-_PRICES = [f for f, kind in features.registry().items() if kind == "PRICE_DERIVED"]
+def _used(panel: DataFrame) -> list[str]:
+    """Every registered feature that the panel holds."""
+    return [f for f in features.registry() if f in panel.columns]
 
 
 #: Days of a fold where trees are fitted anew in each; linear models keep the short folds.
@@ -131,7 +133,7 @@ def holdout_quality(spark: SparkSession, sf: str) -> DataFrame:
         for market in ("domestic", "overseas"):
             own, label = rows.filter(F.col("market") == market), f"label_D{h}"
             train, test = own.filter("role = 'train'"), own.filter("role = 'val'")
-            made = models.scored(models.fit_pooled(train, _PRICES, label, rounds=5, held_out=test), test, label)
+            made = models.scored(models.fit_pooled(train, _used(panel), label, rounds=5, held_out=test), test, label)
             found.append(made.select(F.lit(market).alias("market"), F.lit(h).alias("horizon"), "algorithm", F.lit(0).alias("fold_index"), "score", "ret", F.lit(0.5).alias("confidence"), F.struct("trade_date", "stock_code").alias("k")))
     return metrics.backtest(reduce(DataFrame.unionByName, found)).drop("fold_index")
 
@@ -150,7 +152,7 @@ def _tree_campaign(spark: SparkSession, sf: str) -> tuple[DataFrame | None, Data
     axis = sinks.stored(folds.date_axis(panel), "axis")
     combos = [(m, h) for m in ("domestic", "overseas") for h in labels.HORIZONS]
     cuts = lambda h: folds.weekly_folds(axis, h, INITIAL, TREE_SIZE, 2 * max(labels.HORIZONS))
-    return walkforward.campaign(panel, axis, cuts, combos, [*features.SHAPES, "ROC_5", "MA_5", "STD_5"], INITIAL, sinks.stored_path(spark, "campaign"))
+    return walkforward.campaign(panel, axis, cuts, combos, _used(panel), INITIAL, sinks.stored_path(spark, "campaign"))
 
 
 def tree_campaign(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,7 +167,7 @@ def tree_campaign(spark: SparkSession, sf: str) -> DataFrame:
 def thick_tails(spark: SparkSession, sf: str) -> DataFrame:
     """Errors of two fits that bear outliers, for both horizons."""
     panel = _stored_panel(spark, sf)
-    return reduce(DataFrame.unionByName, [models.thick_tails(panel, [*features.SHAPES, "ROC_5", "MA_5", "STD_5"], f"label_D{h}").withColumn("horizon", F.lit(h)) for h in labels.HORIZONS])
+    return reduce(DataFrame.unionByName, [models.thick_tails(panel, _used(panel), f"label_D{h}").withColumn("horizon", F.lit(h)) for h in labels.HORIZONS])
 
 
 def _expanding(spark: SparkSession, sf: str) -> DataFrame:

@@ -87,3 +87,21 @@ def test_pooled_fit_band_and_thick_tails(spark):
     assert band.count() == 40 and band.filter("p10 > p90").count() == 0
     tails = {r["strategy"]: r["mae"] for r in models.thick_tails(panel, ["f"], "y").collect()}
     assert set(tails) == {"huber", "winsorized"} and max(tails.values()) < 0.2
+
+
+def test_fits_take_every_registered_feature(spark):
+    from stockloom.operators import features as f
+    from stockloom.plans import campaign
+
+    columns = ["stock_code", *reversed(f.registry()), "open_price"]
+    made = spark.createDataFrame([], ", ".join(f"{c} double" for c in columns))
+    assert len(campaign._used(made)) == 40 and campaign._used(made.drop("RANK_60")) == [x for x in f.registry() if x != "RANK_60"]
+
+
+def test_thick_tails_keep_rows_that_lack_a_feature(spark):
+    from stockloom.operators import models
+
+    rows = [(f"s{i}", i, float(i % 17), None if i % 2 else 1.0 + i % 5, None, 0.1 * (i % 17)) for i in range(200)]
+    given = spark.createDataFrame(rows, "stock_code string, trade_date int, f double, g double, none double, label_D2 double")
+    got = {r["strategy"]: r["mae"] for r in models.thick_tails(given, ["f", "g", "none"], "label_D2").collect()}
+    assert set(got) == {"huber", "winsorized"} and all(v < 0.05 for v in got.values())
