@@ -1,75 +1,95 @@
-"""Line dedup: a suffix array over line-ID sequences by distributed prefix doubling.
+r"""Line dedup: a suffix array over line-ID sequences by distributed prefix doubling.
 
-A document is the sequence of its lines that have words; a line's id is a 128-bit hash. Ranks of the
-suffixes by their first h lines come from the ranks at h / 2 by sorting pairs of ranks over ranges of
-them (prefix doubling), so equal ranks at h are a longest-common-prefix interval of depth h: the
-suffixes in it, neighbours in the suffix array, share their first h lines. An interval of any depth m
-between h and 2h is named by two ranks at h, those of the first and of the last h of the m lines.
+A document is the sequence of its lines; a line of at least ``min_words`` words is cut further where
+a sentence begins, so that a passage inside a long line is found too. A sentence begins at a word
+after a single space if the word before ends with ``.``, ``!`` or ``?`` or the word itself begins with
+a capital letter; never between two equal words. Lines without words belong to the one before. A
+line's (or sentence's) id is a 128-bit hash of it without surrounding white space.
 
-A run counts if it has at least ``min_words`` words. From each line, the shortest run that counts is
-looked up forwards and backwards; where its interval has an earlier suffix (in ascending doc_id, then
-line order), the run is a later copy. A line lies in a later copy of a maximal repeated run exactly if
-such a run that starts before it covers it, or if the one that ends in it is a later copy: both runs
-lie within any longer repeated run. Later copies are deleted; lines without words stay unless their
-document loses all others.
+Ranks of the suffixes by their first h lines come from the ranks at h / 2 by sorting pairs of ranks
+over ranges of them (prefix doubling), so equal ranks at h are a longest-common-prefix interval of
+depth h: the suffixes in it, neighbours in the suffix array, share their first h lines. An interval of
+any depth m between h and 2h is named by two ranks at h, those of the first and of the last h lines.
+
+A run counts if it has at least ``min_words`` words. Every maximal repeated run is the union of its
+least runs: such as have enough words, but not if their first or their last line is taken away. So it is
+enough to look up the least runs; where the interval of one has an earlier suffix (in ascending doc_id,
+then line order), the run is a later copy and its lines are deleted.
 
 A run of lines that occur once cannot repeat, so suffixes are ranked only inside stretches of
 repeated lines that have enough words, and only as deep as the runs go: at most ``min_words`` lines.
 
 Nulls: a null text stays null, an empty one empty. A null ``doc_id`` comes before all others; rows that
-share a ``doc_id`` are ordered by a hash of their text, and rows equal in both are one document. Extra
-columns are kept. An empty table gives no rows.
+share a ``doc_id`` are ordered by a hash of their text, and rows equal in both are one document: they
+all get its text. Extra columns of any name are kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockloom.llm.common import row_key, shared_dir, small_batches, written
+from stockloom.llm.common import as_row, row_columns, row_key, shared_dir, written
 
 MIN_WORDS = 50
+#: Where a line begins: after a break, unless only white space is left of the line.
+LINE = r"(?<=\n)(?=[^\n])(?![ \t\r]*(?:\n|\z))"
+#: Where a sentence begins; equal words are recognised up to 60 characters.
+SENTENCE = r"(?<= )(?=\p{Lu}|(?<=[.!?] )[^ \n])(?!(?<=(?:^|\s)(\S{1,60}) )\1(?:\s|$))"
+BLANK = " \n\t\r"
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, row_key, pos, n_words, l1, l2``: lines that have words, with two hashes for an id."""
-    line = F.explode(
-        F.filter(
-            F.transform(
-                F.split("text", "\n", -1),
-                lambda x, i: F.struct(
-                    i.alias("pos"), F.xxhash64(x).alias("l1"), F.xxhash64(F.lit("second"), x).alias("l2"),
-                    F.regexp_count(x, F.lit(r"\S+")).alias("n_words"),
-                ),
-            ),
-            lambda x: x["n_words"] > 0,
-        )
-    )
-    rows = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), line.alias("line"))
-    return rows.select("doc_id", "row_key", "line.pos", "line.n_words", "line.l1", "line.l2")
-
-
-def stretches(rows: DataFrame, min_words: int) -> DataFrame:
-    """Lines of stretches of repeated lines with enough words: ``doc, place`` identify a line.
-
-    ``doc`` is (is known, doc_id, row_key), ordered as documents are; ``place`` counts the document's
-    lines that have words, so neighbours in a stretch differ by one.
-    """
-    repeated = rows.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("l1", "l2", F.lit(True).alias("repeated"))
-    flagged = rows.join(repeated, ["l1", "l2"], "left")
-    doc = Window.partitionBy("doc_id", "row_key").orderBy("pos")
-    flagged = flagged.withColumn("place", F.row_number().over(doc))
-    # Neighbours in a stretch of repeated lines keep the same difference to their number among repeated lines.
-    flagged = flagged.filter("repeated").withColumn("stretch", F.col("place") - F.row_number().over(doc))
-    whole = Window.partitionBy("doc_id", "row_key", "stretch")
-    enough = flagged.withColumn("total", F.sum("n_words").over(whole)).filter(F.col("total") >= min_words)
-    return enough.select(
-        F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row_key").alias("doc"), "stretch", "place", "pos", "n_words", "l1", "l2"
+def _words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"\S+"))
+
+
+def units(text: Column, min_words: int = MIN_WORDS) -> Column:
+    """The lines, long ones as sentences; joined together they are the text."""
+    # A line with so many words has a space between every two of them.
+    long = lambda x: (F.length(x) >= 2 * min_words - 1) & (_words(x) >= min_words)
+    return F.flatten(F.transform(F.split(text, LINE, -1), lambda x: F.when(long(x), F.split(x, SENTENCE, -1)).otherwise(F.array(x))))
+
+
+def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id, row_key, lines``: of each document the lines that have words, with two hashes for an id."""
+    own = F.transform(
+        units(F.col("text"), min_words),
+        lambda x, i: F.struct(
+            i.alias("place"), _words(x).alias("n_words"), F.xxhash64(F.trim(x, F.lit(BLANK))).alias("l1"), F.xxhash64(F.lit("second"), F.trim(x, F.lit(BLANK))).alias("l2")
+        ),
     )
+    return docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.filter(own, lambda x: x["n_words"] > 0).alias("lines"))
+
+
+def runs(documents: DataFrame, min_words: int, base: str) -> DataFrame:
+    """Lines of stretches of repeated lines with enough words, and the least runs that begin at each.
+
+    Lines of a stretch have consecutive places. A run from a line has ``ahead`` lines at least (null:
+    none has enough words) and ``most`` at most; ``deepest`` is the most of the stretch.
+    """
+    rows = documents.select("doc_id", "row_key", F.explode("lines").alias("line")).select("doc_id", "row_key", "line.*")
+    repeated = rows.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("l1", "l2")
+    # Written first, so that Spark may split the rows of a line that very many documents hold.
+    found = rows.join(written(repeated, f"{base}/repeated"), ["l1", "l2"])
+    doc = Window.partitionBy("doc_id", "row_key").orderBy("place")
+    found = found.withColumn("before", F.lag("place").over(doc)).filter("before IS NULL OR before <> place").drop("before")
+    found = found.withColumn("stretch", F.col("place") - F.row_number().over(doc))
+    stretch = Window.partitionBy("doc_id", "row_key", "stretch")
+    order, whole = stretch.orderBy("place"), stretch.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = found.withColumns({"upto": F.sum("n_words").over(order.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n_words").over(whole)})
+    found = found.filter(F.col("total") >= min_words).withColumn("start", F.col("upto") - F.col("n_words"))
+    # Lines that begin within the next min_words words: the last of them completes the run, or the stretch is too short.
+    near = stretch.orderBy("start").rangeBetween(0, min_words - 1)
+    enough = F.max("upto").over(near) - F.col("start") >= min_words
+    found = found.withColumn("ahead", F.when(enough, F.count(F.lit(1)).over(near)).cast("int"))
+    # Runs that would lose enough words with their first line: up to where the next line's least run ends.
+    left = F.count(F.lit(1)).over(order.rowsBetween(0, Window.unboundedFollowing)).cast("int")
+    found = found.withColumn("most", F.when(F.col("ahead").isNotNull(), F.greatest("ahead", F.coalesce(F.lead("ahead").over(order), left))))
+    found = found.withColumn("deepest", F.max("most").over(whole))
+    return found.select("doc_id", "row_key", "stretch", "place", "l1", "l2", "ahead", "most", "deepest")
 
 
 def _ranked(pairs: DataFrame, first: str, second: str, path: str) -> DataFrame:
@@ -91,101 +111,80 @@ def _ranked(pairs: DataFrame, first: str, second: str, path: str) -> DataFrame:
     return written(ordered.mapInArrow(number, f"{first} long, {second} long, rank long"), path)
 
 
-def runs(rows: DataFrame, min_words: int) -> DataFrame:
-    """Adds, for each line, the shortest runs that count: ``ahead`` lines from it on, ``back`` lines up to it (null: none)."""
-    stretch = Window.partitionBy("doc", "stretch").orderBy("place")
-    total = F.sum("n_words").over(stretch.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("upto", total.cast("long"))
-    # A run of min_words lines has enough words, since each has one: look no further.
-    before, after = stretch.rowsBetween(-min_words, 0), stretch.rowsBetween(0, min_words - 1)
-    later, earlier = F.collect_list("upto").over(after), F.collect_list(F.col("upto") - F.col("n_words")).over(before)
-    ahead = F.size(F.filter(later, lambda x: x < F.col("upto") - F.col("n_words") + min_words)) + 1
-    back = F.size(F.filter(earlier, lambda x: x > F.col("upto") - min_words)) + 1
-    rows = rows.select("*", ahead.alias("ahead"), back.alias("back"), F.size(later).alias("left"), F.size(earlier).alias("seen"))
-    return rows.withColumns({"ahead": F.when(F.col("ahead") <= F.col("left"), F.col("ahead")), "back": F.when(F.col("back") <= F.col("seen"), F.col("back"))}).drop("left", "seen", "upto")
-
-
-def later_copies(rows: DataFrame, min_words: int, base: str) -> DataFrame:
-    """``doc, pos`` of the lines that lie in later copies of runs."""
-    spark = rows.sparkSession
-    now = written(runs(stretches(rows, min_words), min_words), f"{base}/0")
+def _level(now: DataFrame, h: int, path: str) -> DataFrame:
+    """Suffixes with their ranks at depth h; ``next``, the rank h lines on; ``runs`` (m, r2) of h to 2h - 1 lines."""
+    order = Window.partitionBy("doc_id", "row_key", "stretch").orderBy("place")
+    now = now.withColumns({"here": F.collect_list("rank").over(order.rowsBetween(0, h - 1)), "next": F.lead("rank", h).over(order)})
+    lengths = F.filter(F.sequence("ahead", "most"), lambda m: (m >= h) & (m < 2 * h))
+    own = F.transform(lengths, lambda m: F.struct(m.alias("m"), F.element_at("here", m - h + 1).alias("r2")))
+    return written(now.select("doc_id", "row_key", "stretch", "place", "ahead", "most", "deepest", "rank", "next", own.alias("runs")), path)
+
+
+def named_runs(documents: DataFrame, min_words: int, base: str) -> DataFrame:
+    """``doc_id, row_key, first, m, r1, r2``: every least run with the name of its interval."""
+    rows = written(runs(documents, min_words, base), f"{base}/runs")
+    longest = rows.agg(F.max("deepest")).collect()[0][0] or 0
     # Depth 1: the order of lines is that of their ids.
-    ranks = _ranked(now, "l1", "l2", f"{base}/rank-1")
-    levels = written(now.join(ranks, ["l1", "l2"]).withColumn("h", F.lit(1)).drop("l1", "l2"), f"{base}/level-1")
-    longest = now.agg(F.greatest(F.max("ahead"), F.max("back")).alias("m")).collect()[0]["m"] or 0
-    stretch = Window.partitionBy("doc", "stretch").orderBy("place")
-    found = []
-    h, now = 1, levels
-    while h <= longest:
-        # Runs of h to 2h - 1 lines: the ranks of their first and last h lines name their interval.
-        for length, sign in (("ahead", 1), ("back", -1)):
-            own = levels.filter((F.col(length) >= h) & (F.col(length) < 2 * h))
-            first = F.col("place") if sign > 0 else F.col("place") - F.col(length) + 1
-            run = own.select("doc", "stretch", first.alias("first"), "place", F.col(length).alias("m"))
-            at = now.select("doc", "stretch", F.col("place").alias("at"), "rank")
-            begin = at.select("doc", "stretch", F.col("at").alias("first"), F.col("rank").alias("r1"))
-            end = at.select("doc", "stretch", F.col("at").alias("last"), F.col("rank").alias("r2"))
-            named = run.withColumn("last", F.col("first") + F.col("m") - h).join(begin, ["doc", "stretch", "first"]).join(end, ["doc", "stretch", "last"])
-            found.append(named.select("doc", "stretch", "first", "m", F.lit(h).alias("h"), "r1", "r2", F.lit(sign).alias("sign")))
+    now = rows.join(_ranked(rows, "l1", "l2", f"{base}/rank-1"), ["l1", "l2"])
+    h, found = 1, []
+    while True:
+        level = _level(now, h, f"{base}/level-{h}")
+        found.append(level.filter(F.size("runs") > 0).select("doc_id", "row_key", F.col("place").alias("first"), F.col("rank").alias("r1"), F.explode("runs").alias("run")))
         if 2 * h > longest:
             break
-        # Depth 2h, where a run still needs it.
-        # Ranks at depth h exist up to h - 1 lines before the end of a stretch, without gaps.
-        further = now.withColumn("next", F.lead("rank", h).over(stretch)).filter(F.col("next").isNotNull())
-        ranks = _ranked(further.select("rank", "next").withColumnsRenamed({"rank": "r_a", "next": "r_b"}), "r_a", "r_b", f"{base}/rank-{2 * h}")
-        deeper = further.join(ranks.withColumnRenamed("rank", "deep"), (F.col("rank") == F.col("r_a")) & (F.col("next") == F.col("r_b")))
-        now = written(deeper.select("doc", "stretch", "place", "pos", "n_words", "ahead", "back", F.col("deep").alias("rank"), F.lit(2 * h).alias("h")), f"{base}/level-{2 * h}")
+        # Depth 2h, in the stretches where a run still needs it; ranks end h - 1 lines before a stretch, without gaps.
+        further = level.filter((F.col("deepest") >= 2 * h) & F.col("next").isNotNull()).drop("runs")
+        pairs = further.select(F.col("rank").alias("r_a"), F.col("next").alias("r_b"))
+        ranks = _ranked(pairs, "r_a", "r_b", f"{base}/rank-{2 * h}").withColumnRenamed("rank", "deep")
+        now = further.join(ranks, (F.col("rank") == F.col("r_a")) & (F.col("next") == F.col("r_b")))
+        now = now.select("doc_id", "row_key", "stretch", "place", "ahead", "most", "deepest", F.col("deep").alias("rank"))
         h *= 2
-    if not found:
-        return levels.select("doc", "pos").limit(0)
     names = found[0]
     for more in found[1:]:
         names = names.unionByName(more)
-    names = written(names, f"{base}/runs")
+    return written(names.select("doc_id", "row_key", "first", F.col("run.m").alias("m"), "r1", F.col("run.r2").alias("r2")), f"{base}/names")
+
+
+def later_copies(names: DataFrame, base: str) -> DataFrame:
+    """``doc_id, row_key, gone``: of each document the places (lo, hi) that lie in later copies."""
+    at = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row_key", "first")
     # The earliest suffix of an interval: one row per interval, reduced before it is shuffled.
-    earliest = names.groupBy("m", "h", "r1", "r2").agg(F.min(F.struct("doc", "first")).alias("origin"))
-    copies = names.join(earliest, ["m", "h", "r1", "r2"]).filter(F.struct("doc", "first") > F.col("origin"))
-    last = F.col("first") + F.col("m") - 1
-    covered = F.when(F.col("sign") > 0, F.sequence("first", last)).otherwise(F.array(last))
-    gone = copies.select("doc", "stretch", F.explode(covered).alias("place")).distinct()
-    return levels.select("doc", "stretch", "place", "pos").join(gone, ["doc", "stretch", "place"]).select("doc", "pos")
+    earliest = names.groupBy("m", "r1", "r2").agg(F.min(at).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    copies = names.join(written(earliest, f"{base}/earliest"), ["m", "r1", "r2"]).filter(at > F.col("origin"))
+    copies = copies.select("doc_id", "row_key", "first", (F.col("first") + F.col("m") - 1).alias("last"))
+    # Runs that overlap or touch become one span.
+    order = Window.partitionBy("doc_id", "row_key").orderBy("first", "last")
+    reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    copies = copies.withColumn("begins", F.coalesce((F.col("first") > reached + 1).cast("int"), F.lit(1)))
+    copies = copies.withColumn("span", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = copies.groupBy("doc_id", "row_key", "span").agg(F.min("first").alias("lo"), F.max("last").alias("hi"))
+    return spans.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without later copies: their columns, and ``n_lines_removed``, ``words_before``, ``words_left``.
 
-    Those three replace columns of the same names.
+    Those three replace columns of the same names. White space at the end goes with a removed line; a
+    document that loses all its words gets an empty text.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    base = shared_dir(spark, "line-dedup")
-    rows = written(lines(docs), f"{base}/lines")
-    gone = written(later_copies(rows, min_words, base), f"{base}/gone")
-    lists = gone.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
-    lists = lists.select(F.col("doc.doc_id").alias("_gone_id"), F.col("doc.row_key").alias("_gone_key"), F.col("gone").alias("_gone"))
-
-    @F.pandas_udf("struct<text:string,before:long,left:long>")
-    def without(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, g in zip(text, gone):
-            if t is None or g is None:
-                out.append((t, None, None))
-                continue
-            drop = set(g.tolist())
-            parts = t.split("\n")
-            kept = [x for i, x in enumerate(parts) if i not in drop]
-            left = sum(len(x.split()) for x in kept)
-            out.append(("\n".join(kept) if left else "", len(t.split()), left))
-        return pd.DataFrame(out, columns=["text", "before", "left"])
-
-    met = docs.join(lists, docs["doc_id"].eqNullSafe(lists["_gone_id"]) & (row_key() == lists["_gone_key"]), "left")
-    met = met.withColumn("_rest", without(F.when(F.col("_gone").isNotNull(), docs["text"]), F.col("_gone")))
-    text = F.when(F.col("_gone").isNotNull(), F.col("_rest.text")).otherwise(docs["text"]).alias("text")
-    words = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(r"\S+")).cast("long")
-    before = F.coalesce(F.col("_rest.before"), words)
-    added = ("n_lines_removed", "words_before", "words_left")
-    columns = [text if c == "text" else docs[c] for c in docs.columns if c not in added]
-    return met.select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).alias(added[0]), before.alias(added[1]), F.coalesce(F.col("_rest.left"), before).alias(added[2]))
+    base = shared_dir(docs.sparkSession, "line-dedup")
+    documents = written(lines(docs, min_words), f"{base}/lines")
+    gone = written(later_copies(named_runs(documents, min_words, base), base), f"{base}/gone")
+    total = F.aggregate("lines", F.lit(0), lambda n, x: n + x["n_words"])
+    counted = documents.select("doc_id", "row_key", total.alias("words")).groupBy("doc_id", "row_key").agg(F.max("words").cast("long").alias("words"))
+    both = counted.join(gone.withColumnsRenamed({"doc_id": "d", "row_key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k")), "left").drop("d", "k")
+    both = both.withColumnRenamed("row_key", "key")
+    own = as_row(docs)
+    met = own.join(both, own["row.doc_id"].eqNullSafe(both["doc_id"]) & (own["row_key"] == both["key"]), "left")
+    kept = F.filter(units(F.col("row.text"), min_words), lambda x, i: ~F.exists("gone", lambda s: i.between(s["lo"], s["hi"])))
+    met = met.withColumn("rest", F.when(F.col("gone").isNotNull(), F.rtrim(F.array_join(kept, ""), F.lit(BLANK))))
+    met = met.withColumn("left", F.when(F.col("gone").isNotNull(), _words(F.col("rest"))).cast("long"))
+    text = F.when(F.col("left") == 0, F.lit("")).when(F.col("gone").isNotNull(), F.col("rest")).otherwise(F.col("row.text"))
+    removed = F.aggregate("gone", F.lit(0), lambda n, s: n + s["hi"] - s["lo"] + 1)
+    before = F.coalesce("words", F.lit(0).cast("long"))
+    added = {"n_lines_removed": F.coalesce(removed, F.lit(0)), "words_before": before, "words_left": F.coalesce("left", before)}
+    columns = [c for c, name in zip(row_columns(docs, text=text), docs.columns) if name not in added]
+    return met.select(*columns, *[c.alias(name) for name, c in added.items()])
 
 
 def op4_line_dedup(docs: DataFrame) -> DataFrame:
@@ -194,21 +193,29 @@ def op4_line_dedup(docs: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-a AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM raw),
-b AS (SELECT doc_id, pos, line, len(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '')) AS nw FROM a),
+WITH raw AS (SELECT doc_id, string_split(regexp_replace(text, '(\n(?:[ \t\r]*\n)*)([^\n])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ls FROM documents WHERE text IS NOT NULL),
+a0 AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM raw),
+a AS (SELECT *, len(regexp_extract_all(line, '\S+')) AS nw FROM a0),
+x0 AS (SELECT doc_id, i, string_split(line, ' ') AS ws FROM a WHERE nw >= 50),
+x AS (SELECT doc_id, i, unnest(ws) AS word, generate_subscripts(ws, 1) AS j, len(ws) AS n FROM x0),
+y AS (SELECT *, lag(word) OVER (PARTITION BY doc_id, i ORDER BY j) AS prev FROM x),
+z AS (SELECT *, sum(CASE WHEN prev IS NOT NULL AND word <> '' AND word[1] <> chr(10) AND regexp_replace(word, '\s+$', '') <> prev
+      AND (regexp_matches(prev, '[.!?]$') OR regexp_matches(word, '^\p{Lu}')) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, i ORDER BY j) AS s FROM y),
+u AS (SELECT doc_id, i, s, string_agg(word, ' ' ORDER BY j) || CASE WHEN max(j) < max(n) THEN ' ' ELSE '' END AS line FROM z GROUP BY doc_id, i, s
+      UNION ALL SELECT doc_id, i, 0, line FROM a WHERE nw < 50),
+b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, s) AS pos, line, regexp_replace(regexp_replace(line, '^\s+', ''), '\s+$', '') AS own, len(regexp_extract_all(line, '\S+')) AS nw FROM u),
 c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, sum(nw) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM b WHERE nw > 0),
-d AS (SELECT x.doc_id, x.k, min(y.k) AS e FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.k >= x.k AND y.upto - (x.upto - x.nw) >= 50 GROUP BY 1, 2),
-f AS (SELECT x.doc_id, x.k AS e, max(y.k) AS k FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.k <= x.k AND x.upto - (y.upto - y.nw) >= 50 GROUP BY 1, 2),
+d AS (SELECT x.doc_id, x.k, min(y.k) AS e FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.k BETWEEN x.k AND x.k + 49 AND y.upto - (x.upto - x.nw) >= 50 GROUP BY 1, 2),
+f AS (SELECT x.doc_id, x.k AS e, max(y.k) AS k FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.k BETWEEN x.k - 49 AND x.k AND x.upto - (y.upto - y.nw) >= 50 GROUP BY 1, 2),
 r AS (SELECT doc_id, k, e, 1 AS sign FROM d UNION ALL SELECT doc_id, k, e, -1 FROM f),
-t AS (SELECT r.doc_id, r.k, r.e, r.sign, string_agg(c.line, chr(10) ORDER BY c.k) AS content FROM r JOIN c ON c.doc_id = r.doc_id AND c.k BETWEEN r.k AND r.e GROUP BY ALL),
+t AS (SELECT r.doc_id, r.k, r.e, r.sign, string_agg(c.own, chr(10) ORDER BY c.k) AS content FROM r JOIN c ON c.doc_id = r.doc_id AND c.k BETWEEN r.k AND r.e GROUP BY ALL),
 m AS (SELECT content, min((doc_id, k)) AS origin FROM t GROUP BY content),
 g AS (SELECT t.* FROM t JOIN m USING (content) WHERE (t.doc_id, t.k) > m.origin),
 h AS (SELECT DISTINCT c.doc_id, c.pos FROM c JOIN g ON c.doc_id = g.doc_id AND (g.sign = 1 AND c.k BETWEEN g.k AND g.e OR g.sign = -1 AND c.k = g.e)),
 o AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
-p AS (SELECT b.doc_id, string_agg(b.line, chr(10) ORDER BY b.pos) FILTER (h.pos IS NULL) AS rest, coalesce(sum(b.nw) FILTER (h.pos IS NULL), 0) AS words_left, sum(b.nw) AS words_before
+p AS (SELECT b.doc_id, string_agg(b.line, '' ORDER BY b.pos) FILTER (h.pos IS NULL) AS rest, coalesce(sum(b.nw) FILTER (h.pos IS NULL), 0) AS words_left, sum(b.nw) AS words_before
       FROM b LEFT JOIN h ON h.doc_id = b.doc_id AND h.pos = b.pos GROUP BY b.doc_id)
-SELECT q.doc_id, CASE WHEN o.n IS NULL THEN q.text WHEN p.words_left = 0 THEN '' ELSE p.rest END AS text,
+SELECT q.doc_id, CASE WHEN o.n IS NULL THEN q.text WHEN p.words_left = 0 THEN '' ELSE regexp_replace(p.rest, '[ \n\t\r]+$', '') END AS text,
        CAST(coalesce(o.n, 0) AS INTEGER) AS n_lines_removed, CAST(coalesce(p.words_before, 0) AS BIGINT) AS words_before, CAST(coalesce(p.words_left, 0) AS BIGINT) AS words_left
 FROM documents q LEFT JOIN p ON p.doc_id = q.doc_id LEFT JOIN o ON o.doc_id = q.doc_id
 """
