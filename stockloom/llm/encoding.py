@@ -4,7 +4,8 @@ The byte-level vocabulary splits a text into pieces before it merges bytes. It a
 piece at a space or a line break that stands between two non-spaces, and after a word of letters. So
 the ids of a text with only such white space are those of its words (with the space or break before
 each), one after the other: Arrow numbers the words of a batch, the library encodes each new word
-once, and numpy gathers the ids. Other texts are encoded whole.
+once, and numpy gathers the ids. Other texts, and all texts of a vocabulary that splits otherwise, are
+encoded whole.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct words that a worker remembers (about 130 bytes each), and words of one call.
+#: Distinct words that a worker remembers unless told otherwise (about 180 bytes each), and words of one call.
 CACHE_WORDS = 800_000
 CALL_WORDS = 4_000
 #: White space other than single spaces and single breaks between non-spaces.
@@ -36,15 +37,20 @@ def default_vocabulary() -> str:
 class Encoder:
     """Encodes texts to unsigned 32-bit ids, without special tokens."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
         self._tokenizer.encode_special_tokens = True
         self.size = self._tokenizer.get_vocab_size()
-        (self._break,) = self._ids(["\n"])[0]
-        self._marks = {m: np.asarray(self._ids([m])[0], "<u4") for m in (".", ",")}
+        self._most = cache_words
+        # Only this split is known to begin a piece at single spaces and breaks.
+        split = "".join(repr(self._tokenizer.pre_tokenizer).split())
+        self._by_words = split.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in split and self._tokenizer.normalizer is None
+        if self._by_words:
+            (self._break,) = self._ids(["\n"])[0]
+            self._marks = {m: np.asarray(self._ids([m])[0], "<u4") for m in (".", ",")}
         self._forget()
 
     def _forget(self) -> None:
@@ -52,6 +58,7 @@ class Encoder:
         self._sizes = np.empty(0, np.int32)
         self._first = np.empty(0, np.int64)
         self._table = np.empty(0, "<u4")
+        self._words_held = self._ids_held = 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -71,15 +78,19 @@ class Encoder:
         return np.concatenate(ids), np.concatenate(sizes)
 
     def _remember(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self._place.update(zip(words, range(len(self._sizes), len(self._sizes) + len(words))))
-        self._first = np.concatenate((self._first, len(self._table) + np.cumsum(sizes) - sizes))
-        self._sizes = np.concatenate((self._sizes, sizes.astype(np.int32)))
-        self._table = np.concatenate((self._table, ids))
+        n, m = self._words_held, self._ids_held
+        self._place.update(zip(words, range(n, n + len(words))))
+        self._first, self._sizes = _with_room(self._first, n + len(words)), _with_room(self._sizes, n + len(words))
+        self._table = _with_room(self._table, m + len(ids))
+        self._first[n : n + len(words)] = m + np.cumsum(sizes) - sizes
+        self._sizes[n : n + len(words)] = sizes
+        self._table[m : m + len(ids)] = ids
+        self._words_held, self._ids_held = n + len(words), m + len(ids)
 
     def _learn(self, words: list[str]) -> np.ndarray:
         """Places of distinct words (without their space); a word of letters and one mark is two pieces."""
         known = self._place
-        if len(known) > CACHE_WORDS:
+        if len(known) > self._most:
             self._forget()
             known = self._place
         place = list(map(known.get, words))
@@ -105,6 +116,9 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's begin (one more than texts)."""
         texts = texts.cast(pa.large_string()).fill_null("")
+        if not self._by_words:
+            all_ids = [np.asarray(x, "<u4") for x in self._ids(texts.to_pylist())]
+            return np.concatenate([np.empty(0, "<u4"), *all_ids]), np.concatenate(([0], np.cumsum([len(x) for x in all_ids], dtype=np.int64)))
         whole = np.asarray(pc.or_(pc.match_substring_regex(texts, _WHOLE), pc.equal(texts, "")).to_numpy(zero_copy_only=False))
         simple = texts.filter(pa.array(~whole)) if whole.any() else texts
         lengths = np.zeros(len(texts), np.int64)
@@ -140,11 +154,21 @@ def _gather(table: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return table[np.repeat(first - ends + sizes, sizes) + np.arange(total)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+def _with_room(held: np.ndarray, needed: int) -> np.ndarray:
+    """The array, moved to a larger one by half where it is too short, so that growing copies rarely."""
+    if needed <= len(held):
+        return held
+    grown = np.empty(max(needed, len(held) * 3 // 2), held.dtype)
+    grown[: len(held)] = held
+    return grown
 
 
-def encoder(vocabulary: str) -> Encoder:
-    """One encoder for each worker process."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary]
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(vocabulary: str, cache_words: int = CACHE_WORDS) -> Encoder:
+    """The worker process's encoder; another vocabulary or cache size takes its place."""
+    if (vocabulary, cache_words) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[vocabulary, cache_words] = Encoder(vocabulary, cache_words)
+    return _ENCODERS[vocabulary, cache_words]

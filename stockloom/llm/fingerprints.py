@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.llm.common import shuffle_partitions, small_batches, text_or_empty
+from stockloom.llm.common import ARROW_ROWS, shared_dir, shuffle_partitions, slices, text_or_empty, written
 
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -137,7 +137,6 @@ def _halve(value, points: list[int], base: int):
 
 def fingerprints(docs: DataFrame, form: OrderMinHash = OrderMinHash()) -> DataFrame:
     """Each text's and its edited text's fingerprint (hexadecimal), and two likenesses."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # bucket, doc_id, text, signature of the row before
@@ -149,7 +148,7 @@ def fingerprints(docs: DataFrame, form: OrderMinHash = OrderMinHash()) -> DataFr
             digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
             return doc, len(text), digest, own.tobytes().hex(), other.tobytes().hex(), likeness(own, other), likeness(own, next_signature)
 
-        for batch in batches:
+        for batch in slices(batches, 3):
             found = []
             for bucket, part, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if part == 1 and (held is None or held[0] != bucket):
@@ -162,8 +161,10 @@ def fingerprints(docs: DataFrame, form: OrderMinHash = OrderMinHash()) -> DataFr
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
 
     rows = with_next(docs)
-    dealt = rows.repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "part", "doc_id", "text")
-    return dealt.mapInArrow(run, SCHEMA)
+    # By range, as hashes would put several buckets into one task and none into another.
+    spark = docs.sparkSession
+    dealt = rows.repartitionByRange(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "part", "doc_id", "text")
+    return written(dealt.mapInArrow(run, SCHEMA), shared_dir(spark, "fingerprints"), ARROW_ROWS)
 
 
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.llm.common import removed, row_key, shared_dir, small_batches, text_or_empty, written
+from stockloom.llm.common import ARROW_ROWS, as_row, removed, row_columns, row_key, shared_dir, slices, text_or_empty, written
 from stockloom.llm.graphs import components
 
 
@@ -96,7 +96,6 @@ TEXTS = "doc_id long, row_key long, text_key string, n_shingles long, signature
 
 def signatures(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """A row per document: the key of its word sequence, its MinHash values and bands."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_hexdigest
@@ -104,7 +103,7 @@ def signatures(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         factors = np.random.default_rng(settings.seed).integers(0, 1 << 64, (settings.bands * settings.rows, 1), np.uint64) | np.uint64(1)
         places = np.arange(settings.bands, dtype=np.uint64)
         known: dict[str, int] = {}
-        for batch in batches:
+        for batch in slices(batches, 2):
             if len(known) > 400_000:
                 known.clear()
             found = []
@@ -207,7 +206,7 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     spark = docs.sparkSession
     base = shared_dir(spark, "ngram-join")
-    rows = written(signatures(docs, settings), f"{base}/rows")
+    rows = written(signatures(docs, settings), f"{base}/rows", ARROW_ROWS)
     texts = rows.groupBy("text_key").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"),
         F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands"),
@@ -221,16 +220,16 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     sized = texts.select("text_key", "first", "copies", "n_shingles", "signature").join(members, "text_key")
     sizes = sized.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     tiles = F.greatest(F.lit(1), F.ceil(F.col("n") / settings.tile), F.ceil(F.col("s") / settings.tile_shingles)).cast("int")
-    members = written(
-        sized.join(sizes.select("block", tiles.alias("tiles")), "block").withColumn("tile", F.pmod(F.xxhash64("text_key"), F.col("tiles")).cast("int")),
-        f"{base}/members",
-    )
+    # Only the blocks of several tiles are joined; written first, so that Spark may split the rows of a large one.
+    large = written(sizes.select("block", tiles.alias("tiles")).filter("tiles > 1"), f"{base}/large")
+    split = sized.join(large, "block", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    members = written(split.withColumn("tile", F.pmod(F.xxhash64("text_key"), F.col("tiles")).cast("int")), f"{base}/members")
     keys = members.select(F.col("first.doc_id").alias("first_id"), F.col("first.row_key").alias("first_key"), "text_key", "block", "tiles", "tile", "copies", "signature")
     n = settings.words
 
     def with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        for batch in batches:
+        for batch in slices(batches, 0):
             if len(known) > 400_000:
                 known.clear()
             sets = [shingles(t.lower().split(), n, known).tobytes() for t in batch.column(0).to_pylist()]
@@ -261,7 +260,7 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         edges = pd.DataFrame({"text_key": names[x[tree]], "other": names[y[tree]], "links": 0, "linked_docs": 0})
         return pd.concat([counts, edges], ignore_index=True) if len(edges) else counts.iloc[:0]
 
-    links = written(spread.groupBy("block", "i", "j").applyInPandas(compare, LINKS), f"{base}/links")
+    links = written(spread.groupBy("block", "i", "j").applyInPandas(compare, LINKS), f"{base}/links", ARROW_ROWS)
     counts = links.groupBy("text_key").agg(F.sum("links").alias("n_text_links"), F.sum("linked_docs").alias("linked"))
     roots = components(links.filter("other IS NOT NULL").select(F.col("text_key").alias("a"), F.col("other").alias("b")), "classes")
     roots = roots.select(F.col("node").alias("text_key"), "root")
@@ -273,7 +272,7 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     named = written(named, f"{base}/named")
-    for done in ("texts", "members", "blocks", "links"):
+    for done in ("texts", "members", "blocks", "links", "large"):
         removed(spark, f"{base}/{done}")
     is_first = F.col("doc_id").eqNullSafe(F.col("class_first.doc_id")) & (F.col("row_key").eqNullSafe(F.col("class_first.row_key")))
     return rows.select("doc_id", "row_key", "text_key").join(named, "text_key").select(
@@ -284,11 +283,12 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def one_of_each_class(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents with the least id (then text) of each class; of equal rows one stays."""
     found = classes(docs, settings).groupBy("doc_id", "row_key").agg(F.first("is_first").alias("first"), F.count(F.lit(1)).alias("rows"))
-    kept = found.filter("first").select(F.col("doc_id").alias("_kept_id"), F.col("row_key").alias("_kept_key"), F.col("rows").alias("_kept_rows"))
-    met = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]) & row_key().eqNullSafe(kept["_kept_key"]))
-    once = met.filter("_kept_rows = 1").select(*docs.columns)
-    equal = met.filter("_kept_rows > 1").dropDuplicates(["_kept_id", "_kept_key"]).select(*docs.columns)
-    return once.unionAll(equal)
+    kept = found.filter("first").select("doc_id", F.col("row_key").alias("kept_key"), "rows")
+    own = as_row(docs)
+    met = own.join(kept, own["row.doc_id"].eqNullSafe(kept["doc_id"]) & own["row_key"].eqNullSafe(kept["kept_key"]))
+    once = met.filter("rows = 1")
+    equal = met.filter("rows > 1").dropDuplicates(["doc_id", "kept_key"])
+    return once.unionAll(equal).select(*row_columns(docs))
 
 
 def op1_ngram_join(docs: DataFrame) -> DataFrame:

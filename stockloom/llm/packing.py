@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.llm import encoding
-from stockloom.llm.common import small_batches, text_or_empty
+from stockloom.llm.common import shared_dir, slices, text_or_empty, written
+
+ARROW_ROWS = 1500
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
@@ -84,21 +86,22 @@ def cut(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]]:
 
 
 def packed(
-    docs: DataFrame, capacity: int = 2048, piece: int = 512, group: int = 1024, end_id: int = 1, vocabulary: str | None = None, with_ids: bool = False
-) -> DataFrame:
+    docs: DataFrame, capacity: int = 2048, piece: int = 512, group: int = 1024, end_id: int = 1, vocabulary: str | None = None, with_ids: bool = False,
+    cache_words: int = encoding.CACHE_WORDS,
+) -> DataFrame:
     """Pack all documents; a row per piece, with its place in the document and in its sequence.
 
     ``sequence_tokens`` is what the sequence holds; the rest up to ``capacity`` is padding. With
     ``with_ids`` a column ``ids`` (array of int) holds the piece's ids. Documents stay in the task
-    that read them: nothing is shuffled, and a sequence id holds the number of its partition.
+    that read them: nothing is shuffled, and a sequence id holds the number of its partition. The rows are
+    written to the shared folder. ``cache_words``: distinct words that a worker remembers.
     """
     if not 0 < piece <= capacity:
         raise ValueError("piece must be between 1 and capacity")
-    small_batches(docs.sparkSession, 1500)
     path = vocabulary or encoding.default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoding.encoder(path)
+        encoder = encoding.encoder(path, cache_words)
         sequence = TaskContext.get().partitionId() << 32
         held: list[tuple] = []
         docs_held = 0
@@ -121,7 +124,7 @@ def packed(
             sequence += len(sums)
             return pa.record_batch(columns, names=names)
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             flat, first = encoder.encode(batch.column(1))
             whole = []
             for doc, a, b in zip(batch.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist()):
@@ -141,7 +144,8 @@ def packed(
 
     schema = PIECES + (", ids array<int>" if with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
+    return written(found, shared_dir(docs.sparkSession, "packed"), ARROW_ROWS)
 
 
 def op2_packing(docs: DataFrame) -> DataFrame:

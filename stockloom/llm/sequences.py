@@ -22,7 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockloom.llm import encoding
-from stockloom.llm.common import shared_dir, small_batches, text_or_empty, written
+from stockloom.llm.common import shared_dir, slices, text_or_empty, written
+
+ARROW_ROWS = 1500
+#: Ids that a task reads back, and of them those that stay together.
+TASK_IDS, RUN_IDS = 1 << 22, 1 << 18
 
 INDEX = "shard string, shard_no long, doc_id long, shard_start long, n_tokens long"
 SPANS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -90,16 +94,12 @@ def write_sequences(docs: DataFrame, folder: str, layout: Format = Format(), voc
     ``shard_start`` counts the ids before the document in its shard; shards are numbered in
     ascending order of their documents.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 1500)
     path = vocabulary or encoding.default_vocabulary()
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at, encoder = None, 0, encoding.encoder(path)
         number = TaskContext.get().partitionId()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, 1):
             out = out or _Shard(folder, layout, encoder.size)
             flat, first = encoder.encode(batch.column(1))
             n = np.diff(first) + 1
@@ -117,7 +117,7 @@ def write_sequences(docs: DataFrame, folder: str, layout: Format = Format(), voc
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).repartitionByRange("doc_id")
     index = ordered.sortWithinPartitions("doc_id", "text").mapInArrow(shard, INDEX)
-    return written(index, f"{folder}-index")
+    return written(index, f"{folder}-index", ARROW_ROWS)
 
 
 def read_spans(index: DataFrame, layout: Format = Format()) -> DataFrame:
@@ -159,7 +159,12 @@ def read_spans(index: DataFrame, layout: Format = Format()) -> DataFrame:
             )
 
     placed = index.join(F.broadcast(bases), "shard_no").select("shard", "doc_id", "shard_start", "n_tokens", "base")
-    return placed.repartition("shard").sortWithinPartitions("shard", "shard_start").mapInArrow(read, SPANS)
+    # Dealt by stretches of the shards, so that the tasks follow from the ids and not from the index's size.
+    spark = index.sparkSession
+    ids = index.agg(F.sum("n_tokens")).collect()[0][0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-ids // TASK_IDS))
+    dealt = placed.repartition(tasks, "shard", F.floor(F.col("shard_start") / RUN_IDS))
+    return dealt.sortWithinPartitions("shard", "shard_start").mapInArrow(read, SPANS)
 
 
 def op3_token_files(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.llm.common import small_batches, text_or_empty
+from stockloom.llm.common import ARROW_ROWS, shared_dir, slices, text_or_empty, written
 
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 SPANS = SCORES + ", spans array<struct<start:int,end:int,marginal:double>>"
 _TOKEN = re.compile(r"\w+|[.!?\n]")
 _WORD = re.compile(r"\w")
 #: Distinct words whose emission a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 
 
 @dataclass(frozen=True)
@@ -306,14 +306,13 @@ class Scorer:
 
 
 def scored(docs: DataFrame, model: Field, with_spans: bool = False, span_floor: float = 0.5) -> DataFrame:
-    """Every row's score; with ``with_spans`` also the spans (code points) whose marginals reach the floor."""
+    """Every row's score; with ``with_spans`` also the spans (code points) whose marginals reach the floor. A written table."""
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for batch in batches:
+        for batch in slices(batches, 2):
             texts = batch.column(2).to_pylist()
             score, p, doc = scorer(texts)
             columns = [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
@@ -323,20 +322,20 @@ def scored(docs: DataFrame, model: Field, with_spans: bool = False, span_floor:
 
     names = ["doc_id", "held_out", "score", "predicted"] + ["spans"] * with_spans
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, SPANS if with_spans else SCORES)
+    return written(rows.mapInArrow(run, SPANS if with_spans else SCORES), shared_dir(spark, "scores"), ARROW_ROWS)
 
 
 def without_toxic(docs: DataFrame, model: Field) -> DataFrame:
-    """The rows, with all their columns, whose score is below one half."""
-    small_batches(docs.sparkSession)
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    """The rows, with all their columns, whose score is below one half; a written table."""
+    spark = docs.sparkSession
+    sent, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for batch in batches:
+        for batch in slices(batches, at):
             yield batch.filter(pa.array(scorer(batch.column(at).fill_null("").to_pylist())[0] < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return written(docs.mapInArrow(run, docs.schema), shared_dir(spark, "not-toxic"), ARROW_ROWS)
 
 
 _SPAN_LIST = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
@@ -365,5 +364,5 @@ def _spans(texts: list[str], p: np.ndarray, doc: np.ndarray, floor: float) -> li
 
 
 def op5_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Scores of all documents by a field fitted to the labels outside the held-out rows."""
-    return scored(docs, fit(*sample(docs, labels)))
+    """Scores and offending spans of all documents by a field fitted to the labels outside the held-out rows."""
+    return scored(docs, fit(*sample(docs, labels)), with_spans=True)

@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm.common import shared_dir, small_batches, written
+from stockloom.llm.common import ARROW_ROWS, shared_dir, slices, written
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+#: Bytes of archives that a task reads back.
+TASK_BYTES = 32 << 20
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _DATE = "2000-01-01T00:00:00Z"
 
@@ -86,14 +88,14 @@ def revisits(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     keys = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html).alias("sha1"))
     groups = keys.groupBy("sha1").agg(F.count(F.lit(1)).alias("pages"), F.max("page_id").alias("refers_to")).filter("pages > 1")
+    # Written first, so that Spark may split the pages of a payload that very many share.
+    groups = written(groups, shared_dir(pages.sparkSession, "payloads"))
     later = keys.join(groups, "sha1").filter("refers_to IS NOT NULL AND NOT (page_id <=> refers_to)")
     return later.select("page_id", "sha1", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """Write the archives under ``folder`` and return the index as a written table."""
-    spark = pages.sparkSession
-    small_batches(spark)
     # Written first, so its size is known when Spark chooses how to join the pages to it.
     again = written(revisits(pages), f"{folder}-revisits").select(F.col("page_id").alias("again"), F.col("sha1").alias("again_sha1"), "refers_to")
     html = F.coalesce(F.col("html"), F.lit(""))
@@ -105,9 +107,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 6) -> DataFrame:
 
         task, out, offset = TaskContext.get(), None, 0
         name = f"{folder}/pages-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, 2):
             if out is None:
                 system, path = fs.FileSystem.from_uri(folder)
                 system.create_dir(path, recursive=True)
@@ -126,7 +126,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 6) -> DataFrame:
         if out is not None:
             out.close()
 
-    return written(placed.select("page_id", "url", "html", "refers_to").mapInArrow(archive, INDEX), f"{folder}-index")
+    return written(placed.select("page_id", "url", "html", "refers_to").mapInArrow(archive, INDEX), f"{folder}-index", ARROW_ROWS)
 
 
 def ranges(rows: list[tuple[int, int]], gap: int, most: int) -> list[tuple[int, int, int]]:
@@ -148,8 +148,6 @@ def read_records(index: DataFrame, with_payload: bool = False, gap: int = 16_384
     unless a single record is longer. With ``with_payload`` the rows also hold the payload (binary;
     null for revisits).
     """
-    small_batches(index.sparkSession, 1500)
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -188,8 +186,12 @@ def read_records(index: DataFrame, with_payload: bool = False, gap: int = 16_384
         return pa.record_batch(columns, names=[x.split()[0] for x in schema.split(", ")])
 
     schema = RECORDS + (", payload binary" if with_payload else "")
-    chosen = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
-    return chosen.mapInArrow(read, schema)
+    # Dealt by stretches of the archives, so that the tasks follow from their bytes and not from the index's size.
+    spark = index.sparkSession
+    size = index.agg(F.sum("length")).collect()[0][0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    dealt = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / most))
+    return dealt.sortWithinPartitions("file", "offset").mapInArrow(read, schema)
 
 
 def op9_warc(spark: SparkSession, pages: DataFrame) -> DataFrame:
