@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from stockloom.llm import line_dedup, mixing, ngram_join, packing, toxicity
 from stockloom.llm.common import shared_dir, table, written
 
+#: Distinct words that a worker of the last stage remembers: fewer than alone, as the executor's heap is full by then.
+PACKING_WORDS = 200_000
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below one half; the model is fitted to the labels of the given documents."""
@@ -40,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of at most 2048 ids."""
-    return packing.packed(docs)
+    return packing.packed(docs, cache_words=PACKING_WORDS)
 
 
 STAGES = [
