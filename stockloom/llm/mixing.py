@@ -7,8 +7,9 @@ dimension after the other, for a fixed number of sweeps. A cell's raked weight p
 documents' weight; the largest becomes probability 1, and a document is sampled if a hash of its id
 falls below its probability, so no document is repeated and the sample does not depend on the plan.
 
-A value that no token has is left out, and its target is shared out in proportion. Where ``other`` has
-no target it keeps its share of the tokens. Nulls: a null source or language is ``other``; a null text
+Targets hold as given: what they leave of 1 is the target of ``other``. Only where a value with a target
+has no token, that target is shared out over the other values in proportion. A value with target 0 (or
+``other``, where the named targets sum to 1) gets weight 0. Nulls: a null source or language is ``other``; a null text
 is empty; rows with equal (or null) ids are sampled together. Documents without tokens belong to
 their cell, or to probability 1 where no document of the cell has tokens. Extra columns are kept; an
 empty table gives no rows.
@@ -29,16 +30,27 @@ PLAIN = "prose"
 
 @dataclass(frozen=True)
 class Mix:
-    """Targets of each dimension by value (shares of tokens), sweeps of the fitting, seed of the sample."""
+    """Targets of each dimension by value (shares of tokens), sweeps of the fitting, seed of the sample.
 
-    source: dict[str, float] = field(default_factory=lambda: {"src0": 0.40})
-    lang: dict[str, float] = field(default_factory=lambda: {"en": 0.62, "de": 0.14, "fr": 0.14, "es": 0.10})
-    topic: dict[str, float] = field(default_factory=lambda: {"prose": 0.90, "table": 0.04, "legal": 0.03, "contact": 0.03})
-    sweeps: int = 25
+    The default gives the largest source the share that an even split over twenty sources gives it.
+    """
+
+    source: dict[str, float] = field(default_factory=lambda: {"src0": 0.05})
+    lang: dict[str, float] = field(default_factory=lambda: {"en": 0.61, "de": 0.14, "fr": 0.14, "es": 0.10})
+    topic: dict[str, float] = field(default_factory=lambda: {"prose": 0.89, "table": 0.04, "legal": 0.03, "contact": 0.03})
+    sweeps: int = 40
     seed: str = "mix-1"
 
+    def __post_init__(self) -> None:
+        for name in ("source", "lang", "topic"):
+            shares = getattr(self, name).values()
+            if any(x < 0 for x in shares) or sum(shares) > 1 + 1e-9 or (OTHER in getattr(self, name) and abs(sum(shares) - 1) > 1e-9):
+                raise ValueError(f"targets of {name} must be shares that sum to 1, or to less where {OTHER} has none")
+
     def dimensions(self) -> dict[str, dict[str, float]]:
-        return {"source": self.source, "lang": self.lang, "topic": self.topic}
+        """The targets of every dimension, that of ``other`` among them."""
+        given = {"source": self.source, "lang": self.lang, "topic": self.topic}
+        return {name: {OTHER: max(0.0, 1 - sum(targets.values()))} | targets for name, targets in given.items()}
 
 
 def topic_of() -> Column:
@@ -74,10 +86,9 @@ def raked(cells: DataFrame, mix: Mix) -> DataFrame:
     weights = F.transform("c", lambda x: x["tokens"] / F.col("total"))
     state = F.aggregate(F.sequence(F.lit(1), F.lit(mix.sweeps)), weights, lambda w, _: _sweep(w, list(dimensions)))
     one = one.withColumn("w", state)
-    rows = one.select(F.explode(F.arrays_zip("c", "w")).alias("z"), "total").select("z.c.*", F.col("z.w").alias("w"), "total")
-    rows = rows.withColumn("weight", F.col("w") * F.col("total") / F.col("tokens"))
-    most = rows.agg(F.max("weight").alias("most"))
-    return rows.crossJoin(F.broadcast(most)).select("_cell_source", "_cell_lang", "_cell_topic", "weight", (F.col("weight") / F.col("most")).alias("probability"))
+    one = one.withColumn("weight", F.zip_with("c", "w", lambda x, w: w * F.col("total") / x["tokens"])).withColumn("most", F.array_max("weight"))
+    rows = one.select(F.explode(F.arrays_zip("c", "weight")).alias("z"), "most").select("z.c.*", F.col("z.weight").alias("weight"), "most")
+    return rows.select("_cell_source", "_cell_lang", "_cell_topic", "weight", (F.col("weight") / F.col("most")).alias("probability"))
 
 
 def _total(values: Column | str) -> Column:
@@ -91,12 +102,10 @@ def _with_targets(one: DataFrame, name: str, targets: dict[str, float]) -> DataF
     tokens = lambda value: F.transform(F.filter("c", lambda x: x[own] == value), lambda x: x["tokens"])
     one = one.withColumn(o, F.transform(v, lambda value: _total(tokens(value)) / F.col("total")))
     table = F.create_map(*[x for k, share in targets.items() for x in (F.lit(k), F.lit(float(share)))])
-    one = one.withColumn(t, F.zip_with(v, o, lambda value, share: F.coalesce(F.try_element_at(table, value), share)))
-    # Values without a target of their own keep their share; the named ones divide what is left.
-    rest = _total(F.zip_with(v, o, lambda value, share: F.when(value.isin(*targets), F.lit(0.0)).otherwise(share)))
-    one = one.withColumn(f"rest_{name}", rest).withColumn(f"named_{name}", _total(t) - F.col(f"rest_{name}"))
-    left = F.lit(1.0) - F.col(f"rest_{name}")
-    one = one.withColumn(t, F.zip_with(v, t, lambda value, share: F.when(value.isin(*targets), share / F.col(f"named_{name}") * left).otherwise(share)))
+    one = one.withColumn(t, F.transform(v, lambda value: F.try_element_at(table, value)))
+    # What absent values would have had is shared out; where only values of target 0 occur, they keep their shares.
+    one = one.withColumn(f"sum_{name}", _total(t))
+    one = one.withColumn(t, F.when(F.col(f"sum_{name}") > 0, F.transform(t, lambda x: x / F.col(f"sum_{name}"))).otherwise(F.col(o)))
     return one.withColumn(f"i_{name}", F.transform("c", lambda x: F.array_position(v, x[own]).cast("int")))
 
 
@@ -118,7 +127,8 @@ def _scaled(weights: Column, index: Column, targets: Column) -> Column:
 
     def by_factors(w: Column) -> Column:
         cells = F.zip_with(w, index, lambda x, i: F.struct(x.alias("w"), i.alias("i")))
-        factors = _let(cells, lambda c: F.transform(targets, lambda t, k: t / held(c, k)))
+        # A value whose weights are all 0 keeps them.
+        factors = _let(cells, lambda c: F.transform(targets, lambda t, k: F.coalesce(F.try_divide(t, held(c, k)), F.lit(0.0))))
         return _let(factors, lambda f: F.zip_with(w, index, lambda x, i: x * F.element_at(f, i)))
 
     return _let(weights, by_factors)
@@ -166,14 +176,13 @@ def oracle(mix: Mix = Mix()) -> str:
     before = "h"
     for k, targets in mix.dimensions().items():
         given = " ".join(f"WHEN '{v}' THEN {float(t)}" for v, t in targets.items())
-        rest = "0" if OTHER in targets else f"coalesce((SELECT sum(w0) FROM h WHERE c_{k} = '{OTHER}'), 0)"
         out.append(f"t_{k} AS (SELECT c_{k}, CASE c_{k} {given} END AS t, sum(w0) AS o FROM h GROUP BY c_{k})")
-        out.append(f"s_{k} AS (SELECT c_{k}, CASE WHEN t IS NULL THEN o ELSE t / sum(t) OVER () * (1 - {rest}) END AS t_{k} FROM t_{k})")
+        out.append(f"s_{k} AS (SELECT c_{k}, CASE WHEN sum(t) OVER () > 0 THEN t / sum(t) OVER () ELSE o END AS t_{k} FROM t_{k})")
     out.append("r AS (SELECT h.*, w0 AS w, t_source, t_lang, t_topic FROM h JOIN s_source USING (c_source) JOIN s_lang USING (c_lang) JOIN s_topic USING (c_topic))")
     before = "r"
     for i in range(mix.sweeps):
         for k in names:
-            out.append(f"r{i}_{k} AS MATERIALIZED (SELECT * EXCLUDE (w), w * (t_{k} / sum(w) OVER (PARTITION BY c_{k})) AS w FROM {before})")
+            out.append(f"r{i}_{k} AS MATERIALIZED (SELECT * EXCLUDE (w), w * coalesce(t_{k} / nullif(sum(w) OVER (PARTITION BY c_{k}), 0), 0) AS w FROM {before})")
             before = f"r{i}_{k}"
     out.append(f"z AS (SELECT *, w / w0 AS weight FROM {before})")
     out.append("y AS (SELECT *, weight / max(weight) OVER () AS probability FROM z)")
