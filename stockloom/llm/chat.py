@@ -12,8 +12,9 @@ conversation are in the order (level, turn).
 States: ``linked``, ``no_result`` (a call without result), ``no_call`` (a result without call),
 ``cyclic`` (a call that needs itself, directly or not). A need that names no call of the conversation
 is ignored. Of several results of a call the first by turn counts; of repeated calls the first by turn,
-then by content. Null identifiers link to nothing; null arguments, or such as are not a JSON object,
-are a fault and are written as null. Extra columns are ignored. An empty table gives no rows.
+then by content. A call or result with a null conversation or identifier links to nothing and is a row
+of its own, however often it is repeated; such a call has level 0. Null arguments, or such as are not a
+JSON object, are a fault and are written as null. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -160,6 +161,10 @@ def linked(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, Para
     answered = answered.select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), F.lit(True).alias("has_result"))
     placed = _placed(own)
     met = own.withColumn("has_call", F.lit(True)).join(placed, ["conv_id", "call_id"]).join(answered, ["conv_id", "call_id"], "full")
+    nameless = F.col("conv_id").isNull() | F.col("call_id").isNull()
+    lone = calls.filter(nameless).select("conv_id", "call_id", "turn", "name", "arguments", F.lit(True).alias("has_call"), F.lit(0).alias("level"))
+    lost = results.filter(nameless).select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content", F.lit(True).alias("has_result"))
+    met = met.drop("needs").unionByName(lone, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True)
     met = met.withColumn("variant", F.try_parse_json("arguments"))
     state = F.when(F.col("has_call").isNull(), "no_call").when(F.col("level").isNull(), "cyclic").when(F.col("has_result").isNull(), "no_result").otherwise("linked")
     wrong = F.when(F.col("has_call"), faults(F.col("name"), F.col("variant"), tools)).otherwise(F.array().cast("array<string>"))
@@ -196,16 +201,20 @@ def op7_chat(messages: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS words FROM conversations),
-c AS (SELECT conv_id, 'call-' || turn AS call_id, turn, text, words, CASE WHEN words <= 20 THEN 'lookup' ELSE 'compose' END AS name FROM m WHERE role = 'user'),
-r AS (SELECT conv_id, 'call-' || (turn - 1) AS call_id, turn AS result_turn, text AS content FROM m WHERE role = 'assistant'),
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS words FROM conversations),
+c AS (SELECT conv_id, 'call-' || turn AS call_id, turn, text, words, CASE WHEN words <= 20 THEN 'lookup' ELSE 'compose' END AS name, 'call-' || (turn - 2) AS need, true AS is_call FROM m WHERE role = 'user'),
+r AS (SELECT conv_id, 'call-' || (turn - 1) AS call_id, turn AS result_turn, text AS content, true AS is_result FROM m WHERE role = 'assistant'),
+v(conv_id, call_id, level) AS (
+  SELECT conv_id, call_id, 0 FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.conv_id = c.conv_id AND d.call_id = c.need)
+  UNION ALL SELECT c.conv_id, c.call_id, v.level + 1 FROM v JOIN c ON c.conv_id = v.conv_id AND c.need = v.call_id),
 j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.result_turn) AS turn,
-  c.call_id IS NOT NULL AS has_call, r.call_id IS NOT NULL AS has_result, c.text, c.turn AS own_turn, words, name, content
+  coalesce(is_call, false) AS has_call, coalesce(is_result, false) AS has_result, c.text, c.turn AS own_turn, words, name, content
   FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
-SELECT j.conv_id, j.call_id, j.turn, CASE WHEN has_call THEN 0 END AS level,
+SELECT j.conv_id, j.call_id, j.turn, CASE WHEN has_call THEN coalesce(v.level, 0) END AS level,
   CASE WHEN NOT has_call THEN 'no_call' WHEN has_result THEN 'linked' ELSE 'no_result' END AS state,
-  CASE WHEN name = 'lookup' AND words < 2 THEN 'too small: words' WHEN name = 'compose' AND words > 60 THEN 'too large: words' ELSE '' END AS faults,
-  '{"arguments":' || CASE WHEN has_call THEN '{"text":' || to_json(text)::VARCHAR || ',"turn":' || own_turn || ',"words":' || words || '}' ELSE 'null' END
-  || ',"call_id":' || to_json(j.call_id)::VARCHAR || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null') || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS line
-FROM j
+  concat_ws('; ', CASE WHEN has_call AND own_turn IS NULL THEN 'missing: turn' END,
+    CASE WHEN name = 'lookup' AND words < 2 THEN 'too small: words' WHEN name = 'compose' AND words > 60 THEN 'too large: words' END) AS faults,
+  '{"arguments":' || CASE WHEN has_call THEN '{"text":' || to_json(text)::VARCHAR || coalesce(',"turn":' || own_turn, '') || ',"words":' || words || '}' ELSE 'null' END
+  || ',"call_id":' || coalesce(to_json(j.call_id)::VARCHAR, 'null') || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null') || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS line
+FROM j LEFT JOIN v ON v.conv_id = j.conv_id AND v.call_id = j.call_id
 """
