@@ -141,14 +141,32 @@ def test_toxicity_odd_rows(spark, odd):
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
 
 
-def test_mixing_meets_targets(spark, docs):
-    rows = mixing.with_cells(docs, mixing.Mix())
-    cells = rows.groupBy("_cell_source", "_cell_lang", "_cell_topic").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "tokens")
-    found = mixing.raked(cells, mixing.Mix()).join(cells, ["_cell_source", "_cell_lang", "_cell_topic"]).toPandas()
-    share = (found["weight"] * found["tokens"]).groupby(found["_cell_lang"]).sum()
-    share /= share.sum()
-    assert abs(share["en"] - 0.62) < 0.03 and found["probability"].max() == 1
-    assert mixing.mixed(docs.limit(0)).count() == 0
+def test_mixing_meets_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for mix in (mixing.Mix(), mixing.Mix(source={"src0": 0.40, "src1": 0.2}, lang={"en": 0.5, "xx": 0.2})):
+        rows = mixing.with_cells(docs, mix)
+        cells = rows.groupBy("_cell_source", "_cell_lang", "_cell_topic").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "tokens")
+        found = mixing.raked(cells, mix).join(cells, ["_cell_source", "_cell_lang", "_cell_topic"]).toPandas()
+        share = found["weight"] * found["tokens"] / (found["weight"] * found["tokens"]).sum()
+        for name, targets in mix.dimensions().items():
+            there = set(found[f"_cell_{name}"])
+            left = sum(t for v, t in targets.items() if v in there)
+            got = share.groupby(found[f"_cell_{name}"]).sum()
+            assert {v: round(got[v], 6) for v in there} == {v: round(targets[v] / left, 6) for v in there}, name
+        assert found["probability"].max() == 1
+    for wrong in ({"a": 1.2}, {"a": -0.1}, {"a": 0.3, "other": 0.3}):
+        with pytest.raises(ValueError):
+            mixing.Mix(source=wrong)
+
+
+def test_mixing_odd_rows(spark):
+    rows = [(1, "a b", None, None), (1, "a b", "en", "src0"), (None, None, "en", "src0"), (2, "", "zz", "q"), (3, "x | y", "de", "src0")]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "0.5 AS weight", "'mine' AS topic")
+    got = mixing.mixed(given).collect()
+    assert len(got) == 5 and {r["topic"] for r in got} == {"mine"} and all(0 <= r["probability"] <= 1 and r["selected"] is not None for r in got)
+    assert mixing.mixed(given.limit(0)).count() == 0
+    same = {r["selected"] for r in mixing.mixed(given.filter("doc_id = 1").selectExpr("doc_id", "text", "'en' lang", "'s' source")).collect()}
+    assert len(same) == 1
 
 
 def test_chat_links_orders_and_checks(spark):
@@ -208,7 +226,7 @@ def test_neighbours_against_brute_force(spark):
         d = np.sqrt(((exact - exact[q]) ** 2).sum(1))
         order = [i for i in np.lexsort((np.arange(300), d)) if i != q][:10]
         want |= {(q, k + 1, int(i), round(float(d[i]), 9)) for k, i in enumerate(order)}
-    found = neighbours.nearest(given, given["vec_id"] % 20 == 0, block_rows=64, query_rows=4, groups=3)
+    found = neighbours.nearest(given, given["vec_id"] % 20 == 0, block_rows=64, query_rows=4, groups=3, tile_bytes=256)
     assert {(*tuple(x)[:3], round(x["score"], 9)) for x in found.collect()} == want
 
 
@@ -286,3 +304,61 @@ def test_tiles_link_texts_that_share_no_band():
 def test_bands_miss_few_pairs_at_the_threshold():
     s = ngram_join.Settings()
     assert s.bands * s.rows == 100 and (1 - s.threshold**s.rows) ** s.bands < 1e-5
+
+
+def test_chat_keeps_rows_without_identifiers(spark):
+    rows = [(None, 0, "user", "a b"), (None, 0, "user", "a b"), (1, None, "user", "a b"), (1, None, "assistant", "x"), (1, 0, "user", None), (1, 1, "assistant", None), (2, 3, "system", "s")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("level", chat.F.lit(9))
+    got = sorted((str(r["conv_id"]), str(r["turn"]), r["state"], r["level"]) for r in chat.op7_chat(messages).collect())
+    assert got == [("1", "0", "linked", 0), ("1", "None", "no_call", None), ("1", "None", "no_result", 0), ("None", "0", "no_result", 0), ("None", "0", "no_result", 0)]
+    assert chat.op7_chat(messages.limit(0)).count() == 0
+
+
+def test_neighbours_with_repeated_ids_and_extreme_values(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [5.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 1.0]), (None, [1.0, 0.0])]
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", neighbours.F.lit("clash"))
+    found = sorted(tuple(r) for r in neighbours.nearest(given, given["vec_id"] == 0, k=3).collect())
+    near, far = [(0, 1, 0, 0.0), (0, 2, 1, 0.0), (0, 3, 2, 1.0)], [(0, 1, 0, 4.0), (0, 2, 0, 4.0), (0, 3, 1, 4.0)]
+    assert found == sorted([*near, *near, *far])
+    assert neighbours.nearest(given.limit(0), given["vec_id"] == 0).count() == 0
+    assert neighbours.nearest(given.filter("vec_id = 2"), given["vec_id"] == 2).count() == 0
+    values = [1e200, 1.5e200, -3e200, 1e-200, 3e-200, 1.0, 5e-324, 2.5, 1.7e308, -1.7e308]
+    wide = spark.createDataFrame([(i, [x, 0.0]) for i, x in enumerate(values)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(wide, wide["vec_id"] >= 0, k=9, block_rows=3, query_rows=2, groups=2, tile_bytes=64).collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    assert got == {i: sorted((abs(x - y), j) for j, y in enumerate(values) if j != i) for i, x in enumerate(values)}
+
+
+def test_line_dedup_finds_maximal_repeated_runs(spark):
+    r = random.Random(8)
+    pool = ["a b", "c d e", "f", "g h i j", "k l"] + [f"own{i} w" for i in range(30)]
+    texts = ["\n".join(r.choice(pool[: r.choice([5, 5, 35])]) for _ in range(r.randrange(30))) for _ in range(40)]
+    least = 8
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("gone", line_dedup.F.lit(1)).withColumn("left", line_dedup.F.lit(2))
+    docs = [t.split("\n") for t in texts]
+    places = [(d, p) for d, own in enumerate(docs) for p in range(len(own))]
+    drop = set()
+    for i, (d, p) in enumerate(places):
+        for e, q in places[i + 1 :]:
+            n = 0
+            while p + n < len(docs[d]) and q + n < len(docs[e]) and docs[d][p + n] == docs[e][q + n]:
+                n += 1
+            if sum(len(x.split()) for x in docs[e][q : q + n]) >= least:
+                drop |= {(e, q + k) for k in range(n)}
+    assert len(drop) > 50
+    want = {d: "\n".join(x for p, x in enumerate(own) if (d, p) not in drop) for d, own in enumerate(docs)}
+    got = line_dedup.deduplicated(given, least)
+    assert {x["doc_id"]: x["text"] for x in got.collect()} == want and got.columns[:4] == ["doc_id", "text", "gone", "left"]
+
+
+def test_line_dedup_of_passages_inside_lines_and_odd_rows(spark):
+    r = random.Random(3)
+    words = lambda n: " ".join(f"q{r.randrange(10**6)}" for _ in range(n))
+    passage = "The " + words(19) + ". Next " + words(20) + " Then " + words(15) + "!"
+    first, other = f"{words(30)} {passage} {words(9)}\nend", f"{words(7)} {passage} {words(40)}"
+    rows = [(2, other), (1, first), (2, other), (None, passage), (None, passage), (5, "x " * 60000), (6, None), (7, "")]
+    got = sorted((str(x["doc_id"]), x["text"], x["n_lines_removed"]) for x in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x["text"])
+    # The null id comes first and keeps the passage.
+    keep = lambda t: t.replace(passage + " ", "")
+    assert got == sorted([("None", passage, 0)] * 2 + [("1", keep(first), 3)] + [("2", keep(other), 3)] * 2 + [("5", "x " * 60000, 0)])
