@@ -57,6 +57,38 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2("content", 256).alias("digest"))
 
 
+def artifact_digests(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Adds the stored digest of each version; null where the manifest has none."""
+    return rows.join(manifest.select(*COMBO, "trained_date", "digest"), [*COMBO, "trained_date"], "left")
+
+
+def applied(verdicts: DataFrame, manifest: DataFrame, at: str, merged: bool = True) -> DataFrame:
+    """New activations of promoted challengers, with their basis; none where the change was not merged.
+
+    ``verdicts``: combination, trained_date, rank_ic, champion_rank_ic, promoted.
+    """
+    won = artifact_digests(verdicts.filter(F.col("promoted") & F.lit(merged)), manifest)
+    gain = (F.col("rank_ic") - F.col("champion_rank_ic")).cast("string")
+    basis = F.create_map(F.lit("rank_ic_gain"), gain, F.lit("digest"), F.coalesce("digest", F.lit("")))
+    return won.select(*COMBO, "trained_date", F.lit(at).cast("date").alias("promoted_at"), basis.alias("basis"))
+
+
+def strategies(log: DataFrame) -> DataFrame:
+    """The active strategy of each market and horizon, whatever models are active."""
+    return current(activated(log), ("market", "horizon")).drop("merged", "gate_passed")
+
+
+def activations_of(champions: DataFrame, versions: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """From the champions: new rows of the activation log, of the newest version of each artifact to keep, and of the strategy log.
+
+    A combination without a champion, or an artifact without a version, adds no row.
+    """
+    newest = versions.groupBy(*COMBO).agg(F.max("trained_date").alias("trained_date"))
+    models = persisted(champions).join(newest, [*COMBO]).withColumn("promoted_at", F.lit(at).cast("date"))
+    chosen = champions.filter("champion IS NOT NULL").select("market", "horizon", F.col("champion").alias("strategy"), F.lit(at).cast("date").alias("promoted_at"))
+    return models, chosen
+
+
 def integrity(manifest: DataFrame, found: DataFrame) -> DataFrame:
     """State of each expected or found file: ok, changed, missing or unexpected."""
     both = manifest.withColumnRenamed("digest", "_want").join(found.withColumnRenamed("digest", "_have"), "file_name", "full")

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Open days from trade to settlement, and the currency of each market's dividends.
 SETTLEMENT_DAYS = {"KRX": 2, "US": 1}
 CURRENCY = {"KRX": "KRW", "US": "USD"}
+MARKET_CALENDAR = {"domestic": "KRX", "overseas": "NYSE"}
 PRICES = ("open_price", "high_price", "low_price", "close_price")
 
 
-def calendar_code(b: Column) -> Column:
-    return F.when(b <= 13, "KRX").otherwise("NYSE")
+def with_calendar(rows: DataFrame, universe: DataFrame, calendars: dict[str, str] | None = None) -> DataFrame:
+    """Adds ``calendar_code``, the calendar of the stock's market in the universe; unknown stocks have none.
+
+    ``calendars`` overrides the calendar of a market. The universe has a row per listed stock.
+    """
+    own = F.create_map(*[F.lit(x) for pair in (MARKET_CALENDAR | (calendars or {})).items() for x in pair])
+    members = universe.select("stock_code", F.try_element_at(own, F.col("market")).alias("calendar_code")).distinct()
+    return rows.drop("calendar_code").join(F.broadcast(members), "stock_code", "left")
 
 
 def valid_dividends(events: DataFrame) -> DataFrame:
@@ -21,9 +31,12 @@ def valid_dividends(events: DataFrame) -> DataFrame:
 
 
 def ex_dates(dividends: DataFrame, expanded: DataFrame) -> DataFrame:
-    """Adds ``ex_date``: the stored one, else settlement days less one before the record date, and ``base_date``."""
+    """Adds ``ex_date``: the stored one, else settlement days less one before the record date, and ``base_date``.
+
+    The dividends have their ``calendar_code``; without one, or before the calendar begins, only a stored date counts.
+    """
     cal = F.broadcast(expanded)  # one row per civil day and calendar
-    rows = dividends.withColumn("calendar_code", calendar_code(F.col("b")))
+    rows = dividends
     steps = F.when(F.col("calendar_code") == "KRX", SETTLEMENT_DAYS["KRX"] - 1).otherwise(SETTLEMENT_DAYS["US"] - 1)
     at = cal.select("calendar_code", F.col("cal_date").alias("event_date"), "idx_incl")
     rows = rows.join(at, ["calendar_code", "event_date"], "left").withColumn("target", F.col("idx_incl") - steps)
@@ -43,29 +56,71 @@ def dividends_checked(events: DataFrame, bars: DataFrame, expanded: DataFrame) -
     return rows.withColumn("skip_reason", reason)
 
 
-def _factor_after(bars: DataFrame, events: DataFrame, name: str) -> DataFrame:
-    """Adds the product of the events' factors dated after each row: one window over rows and events, newest first."""
-    rows = bars.withColumns({"_event": F.lit(False), "_factor": F.lit(1.0), "_day": F.unix_date("trade_date")})
-    marks = events.select("stock_code", F.lit(True).alias("_event"), F.col("factor").alias("_factor"), F.unix_date("at").alias("_day"))
+def as_of_dates(bars: DataFrame, as_of: str | None) -> DataFrame:
+    """``stock_code, as_of``: the given date for every stock, or each stock's own last bar."""
+    day = F.max("trade_date") if as_of is None else F.max(F.lit(as_of).cast("date"))
+    return bars.groupBy("stock_code").agg(day.alias("as_of"))
+
+
+Factors = Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame]
+#: By event type: (bars, all events, expanded calendar, as-of dates) -> ``stock_code, at, divide, times``. Prices before
+#: ``at`` are divided by the one and multiplied by the other, volumes are multiplied by ``divide``.
+HANDLERS: dict[str, Factors] = {}
+
+
+def register_handler(event_type: str) -> Callable[[Factors], Factors]:
+    """Makes ``adjust_prices`` apply a further event type."""
+
+    def keep(handler: Factors) -> Factors:
+        HANDLERS[event_type] = handler
+        return handler
+
+    return keep
+
+
+@register_handler("SPLIT")
+def split_factors(bars: DataFrame, events: DataFrame, expanded: DataFrame, as_of: DataFrame) -> DataFrame:
+    """Splits with a rate; unknown and zero rates are rejected."""
+    own = events.filter("event_type = 'SPLIT' AND stock_rate <> 0")
+    return own.select("stock_code", F.col("event_date").alias("at"), F.col("stock_rate").alias("divide"), F.lit(1.0).alias("times"))
+
+
+@register_handler("DIVIDEND")
+def dividend_factors(bars: DataFrame, events: DataFrame, expanded: DataFrame, as_of: DataFrame) -> DataFrame:
+    """Applied dividends; where a stock's splits come first, the base close is divided by the later ones known at the as-of date."""
+    found = dividends_checked(events, bars, expanded).filter("skip_reason IS NULL").join(event_order(events), "stock_code", "left").join(as_of, "stock_code")
+    found = found.select("stock_code", "event_date", "ex_date", "base_date", "base_close", "cash_amount", "split_first", "as_of")
+    splits = split_factors(bars, events, expanded, as_of).select(F.col("stock_code").alias("s"), F.col("at").alias("split_date"), "divide")
+    held = (F.col("stock_code") == F.col("s")) & F.expr("split_first AND split_date > base_date AND split_date <= as_of")
+    keys = ["stock_code", "event_date", "ex_date", "base_close", "cash_amount", "nth"]
+    found = found.withColumn("nth", F.row_number().over(Window.partitionBy(*keys[:-1]).orderBy("split_first")))  # equal events each count
+    each = found.join(splits, held, "left").groupBy(*keys).agg(F.coalesce(F.product("divide"), F.lit(1.0)).alias("rate"))
+    return each.select("stock_code", F.col("ex_date").alias("at"), F.lit(1.0).alias("divide"), (1 - F.col("cash_amount") / (F.col("base_close") / F.col("rate"))).alias("times"))
+
+
+def _adjusted(bars: DataFrame, factors: DataFrame, as_of: DataFrame) -> DataFrame:
+    """Bars with the factors dated after each row: one window over rows and events, newest first."""
+    known = factors.join(as_of, "stock_code").filter(F.col("at") <= F.col("as_of"))
+    rows = bars.withColumns({"_event": F.lit(False), "_divide": F.lit(1.0), "_times": F.lit(1.0), "_day": F.unix_date("trade_date")})
+    marks = known.select("stock_code", F.lit(True).alias("_event"), F.col("divide").alias("_divide"), F.col("times").alias("_times"), F.unix_date("at").alias("_day"))
     both = rows.unionByName(marks, allowMissingColumns=True)
     later = Window.partitionBy("stock_code").orderBy(F.desc("_day")).rangeBetween(Window.unboundedPreceding, -1)
-    out = both.withColumn(name, F.coalesce(F.product("_factor").over(later), F.lit(1.0)))
-    return out.filter("NOT _event").drop("_event", "_factor", "_day")
+    after = lambda name: F.coalesce(F.product(name).over(later), F.lit(1.0))
+    out = both.withColumns({"_d": after("_divide"), "_t": after("_times")}).filter("NOT _event")
+    made = {p: F.col(p) / F.col("_d") * F.col("_t") for p in PRICES} | {"volume": F.col("volume") * F.col("_d")}
+    return out.withColumns(made).drop("_event", "_divide", "_times", "_day", "_d", "_t")
 
 
-def adjust_split(bars: DataFrame, events: DataFrame, as_of: str) -> DataFrame:
+def adjust_split(bars: DataFrame, events: DataFrame, as_of: str | None = None) -> DataFrame:
     """Prices before a split are divided by its rate and volumes multiplied; the event's day stays."""
-    splits = events.filter((F.col("event_type") == "SPLIT") & (F.col("event_date") <= F.lit(as_of).cast("date")) & (F.col("stock_rate") != 0))
-    out = _factor_after(bars, splits.select("stock_code", F.col("event_date").alias("at"), F.col("stock_rate").alias("factor")), "split_factor")
-    return out.withColumns({p: F.col(p) / F.col("split_factor") for p in PRICES} | {"volume": F.col("volume") * F.col("split_factor")})
+    dates = as_of_dates(bars, as_of)
+    return _adjusted(bars, split_factors(bars, events, None, dates), dates)
 
 
-def adjust_dividend(bars: DataFrame, events: DataFrame, expanded: DataFrame, as_of: str) -> DataFrame:
-    """Prices before an ex-date are multiplied by one less the share that the cash has in the base close."""
-    rows = dividends_checked(events, bars, expanded).filter(F.col("skip_reason").isNull() & (F.col("ex_date") <= F.lit(as_of).cast("date")))
-    factors = rows.select("stock_code", F.col("ex_date").alias("at"), (1 - F.col("cash_amount") / F.col("base_close")).alias("factor"))
-    out = _factor_after(bars, factors, "dividend_factor")
-    return out.withColumns({p: F.col(p) * F.col("dividend_factor") for p in PRICES})
+def adjust_dividend(bars: DataFrame, events: DataFrame, expanded: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Prices before an ex-date are multiplied by one less the share that the cash has in the unadjusted base close."""
+    dates = as_of_dates(bars, as_of)
+    return _adjusted(bars, dividend_factors(bars, events.filter("event_type = 'DIVIDEND'"), expanded, dates), dates)
 
 
 def event_order(events: DataFrame) -> DataFrame:
@@ -75,23 +130,22 @@ def event_order(events: DataFrame) -> DataFrame:
     return both.select("stock_code", F.coalesce(F.col("s") < F.col("d"), F.col("d").isNull()).alias("split_first"))
 
 
-def adjust_prices(bars: DataFrame, events: DataFrame, expanded: DataFrame, as_of: str) -> DataFrame:
-    """Both adjustments, each stock's in the order of its first events: a later dividend sees split prices."""
-    order = event_order(events)
-    marked = bars.join(order, "stock_code", "left").withColumn("split_first", F.coalesce("split_first", F.lit(False)))
-    first = adjust_split(marked.filter("split_first"), events, as_of)
-    first = adjust_dividend(first, events, expanded, as_of)
-    last = adjust_split(adjust_dividend(marked.filter("NOT split_first"), events, expanded, as_of), events, as_of)
-    return first.unionByName(last)
-
+def adjust_prices(bars: DataFrame, events: DataFrame, expanded: DataFrame, as_of: str | None = None, handlers: dict[str, Factors] | None = None) -> DataFrame:
+    """All registered adjustments in one pass; without ``as_of`` each stock is adjusted as of its own last bar.
 
-#: Further event types add a function here: (bars, events, expanded calendar, as_of) -> bars.
-HANDLERS = {"SPLIT": lambda b, e, c, a: adjust_split(b, e, a), "DIVIDEND": adjust_dividend}
+    Splits and dividends commute but for the dividends' base closes, so only those follow the order of a
+    stock's first events. Rows of events without a handler, with null rates, cash or dates change nothing.
+    """
+    dates = as_of_dates(bars, as_of)
+    made = [handler(bars, events, expanded, dates) for handler in (HANDLERS if handlers is None else handlers).values()]
+    return _adjusted(bars, reduce(DataFrame.unionByName, made), dates)
 
 
 def skip_audit(events: DataFrame, bars: DataFrame, expanded: DataFrame, size: int = 25) -> DataFrame:
-    """Skipped stocks by reason, in batches."""
-    skipped = dividends_checked(events, bars, expanded).filter("skip_reason IS NOT NULL").select("skip_reason", "stock_code").distinct()
+    """Skipped stocks by reason, in batches; dividends without a cash amount are among them."""
+    skipped = dividends_checked(events, bars, expanded).filter("skip_reason IS NOT NULL").select("skip_reason", "stock_code")
+    unknown = events.filter("event_type = 'DIVIDEND' AND cash_amount IS NULL AND event_subtype <> ''").select(F.lit("no_cash").alias("skip_reason"), "stock_code")
+    skipped = skipped.unionByName(unknown).distinct()
     n = F.row_number().over(Window.partitionBy("skip_reason").orderBy("stock_code"))
     batch = F.floor((n - 1) / size).cast("int")
     grouped = skipped.withColumn("batch", batch).groupBy("skip_reason", "batch").agg(F.array_sort(F.collect_list("stock_code")).alias("codes"))

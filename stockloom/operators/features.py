@@ -45,11 +45,23 @@ def technical(bars: DataFrame) -> DataFrame:
         out[f"ROC_{w}"] = F.try_divide(c, F.lag(c, w).over(series)) - 1
         out[f"MA_{w}"] = _full(F.try_divide(F.avg(c).over(f), c) - 1, "close_price", w)
         out[f"STD_{w}"] = _full(F.try_divide(F.stddev_samp(c).over(f), c), "close_price", w)
-        held = F.collect_list(c).over(f)
+        # The longest frame is collected once; a full frame without nulls is its end.
+        held = F.slice("_held", -F.least(F.lit(w), F.size("_held")), F.lit(w))
         less, same = F.size(F.filter(held, lambda x: x < c)), F.size(F.filter(held, lambda x: x == c))
         out[f"RANK_{w}"] = _full((less + (same + 1) / 2) / w, "close_price", w)
         out[f"CORR_{w}"] = _full(finite(correlation("close_price", "volume", f)), "close_price", w)
-    return bars.withColumns(out)
+    held = F.collect_list(c).over(_frame(max(WINDOWS)))
+    return bars.withColumn("_held", held).withColumns(out).drop("_held")
+
+
+def selected(panel: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
+    """Rows with the label, and the registered features in the panel's order; raw prices and volumes are none."""
+    return panel.filter(F.col(label).isNotNull()), [c for c in panel.columns if c in registry()]
+
+
+def monotone(names: list[str]) -> list[int]:
+    """1 for features derived from prices, 0 for frozen ones; an unknown name is an error."""
+    return [int(classify(n) == "PRICE_DERIVED") for n in names]
 
 
 def supply_demand(flows: DataFrame) -> DataFrame:

@@ -12,6 +12,11 @@ def date_axis(panel: DataFrame) -> DataFrame:
     return days.select("trade_date", (F.row_number().over(Window.orderBy("trade_date")) - 1).alias("idx"))
 
 
+def initial_train_end(n: int, years: int = 10, days: int = 252) -> int:
+    """Where the first fold's history ends so that so many years of folds follow; at least 1."""
+    return max(n - years * days, 1)
+
+
 def purged_split(spark: SparkSession, n: int, gap: int, ratios=(0.70, 0.15, 0.15)) -> DataFrame:
     """Half-open train, val and test ranges with a purge gap between them; rounding is half to even."""
     if abs(sum(ratios) - 1) > 1e-9:
@@ -56,8 +61,43 @@ def expanding_folds(spark: SparkSession, n: int, gap: int, n_folds: int, size: i
     return spark.range(n_folds).select(*[c.cast("int").alias(k) for k, c in columns.items()])
 
 
+def sizes(panel: DataFrame, folds: DataFrame) -> DataFrame:
+    """``fold_index, role, n``: how many rows each fold has, from the number of rows before its dates.
+
+    One aggregate by day; folds are looked up by equal dates, since their bounds lie on the axis.
+    """
+    # As many rows as trading days, so one task may sum them.
+    daily = panel.groupBy("trade_date").agg(F.count(F.lit(1)).alias("own"))
+    upto = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    before = daily.withColumn("before", F.sum("own").over(upto) - F.col("own"))
+    total = daily.agg(F.sum("own").alias("total"))
+    out = folds
+    for name in ("train_end", "val_start", "val_end"):
+        out = out.join(F.broadcast(before.select(F.col("trade_date").alias(name), F.col("before").alias(f"n_{name}"))), name, "left")
+    out = out.join(F.broadcast(total), F.lit(True))
+    val = F.when(F.col("val_end").isNull(), F.col("total")).otherwise(F.col("n_val_end")) - F.col("n_val_start")
+    each = F.explode(F.array(F.struct(F.lit("train").alias("role"), F.col("n_train_end").alias("n")), F.struct(F.lit("val").alias("role"), val.alias("n"))))
+    return out.select("fold_index", each.alias("x")).select("fold_index", "x.role", "x.n").filter("n > 0")
+
+
+def final_train_window(panel: DataFrame, folds: DataFrame) -> DataFrame:
+    """The rows that the last fold trains on; none where there is no fold."""
+    last = folds.agg(F.max_by("train_end", "fold_index").alias("_end"))
+    return panel.join(F.broadcast(last), F.col("trade_date") < F.col("_end")).drop("_end")
+
+
+def on_axis(bounds: DataFrame, axis: DataFrame) -> DataFrame:
+    """Index bounds (``train_end, val_start, val_end``) as dates; past the end only the last may lie (null)."""
+    out = bounds
+    for name in ("train_end", "val_start", "val_end"):
+        out = out.withColumnRenamed(name, "_at").join(F.broadcast(axis.select(F.col("idx").alias("_at"), F.col("trade_date").alias(name))), "_at", "left").drop("_at")
+        if name != "val_end":
+            out = out.withColumn(name, F.when(F.col(name).isNull(), F.raise_error(F.lit(f"{name} is past the end")).cast("date")).otherwise(F.col(name)))
+    return out
+
+
 def slices(panel: DataFrame, folds: DataFrame) -> DataFrame:
-    """Panel rows by fold and role; rows in the purge gap have neither."""
+    """Panel rows by fold and role; rows in the purge gap have neither. For few folds: each repeats its history."""
     role = F.when(F.col("trade_date") < F.col("train_end"), "train").when(
         (F.col("trade_date") >= F.col("val_start")) & (F.col("val_end").isNull() | (F.col("trade_date") < F.col("val_end"))), "val"
     )

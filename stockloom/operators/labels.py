@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockloom.operators.adjustment import calendar_code
+from stockloom.operators.adjustment import with_calendar
 
 HORIZONS = (20, 60)
+#: Open days between train and validation rows of each horizon, and the first day of each market's panel.
+PURGE_GAP = {h: h for h in HORIZONS}
+START_DATES = {"domestic": "2005-01-01", "overseas": "2007-08-20"}
 
 
 def targets(bars: DataFrame, expanded: DataFrame, universe: DataFrame, horizons=HORIZONS) -> DataFrame:
-    """``stock_code, b, trade_date, horizon, target, resolved, reason, close_price`` for every bar and horizon.
+    """``stock_code, trade_date, horizon, target, resolved, reason, halt_days, close_price`` for every bar and horizon.
 
     The target is the horizon-th open day after the bar. A missing target day inside a halt rolls
     forward to the first later bar on an open day, unless the halt is as long as the horizon.
     """
     cal = F.broadcast(expanded)
-    rows = bars.select("stock_code", "b", "trade_date", "close_price").withColumn("calendar_code", calendar_code(F.col("b")))
+    rows = with_calendar(bars.select("stock_code", "trade_date", "close_price"), universe)
     at = cal.select("calendar_code", F.col("cal_date").alias("trade_date"), "idx_incl", "is_open")
     rows = rows.join(at, ["calendar_code", "trade_date"])
     span = Window.partitionBy("stock_code")
@@ -46,13 +49,27 @@ def targets(bars: DataFrame, expanded: DataFrame, universe: DataFrame, horizons=
     )
     met = met.withColumn("reason", reason).withColumn("halt_days", F.when(F.col("target").isNotNull() & (F.col("target") <= F.col("last_obs")) & ~F.coalesce(observed, F.lit(False)), length))
     resolved = F.when(F.col("reason").isNotNull(), F.lit(None)).when(observed, F.col("target")).otherwise(F.col("n_day"))
-    return met.withColumn("resolved", resolved).select("stock_code", "b", "trade_date", "horizon", "target", "resolved", "reason", "halt_days", "close_price")
+    return met.withColumn("resolved", resolved).select("stock_code", "trade_date", "horizon", "target", "resolved", "reason", "halt_days", "close_price")
+
+
+def first_row_per_date(rows: DataFrame, *order: str) -> DataFrame:
+    """The first row of each stock and date in the given order; ties keep any one."""
+    n = F.row_number().over(Window.partitionBy("stock_code", "trade_date").orderBy(*order))
+    return rows.withColumn("_n", n).filter("_n = 1").drop("_n")
+
+
+def from_start(rows: DataFrame, universe: DataFrame, starts: dict[str, str] = START_DATES) -> DataFrame:
+    """Rows of the universe's stocks from the first day of their market on."""
+    own = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])
+    first = universe.select("stock_code", F.try_element_at(own, F.col("market")).cast("date").alias("_start")).distinct()
+    return rows.join(F.broadcast(first), "stock_code").filter(F.col("trade_date") >= F.col("_start")).drop("_start")
 
 
 def split_labels(targets_: DataFrame, bars: DataFrame, events: DataFrame) -> DataFrame:
     """Adds ``label``: the resolved close over the bar's close adjusted for splits up to the target, less one."""
     splits = events.filter("event_type = 'SPLIT'").select("stock_code", "event_date", "stock_rate")
-    later = bars.select("stock_code", F.col("trade_date").alias("resolved"), F.col("close_price").alias("end_close"))
+    # A date that is there twice would multiply rows; its first close counts.
+    later = bars.groupBy("stock_code", F.col("trade_date").alias("resolved")).agg(F.first("close_price").alias("end_close"))
     rows = targets_.join(later, ["stock_code", "resolved"], "left")
     meets = rows.filter("resolved IS NOT NULL").join(splits, "stock_code").filter("event_date > trade_date AND event_date <= target")
     factor = meets.groupBy("stock_code", "trade_date", "horizon").agg(F.product("stock_rate").alias("rate"))

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stockloom.functions.columns import correlation
 
@@ -21,15 +19,34 @@ def ensemble(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.least(a, b)).when((a < 0) & (b < 0), -F.least(F.abs(a), F.abs(b))).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf(T.DoubleType())
-def _normal(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None or v != v else 0.5 * (1 + math.erf(v / math.sqrt(2))))
+#: Terms of the series below, and where its rest is beyond the precision of doubles.
+TERMS, FAR = 80, 7.0
 
 
-def confidence(score: Column, p10: Column, p90: Column) -> Column:
-    """Normal probability of the score's sign; one half for score 0 or quantiles that do not differ."""
+def normal(z: Column) -> Column:
+    """P(Z <= z) of a standard normal variable for z >= 0: 1/2 + density(z) * (z + z^3/3 + z^5/(3*5) + ...)."""
+    square, series = z * z, F.lit(1.0)
+    for k in range(TERMS, 0, -1):
+        series = 1.0 + square / (2.0 * k + 1.0) * series
+    return F.when(z >= FAR, 1.0).otherwise(0.5 + F.exp(square / -2.0) * z * series / math.sqrt(2 * math.pi))
+
+
+def normal_sql(z: str) -> str:
+    """The same in SQL."""
+    series = "1.0"
+    for k in range(TERMS, 0, -1):
+        series = f"(1.0 + {z} * {z} / {2.0 * k + 1.0} * {series})"
+    return f"CASE WHEN {z} >= {FAR} THEN 1.0 ELSE 0.5 + exp({z} * {z} / -2.0) * {z} * {series} / {math.sqrt(2 * math.pi)!r}::DOUBLE END"
+
+
+def confidence(score: Column, p10: Column, p90: Column, strict: bool = False) -> Column:
+    """Normal probability of the score's sign; one half for score 0. Crossing quantiles are swapped.
+
+    Quantiles that do not differ are an error where ``strict``, else they give one half.
+    """
     sigma = (F.greatest(p10, p90) - F.least(p10, p90)) / SPREAD
-    return F.when((score == 0) | (sigma <= 0), F.lit(0.5)).otherwise(_normal(F.try_divide(F.abs(score), sigma)))
+    flat = F.raise_error(F.lit("quantiles do not differ")).cast("double") if strict else F.lit(0.5)
+    return F.when(score == 0, F.lit(0.5)).when(sigma <= 0, flat).otherwise(normal(F.try_divide(F.abs(score), sigma)))
 
 
 def by_algorithm(scores: DataFrame) -> DataFrame:

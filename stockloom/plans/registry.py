@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from stockloom.sources import panels as p
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2000-12-31"
-START = "1996-01-01"
+#: First days of the panel in the given tables, whose dates begin in the nineties.
+START = {"domestic": "1996-01-01", "overseas": "1996-07-01"}
 _RATIOS = {"E": 0.1, "D": 0.2, "C": 0.4, "B": 0.2, "A": 0.1}
 
 
@@ -26,36 +28,45 @@ def _rs(columns: list[str], digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
 
 
+def market(spark: SparkSession, sf: str) -> p.Market:
+    """The inputs of a query; events know the calendar of their stock's market."""
+    m = p.market(spark, sf)
+    return replace(m, events=adjustment.with_calendar(m.events, m.universe))
+
+
 def _expanded(spark: SparkSession, sf: str) -> DataFrame:
     return p.expanded(p.calendar(spark, sf))
 
 
-def _targets(spark: SparkSession, sf: str) -> DataFrame:
-    return labels.targets(p.bars(spark, sf), _expanded(spark, sf), p.universe(spark, sf))
+def _targets(m: p.Market) -> DataFrame:
+    return labels.targets(m.bars, m.expanded, m.universe)
 
 
-def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return labels.split_labels(_targets(spark, sf), p.bars(spark, sf), p.corp_events(spark, sf))
+def _labelled(m: p.Market) -> DataFrame:
+    return labels.split_labels(_targets(m), m.bars, m.events)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Split-adjusted 20-day momentum and the realised 20-day return, with the reason where it is missing."""
-    adjusted = adjustment.adjust_split(p.bars(spark, sf), p.corp_events(spark, sf), AS_OF)
+    m = market(spark, sf)
+    adjusted = adjustment.adjust_split(m.bars, m.events, AS_OF)
     momentum = features.technical(adjusted).select("stock_code", "trade_date", "ROC_20")
-    own = _labelled(spark, sf).filter("horizon = 20").select("stock_code", "trade_date", "label", "reason")
+    own = _labelled(m).filter("horizon = 20").select("stock_code", "trade_date", "label", "reason")
     return _r(momentum.join(own, ["stock_code", "trade_date"], "left"))
 
 
 def _panel(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per stock and day of the graded universe: features on adjusted prices, flows, labels."""
-    members = p.universe(spark, sf).filter(F.col("grade").isin("A", "B")).select("stock_code", "market")
-    bars = p.bars(spark, sf).filter(F.col("trade_date") >= F.lit(START).cast("date")).join(F.broadcast(members), "stock_code", "left_semi")
-    adjusted = adjustment.adjust_prices(bars, p.corp_events(spark, sf), _expanded(spark, sf), AS_OF)
-    rows = features.technical(adjusted).drop("split_factor", "dividend_factor", "split_first")
-    flow = features.supply_demand(p.flows(spark, sf)).drop("total_trading_value", *[f"{i}_net_value" for i in features.INVESTORS])
-    events = p.corp_events(spark, sf)
-    found = adjustment.dividends_checked(events, bars, _expanded(spark, sf))
-    made = labels.all_labels(labels.targets(bars, _expanded(spark, sf), p.universe(spark, sf)), bars, events, found, adjustment.event_order(events))
+    return panel_of(market(spark, sf))
+
+
+def panel_of(m: p.Market, starts: dict[str, str] | None = None) -> DataFrame:
+    """One row per stock and day of the graded universe: features on prices adjusted as of the stock's last bar, flows, labels."""
+    members = m.universe.filter(F.col("grade").isin("A", "B"))
+    bars = labels.from_start(m.bars.drop("b"), members, starts or START)
+    rows = features.technical(adjustment.adjust_prices(bars, m.events, m.expanded))
+    flow = features.supply_demand(m.flows).drop("total_trading_value", *[f"{i}_net_value" for i in features.INVESTORS])
+    found = adjustment.dividends_checked(m.events, bars, m.expanded)
+    made = labels.all_labels(labels.targets(bars, m.expanded, m.universe), bars, m.events, found, adjustment.event_order(m.events))
     wide = made.groupBy("stock_code", "trade_date").agg(
         *[F.max(F.when(F.col("horizon") == h, F.col("label"))).alias(f"label_D{h}") for h in labels.HORIZONS],
         *[F.max(F.when(F.col("horizon") == h, F.col("reason"))).alias(f"label_D{h}_exclude_reason") for h in labels.HORIZONS],
@@ -68,10 +79,14 @@ def _metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _artifacts(spark: SparkSession, sf: str) -> DataFrame:
-    """A file name for each combination and month with orders, and names that are not artifacts."""
+    """File names for each combination and month with orders: models, quantile models, sidecars and broken names."""
     months = p.table(spark, sf, "orders").select(F.date_trunc("month", "o_orderdate").cast("date").alias("d")).distinct()
-    combos = F.explode(F.array(*[F.lit(f"{m}_{h}_{a}_") for m in ("domestic", "overseas") for h in ("D20", "D60") for a in ("lightgbm", "xgboost", "quantile")]))
-    return months.select("d", combos.alias("combo")).select(F.concat("combo", F.date_format("d", "yyyy-MM-dd"), F.lit(".txt")).alias("file_name"))
+    each = lambda *values: F.explode(F.array(*[F.lit(v) for v in values]))
+    rows = months.withColumn("m", each("domestic", "overseas")).withColumn("h", each(20, 60)).withColumn("a", each("lightgbm", "xgboost"))
+    own = registry_tables.file_name(*[F.col(c) for c in "mhad"])
+    quantile = registry_tables.file_name(*[F.col(c) for c in "mhad"], F.lit(0.1))
+    names = [own, F.concat(own, F.lit(".sha256")), F.when(F.col("a") == "lightgbm", quantile), F.replace(own, F.lit("_20_"), F.lit("_D20_")), F.concat(F.lit("README-"), own)]
+    return rows.select(F.explode(F.array_distinct(F.array_compact(F.array(*names)))).alias("file_name"))
 
 
 _TECH = [*features.SHAPES, *(f"{r}_{w}" for r in features.ROLLING for w in features.WINDOWS)]
@@ -137,36 +152,37 @@ FROM (SELECT market, horizon, algorithm, coalesce(rank_ic, 0) AS r, row_number()
 _FLAGS = "SELECT *, coalesce(rolling_mean > 0, false) AS gate1, coalesce(overall_mean > 0, false) AS gate2, coalesce(rolling_icir > 0.10, false) AS gate3 FROM verdict"
 _STABLE = "SELECT *, gate1 AND gate2 AND gate3 AS stabilized FROM flags"
 _METRICS = ["hit_rate", "ic", "rank_ic", "precision", "sharpe", "max_drawdown", "calibration"]
-_ART = """SELECT m || '_' || h || '_' || a || '_' || strftime(d, '%Y-%m-%d') || '.txt' AS file_name, m AS market, h AS horizon, a AS algorithm, d AS trained_date FROM (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS d FROM orders),
-(VALUES ('domestic'), ('overseas')) x(m), (VALUES ('D20'), ('D60')) y(h), (VALUES ('lightgbm'), ('xgboost')) z(a)"""
+_ART = """SELECT m || '_' || h || '_' || a || '_' || strftime(d, '%Y-%m-%d') || CASE a WHEN 'xgboost' THEN '.json' ELSE '.txt' END AS file_name, m AS market, h AS horizon, a AS algorithm, d AS trained_date FROM (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS d FROM orders),
+(VALUES ('domestic'), ('overseas')) x(m), (VALUES (20), (60)) y(h), (VALUES ('lightgbm'), ('xgboost')) z(a)"""
 
 
 def queries() -> dict[str, Query]:
-    tech = lambda s, d: features.technical(p.bars(s, d)).select("stock_code", "trade_date", *_TECH)
-    split = lambda s, d: adjustment.adjust_split(p.bars(s, d), p.corp_events(s, d), AS_OF)
-    checked = lambda s, d: adjustment.dividends_checked(p.corp_events(s, d), p.bars(s, d), _expanded(s, d))
+    tech = lambda m: features.technical(m.bars).select("stock_code", "trade_date", *_TECH)
+    split = lambda m: adjustment.adjust_split(m.bars, m.events, AS_OF)
+    checked = lambda m: adjustment.dividends_checked(m.events, m.bars, m.expanded)
+    on = lambda f: lambda s, d: f(market(s, d))
     verdict = lambda s, d: gates.verdicts(_metrics(s, d))
     versions = lambda s, d: registry_tables.parsed(_artifacts(s, d))
-    fold = lambda s, d: folds.weekly_folds(folds.date_axis(p.bars(s, d)), 20, 500, 5)
+    fold = lambda m: folds.weekly_folds(folds.date_axis(m.bars), 20, 500, 5)
     return {
         "bars": lambda s, d: _r(p.bars(s, d).drop("b"), 9), "calendar": p.calendar, "universe": p.universe, "flows": p.flows,
         "corp_events": lambda s, d: p.corp_events(s, d).drop("b"),
         "c_expanded_calendar": _expanded,
-        "c_ex_dates": lambda s, d: adjustment.ex_dates(adjustment.valid_dividends(p.corp_events(s, d)), _expanded(s, d)).select("stock_code", "event_date", "ex_date"),
-        "a_split": lambda s, d: split(s, d).select("stock_code", "trade_date", "open_price", "high_price", "low_price", "close_price", "volume"),
-        "a_dividends": lambda s, d: _r(checked(s, d).select("stock_code", "ex_date", "cash_amount", "base_close", "skip_reason"), 9),
-        "a_dividend": lambda s, d: _r(adjustment.adjust_dividend(p.bars(s, d), p.corp_events(s, d), _expanded(s, d), AS_OF).select("stock_code", "trade_date", "close_price", "volume"), 9),
-        "a_adjust": lambda s, d: _r(adjustment.adjust_prices(p.bars(s, d), p.corp_events(s, d), _expanded(s, d), AS_OF).select("stock_code", "trade_date", "close_price", "volume")),
-        "a_skip_audit": lambda s, d: adjustment.skip_audit(p.corp_events(s, d), p.bars(s, d), _expanded(s, d)),
-        "f_technical": lambda s, d: _r(tech(s, d)),
+        "c_ex_dates": on(lambda m: adjustment.ex_dates(adjustment.valid_dividends(m.events), m.expanded).select("stock_code", "event_date", "ex_date")),
+        "a_split": on(lambda m: split(m).select("stock_code", "trade_date", "open_price", "high_price", "low_price", "close_price", "volume")),
+        "a_dividends": on(lambda m: _r(checked(m).select("stock_code", "ex_date", "cash_amount", "base_close", "skip_reason"), 9)),
+        "a_dividend": on(lambda m: _r(adjustment.adjust_dividend(m.bars, m.events, m.expanded, AS_OF).select("stock_code", "trade_date", "close_price", F.col("volume").cast("long")), 9)),
+        "a_adjust": on(lambda m: _r(adjustment.adjust_prices(m.bars, m.events, m.expanded, AS_OF).select("stock_code", "trade_date", "close_price", "volume"))),
+        "a_skip_audit": on(lambda m: adjustment.skip_audit(m.events, m.bars, m.expanded)),
+        "f_technical": on(lambda m: _r(tech(m))),
         "f_supply_demand": lambda s, d: _r(features.supply_demand(p.flows(s, d)).select("stock_code", "trade_date", *_FLOW)),
-        "l_targets": lambda s, d: _targets(s, d).select("stock_code", "trade_date", "horizon", "target", "resolved", "reason", "halt_days"),
-        "l_labels": lambda s, d: _r(_labelled(s, d).select("stock_code", "trade_date", "horizon", "label", "reason")),
-        "l_reason_counts": lambda s, d: _targets(s, d).groupBy("horizon", "reason").agg(F.count(F.lit(1)).alias("n")),
+        "l_targets": on(lambda m: _targets(m).select("stock_code", "trade_date", "horizon", "target", "resolved", "reason", "halt_days")),
+        "l_labels": on(lambda m: _r(_labelled(m).select("stock_code", "trade_date", "horizon", "label", "reason"))),
+        "l_reason_counts": on(lambda m: _targets(m).groupBy("horizon", "reason").agg(F.count(F.lit(1)).alias("n"))),
         "p_panel": lambda s, d: _r(_panel(s, d)),
         "p_universe_counts": lambda s, d: p.universe(s, d).groupBy("grade").agg(F.count(F.lit(1)).alias("n")),
-        "g_axis": lambda s, d: folds.date_axis(p.bars(s, d)), "g_weekly_folds": fold,
-        "g_slices": lambda s, d: folds.slices(p.bars(s, d), fold(s, d)).groupBy("fold_index", "role").agg(F.count(F.lit(1)).alias("n")),
+        "g_axis": lambda s, d: folds.date_axis(p.bars(s, d)), "g_weekly_folds": on(fold),
+        "g_slices": on(lambda m: folds.sizes(m.bars, fold(m))),
         "e_ensemble": lambda s, d: _r(p.scores(s, d).groupBy("market", "horizon").agg(F.sum(metrics.ensemble(F.col("score_a"), F.col("score_b"))).alias("total"), F.count(F.lit(1)).alias("n"))),
         "e_confidence": lambda s, d: _r(p.scores(s, d).select("k.*", metrics.confidence(metrics.ensemble(F.col("score_a"), F.col("score_b")), F.col("p10"), F.col("p90")).alias("value"))),
         "e_boundaries": lambda s, d: _r(metrics.grade_boundaries(p.scores(s, d), ["market", "horizon"], _RATIOS)),
@@ -198,7 +214,7 @@ def oracle_sql() -> dict[str, str]:
         "a_split": p.sql("SELECT stock_code, trade_date, o / f AS open_price, h / f AS high_price, l / f AS low_price, c / f AS close_price, v * f AS volume FROM z", "corp_events", z=_SPLIT),
         "a_dividends": p.sql("SELECT stock_code, ex_date, round(cash_amount, 9) AS cash_amount, round(base_close, 9) AS base_close, skip_reason FROM checked", "corp_events", "expanded", **checked),
         "a_dividend": p.sql("SELECT stock_code, trade_date, round(c * f, 9) AS close_price, volume FROM z", "corp_events", "expanded", **checked, z=_DIVIDEND),
-        "a_skip_audit": p.sql("SELECT skip_reason, batch, string_agg(stock_code, ',' ORDER BY stock_code) AS stock_codes FROM (SELECT *, CAST((row_number() OVER (PARTITION BY skip_reason ORDER BY stock_code) - 1) // 25 AS INTEGER) AS batch FROM (SELECT DISTINCT skip_reason, stock_code FROM checked WHERE skip_reason IS NOT NULL)) GROUP BY ALL", "corp_events", "expanded", **checked),
+        "a_skip_audit": p.sql("SELECT skip_reason, batch, string_agg(stock_code, ',' ORDER BY stock_code) AS stock_codes FROM (SELECT *, CAST((row_number() OVER (PARTITION BY skip_reason ORDER BY stock_code) - 1) // 25 AS INTEGER) AS batch FROM (SELECT skip_reason, stock_code FROM checked WHERE skip_reason IS NOT NULL UNION SELECT 'no_cash', stock_code FROM corp_events WHERE event_type = 'DIVIDEND' AND cash_amount IS NULL AND event_subtype <> '')) GROUP BY ALL", "corp_events", "expanded", **checked),
         "f_technical": p.sql(f"SELECT stock_code, trade_date, {_rs(_TECH)} FROM t", "bars", t=_technical_sql()),
         "f_supply_demand": p.sql(f"SELECT stock_code, trade_date, {', '.join(c if '_cum_' in c else f'round({c}, 6) + 0.0 AS {c}' for c in _FLOW)} FROM t", "flows", t=_flow_sql()),
         "l_targets": p.sql("SELECT stock_code, trade_date, horizon, target, resolved, reason, halt_days FROM res", "bars", "expanded", "universe", **_LABEL),
@@ -208,6 +224,7 @@ def oracle_sql() -> dict[str, str]:
         "g_axis": p.sql("SELECT * FROM axis", "bars", **axis), "g_weekly_folds": p.sql("SELECT * FROM fold", "bars", **weekly),
         "g_slices": p.sql("SELECT fold_index, CASE WHEN trade_date < train_end THEN 'train' ELSE 'val' END AS role, count(*) AS n FROM bars JOIN fold ON trade_date < train_end OR (trade_date >= val_start AND (val_end IS NULL OR trade_date < val_end)) GROUP BY ALL", "bars", **weekly),
         "e_ensemble": p.sql("SELECT market, horizon, round(sum(score), 6) AS total, count(*) AS n FROM long WHERE algorithm = 'ensemble' GROUP BY ALL", "scores", long=_LONG),
+        "e_confidence": p.sql("SELECT k[1] AS l_orderkey, k[2] AS l_linenumber, k[3] AS l_partkey, k[4] AS l_suppkey, k[5] AS l_extendedprice, round(CASE WHEN s = 0 OR w <= 0 THEN 0.5 ELSE n END, 6) + 0.0 AS value FROM q", "scores", long=_LONG, w0=f"SELECT l.k, l.score AS s, (greatest(p10, p90) - least(p10, p90)) / {metrics.SPREAD}::DOUBLE AS w FROM long l JOIN scores USING (k) WHERE algorithm = 'ensemble'", w1="SELECT *, abs(s) / nullif(w, 0) AS z FROM w0", q=f"SELECT *, {metrics.normal_sql('z')} AS n FROM w1"),
         "e_boundaries": p.sql("SELECT market, horizon, " + ", ".join(f"round(quantile_cont(ret, {c}), 6) + 0.0 AS b{i + 1}" for i, c in enumerate((0.1, 0.3, 0.7, 0.9))) + " FROM scores GROUP BY ALL", "scores"),
         "e_winsorize": p.sql("SELECT market, horizon, round(min(r), 6) + 0.0 AS low, round(max(r), 6) + 0.0 AS high, round(avg(r), 6) + 0.0 AS mean FROM (SELECT market, horizon, least(greatest(ret, a), z) AS r FROM scores JOIN (SELECT market, horizon, quantile_cont(ret, 0.01) AS a, quantile_cont(ret, 0.99) AS z FROM scores GROUP BY ALL) USING (market, horizon)) GROUP BY ALL", "scores"),
         "m_backtest": p.sql(f"SELECT market, horizon, algorithm, fold_index, {_rs(_METRICS)} FROM met", "scores", **_ALL),

@@ -71,7 +71,9 @@ def test_ensemble_and_confidence(spark):
 def test_stale_at_more_than_28_days(spark):
     from pyspark.sql import functions as F
 
-    names = spark.createDataFrame([("domestic_D20_lightgbm_2026-01-01.txt",), ("domestic_D20_quantile_2026-01-01.txt",)], "file_name string")
+    own = "domestic_20_lightgbm_2026-01-01"
+    broken = [f"{own}_q10.txt", f"{own}.txt.sha256", "domestic_D20_lightgbm_2026-01-01.txt", "domestic_20_lightgbm_2026-13-41.txt", "README.md", own]
+    names = spark.createDataFrame([(f"{own}.txt",), *((x,) for x in broken)], "file_name string")
     versions = registry_tables.parsed(names)
     flags = [registry_tables.stale(versions, F.lit(d).cast("date")).collect()[0]["is_stale"] for d in ("2026-01-29", "2026-01-30")]
     assert flags == [False, True] and versions.count() == 1
