@@ -219,9 +219,12 @@ def _adjusted(as_of: str) -> dict[str, str]:
     return dict(lasts="SELECT stock_code, max(trade_date) AS last FROM bars GROUP BY 1", z=split, ex=r._EX, ord=_ORD, applied=_APPLIED, q=both, known=known, adj=adj)
 
 
+_LOGS = ", ".join(f"round(ln({c}), 6) + 0.0 AS log_{c}" for c in adjustment.PRICES)
+
+
 def adjusted_sql() -> str:
-    """Prices after splits and dividends."""
-    return p.sql("SELECT stock_code, trade_date, round(close_price, 6) + 0.0 AS close_price, round(volume, 6) + 0.0 AS volume FROM adj", "corp_events", "expanded", **_adjusted(f"DATE '{r.AS_OF}'"))
+    """Prices after splits and dividends, as logarithms."""
+    return p.sql(f"SELECT stock_code, trade_date, {_LOGS}, round(volume, 6) + 0.0 AS volume FROM adj", "corp_events", "expanded", **_adjusted(f"DATE '{r.AS_OF}'"))
 
 
 def panel_sql(select: str) -> str:
@@ -248,7 +251,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "flagship": p.sql("SELECT m.stock_code, m.trade_date, round(roc, 6) + 0.0 AS ROC_20, round(up - 1, 6) + 0.0 AS label, reason FROM mom m LEFT JOIN ups u ON u.stock_code = m.stock_code AND u.trade_date = m.trade_date AND horizon = 20", "bars", "expanded", "universe", "corp_events", **r._LABEL, z=r._SPLIT, mom=momentum, ups=_SPLIT_LABEL),
         "a_adjust": adjusted_sql(),
-        "p_panel": panel_sql("SELECT stock_code, trade_date, " + r._rs(["open_price", "high_price", "low_price", "close_price", "volume", *r._TECH, *(c for c in r._FLOW if "_cum_" not in c), *(f"label_D{h}" for h in labels.HORIZONS)]) + ", " + ", ".join([c for c in r._FLOW if "_cum_" in c] + [f"label_D{h}_exclude_reason" for h in labels.HORIZONS]) + " FROM panel"),
+        "p_panel": panel_sql("SELECT stock_code, trade_date, " + _LOGS + ", " + r._rs(["volume", *r._TECH, *(c for c in r._FLOW if "_cum_" not in c), *(f"label_D{h}" for h in labels.HORIZONS)]) + ", " + ", ".join([c for c in r._FLOW if "_cum_" in c] + [f"label_D{h}_exclude_reason" for h in labels.HORIZONS]) + " FROM panel"),
         "l_labels_all": p.sql("SELECT stock_code, trade_date, horizon, round(up / coalesce(d, 1) - 1, 6) + 0.0 AS label, reason FROM ups LEFT JOIN (SELECT stock_code, trade_date, horizon, product(q) AS d FROM each GROUP BY ALL) USING (stock_code, trade_date, horizon)", "bars", "expanded", "universe", "corp_events", **ex, **r._LABEL, ups=_SPLIT_LABEL, each=_EACH),
         "p_batches": p.sql("SELECT market, CAST(n // 25 AS INTEGER) AS batch, string_agg(stock_code, ',' ORDER BY stock_code) AS stock_codes FROM (SELECT market, stock_code, row_number() OVER (PARTITION BY market ORDER BY stock_code) - 1 AS n FROM (SELECT DISTINCT stock_code FROM bars) JOIN universe USING (stock_code)) GROUP BY ALL", "bars", "universe"),
         "p_label_counts": p.sql("SELECT market, horizon, coalesce(reason, 'usable') AS reason, count(*) AS n FROM res JOIN universe USING (stock_code) GROUP BY ALL", "bars", "expanded", "universe", **r._LABEL),

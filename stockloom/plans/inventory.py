@@ -173,7 +173,7 @@ def refit(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, r.Query]:
     return {
-        "s_scan_bars": lambda s, d: r._r(scans.scan_bars(p.bars(s, d), p.stocks(s, d).filter("asset_type = 'STOCK'"), *RANGE).select("stock_code", "trade_date", "close_price")),
+        "s_scan_bars": lambda s, d: r._r(scans.scan_bars(p.bars(s, d), p.stocks(s, d).filter("asset_type = 'STOCK'"), *RANGE).select("stock_code", "trade_date", "close_price"), 9),
         "s_scan_universe": _universe, "s_market_data": _market_data, "s_cast_decimals": _decimals, "s_by_stock": _by_stock,
         "s_panel_cache": _panel_cache, "s_fold_metrics": _fold_metrics, "s_model_metadata": _model_metadata,
         "c_nth_open": _nth_open, "f_selected": _selected, "l_first_rows": _first_rows,
@@ -200,7 +200,7 @@ def oracle_sql() -> dict[str, str]:
     versions = dict(versions=campaign._VERSIONS)
     verdicts = f"SELECT v.*, q.rank_ic, q.champion_rank_ic, q.promoted FROM versions v JOIN ({based['j_promotions'].replace('round(a.rank_ic, 6) + 0.0', 'a.rank_ic').replace('round(b.rank_ic, 6) + 0.0', 'b.rank_ic')}) q ON q.market = v.market AND q.horizon = v.horizon AND q.fold_index = year(trained_date) * 12 + month(trained_date) WHERE v.algorithm = 'xgboost'"
     return {
-        "s_scan_bars": p.sql(f"SELECT stock_code, trade_date, round(close_price, 6) + 0.0 AS close_price FROM bars JOIN stocks USING (stock_code) WHERE asset_type = 'STOCK' AND trade_date BETWEEN '{RANGE[0]}' AND '{RANGE[1]}'", "bars", "stocks"),
+        "s_scan_bars": p.sql(f"SELECT stock_code, trade_date, round(close_price, 9) + 0.0 AS close_price FROM bars JOIN stocks USING (stock_code) WHERE asset_type = 'STOCK' AND trade_date BETWEEN '{RANGE[0]}' AND '{RANGE[1]}'", "bars", "stocks"),
         "s_scan_universe": p.sql(stock, "stocks", "universe"),
         "s_market_data": p.sql(f"SELECT 'bars' AS kind, count(*) AS n FROM bars WHERE trade_date <= '{r.AS_OF}' AND stock_code IN (SELECT stock_code FROM own) UNION ALL SELECT 'events', count(*) FROM corp_events WHERE stock_code IN (SELECT stock_code FROM own) UNION ALL SELECT 'flows', count(*) FROM flows WHERE stock_code IN (SELECT stock_code FROM own)", "bars", "corp_events", "flows", "stocks", "universe", own=f"SELECT * FROM ({stock}) WHERE market = 'overseas'"),
         "s_cast_decimals": "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS DOUBLE) AS price, CAST(o_custkey AS DOUBLE) AS volume FROM orders",

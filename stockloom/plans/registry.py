@@ -24,6 +24,11 @@ def _r(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[rounded(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _logs(df: DataFrame) -> DataFrame:
+    """Prices as logarithms: many adjusted prices end in a 5, which engines round up or down; their logarithms do not."""
+    return df.select(*[F.ln(c).alias(f"log_{c}") if c in adjustment.PRICES else F.col(c) for c in df.columns])
+
+
 def _rs(columns: list[str], digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
 
@@ -172,14 +177,14 @@ def queries() -> dict[str, Query]:
         "a_split": on(lambda m: split(m).select("stock_code", "trade_date", "open_price", "high_price", "low_price", "close_price", "volume")),
         "a_dividends": on(lambda m: _r(checked(m).select("stock_code", "ex_date", "cash_amount", "base_close", "skip_reason"), 9)),
         "a_dividend": on(lambda m: _r(adjustment.adjust_dividend(m.bars, m.events, m.expanded, AS_OF).select("stock_code", "trade_date", "close_price", F.col("volume").cast("long")), 9)),
-        "a_adjust": on(lambda m: _r(adjustment.adjust_prices(m.bars, m.events, m.expanded, AS_OF).select("stock_code", "trade_date", "close_price", "volume"))),
+        "a_adjust": on(lambda m: _r(_logs(adjustment.adjust_prices(m.bars, m.events, m.expanded, AS_OF).select("stock_code", "trade_date", *adjustment.PRICES, "volume")))),
         "a_skip_audit": on(lambda m: adjustment.skip_audit(m.events, m.bars, m.expanded)),
         "f_technical": on(lambda m: _r(tech(m))),
         "f_supply_demand": lambda s, d: _r(features.supply_demand(p.flows(s, d)).select("stock_code", "trade_date", *_FLOW)),
         "l_targets": on(lambda m: _targets(m).select("stock_code", "trade_date", "horizon", "target", "resolved", "reason", "halt_days")),
         "l_labels": on(lambda m: _r(_labelled(m).select("stock_code", "trade_date", "horizon", "label", "reason"))),
         "l_reason_counts": on(lambda m: _targets(m).groupBy("horizon", "reason").agg(F.count(F.lit(1)).alias("n"))),
-        "p_panel": lambda s, d: _r(_panel(s, d)),
+        "p_panel": lambda s, d: _r(_logs(_panel(s, d))),
         "p_universe_counts": lambda s, d: p.universe(s, d).groupBy("grade").agg(F.count(F.lit(1)).alias("n")),
         "g_axis": lambda s, d: folds.date_axis(p.bars(s, d)), "g_weekly_folds": on(fold),
         "g_slices": on(lambda m: folds.sizes(m.bars, fold(m))),

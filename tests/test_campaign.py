@@ -17,8 +17,8 @@ def test_adjusted_prices_match_sql(spark):
     con = duckdb.connect()
     for name in ("lineitem", "part"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
-    want = {(c, d): x for c, d, x, _ in con.execute(campaign.adjusted_sql()).fetchall()}
-    got = {(r[0], r[1]): r["close_price"] for r in registry.queries()["a_adjust"](spark, SF).collect()}
+    want = {(c, d): x for c, d, *_, x, _ in con.execute(campaign.adjusted_sql()).fetchall()}
+    got = {(r[0], r[1]): r["log_close_price"] for r in registry.queries()["a_adjust"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
 
 
