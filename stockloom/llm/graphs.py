@@ -13,8 +13,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternates large-star and small-star steps, whose number grows with the logarithm of the graph.
     Each step is two aggregations and joins on one node column; a hub's edges are reduced to their
-    minimum before they are shuffled, and Spark may split its side of a join. Every step is written to
-    the shared folder. Edges with a null end and loops are ignored; the nodes are compared by order.
+    minimum before they are shuffled. The minima are written before they are joined, so that Spark may
+    split a hub's edges over tasks. Every step is written to the shared folder. Edges with a null end and loops are ignored; the nodes are compared by order.
     """
     spark = edges.sparkSession
     base = shared_dir(spark, name)
@@ -27,16 +27,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         step += 1
         both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).unionAll(now.select(F.col("u").alias("x"), F.col("v").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m"))
-        least = least.select("x", F.least("x", "m").alias("m"))
+        least = written(least.select("x", F.least("x", "m").alias("m")), f"{base}/{step}-least")
         # Large star: larger neighbours go to the least node of the neighbourhood.
         large = both.join(least, "x").filter("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
         large = written(large, f"{base}/{step}-large")
         # Small star: smaller neighbours and the node itself go to the least of them.
-        smallest = large.groupBy("v").agg(F.min("u").alias("m"))
+        smallest = written(large.groupBy("v").agg(F.min("u").alias("m")), f"{base}/{step}-smallest")
         small = large.join(smallest, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u")
         now = written(small.unionAll(smallest.select("v", F.col("m").alias("u"))).distinct(), f"{base}/{step}")
-        removed(spark, f"{base}/{step}-large")
-        removed(spark, f"{base}/{step - 1}")
+        for done in (f"{step}-least", f"{step}-large", f"{step}-smallest", f"{step - 1}"):
+            removed(spark, f"{base}/{done}")
     roots = now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionAll(roots)
 

@@ -214,7 +214,7 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     texts = written(texts, f"{base}/texts")
     banded = texts.filter("n_shingles > 0").select("text_key", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("text_key").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "a")
-    starts = banded.join(heads, "band").select("a", F.col("text_key").alias("b")).filter("a <> b").distinct()
+    starts = banded.join(written(heads, f"{base}/heads"), "band").select("a", F.col("text_key").alias("b")).filter("a <> b").distinct()
     blocks = written(components(starts, "blocks"), f"{base}/blocks")
     members = blocks.select(F.col("node").alias("text_key"), F.col("root").alias("block"))
     sized = texts.select("text_key", "first", "copies", "n_shingles", "signature").join(members, "text_key")
@@ -266,13 +266,14 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     roots = roots.select(F.col("node").alias("text_key"), "root")
     grouped = texts.select("text_key", "copies", "first").join(roots, "text_key", "left").join(counts, "text_key", "left")
     grouped = grouped.withColumn("root", F.coalesce("root", "text_key"))
-    firsts = grouped.groupBy("root").agg(F.min("first").alias("class_first"))
+    grouped = written(grouped, f"{base}/grouped")
+    firsts = written(grouped.groupBy("root").agg(F.min("first").alias("class_first")), f"{base}/firsts")
     named = grouped.join(firsts, "root").select(
         "text_key", "class_first", F.col("copies").alias("n_copies"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"),
         (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     named = written(named, f"{base}/named")
-    for done in ("texts", "members", "blocks", "links", "large"):
+    for done in ("texts", "members", "blocks", "links", "large", "heads", "grouped", "firsts"):
         removed(spark, f"{base}/{done}")
     is_first = F.col("doc_id").eqNullSafe(F.col("class_first.doc_id")) & (F.col("row_key").eqNullSafe(F.col("class_first.row_key")))
     return rows.select("doc_id", "row_key", "text_key").join(named, "text_key").select(
