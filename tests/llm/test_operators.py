@@ -231,20 +231,63 @@ def test_neighbours_against_brute_force(spark):
 
 
 def test_pipeline_stages(spark):
+    """Each stage's rows, on its own input, against SQL over the same rows; toxicity against its scores and the labels."""
     import corpus_pipeline
+    import duckdb
 
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, docs, folder)
         assert kept.columns == docs.columns
         kept = spark.createDataFrame(kept.collect(), docs.schema)
-        assert 0.3 * docs.count() < kept.count() <= docs.count(), name
+        con = duckdb.connect()
+        con.register("documents", docs.toPandas())
+        got = {r["doc_id"]: r["text"] for r in kept.collect()}
+        given = {r["doc_id"]: r["text"] for r in docs.collect()}
+        assert len(got) == kept.count()
+        if name == "toxicity":
+            # Two hundred documents are too few to learn from; the next test has a thousand.
+            assert got.items() <= given.items() and all(i in got for i in given if labels.get(i) == 0)
+        elif name == "line_dedup":
+            rows = con.execute(line_dedup.ORACLE_SQL).df()
+            assert got == {r.doc_id: r.text for r in rows.itertuples() if not (r.n_lines_removed > 0 and r.words_left == 0)}
+            assert all(r["n_chars"] == len(r["text"]) for r in kept.collect() if r["text"] != given[r["doc_id"]])
+        elif name == "ngram_join":
+            rows = con.execute(ngram_join.ORACLE_SQL).df()
+            assert got == {i: given[i] for i in rows[rows["doc_id"] == rows["class_id"]]["doc_id"].tolist()}
+        else:
+            rows = con.execute(mixing.oracle()).df()
+            assert got == {i: given[i] for i in rows[rows["selected"]]["doc_id"].tolist()} and len(got) > 0.3 * len(given)
         docs = kept
     want = sum(len(_ids(r["text"])) + 1 for r in docs.collect())
     assert sum(r["length"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()) == want
 
 
+def test_pipeline_rejects_toxic_documents_alone(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r["doc_id"] for r in corpus_pipeline.reject_toxic(spark, docs, folder).collect()}
+    toxic, clean = ([r["doc_id"] for r in labels.filter(f"toxic = {x}").collect()] for x in (1, 0))
+    # Some labels mark documents without any toxic word; about forty toxic ones are there to learn from.
+    assert sum(i not in kept for i in toxic) >= 0.6 * len(toxic) and all(i in kept for i in clean)
+
+
+def test_pipeline_stages_with_odd_rows(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b", None, None, 3), (1, "a b", "en", "s", 3), (None, None, None, None, None), (2, "", "en", "src0", 0), (None, "x y", "zz", "s", 3)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for docs in (given, given.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[1:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == given.columns
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() <= 5
+
+
 def test_chat_levels_follow_needs_in_every_conversation(spark):
     # 1: a chain and a branch, all earlier; 2: the same chain beside a late need; 3: a need twice, a null one, one that names no call.
     chain = [("a", 1, []), ("b", 3, ["a"]), ("c", 5, ["b", "a"]), ("d", 7, [])]
@@ -362,3 +405,111 @@ def test_line_dedup_of_passages_inside_lines_and_odd_rows(spark):
     # The null id comes first and keeps the passage.
     keep = lambda t: t.replace(passage + " ", "")
     assert got == sorted([("None", passage, 0)] * 2 + [("1", keep(first), 3)] + [("2", keep(other), 3)] * 2 + [("5", "x " * 60000, 0)])
+
+
+def test_marginals_equal_enumeration():
+    import itertools
+
+    r = np.random.default_rng(6)
+    sizes = [3, 1, 5, 2, 6]
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    lean = r.normal(0, 2, len(sentence))
+    model = toxicity.Field(np.zeros(1), r.normal(0, 1, (2, 2)), -0.7, np.zeros(3), 0.0, 1)
+    got = toxicity.Chains(sentence).marginals(lean, model)[0]
+    for i, n in enumerate(sizes):
+        own, total, one = lean[sentence == i], 0.0, np.zeros(n)
+        for tags in itertools.product((0, 1), repeat=n):
+            weight = np.exp(own @ np.asarray(tags) + model.start * tags[0] + sum(model.transition[a, b] for a, b in zip(tags, tags[1:])))
+            total, one = total + weight, one + weight * np.asarray(tags)
+        assert got[sentence == i] == pytest.approx(one / total, rel=1e-9)
+
+
+def test_toxicity_finds_held_out_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    given, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.op5_toxicity(given, labels).join(labels, "doc_id").filter("held_out").collect()
+    toxic, clean = [r for r in rows if r["toxic"]], [r for r in rows if not r["toxic"]]
+    # About one in seven of the labels marks a document without any toxic word.
+    assert len(toxic) > 10 and sum(r["predicted"] for r in toxic) >= 0.8 * len(toxic) and sum(r["predicted"] for r in clean) <= 0.01 * len(clean)
+
+
+def test_toxicity_with_null_and_repeated_labels(spark, odd):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (4, None), (5, 0)], "doc_id long, toxic int")
+    rows = toxicity.op5_toxicity(odd, labels).collect()
+    assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows) and toxicity.sample(odd, labels)[1] == [0, 1]
+
+
+def _signature(form, text):
+    """The fingerprint in plain whole numbers, from its definition."""
+    full = 1 << 64
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % full
+        return x ^ x >> 31
+
+    if not text:
+        return [0] * form.tuples
+    k, seen, kmers, numbered = min(form.k, len(text)), {}, [], []
+    for i in range(len(text) - k + 1):
+        h = 0
+        for c in text[i : i + k]:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c)) % full
+        kmers.append(mix((h + k) % full))
+        nth = seen[kmers[-1]] = seen.get(kmers[-1], -1) + 1
+        numbered.append(mix((kmers[-1] + nth * 0xD1B54A32D192ED03) % full))
+    out = []
+    for factor in form._factors()[:, 0].tolist():
+        least = sorted(range(len(numbered)), key=lambda i: (factor * numbered[i] % full, i))[: form.picked]
+        entry = len(least)
+        for i in sorted(least):
+            entry = mix((entry * 0x9E3779B97F4A7C15 + kmers[i]) % full)
+        out.append(entry >> 32)
+    return out
+
+
+def test_fingerprints_equal_their_definition():
+    form, r = fingerprints.OrderMinHash(tuples=8), random.Random(9)
+    texts = ["", "a", "ab" * 40, "é😀x" * 7, "".join(r.choice("ab ") for _ in range(300))]
+    for text in texts:
+        assert form.signature(text).tolist() == _signature(form, text)
+
+
+def test_ngram_join_with_odd_rows(spark):
+    words = " ".join(f"w{i}" for i in range(3000))
+    rows = [(None, words), (None, words), (3, words + " z"), (4, None), (4, None), (5, ""), (6, "x " * 50000)]
+    given = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_kept_id", ngram_join.F.lit(1)).withColumn("rows", ngram_join.F.lit(2))
+    got = sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in ngram_join.classes(given).collect())
+    assert got == sorted([("None", "3", 2)] * 2 + [("3", "3", 2)] + [("4", "4", 2)] * 2 + [("5", "4", 2), ("6", "6", 0)])
+    kept = ngram_join.one_of_each_class(given)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "6"] and kept.columns == given.columns
+    assert ngram_join.classes(given.limit(0)).count() == 0
+
+
+def test_empty_tables_and_other_columns(spark, odd):
+    none = odd.limit(0)
+    assert packing.op2_packing(none).count() == sequences.op3_token_files(spark, none).count() == fingerprints.op8_fingerprints(none).count() == 0
+    clash = odd.selectExpr("*", "1 AS start", "2 AS ids", "3 AS shard")
+    key = lambda rows: sorted(map(str, rows))
+    assert key(sequences.op3_token_files(spark, clash).collect()) == key(sequences.op3_token_files(spark, odd).collect())
+    assert sum(r["length"] for r in packing.op2_packing(clash).collect()) == sum(len(_ids(t)) + 1 for _, t in ODD)
+
+
+def test_session_setting_is_left_as_it_was(spark, odd):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    packing.op2_packing(odd).count()
+    assert spark.conf.get(name) == before
+
+
+def test_recall_of_links_near_the_threshold():
+    """Links of generated pairs at and little above 0.8 that share a band and pass the pruning."""
+    s = ngram_join.Settings()
+    factors = np.random.default_rng(s.seed).integers(0, 1 << 64, (s.bands * s.rows, 1), np.uint64) | np.uint64(1)
+    r, found, pairs = np.random.default_rng(12), 0, 1500
+    for _ in range(pairs):
+        union = np.unique(r.integers(0, 1 << 63, 100).astype(np.uint64))
+        a, b = (ngram_join.minhash(ngram_join._mix(x), factors) for x in (union[:90], union[10:]))
+        same = a == b
+        found += bool(same.reshape(s.bands, s.rows).all(1).any() and all(same[:n].sum() >= m for n, m in ngram_join.least_matches(s)))
+    assert found >= 0.998 * pairs
