@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,13 +69,17 @@ def walk_forward(panel: DataFrame, cuts: DataFrame, features: list[str], label:
 
 
 def isolated(spark: SparkSession, combos: list[tuple[str, int]], run: Callable[[str, int], DataFrame]) -> tuple[DataFrame | None, DataFrame]:
-    """Rows of the combinations that end well, and a status row for every one; a failure stops no other."""
+    """Rows of the combinations that end well, and a status row for every one.
+
+    What data can cause (errors of Spark, of values and of arithmetic) stops no other combination; any
+    other error is a mistake of the program and is raised.
+    """
     made, status = [], []
     for market, horizon in combos:
         try:
             made.append(run(market, horizon).select(F.lit(market).alias("market"), F.lit(horizon).alias("horizon"), "*"))
             status.append((market, horizon, "success", None))
-        except Exception as error:  # noqa: BLE001 - recorded in the run table
+        except (PySparkException, ValueError, ArithmeticError) as error:
             status.append((market, horizon, "error", f"{type(error).__name__}: {error}"[:500]))
     return (reduce(DataFrame.unionByName, made) if made else None), spark.createDataFrame(status, STATUS)
 
