@@ -1,9 +1,10 @@
 r"""Line dedup: a suffix array over line-ID sequences by distributed prefix doubling.
 
-A document is the sequence of its lines; a line of at least ``min_words`` words is cut further where
+A document is the sequence of its lines; a line with spaces for ``min_words`` words is cut further where
 a sentence begins, so that a passage inside a long line is found too. A sentence begins at a word
 after a single space if the word before ends with ``.``, ``!`` or ``?`` or the word itself begins with
-a capital letter; never between two equal words. Lines without words belong to the one before. A
+a capital letter; never at a word in capitals (its first two letters), nor between two equal words, so
+that shouted lines and repeated words do not fall apart. Lines without words belong to the one before. A
 line's (or sentence's) id is a 128-bit hash of it without surrounding white space.
 
 Ranks of the suffixes by their first h lines come from the ranks at h / 2 by sorting pairs of ranks
@@ -26,6 +27,8 @@ all get its text. Extra columns of any name are kept. An empty table gives no ro
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,31 +40,41 @@ from stockloom.llm.common import as_row, row_columns, row_key, shared_dir, writt
 MIN_WORDS = 50
 #: Where a line begins: after a break, unless only white space is left of the line.
 LINE = r"(?<=\n)(?=[^\n])(?![ \t\r]*(?:\n|\z))"
-#: Where a sentence begins; equal words are recognised up to 60 characters.
-SENTENCE = r"(?<= )(?=\p{Lu}|(?<=[.!?] )[^ \n])(?!(?<=(?:^|\s)(\S{1,60}) )\1(?:\s|$))"
+#: The space before a sentence; equal words are recognised up to 60 characters.
+SENTENCE = r" (?=\p{Lu}(?!\p{Lu})|(?<=[.!?] )(?!\p{Lu}\p{Lu})[^ \n])(?!(?<=(?:^|\s)(\S{1,60}) )\1(?:\s|$))"
 BLANK = " \n\t\r"
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\S+"))
+def _spaces(text: Column) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
 
 
 def units(text: Column, min_words: int = MIN_WORDS) -> Column:
-    """The lines, long ones as sentences; joined together they are the text."""
-    # A line with so many words has a space between every two of them.
-    long = lambda x: (F.length(x) >= 2 * min_words - 1) & (_words(x) >= min_words)
-    return F.flatten(F.transform(F.split(text, LINE, -1), lambda x: F.when(long(x), F.split(x, SENTENCE, -1)).otherwise(F.array(x))))
+    """The lines, long ones as sentences, each with the white space behind it; joined together they are the text."""
+
+    def cut(line: Column) -> Column:
+        parts = F.split(line, SENTENCE, -1)
+        last = F.size(parts) - 1
+        spaced = F.transform(parts, lambda x, i: F.when(i < last, F.concat(x, F.lit(" "))).otherwise(x))
+        return F.when(_spaces(F.substring_index(line, "\n", 1)) >= min_words - 1, spaced).otherwise(F.array(line))
+
+    return F.flatten(F.transform(F.split(text, LINE, -1), cut))
 
 
 def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, row_key, lines``: of each document the lines that have words, with two hashes for an id."""
-    own = F.transform(
-        units(F.col("text"), min_words),
-        lambda x, i: F.struct(
-            i.alias("place"), _words(x).alias("n_words"), F.xxhash64(F.trim(x, F.lit(BLANK))).alias("l1"), F.xxhash64(F.lit("second"), F.trim(x, F.lit(BLANK))).alias("l2")
-        ),
-    )
-    return docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.filter(own, lambda x: x["n_words"] > 0).alias("lines"))
+    """``doc_id, row_key, lines``: of each document the lines that have words, with two hashes for an id.
+
+    They are numbered as ``units`` are, but for a first one without words.
+    """
+    cut = F.transform(F.split("text", "\n", -1), lambda x: F.when(_spaces(x) >= min_words - 1, F.split(x, SENTENCE, -1)).otherwise(F.array(x)))
+    own = F.filter(F.transform(F.flatten(cut), lambda x: F.trim(x, F.lit(BLANK))), lambda x: x != "")
+    # Where all white space is single spaces and breaks, a line's words follow from its spaces.
+    odd = reduce(lambda a, b: a | b, [F.contains("text", F.lit(x)) for x in ("  ", "\t", "\r", "\f", "\v")])
+    words = lambda x, odd: F.when(odd, F.regexp_count(x, F.lit(r"\S+"))).otherwise(_spaces(x) + 1)
+    line = lambda odd: lambda x, i: F.struct(i.alias("place"), words(x, odd).alias("n_words"), F.xxhash64(x).alias("l1"), F.xxhash64(F.lit("second"), x).alias("l2"))
+    # As a lambda's argument, a text is looked at once and not again for each line.
+    own = F.element_at(F.transform(F.array(odd), lambda odd: F.transform(own, line(odd))), 1)
+    return docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), own.alias("lines"))
 
 
 def runs(documents: DataFrame, min_words: int, base: str) -> DataFrame:
@@ -71,22 +84,25 @@ def runs(documents: DataFrame, min_words: int, base: str) -> DataFrame:
     none has enough words) and ``most`` at most; ``deepest`` is the most of the stretch.
     """
     rows = documents.select("doc_id", "row_key", F.explode("lines").alias("line")).select("doc_id", "row_key", "line.*")
-    repeated = rows.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("l1", "l2")
+    # One hash is enough here: a line that is taken for a repeated one has a rank of its own later.
+    repeated = rows.groupBy("l1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("l1")
     # Written first, so that Spark may split the rows of a line that very many documents hold.
-    found = rows.join(written(repeated, f"{base}/repeated"), ["l1", "l2"])
+    found = rows.join(written(repeated, f"{base}/repeated").hint("shuffle_hash"), "l1")
     doc = Window.partitionBy("doc_id", "row_key").orderBy("place")
-    found = found.withColumn("before", F.lag("place").over(doc)).filter("before IS NULL OR before <> place").drop("before")
-    found = found.withColumn("stretch", F.col("place") - F.row_number().over(doc))
-    stretch = Window.partitionBy("doc_id", "row_key", "stretch")
-    order, whole = stretch.orderBy("place"), stretch.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    found = found.withColumns({"upto": F.sum("n_words").over(order.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n_words").over(whole)})
-    found = found.filter(F.col("total") >= min_words).withColumn("start", F.col("upto") - F.col("n_words"))
+    found = found.withColumn("before", F.lag("place").over(doc)).filter("before IS NULL OR before <> place")
+    # Words are counted over the document's repeated lines, so that one order serves all that follows.
+    counted = F.sum("n_words").over(doc.rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumns({"stretch": F.col("place") - F.row_number().over(doc), "upto": counted})
+    found = found.withColumn("start", F.col("upto") - F.col("n_words")).drop("before", "n_words")
+    order = Window.partitionBy("doc_id", "row_key", "stretch").orderBy("start")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = found.withColumns({"end": F.max("upto").over(whole), "first": F.min("start").over(whole), "final": F.max("place").over(whole)})
+    found = found.filter(F.col("end") - F.col("first") >= min_words)
     # Lines that begin within the next min_words words: the last of them completes the run, or the stretch is too short.
-    near = stretch.orderBy("start").rangeBetween(0, min_words - 1)
-    enough = F.max("upto").over(near) - F.col("start") >= min_words
-    found = found.withColumn("ahead", F.when(enough, F.count(F.lit(1)).over(near)).cast("int"))
+    near = F.count(F.lit(1)).over(order.rangeBetween(0, min_words - 1)).cast("int")
+    found = found.withColumn("ahead", F.when(F.col("end") - F.col("start") >= min_words, near))
     # Runs that would lose enough words with their first line: up to where the next line's least run ends.
-    left = F.count(F.lit(1)).over(order.rowsBetween(0, Window.unboundedFollowing)).cast("int")
+    left = (F.col("final") - F.col("place") + 1).cast("int")
     found = found.withColumn("most", F.when(F.col("ahead").isNotNull(), F.greatest("ahead", F.coalesce(F.lead("ahead").over(order), left))))
     found = found.withColumn("deepest", F.max("most").over(whole))
     return found.select("doc_id", "row_key", "stretch", "place", "l1", "l2", "ahead", "most", "deepest")
@@ -125,7 +141,7 @@ def named_runs(documents: DataFrame, min_words: int, base: str) -> DataFrame:
     rows = written(runs(documents, min_words, base), f"{base}/runs")
     longest = rows.agg(F.max("deepest")).collect()[0][0] or 0
     # Depth 1: the order of lines is that of their ids.
-    now = rows.join(_ranked(rows, "l1", "l2", f"{base}/rank-1"), ["l1", "l2"])
+    now = rows.join(_ranked(rows, "l1", "l2", f"{base}/rank-1").hint("shuffle_hash"), ["l1", "l2"])
     h, found = 1, []
     while True:
         level = _level(now, h, f"{base}/level-{h}")
@@ -135,7 +151,7 @@ def named_runs(documents: DataFrame, min_words: int, base: str) -> DataFrame:
         # Depth 2h, in the stretches where a run still needs it; ranks end h - 1 lines before a stretch, without gaps.
         further = level.filter((F.col("deepest") >= 2 * h) & F.col("next").isNotNull()).drop("runs")
         pairs = further.select(F.col("rank").alias("r_a"), F.col("next").alias("r_b"))
-        ranks = _ranked(pairs, "r_a", "r_b", f"{base}/rank-{2 * h}").withColumnRenamed("rank", "deep")
+        ranks = _ranked(pairs, "r_a", "r_b", f"{base}/rank-{2 * h}").withColumnRenamed("rank", "deep").hint("shuffle_hash")
         now = further.join(ranks, (F.col("rank") == F.col("r_a")) & (F.col("next") == F.col("r_b")))
         now = now.select("doc_id", "row_key", "stretch", "place", "ahead", "most", "deepest", F.col("deep").alias("rank"))
         h *= 2
@@ -150,7 +166,7 @@ def later_copies(names: DataFrame, base: str) -> DataFrame:
     at = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row_key", "first")
     # The earliest suffix of an interval: one row per interval, reduced before it is shuffled.
     earliest = names.groupBy("m", "r1", "r2").agg(F.min(at).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    copies = names.join(written(earliest, f"{base}/earliest"), ["m", "r1", "r2"]).filter(at > F.col("origin"))
+    copies = names.join(written(earliest, f"{base}/earliest").hint("shuffle_hash"), ["m", "r1", "r2"]).filter(at > F.col("origin"))
     copies = copies.select("doc_id", "row_key", "first", (F.col("first") + F.col("m") - 1).alias("last"))
     # Runs that overlap or touch become one span.
     order = Window.partitionBy("doc_id", "row_key").orderBy("first", "last")
@@ -176,9 +192,11 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     both = both.withColumnRenamed("row_key", "key")
     own = as_row(docs)
     met = own.join(both, own["row.doc_id"].eqNullSafe(both["doc_id"]) & (own["row_key"] == both["key"]), "left")
-    kept = F.filter(units(F.col("row.text"), min_words), lambda x, i: ~F.exists("gone", lambda s: i.between(s["lo"], s["hi"])))
+    blank = F.rlike(F.col("row.text"), F.lit(r"^[ \t\r]*\n")).cast("int")  # a first unit without words has no place
+    stays = lambda skip: lambda x, i: ~F.exists("gone", lambda s: (i - skip).between(s["lo"], s["hi"]))
+    kept = F.element_at(F.transform(F.array(blank), lambda skip: F.filter(units(F.col("row.text"), min_words), stays(skip))), 1)
     met = met.withColumn("rest", F.when(F.col("gone").isNotNull(), F.rtrim(F.array_join(kept, ""), F.lit(BLANK))))
-    met = met.withColumn("left", F.when(F.col("gone").isNotNull(), _words(F.col("rest"))).cast("long"))
+    met = met.withColumn("left", F.when(F.col("gone").isNotNull(), F.regexp_count("rest", F.lit(r"\S+"))).cast("long"))
     text = F.when(F.col("left") == 0, F.lit("")).when(F.col("gone").isNotNull(), F.col("rest")).otherwise(F.col("row.text"))
     removed = F.aggregate("gone", F.lit(0), lambda n, s: n + s["hi"] - s["lo"] + 1)
     before = F.coalesce("words", F.lit(0).cast("long"))
@@ -196,13 +214,14 @@ ORACLE_SQL = r"""
 WITH raw AS (SELECT doc_id, string_split(regexp_replace(text, '(\n(?:[ \t\r]*\n)*)([^\n])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ls FROM documents WHERE text IS NOT NULL),
 a0 AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM raw),
 a AS (SELECT *, len(regexp_extract_all(line, '\S+')) AS nw FROM a0),
-x0 AS (SELECT doc_id, i, string_split(line, ' ') AS ws FROM a WHERE nw >= 50),
+aa AS (SELECT *, len(string_split(line, chr(10))[1]) - len(replace(string_split(line, chr(10))[1], ' ', '')) >= 49 AS long FROM a),
+x0 AS (SELECT doc_id, i, string_split(line, ' ') AS ws FROM aa WHERE long),
 x AS (SELECT doc_id, i, unnest(ws) AS word, generate_subscripts(ws, 1) AS j, len(ws) AS n FROM x0),
 y AS (SELECT *, lag(word) OVER (PARTITION BY doc_id, i ORDER BY j) AS prev FROM x),
 z AS (SELECT *, sum(CASE WHEN prev IS NOT NULL AND word <> '' AND word[1] <> chr(10) AND regexp_replace(word, '\s+$', '') <> prev
-      AND (regexp_matches(prev, '[.!?]$') OR regexp_matches(word, '^\p{Lu}')) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, i ORDER BY j) AS s FROM y),
+      AND NOT regexp_matches(word, '^\p{Lu}\p{Lu}') AND (regexp_matches(prev, '[.!?]$') OR regexp_matches(word, '^\p{Lu}')) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, i ORDER BY j) AS s FROM y),
 u AS (SELECT doc_id, i, s, string_agg(word, ' ' ORDER BY j) || CASE WHEN max(j) < max(n) THEN ' ' ELSE '' END AS line FROM z GROUP BY doc_id, i, s
-      UNION ALL SELECT doc_id, i, 0, line FROM a WHERE nw < 50),
+      UNION ALL SELECT doc_id, i, 0, line FROM aa WHERE NOT long),
 b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, s) AS pos, line, regexp_replace(regexp_replace(line, '^\s+', ''), '\s+$', '') AS own, len(regexp_extract_all(line, '\S+')) AS nw FROM u),
 c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, sum(nw) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM b WHERE nw > 0),
 d AS (SELECT x.doc_id, x.k, min(y.k) AS e FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.k BETWEEN x.k AND x.k + 49 AND y.upto - (x.upto - x.nw) >= 50 GROUP BY 1, 2),
