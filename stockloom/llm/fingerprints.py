@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.llm.common import ARROW_ROWS, shared_dir, shuffle_partitions, slices, text_or_empty, written
+from stockloom.llm.common import shuffle_partitions, slices, text_or_empty
 
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -162,9 +162,8 @@ def fingerprints(docs: DataFrame, form: OrderMinHash = OrderMinHash()) -> DataFr
 
     rows = with_next(docs)
     # By range, as hashes would put several buckets into one task and none into another.
-    spark = docs.sparkSession
-    dealt = rows.repartitionByRange(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "part", "doc_id", "text")
-    return written(dealt.mapInArrow(run, SCHEMA), shared_dir(spark, "fingerprints"), ARROW_ROWS)
+    dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "part", "doc_id", "text")
+    return dealt.mapInArrow(run, SCHEMA)
 
 
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
