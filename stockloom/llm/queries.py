@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockloom.llm import chat, fingerprints, line_dedup, mixing, neighbours, ngram_join, packing, sequences, toxicity, warc
+from stockloom.llm import chat, divergence, fingerprints, line_dedup, mixing, neighbours, ngram_join, packing, phrases, quality, sequences, toxicity, warc
 from stockloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,9 @@ def queries() -> dict[str, Query]:
         "op8_fingerprints": lambda spark, sf: fingerprints.op8_fingerprints(table(spark, sf, "documents")),
         "op9_warc": lambda spark, sf: warc.op9_warc(spark, table(spark, sf, "pages")),
         "op10_neighbours": lambda spark, sf: neighbours.op10_neighbours(table(spark, sf, "embeddings")),
+        "op11_quality": lambda spark, sf: quality.op11_quality(table(spark, sf, "documents"), table(spark, sf, "labels")),
+        "op12_phrases": lambda spark, sf: phrases.op12_phrases(table(spark, sf, "documents")),
+        "op13_divergence": lambda spark, sf: divergence.op13_divergence(table(spark, sf, "documents")),
     }
 
 
@@ -34,4 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_mixing": mixing.oracle(),
         "op7_chat": chat.ORACLE_SQL,
         "op9_warc": warc.ORACLE_SQL,
+        "op12_phrases": phrases.ORACLE_SQL,
+        "op13_divergence": divergence.ORACLE_SQL,
     }
