@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from stockloom.llm.common import shared_dir, slices, written
 
 LEAST_DOCUMENTS, SMOOTHING, SCALE, TOP = 30, 5, 1_000_000_000, 50
+#: Entries of vectors that a task holds before it adds them up.
+GATHER = 1 << 22
 #: Terms of a block in which sources are compared.
 BLOCK = 512
 #: Code points below 128 that belong to no term.
@@ -49,12 +51,14 @@ def _strings(docs: DataFrame, *names: str) -> list[Column]:
     return [F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in names]
 
 
-def terms(docs: DataFrame) -> DataFrame:
-    """``lang, source, terms``: each document's terms, in order, every one after its language and a zero byte."""
+def terms(docs: DataFrame, once: bool = False) -> DataFrame:
+    """``lang, source, terms``: each document's terms, every one after its language and a zero byte; with ``once`` each of them a single time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
             spaced = [t.lower().translate(_SPACES) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            if once:
+                spaced = [b" ".join(set(t.split())) for t in spaced]
             found = pc.split_pattern(pa.array(spaced, pa.binary()).cast(pa.string()), " ")
             values, sizes = found.flatten(), pc.list_value_length(found).to_numpy()
             full = pc.greater(pc.binary_length(values), 0)
@@ -74,17 +78,48 @@ def group_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFra
     # A vocabulary may not be empty: so many more documents hold a term that no text can hold.
     none = spark.range(least).select(F.array(F.lit("\0")).alias("terms"))
     counting = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least), vocabSize=2**31 - 1)
-    model = counting.fit(read.select("terms").unionAll(none))
+    # A vocabulary follows from which documents have a term, not from how often.
+    model = counting.fit(terms(docs, once=True).select("terms").unionAll(none))
     kept = [(i, t) for i, t in enumerate(model.vocabulary) if t != "\0"]
     listed = spark.createDataFrame(pa.table({"number": pa.array([i for i, _ in kept], pa.int32()), "named": pa.array([t for _, t in kept], pa.string())}))
     term = F.substring_index("named", "\0", -1)
     lang = F.expr("substring(named, 1, length(named) - length(substring_index(named, '\\0', -1)) - 1)")
     vectors = model.transform(read).select("lang", "source", F.unwrap_udt("vector").alias("v"))
-    entries = vectors.select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
-    sums = entries.groupBy("lang", "source", F.col("e.indices").alias("number")).agg(F.sum(F.col("e.values").cast("long")).alias("count"))
+    entries = vectors.mapInArrow(_added, "lang string, source string, number int, count long")
+    sums = entries.groupBy("lang", "source", "number").agg(F.sum("count").alias("count"))
     return sums, listed.select(lang.alias("lang"), "number", term.alias("term"))
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sums of sparse vectors by language and source, handed on whenever ``GATHER`` entries are held."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    groups: dict[tuple[str, str], int] = {}
+
+    def handed() -> pa.RecordBatch:
+        group, number, count = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        key, place = np.unique(group << 32 | number, return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, place, count)
+        names, own = list(groups), key >> 32
+        lang, source = (pc.take(pa.array([n[i] for n in names], pa.string()), pa.array(own)) for i in (0, 1))
+        return pa.record_batch([lang, source, pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(total)], names=["lang", "source", "number", "count"])
+
+    size = 0
+    for batch in batches:
+        vectors = batch.column(2)
+        number, count = vectors.field("indices"), vectors.field("values")
+        own = [groups.setdefault(g, len(groups)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        lengths = pc.list_value_length(number).to_numpy()
+        held.append((np.repeat(np.array(own, np.int64), lengths), number.flatten().to_numpy().astype(np.int64), count.flatten().to_numpy().astype(np.int64)))
+        size += int(lengths.sum())
+        if size >= GATHER:
+            yield handed()
+            size = 0
+    if size:
+        yield handed()
+
+
 def share(count: str, total: str, kept: str) -> Column:
     """1 + floor(scale * (count + 5) / (total + 5 * kept)) of the named columns, exact for counts of any size; null where nothing is kept."""
     top = f"(CAST({count} AS DECIMAL(20,0)) + {SMOOTHING}) * CAST({SCALE} AS DECIMAL(10,0))"
