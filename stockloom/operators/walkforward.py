@@ -1,20 +1,17 @@
-"""Walk-forward campaigns: one tuning, fits per fold, champion refits, and linear folds in one pass.
+"""Walk-forward campaigns: one tuning, fits per fold, champion refits.
 
 The number of folds and combinations is bounded by the calendar, so the driver may loop over them;
-rows stay in Spark. Linear models need no loop: their folds differ only in how many days of sums of
-products they add up.
+rows stay in Spark. Linear models need no loop (``linear_folds``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.operators import folds, metrics, models
@@ -111,50 +108,3 @@ def score_champion(path: str, algorithm: str, rows: DataFrame, label: str) -> Da
     """Rows with a label, scored by a saved model."""
     return models.scored({algorithm: PipelineModel.load(f"{path}/{algorithm}")}, rows, label)
 
-
-def linear_walk_forward(panel: DataFrame, cuts: DataFrame, features: list[str], label: str, penalties: dict[str, float], keys: tuple[str, ...] = ("market",)) -> DataFrame:
-    """Scores of linear models in every fold: ``*keys, fold_index, algorithm, stock_code, trade_date, ret, score``.
-
-    One pass sums the products of features and label by key and fold step; running sums over the steps
-    are the normal equations of each fold's train window, so the rows are read once however many folds
-    there are. A fold with fewer rows than coefficients has no scores. Rows that lack the label or a
-    feature take no part. Validation windows do not overlap. A penalty does not apply to the intercept.
-    """
-    width = len(features) + 1
-    pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    given = panel.filter(F.col(label).isNotNull()).dropna(subset=features)
-    days = panel.select("trade_date").distinct()
-    steps = F.broadcast(cuts)
-    # Days and folds are both bounded by the calendar.
-    opens = days.join(steps, days["trade_date"] < cuts["train_end"]).groupBy("trade_date").agg(F.min("fold_index").alias("fold_index"))
-    inside = (days["trade_date"] >= cuts["val_start"]) & (cuts["val_end"].isNull() | (days["trade_date"] < cuts["val_end"]))
-    shown = days.join(steps, inside).groupBy("trade_date").agg(F.min("fold_index").alias("fold_index"))
-    x = [F.lit(1.0), *[F.col(f) for f in features]]
-    sums = [F.sum(x[i] * x[j]).alias(f"x{i}_{j}") for i, j in pairs] + [F.sum(x[i] * F.col(label)).alias(f"y{i}") for i in range(width)]
-    names = [f"x{i}_{j}" for i, j in pairs] + [f"y{i}" for i in range(width)]
-    own = given.join(F.broadcast(opens), "trade_date").groupBy(*keys, "fold_index").agg(*sums)
-    every = own.select(*keys).distinct().join(F.broadcast(cuts.select("fold_index")), F.lit(True))
-    upto = Window.partitionBy(*keys).orderBy("fold_index").rowsBetween(Window.unboundedPreceding, 0)
-    grown = every.join(own, [*keys, "fold_index"], "left").select(*keys, "fold_index", F.array(*[F.coalesce(F.sum(n).over(upto), F.lit(0.0)) for n in names]).alias("s"))
-
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                values, gram = np.asarray(row.s, float), np.zeros((width, width))
-                for value, (i, j) in zip(values, pairs):
-                    gram[i, j] = gram[j, i] = value
-                if gram[0, 0] < width:
-                    continue
-                for name, penalty in penalties.items():
-                    ridge = np.diag([0.0, *[penalty] * (width - 1)])
-                    beta = np.linalg.lstsq(gram + ridge, values[len(pairs) :], rcond=None)[0]
-                    out.append((*[getattr(row, k) for k in keys], row.fold_index, name, beta.tolist()))
-            yield pd.DataFrame(out, columns=[*keys, "fold_index", "algorithm", "beta"])
-
-    kinds = dict(grown.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "fold_index")) + ", algorithm string, beta array<double>"
-    beta = grown.mapInPandas(solve, schema)
-    score = reduce(lambda a, b: a + b, [F.col("beta")[i] * x[i] for i in range(width)])
-    scored = given.join(F.broadcast(shown), "trade_date").join(beta, [*keys, "fold_index"])
-    return scored.select(*keys, "fold_index", "algorithm", "stock_code", "trade_date", F.col(label).alias("ret"), score.alias("score"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.operators import activation, adjustment, features, folds, gates, labels, metrics, models, registry_tables, walkforward
+from stockloom.operators import activation, adjustment, features, folds, gates, labels, linear_folds, metrics, models, registry_tables, walkforward
 from stockloom.plans import registry as r
 from stockloom.sources import panels as p
 from stockloom.sources import sinks
@@ -139,10 +139,12 @@ def holdout_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def walk_forward_linear(spark: SparkSession, sf: str) -> DataFrame:
-    """Metrics of every weekly fold of both horizons for two linear models, from one pass over the panel each."""
-    panel = _stored_panel(spark, sf)
-    cuts, used = _campaign_folds(spark, sf), [*features.SHAPES, "ROC_5", "MA_5", "STD_5"]
-    each = [walkforward.linear_walk_forward(panel, cuts.filter(F.col("horizon") == h), used, f"label_D{h}", PENALTIES).withColumn("horizon", F.lit(h)) for h in labels.HORIZONS]
+    """Metrics of every weekly fold of both horizons for two linear models over all selected features, from one pass over the panel each."""
+    panel, cuts, each = _stored_panel(spark, sf), _campaign_folds(spark, sf), []
+    for h in labels.HORIZONS:
+        rows, used = features.selected(panel, f"label_D{h}")
+        made = linear_folds.walk_forward(rows, cuts.filter(F.col("horizon") == h), used, f"label_D{h}", PENALTIES)
+        each.append(made.withColumn("horizon", F.lit(h)))
     rows = reduce(DataFrame.unionByName, each)
     return metrics.backtest(rows.withColumns({"confidence": F.lit(0.5), "k": F.struct("trade_date", "stock_code")}))
 

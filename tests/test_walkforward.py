@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stockloom.operators import folds, models, walkforward
+from stockloom.operators import folds, linear_folds, models, walkforward
 from stockloom.sources import sinks
 
 FEATURES = ["f", "g"]
@@ -29,29 +29,59 @@ def _cuts(panel, size):
     return folds.weekly_folds(folds.date_axis(panel), 2, 50, size)
 
 
+def _imputed(train, val, middle):
+    """Training and validation features with the given medians, or those of the training rows."""
+    middle = train[FEATURES].median() if middle is None else middle
+    return train[FEATURES].fillna(middle), val[FEATURES].fillna(middle)
+
+
 def test_linear_folds_equal_a_loop(panel):
-    cuts = _cuts(panel, 5)
-    made = walkforward.linear_walk_forward(panel, cuts, FEATURES, "label_D2", {"plain": 0.0, "ridge": 3.0})
+    """The sketches keep so few values whole, so medians are those of the rows but for the choice between two middle ones."""
+    cuts, rows, want = _cuts(panel, 5), panel.toPandas(), {}
+    made = linear_folds.walk_forward(panel, cuts, FEATURES, "label_D2", {"plain": 0.0, "ridge": 3.0})
     got = {(r["market"], r["fold_index"], r["algorithm"], r["stock_code"], r["trade_date"]): r["score"] for r in made.collect()}
-    rows, want = panel.dropna().toPandas(), {}
+    opens = linear_folds.steps(panel, cuts)[0]
+    trained = panel.filter("label_D2 IS NOT NULL").join(opens, "trade_date")
+    middle = {(r["market"], r["fold_index"]): dict(zip(FEATURES, r["medians"])) for r in linear_folds.medians(trained, FEATURES, ("market",)).collect()}
     for fold in cuts.collect():
-        for market, own in rows.groupby("market"):
+        for market, own in rows[rows["label_D2"].notna()].groupby("market"):
             train = own[own["trade_date"] < fold["train_end"]]
             val = own[(own["trade_date"] >= fold["val_start"]) & ((own["trade_date"] < fold["val_end"]) if fold["val_end"] else True)]
-            x = np.column_stack([np.ones(len(train)), train[FEATURES]])
+            for f in FEATURES:
+                held = np.sort(train[f].dropna())
+                assert abs(np.searchsorted(held, middle[market, fold["fold_index"]][f]) - len(held) / 2) <= 0.01 * len(held) + 1
+            x, new = _imputed(train, val, middle[market, fold["fold_index"]])
+            spread, mean = x.std(ddof=0), x.mean()
+            z = ((x - mean) / spread).to_numpy()
             for name, penalty in (("plain", 0.0), ("ridge", 3.0)):
-                beta = np.linalg.solve(x.T @ x + np.diag([0, penalty, penalty]), x.T @ train["label_D2"])
-                for r in val.itertuples():
-                    want[market, fold["fold_index"], name, r.stock_code, r.trade_date] = beta @ [1, r.f, r.g]
+                beta = np.linalg.solve(z.T @ z + penalty * np.eye(2), z.T @ (train["label_D2"] - train["label_D2"].mean()))
+                for r, score in zip(val.itertuples(), ((new - mean) / spread).to_numpy() @ beta + train["label_D2"].mean()):
+                    want[market, fold["fold_index"], name, r.stock_code, r.trade_date] = score
     assert len(cuts.collect()) > 5 and got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+def test_linear_solution_of_odd_features():
+    """One feature constant, one without values, one a copy of another: the fitted values are those of least squares."""
+    rng = np.random.default_rng(1)
+    f, n = rng.normal(size=200) * 1e-4 + 5, 200
+    x = np.column_stack([f, np.full(n, 3.0), np.full(n, np.nan), f, rng.normal(size=n) * 1e6])
+    x[::7, 4] = np.nan
+    y = f * 1e3 + rng.normal(size=n)
+    lacks = np.isnan(x)
+    full = np.column_stack([np.ones(n), np.where(lacks, 0, x), lacks, y])
+    beta = linear_folds.solution((full.T @ full).ravel(), np.array([5.0, 3.0, np.nan, 5.0, 10.0]), 0.0)
+    made = np.where(lacks, [5.0, 3.0, 0.0, 5.0, 10.0], x)
+    want = np.linalg.lstsq(np.column_stack([np.ones(n), f - 5, made[:, 4] / 1e6]), y, rcond=None)[0]
+    assert beta[2] == beta[3] == 0
+    assert np.allclose(np.column_stack([np.ones(n), made]) @ beta, np.column_stack([np.ones(n), f - 5, made[:, 4] / 1e6]) @ want, atol=1e-4)
+
+
 def test_linear_folds_of_empty_panel_and_few_rows(panel):
     cuts = _cuts(panel, 5)
-    assert walkforward.linear_walk_forward(panel.limit(0), cuts, FEATURES, "label_D2", {"plain": 0.0}).count() == 0
+    assert linear_folds.walk_forward(panel.limit(0), cuts, FEATURES, "label_D2", {"plain": 0.0}).count() == 0
     few = panel.filter("trade_date >= '2024-02-20' AND stock_code = 'd0' AND market = 'domestic'")
-    assert 0 < walkforward.linear_walk_forward(few, cuts, FEATURES, "label_D2", {"plain": 0.0}).count() < few.count()
+    assert 0 < linear_folds.walk_forward(few, cuts, FEATURES, "label_D2", {"plain": 0.0}).count() < few.count()
 
 
 def test_campaign_records_a_failure_and_goes_on(spark, panel):
