@@ -67,3 +67,9 @@ def campaign_summary(verdicts: DataFrame, champions: DataFrame) -> DataFrame:
     chosen = F.when(F.col("deployment_prohibited"), "deployment_prohibited").otherwise(F.concat(F.lit("champion="), F.col("champion")))
     best = champions.select("market", "horizon", F.lit("all").alias("algorithm"), chosen.alias("verdict"), F.coalesce("excluded_artifact", F.lit("")).alias("detail"))
     return own.unionByName(best).withColumn("caveat", F.lit(CAVEAT))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
