@@ -3,8 +3,8 @@
 Words get ids by falling frequency; a text becomes an array of ids, -1 for words that are too rare and
 -2 between pieces. Pairs of neighbours are counted in tiles of the table of all pairs: a tile is a square
 of ids, and ids of frequent words are small, so a few tiles hold most pairs. Within a task a tile with
-many pairs is counted with a dense ``bincount``, the pairs of all others by sorting their coordinates; Spark adds
-up the tasks' counts by pair. Frequent pairs are ranked again and stand as ids in the place of their
+many pairs is counted with a dense ``bincount``, the pairs of all others by sorting their coordinates; the tasks' counts
+of a tile are added up in groups of ``FAN`` tasks, and those again, so that no task holds more than that many copies of a tile. Frequent pairs are ranked again and stand as ids in the place of their
 first word, and pairs of such an id with the word after it are phrases of three words; once more gives four.
 
 Nothing that grows with the corpus is whole in one process: words and phrases are looked up in blocks of at most
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from stockloom.llm.common import removed, shared_dir, shuffle_partitions, slices
 BLOCK = 1 << 19
 #: A tile has 2**TILE_BITS ids a side; one is counted densely from DENSE pairs on.
 TILE_BITS, DENSE = 10, 1 << 16
-#: Pairs that a task gathers before it counts them; distinct words that it counts before it hands them on.
-GATHER, HELD_WORDS = 1 << 22, 1 << 18
+#: Pairs that a task gathers before it counts them; distinct words that it counts before it hands them on; tasks whose tiles meet.
+GATHER, HELD_WORDS, FAN = 1 << 21, 1 << 18, 16
 #: A pair of ids as one number: so many bits are for the word, the rest (35) for the phrase before it.
 WORD_BITS = 28
 RARE, GAP = -1, -2
@@ -130,7 +131,7 @@ def _blocks(listed: DataFrame, total: int, block: int, columns: list[str]) -> It
 def _array_column(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int32)))
 
 
 def encoded(docs: DataFrame, listed: DataFrame, total: int, path: str, block: int = BLOCK) -> DataFrame:
@@ -147,7 +148,7 @@ def encoded(docs: DataFrame, listed: DataFrame, total: int, path: str, block: in
                 arrays = []
                 for lang, found in _by_language(batch):
                     own = sent.value.get(lang, {}) | {b"\n": GAP}
-                    arrays.append(np.fromiter((own.get(w, RARE) for w in found), np.int64, len(found)))
+                    arrays.append(np.fromiter((own.get(w, RARE) for w in found), np.int32, len(found)))
                 yield pa.record_batch([_array_column(arrays)], names=["words"])
 
         def more(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -157,16 +158,16 @@ def encoded(docs: DataFrame, listed: DataFrame, total: int, path: str, block: in
                 for i, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())):
                     own = sent.value.get(lang, {})
                     found, before = words(text), known_ids[i].values.to_numpy()
-                    now = np.fromiter((own.get(w, RARE) for w in found), np.int64, len(found))
+                    now = np.fromiter((own.get(w, RARE) for w in found), np.int32, len(found))
                     arrays.append(np.where(before == RARE, now, before))
                 yield pa.record_batch([batch.column(0), batch.column(1), _array_column(arrays)], names=["lang", "text", "words"])
 
         if total <= block:
-            return written(_texts(docs).mapInArrow(run, "words array<long>"), f"{path}-{step}")
+            return written(_texts(docs).mapInArrow(run, "words array<int>"), f"{path}-{step}")
         # Beyond one block the texts stay beside their ids until every block has been looked up.
         if rows is None:
-            rows = _texts(docs).mapInArrow(_unknown, "lang string, text string, words array<long>")
-        rows = written(rows.mapInArrow(more, "lang string, text string, words array<long>"), f"{path}-{step}")
+            rows = _texts(docs).mapInArrow(_unknown, "lang string, text string, words array<int>")
+        rows = written(rows.mapInArrow(more, "lang string, text string, words array<int>"), f"{path}-{step}")
         if step:
             removed(spark, f"{path}-{step - 1}")
     return rows.select("words")
@@ -174,30 +175,69 @@ def encoded(docs: DataFrame, listed: DataFrame, total: int, path: str, block: in
 
 def _unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1):
-        arrays = [np.array([GAP if w == b"\n" else RARE for w in words(t)], np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        arrays = [np.array([GAP if w == b"\n" else RARE for w in words(t)], np.int32) for t in batch.column(1).cast(pa.binary()).to_pylist()]
         yield pa.record_batch([batch.column(0), batch.column(1), _array_column(arrays)], names=["lang", "text", "words"])
 
 
-def tiles(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of ids and how often each occurs: full tiles by ``bincount``, the rest by sorted coordinates."""
-    low = (1 << TILE_BITS) - 1
-    side = WORD_BITS - TILE_BITS
-    tile = (first >> TILE_BITS) << side | (second >> TILE_BITS)
+def tiles(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Tile, cells with pairs in order and their counts: full tiles by ``bincount``, the rest by sorted coordinates."""
+    low, cell_bits = (1 << TILE_BITS) - 1, 2 * TILE_BITS
+    tile = (first >> TILE_BITS) << (WORD_BITS - TILE_BITS) | (second >> TILE_BITS)
+    cell = (first & low) << TILE_BITS | (second & low)
     order = np.argsort(tile, kind="stable")
-    starts = np.flatnonzero(np.diff(tile[order], prepend=-1))
+    tile, cell = tile[order], cell[order]
+    starts = np.flatnonzero(np.diff(tile, prepend=-1))
     ends = np.append(starts[1:], len(order))
-    dense = ends - starts >= DENSE
-    parts = []
-    for begin, end in zip(starts[dense], ends[dense]):
-        at = order[begin:end]
-        count = np.bincount((first[at] & low) << TILE_BITS | (second[at] & low), minlength=1 << 2 * TILE_BITS)
-        cell = np.flatnonzero(count)
-        left, right = divmod(int(tile[at[0]]), 1 << side)
-        parts.append(((left << TILE_BITS) + (cell >> TILE_BITS), (right << TILE_BITS) + (cell & low), count[cell]))
-    rest = order[np.repeat(~dense, ends - starts)]
-    pair, count = np.unique(first[rest] << WORD_BITS | second[rest], return_counts=True)
-    parts.append((pair >> WORD_BITS, pair & ((1 << WORD_BITS) - 1), count))
-    return tuple(np.concatenate(column) for column in zip(*parts))
+    for begin, end in zip(starts.tolist(), ends.tolist()):
+        own = cell[begin:end]
+        if end - begin >= DENSE:
+            count = np.bincount(own, minlength=1 << cell_bits)
+            at = np.flatnonzero(count)
+            yield int(tile[begin]), at, count[at]
+        else:
+            yield int(tile[begin]), *np.unique(own, return_counts=True)
+
+
+def merged(cells: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of one tile added up: densely where there are many, else by sorted cells."""
+    cell, count = np.concatenate(cells), np.concatenate(counts)
+    if len(cell) >= DENSE:
+        total = np.zeros(1 << 2 * TILE_BITS, np.int64)
+        for at, n in zip(cells, counts):
+            total[at] += n  # the cells of one part are distinct
+        at = np.flatnonzero(total)
+        return at, total[at]
+    order = np.argsort(cell, kind="stable")
+    at, starts = np.unique(cell[order], return_index=True)
+    return at, np.add.reduceat(count[order], starts) if len(at) else count
+
+
+_PARTS = "tile long, part long, cells binary, counts binary"
+
+
+def _part(found: Iterator[tuple[int, np.ndarray, np.ndarray]], part: int) -> pa.RecordBatch:
+    listed = [(t, c.astype(np.int32).tobytes(), n.astype(np.int64).tobytes()) for t, c, n in found]
+    tile, cells, counts = zip(*listed)
+    return pa.record_batch([pa.array(tile, pa.int64()), pa.array([part] * len(tile), pa.int64()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], names=["tile", "part", "cells", "counts"])
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return merged([np.frombuffer(c, np.int32) for c in table["cells"].to_pylist()], [np.frombuffer(c, np.int64) for c in table["counts"].to_pylist()])
+
+
+def _fewer(table: pa.Table) -> pa.Table:
+    """The parts of a tile that a group of tasks has made, as one."""
+    cell, count = _merged(table)
+    return pa.Table.from_batches([_part(iter([(table["tile"][0].as_py(), cell, count)]), table["part"][0].as_py())])
+
+
+def _frequent(table: pa.Table) -> pa.Table:
+    """All counts of a tile; the pairs that are frequent enough."""
+    cell, count = _merged(table)
+    keep = count >= LEAST
+    left, right = divmod(table["tile"][0].as_py(), 1 << (WORD_BITS - TILE_BITS))
+    a, b = (left << TILE_BITS) + (cell[keep].astype(np.int64) >> TILE_BITS), (right << TILE_BITS) + (cell[keep].astype(np.int64) & ((1 << TILE_BITS) - 1))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "f": pa.array(count[keep], pa.int64())})
 
 
 def pair_counts(arrays: DataFrame, head: str, length: int) -> DataFrame:
@@ -205,26 +245,31 @@ def pair_counts(arrays: DataFrame, head: str, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        part, size = TaskContext.get().partitionId(), 0
 
         def handed() -> pa.RecordBatch:
-            a, b, f = tiles(*(np.concatenate(x) for x in zip(*held)))
+            first, second = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            return pa.record_batch([pa.array(a), pa.array(b), pa.array(f)], names=["a", "b", "f"])
+            return _part(tiles(first, second), part)
 
-        size = 0
         for batch in batches:
-            own, word, inside = _flat(batch, length)
-            keep = (own >= 0) & (word >= 0) & inside
-            held.append((own[keep], word[keep]))
-            size += int(keep.sum())
-            if size >= GATHER:
-                yield handed()
-                size = 0
+            for i in range(batch.num_rows):
+                own, word, inside = _flat(batch.slice(i, 1), length)
+                keep = (own >= 0) & (word >= 0) & inside
+                held.append((own[keep].astype(np.int64), word[keep].astype(np.int64)))
+                size += int(keep.sum())
+                if size >= GATHER:
+                    yield handed()
+                    size = 0
         if size:
             yield handed()
 
-    counted = arrays.select(head, *(["words"] if head != "words" else [])).mapInArrow(run, "a long, b long, f long")
-    return counted.groupBy("a", "b").agg(F.sum("f").alias("f")).filter(F.col("f") >= LEAST)
+    width = arrays.rdd.getNumPartitions()
+    rows = arrays.select(head, *(["words"] if head != "words" else [])).mapInArrow(run, _PARTS)
+    while width > FAN:
+        width = -(-width // FAN)
+        rows = rows.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("tile", "part").applyInArrow(_fewer, _PARTS)
+    return rows.groupBy("tile").applyInArrow(_frequent, "a long, b long, f long")
 
 
 def _flat(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,7 +287,8 @@ def _flat(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, n
 
 def heads(arrays: DataFrame, head: str, length: int, listed: DataFrame, total: int, path: str, block: int = BLOCK) -> DataFrame:
     """``words`` and ``head``: at every place the id of the listed phrase of so many words that begins there, or -1."""
-    spark, rows = arrays.sparkSession, arrays.select(F.col(head).alias("own"), F.col("words"), F.lit(None).cast("array<long>").alias("head"))
+    spark, kind = arrays.sparkSession, dict(arrays.dtypes)[head]
+    rows = arrays.select(F.col(head).alias("own"), F.col("words"), F.lit(None).cast("array<long>").alias("head"))
     for step, entries in enumerate(_blocks(listed, total, block, ["a", "b"])):
         key = np.array([a << WORD_BITS | b for a, b, _ in entries], np.int64)
         order = np.argsort(key)
@@ -252,7 +298,7 @@ def heads(arrays: DataFrame, head: str, length: int, listed: DataFrame, total: i
             keys, numbers = sent.value
             for batch in batches:
                 own, on, inside = _flat(batch.select(["own", "words"]), length)
-                pair = np.where((own >= 0) & (on >= 0) & inside, own << WORD_BITS | on, -1)
+                pair = np.where((own >= 0) & (on >= 0) & inside, own.astype(np.int64) << WORD_BITS | on, -1)
                 at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
                 found = np.where(keys[at] == pair, numbers[at], RARE) if len(keys) else np.full(len(pair), RARE)
                 before = batch.column(2)
@@ -262,7 +308,7 @@ def heads(arrays: DataFrame, head: str, length: int, listed: DataFrame, total: i
                 head = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(found))
                 yield pa.record_batch([batch.column(0), batch.column(1), head], names=["own", "words", "head"])
 
-        rows = written(rows.mapInArrow(run, "own array<long>, words array<long>, head array<long>"), f"{path}-{step}")
+        rows = written(rows.mapInArrow(run, f"own {kind}, words array<int>, head array<long>"), f"{path}-{step}")
         if step:
             removed(spark, f"{path}-{step - 1}")
     return rows.select("head", "words")

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from stockloom.llm import divergence, phrases, quality
@@ -35,7 +36,7 @@ def mixed(spark):
     r = random.Random(4)
     vocabulary = ["a", "B", "é", "É", "x\0y", "the", "of", "10%", "z"]
     rows = []
-    for i in range(60):
+    for i in range(600):
         words = r.choices(vocabulary, weights=range(9, 0, -1), k=r.randrange(60))
         text = "".join(w + r.choice([" ", " ", " ", "  ", "\t", ". ", ",", "\n", " ", " "]) for w in words)
         rows.append((text, r.choice(["en", "en", "fr", None, "und", ""]), r.choice(["s1", "s2", "s3", None])))
@@ -77,8 +78,10 @@ def test_phrases_against_brute_force(spark, mixed, monkeypatch):
     given, want = _table(spark, mixed), _phrases(mixed)
     assert len(want) > 20 and any(len(x[2].split(" ")) == 4 for x in want)
     assert {tuple(r) for r in phrases.op12_phrases(given).collect()} == want
-    # Words and phrases in blocks of three, so that every list takes several passes; every tile dense; many hand-overs.
-    totals, grams = phrases.frequent(given.repartition(3), block=3)
+    # Words and phrases in blocks of three, so that every list takes several passes; tiles that meet two at a time; many hand-overs.
+    monkeypatch.setattr(phrases, "FAN", 2)
+    monkeypatch.setattr(phrases, "GATHER", 50)
+    totals, grams = phrases.frequent(given.repartition(5), block=3)
     best = phrases.first_of_each(phrases.scored(grams), spread=2).join(totals, "lang")
     assert {tuple(r) for r in best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()} == want
     assert phrases.op12_phrases(given.limit(0)).count() == 0
@@ -91,8 +94,15 @@ def test_tiles_count_pairs_however_dense(monkeypatch):
     want = Counter(zip(a.tolist(), b.tolist()))
     for dense in (1, 20_000, 1 << 40):
         monkeypatch.setattr(phrases, "DENSE", dense)
-        first, second, f = phrases.tiles(a, b)
-        assert dict(zip(zip(first.tolist(), second.tolist()), f.tolist())) == want and len(f) == len(want)
+        halves = [phrases._part(phrases.tiles(a[i::2], b[i::2]), i) for i in (0, 1)]
+        both = pa.Table.from_batches(halves)
+        monkeypatch.setattr(phrases, "LEAST", 1)
+        got = Counter()
+        for tile in set(both["tile"].to_pylist()):
+            fewer = phrases._fewer(both.filter(pa.compute.equal(both["tile"], tile)))
+            for row in phrases._frequent(fewer).to_pylist():
+                got[row["a"], row["b"]] += row["f"]
+        assert got == want
 
 
 def test_scores_of_counts_beyond_64_bits(spark):
