@@ -128,14 +128,12 @@ def _blocks(listed: DataFrame, total: int, block: int, columns: list[str]) -> It
         yield listed.filter((F.col("id") >= low) & (F.col("id") < low + block)).select(*columns, "id").collect()
 
 
-def _array_column(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(arrays) + 1, np.int32)
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int32)))
+def _ids(found: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter((known.get(w, RARE) for w in found), np.int32, len(found))
 
 
 def encoded(docs: DataFrame, listed: DataFrame, total: int, path: str, block: int = BLOCK) -> DataFrame:
-    """``words``: the texts as arrays of word ids; several texts of a language share an array, a gap between them."""
+    """``words``: the texts as arrays of word ids (bytes, four to an id); several texts of a language share an array, a gap between them."""
     spark, rows = docs.sparkSession, None
     for step, entries in enumerate(_blocks(listed, total, block, ["lang", "word"])):
         known: dict[str, dict[bytes, int]] = {}
@@ -145,40 +143,28 @@ def encoded(docs: DataFrame, listed: DataFrame, total: int, path: str, block: in
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, 1):
-                arrays = []
-                for lang, found in _by_language(batch):
-                    own = sent.value.get(lang, {}) | {b"\n": GAP}
-                    arrays.append(np.fromiter((own.get(w, RARE) for w in found), np.int32, len(found)))
-                yield pa.record_batch([_array_column(arrays)], names=["words"])
+                arrays = [_ids(found, sent.value.get(lang, {}) | {b"\n": GAP}).tobytes() for lang, found in _by_language(batch)]
+                yield pa.record_batch([pa.array(arrays, pa.binary())], names=["words"])
 
         def more(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, 1):
                 arrays = []
-                known_ids = batch.column(2)
-                for i, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())):
-                    own = sent.value.get(lang, {})
-                    found, before = words(text), known_ids[i].values.to_numpy()
-                    now = np.fromiter((own.get(w, RARE) for w in found), np.int32, len(found))
-                    arrays.append(np.where(before == RARE, now, before))
-                yield pa.record_batch([batch.column(0), batch.column(1), _array_column(arrays)], names=["lang", "text", "words"])
+                for lang, text, before in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+                    now = _ids(words(text), sent.value.get(lang, {}) | {b"\n": GAP})
+                    arrays.append((now if before is None else np.maximum(now, np.frombuffer(before, np.int32))).tobytes())
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(arrays, pa.binary())], names=["lang", "text", "words"])
 
         if total <= block:
-            return written(_texts(docs).mapInArrow(run, "words array<int>"), f"{path}-{step}")
+            return written(_texts(docs).mapInArrow(run, "words binary"), f"{path}-{step}")
         # Beyond one block the texts stay beside their ids until every block has been looked up.
         if rows is None:
-            rows = _texts(docs).mapInArrow(_unknown, "lang string, text string, words array<int>")
-        rows = written(rows.mapInArrow(more, "lang string, text string, words array<int>"), f"{path}-{step}")
+            rows = _texts(docs).withColumn("words", F.lit(None).cast("binary"))
+        rows = written(rows.mapInArrow(more, "lang string, text string, words binary"), f"{path}-{step}")
         if step:
             removed(spark, f"{path}-{step - 1}")
     return rows.select("words")
 
 
-def _unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 1):
-        arrays = [np.array([GAP if w == b"\n" else RARE for w in words(t)], np.int32) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.record_batch([batch.column(0), batch.column(1), _array_column(arrays)], names=["lang", "text", "words"])
-
-
 def tiles(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Tile, cells with pairs in order and their counts: full tiles by ``bincount``, the rest by sorted coordinates."""
     low, cell_bits = (1 << TILE_BITS) - 1, 2 * TILE_BITS
@@ -253,9 +239,9 @@ def pair_counts(arrays: DataFrame, head: str, length: int) -> DataFrame:
             return _part(tiles(first, second), part)
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                own, word, inside = _flat(batch.slice(i, 1), length)
-                keep = (own >= 0) & (word >= 0) & inside
+            for row in batch.to_pylist():
+                own, word = _places(row[head], row["words"], length)
+                keep = (own >= 0) & (word >= 0)
                 held.append((own[keep].astype(np.int64), word[keep].astype(np.int64)))
                 size += int(keep.sum())
                 if size >= GATHER:
@@ -272,43 +258,41 @@ def pair_counts(arrays: DataFrame, head: str, length: int) -> DataFrame:
     return rows.groupBy("tile").applyInArrow(_frequent, "a long, b long, f long")
 
 
-def _flat(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All places of the batch: the head's id, the word ``length - 1`` places on, and whether that is in the same array.
+def _places(head: bytes, words_: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """At every place of an array: the head's id, and the word ``length - 1`` places on, or a gap past the end.
 
     A head stands only where its own words are in one piece, so the word on from it need not be a gap's other side.
     """
-    heads, following = batch.column(0), batch.column(batch.num_columns - 1)
-    own, word = heads.flatten().to_numpy(), following.flatten().to_numpy()
-    sizes = np.diff(heads.offsets.to_numpy())
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(own))
-    on = np.append(word[length - 1 :], np.full(min(length - 1, len(word)), GAP))
-    return own, on, left >= length
+    word = np.frombuffer(words_, np.int32)
+    on = np.append(word[length - 1 :], np.full(min(length - 1, len(word)), GAP, np.int32))
+    return np.frombuffer(head, np.int32 if len(head) == len(words_) else np.int64), on
 
 
 def heads(arrays: DataFrame, head: str, length: int, listed: DataFrame, total: int, path: str, block: int = BLOCK) -> DataFrame:
-    """``words`` and ``head``: at every place the id of the listed phrase of so many words that begins there, or -1."""
-    spark, kind = arrays.sparkSession, dict(arrays.dtypes)[head]
-    rows = arrays.select(F.col(head).alias("own"), F.col("words"), F.lit(None).cast("array<long>").alias("head"))
+    """``words`` and ``head``: at every place the id (eight bytes) of the listed phrase of so many words that begins there, or -1."""
+    spark, last = arrays.sparkSession, max(total - 1, 0) // block
+    rows = arrays.select(F.col(head).alias("own"), F.col("words"), F.lit(None).cast("binary").alias("head"))
     for step, entries in enumerate(_blocks(listed, total, block, ["a", "b"])):
         key = np.array([a << WORD_BITS | b for a, b, _ in entries], np.int64)
         order = np.argsort(key)
         sent = spark.sparkContext.broadcast((key[order], np.array([number for _, _, number in entries], np.int64)[order]))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, ends=step == last) -> Iterator[pa.RecordBatch]:
             keys, numbers = sent.value
             for batch in batches:
-                own, on, inside = _flat(batch.select(["own", "words"]), length)
-                pair = np.where((own >= 0) & (on >= 0) & inside, own.astype(np.int64) << WORD_BITS | on, -1)
-                at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
-                found = np.where(keys[at] == pair, numbers[at], RARE) if len(keys) else np.full(len(pair), RARE)
-                before = batch.column(2)
-                if before.null_count == 0:
-                    found = np.maximum(found, before.flatten().to_numpy())
-                offsets = batch.column(1).offsets.to_numpy()
-                head = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(found))
-                yield pa.record_batch([batch.column(0), batch.column(1), head], names=["own", "words", "head"])
-
-        rows = written(rows.mapInArrow(run, f"own {kind}, words array<int>, head array<long>"), f"{path}-{step}")
+                for own_bytes, words_, before in zip(*[c.to_pylist() for c in batch.columns]):
+                    own, on = _places(own_bytes, words_, length)
+                    at = np.flatnonzero((own >= 0) & (on >= 0))
+                    found = np.full(len(own), RARE, np.int64) if before is None else np.frombuffer(before, np.int64).copy()
+                    if len(keys):
+                        pair = own[at].astype(np.int64) << WORD_BITS | on[at]
+                        place = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+                        hit = keys[place] == pair
+                        found[at[hit]] = numbers[place[hit]]
+                    # The pass before is needed only by a further one.
+                    yield pa.record_batch([pa.array([None if ends else own_bytes], pa.binary()), pa.array([words_], pa.binary()), pa.array([found.tobytes()], pa.binary())], names=["own", "words", "head"])
+
+        rows = written(rows.mapInArrow(run, "own binary, words binary, head binary"), f"{path}-{step}")
         if step:
             removed(spark, f"{path}-{step - 1}")
     return rows.select("head", "words")
