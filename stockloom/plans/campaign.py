@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.operators import activation, adjustment, features, folds, gates, labels, linear_folds, metrics, models, registry_tables, walkforward
+from stockloom.operators import activation, adjustment, campaigns, features, folds, forests, gates, labels, linear_folds, metrics, models, registry_tables
 from stockloom.plans import registry as r
 from stockloom.sources import panels as p
-from stockloom.sources import sinks
+from stockloom.sources import logs, sinks
 
 AT = "1999-01-01"
 #: Days of history before the first fold, days of a fold, days of the challenger's holdout.
@@ -109,8 +110,12 @@ def _used(panel: DataFrame) -> list[str]:
     return [f for f in features.registry() if f in panel.columns]
 
 
-#: Days of a fold where trees are fitted anew in each; linear models keep the short folds.
-TREE_SIZE = 250
+#: The search of the registered queries: as many trials as by default, over smaller trees and fewer of them.
+SPACE = {"lightgbm": {"rounds": (8, 24), "rate": (0.03, 0.3), "leaves": (3, 8)}, "xgboost": {"rounds": (8, 24), "rate": (0.03, 0.3), "depth": (2, 3)}}
+RUNGS = (4, 12, 24)
+#: Challengers boost until as many rounds as by default bring no gain.
+CHALLENGERS = {"lightgbm": forests.Setting(100, 0.1, 4, 8, 0.0, 20), "xgboost": forests.Setting(100, 0.3, 3, 8, 1.0, 1)}
+COMBOS = [(m, h) for m in ("domestic", "overseas") for h in labels.HORIZONS]
 PENALTIES = {"least_squares": 0.0, "ridge": 1.0}
 
 
@@ -120,22 +125,78 @@ def _stored_panel(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.stored(rows, "panel")
 
 
+def _cached_panel(spark: SparkSession, sf: str, root: str) -> DataFrame:
+    """The panels of both markets from the cache under a root; one that is not there is built first."""
+    found = []
+    for market in ("domestic", "overseas"):
+        def build(market: str = market) -> DataFrame:
+            m = r.market(spark, sf)
+            own = replace(m, universe=m.universe.filter(F.col("market") == market))
+            return r.panel_of(own, r.START).withColumn("market", F.lit(market))
+
+        found.append(sinks.cached_panel(spark, root, market, AT, "v1", build))
+    return found[0].unionByName(found[1])
+
+
 def holdout_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Challengers of every market and horizon, fitted before a purge gap, with the metrics of their holdout.
 
-    The holdout ends the boosting early and never touches weights.
+    The holdout ends the boosting once twenty rounds bring no gain and never touches weights.
     """
     panel = _stored_panel(spark, sf)
     axis = sinks.stored(folds.date_axis(panel), "axis")
-    found = []
-    for h in labels.HORIZONS:
-        rows = models.with_roles(panel, axis, models.holdout_bounds(axis, h, HOLDOUT))
-        for market in ("domestic", "overseas"):
-            own, label = rows.filter(F.col("market") == market), f"label_D{h}"
-            train, test = own.filter("role = 'train'"), own.filter("role = 'val'")
-            made = models.scored(models.fit_pooled(train, _used(panel), label, rounds=5, held_out=test), test, label)
-            found.append(made.select(F.lit(market).alias("market"), F.lit(h).alias("horizon"), "algorithm", F.lit(0).alias("fold_index"), "score", "ret", F.lit(0.5).alias("confidence"), F.struct("trade_date", "stock_code").alias("k")))
-    return metrics.backtest(reduce(DataFrame.unionByName, found)).drop("fold_index")
+    made = campaigns.challengers(panel, axis, COMBOS, _used(panel), CHALLENGERS, sinks.stored_path(spark, "challengers"), HOLDOUT)
+    return campaigns.holdout_metrics(made.scores()).drop("fold_index")
+
+
+def standing_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Saved champions, a year older, against new challengers on the same holdout; winners are appended to the activation log and read back.
+
+    A row for each combination: both rank correlations, the verdict, and the training day of the model that is active then.
+    """
+    panel = _stored_panel(spark, sf)
+    axis = sinks.stored(folds.date_axis(panel), "axis")
+    base, days = sinks.stored_path(spark, "gate"), [row["trade_date"] for row in axis.orderBy("idx").collect()]
+    made = campaigns.challengers(panel, axis, COMBOS, _used(panel), CHALLENGERS, f"{base}/work", HOLDOUT)
+    champions, saved = {}, []
+    old = {"lightgbm": replace(CHALLENGERS["lightgbm"], rounds=10), "xgboost": replace(CHALLENGERS["xgboost"], rounds=5)}
+    for number, (market, horizon) in made.data.combos.items():
+        end = made.bounds[number][0]
+        champions[market, horizon] = f"{base}/champions/{market}-{horizon}"
+        campaigns.refit(panel, axis, (market, horizon), end - 250, made.data.features, old, champions[market, horizon])
+        saved += [(market, horizon, a, days[end - 250], days[end - 250], {}) for a in old]
+    schema = "market string, horizon int, algorithm string, trained_date date, promoted_at date, basis map<string,string>"
+    log = f"{base}/activations"
+    logs.append(spark.createDataFrame(saved, schema), log, "first", 0)
+    found = sinks.stored(campaigns.gate(made, panel, axis, champions, f"{base}/saved"), "verdicts")
+    trained = spark.createDataFrame([(*made.data.combos[n], days[b[0]]) for n, b in made.bounds.items()], "market string, horizon int, trained_date date")
+    rows = found.join(F.broadcast(trained), ["market", "horizon"])
+    files = rows.select(*activation.COMBO, "trained_date", F.sha2(F.concat_ws("-", *activation.COMBO), 256).alias("digest"))
+    logs.append(activation.applied(rows, files, str(days[-1])), log, "gate", 1)
+    active = activation.current(logs.read(spark, log, schema)).select(*activation.COMBO, F.col("trained_date").alias("active_trained_date"))
+    return rows.join(active, [*activation.COMBO]).select(*activation.COMBO, "trained_date", "rank_ic", "champion_rank_ic", "promoted", "active_trained_date")
+
+
+LOG = "market string, horizon string, algorithm string, trained_date date, promoted_at date, basis map<string,string>"
+
+
+def _logged(spark: SparkSession, sf: str) -> DataFrame:
+    """The activations of each year appended to a log in storage, a second writer and a repeated run turned away, the current ones rolled back."""
+    path, rows = sinks.stored_path(spark, "activations"), sinks.stored(_log(spark, sf), "log")
+    rows = rows.withColumn("basis", F.create_map().cast("map<string,string>")).select(*[c.split(" ")[0] for c in LOG.split(", ")])
+    years = [y for (y,) in rows.select(F.year("promoted_at").alias("y")).distinct().orderBy("y").collect()]
+    for version, year in enumerate(years):
+        own = rows.filter(F.year("promoted_at") == year)
+        logs.append(own, path, f"run-{year}", version)
+        try:
+            logs.append(own, path, f"late-{year}", version)
+            raise AssertionError("a second writer of a version must fail")
+        except logs.VersionConflict:
+            logs.append(own, path, f"run-{year}", version)
+    back = activation.rolled_back(logs.read(spark, path, LOG).drop("version"), _versions(spark, sf), AT)
+    logs.append(back, path, "rollback", len(years))
+    now = activation.current(logs.read(spark, path, LOG))
+    return now.select(*activation.COMBO, "trained_date", "promoted_at", F.col("basis")["rollback_from_trained_date"].alias("rollback_from"), (F.col("version") == len(years)).alias("from_rollback"))
 
 
 def walk_forward_linear(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,21 +210,35 @@ def walk_forward_linear(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.backtest(rows.withColumns({"confidence": F.lit(0.5), "k": F.struct("trade_date", "stock_code")}))
 
 
-def _tree_campaign(spark: SparkSession, sf: str) -> tuple[DataFrame | None, DataFrame]:
-    panel = _stored_panel(spark, sf)
+def _tree_campaign(spark: SparkSession, sf: str) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    panel = _cached_panel(spark, sf, sinks.stored_path(spark, "cache"))
     axis = sinks.stored(folds.date_axis(panel), "axis")
-    combos = [(m, h) for m in ("domestic", "overseas") for h in labels.HORIZONS]
-    cuts = lambda h: folds.weekly_folds(axis, h, INITIAL, TREE_SIZE, 2 * max(labels.HORIZONS))
-    return walkforward.campaign(panel, axis, cuts, combos, _used(panel), INITIAL, sinks.stored_path(spark, "campaign"))
+    cuts = sinks.stored(reduce(DataFrame.unionByName, [folds.weekly_folds(axis, h, INITIAL, SIZE, 2 * max(labels.HORIZONS)).withColumn("horizon", F.lit(h)) for h in labels.HORIZONS]), "cuts")
+    return campaigns.campaign(panel, axis, cuts, COMBOS, _used(panel), INITIAL, sinks.stored_path(spark, "campaign"), rungs=RUNGS, space=SPACE)
 
 
 def tree_campaign(spark: SparkSession, sf: str) -> DataFrame:
-    """A status row for each market and horizon, with the number of folds and the mean rank correlation by algorithm."""
-    rows, status = _tree_campaign(spark, sf)
+    """Each market and horizon: status, folds and mean rank correlation by algorithm, its gates, and whether the champion was activated.
+
+    Both algorithms are searched with fifty trials and fitted in every fold of five days; champions go to the activation log.
+    """
+    rows, status, _ = _tree_campaign(spark, sf)
     if rows is None:
-        return status.select("market", "horizon", "status", "error", *[F.lit(None).cast(t).alias(c) for c, t in (("algorithm", "string"), ("folds", "long"), ("rank_ic", "double"))])
-    found = rows.groupBy("market", "horizon", "algorithm").agg(F.count(F.lit(1)).alias("folds"), F.avg("rank_ic").alias("rank_ic"))
-    return status.join(found, ["market", "horizon"], "left").select("market", "horizon", "status", "error", "algorithm", "folds", "rank_ic")
+        none = (("algorithm", "string"), ("folds", "long"), ("rank_ic", "double"), ("stabilized", "boolean"), ("champion", "boolean"), ("active", "boolean"))
+        return status.select("market", "horizon", "status", "error", *[F.lit(None).cast(t).alias(c) for c, t in none])
+    rows = sinks.stored(rows, "folds")
+    verdicts = gates.verdicts(rows)
+    chosen = gates.champions(verdicts)
+    log = sinks.stored_path(spark, "activations")
+    versions = rows.select(*activation.COMBO, F.lit(AT).cast("date").alias("trained_date")).distinct()
+    schema = "market string, horizon int, algorithm string, trained_date date, promoted_at date"
+    logs.append(activation.activations_of(chosen, versions, AT)[0].select(*[c.split(" ")[0] for c in schema.split(", ")]), log, "campaign", 0)
+    active = activation.current(logs.read(spark, log, schema)).select(*activation.COMBO, F.lit(True).alias("active"))
+    found = rows.groupBy(*activation.COMBO).agg(F.count(F.lit(1)).alias("folds"), F.avg("rank_ic").alias("rank_ic"))
+    found = found.join(verdicts.select(*activation.COMBO, "stabilized"), [*activation.COMBO]).join(chosen.select("market", "horizon", "champion"), ["market", "horizon"])
+    found = found.join(active, [*activation.COMBO], "left")
+    out = status.join(found, ["market", "horizon"], "left")
+    return out.select("market", "horizon", "status", "error", "algorithm", "folds", "rank_ic", "stabilized", F.col("champion").eqNullSafe(F.col("algorithm")).alias("champion"), F.coalesce("active", F.lit(False)).alias("active"))
 
 
 def thick_tails(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,6 +268,7 @@ def queries() -> dict[str, r.Query]:
         "r_gauges": _gauges,
         "g_expanding_folds": _expanding,
         "t_thick_tails": thick_tails, "t_holdout": holdout_quality, "t_walk_forward": walk_forward_linear, "t_campaign": tree_campaign,
+        "t_gate": standing_gate, "r_log": _logged,
     }
 
 
@@ -269,6 +345,7 @@ def oracle_sql() -> dict[str, str]:
         "r_activations": p.sql("SELECT * FROM now", **log),
         "r_rollback": p.sql(f"SELECT n.market, n.horizon, n.algorithm, max(v.trained_date) AS trained_date, DATE '{AT}' AS promoted_at, CAST(n.trained_date AS VARCHAR) AS rollback_from FROM now n JOIN versions v ON v.market = n.market AND v.horizon = n.horizon AND v.algorithm = n.algorithm AND v.trained_date < n.trained_date GROUP BY ALL", **log),
         "r_dangling": p.sql("SELECT market || '_' || year(promoted_at) AS market, horizon, algorithm, trained_date FROM (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY market, horizon, algorithm, year(promoted_at) ORDER BY promoted_at DESC) = 1) ANTI JOIN (SELECT market, horizon, algorithm, trained_date FROM versions WHERE active) k USING (market, horizon, algorithm, trained_date)", **log),
+        "r_log": p.sql(f"SELECT n.market, n.horizon, n.algorithm, max(v.trained_date) AS trained_date, DATE '{AT}' AS promoted_at, CAST(n.trained_date AS VARCHAR) AS rollback_from, true AS from_rollback FROM now n JOIN versions v ON v.market = n.market AND v.horizon = n.horizon AND v.algorithm = n.algorithm AND v.trained_date < n.trained_date GROUP BY ALL", **log),
         "r_saved_combos": f"SELECT DISTINCT market, horizon, algorithm FROM ({r._ART})",
         "r_gauges": "SELECT event_type AS stage, max(CASE WHEN event_type = 'purchase' THEN ts END) AS last_success, arg_max(value, row(ts, event_id)) AS latest FROM events GROUP BY ALL",
     }

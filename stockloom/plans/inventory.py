@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.operators import activation, calendars, features, folds, gates, labels, metrics, registry_tables, walkforward
+from stockloom.operators import activation, calendars, campaigns, features, folds, gates, labels, metrics, registry_tables
 from stockloom.plans import campaign
 from stockloom.plans import registry as r
 from stockloom.sources import panels as p
@@ -162,13 +163,14 @@ def _first_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def refit(spark: SparkSession, sf: str) -> DataFrame:
     """The champion refitted on the last fold's history, saved, loaded and applied to the rows after it."""
-    panel = campaign._stored_panel(spark, sf).filter("market = 'domestic'")
-    last = folds.weekly_folds(folds.date_axis(panel), 20, campaign.INITIAL, campaign.SIZE).orderBy(F.desc("fold_index")).first()
-    path = sinks.stored_path(spark, "champion")
-    parameters = {a: {"rounds": 5, "depth": 3} for a in ("lightgbm", "xgboost")}
-    walkforward.refit_champion(panel, last, campaign._used(panel), "label_D20", "ensemble", parameters, path)
-    rows = walkforward.fold_rows(panel, last)[1]
-    return _each([walkforward.score_champion(path, a, rows, "label_D20").select(F.lit(a).alias("model"), "stock_code", "trade_date", "score") for a in parameters])
+    panel = campaign._stored_panel(spark, sf)
+    axis = sinks.stored(folds.date_axis(panel), "axis")
+    last = folds.weekly_folds(axis, 20, campaign.INITIAL, campaign.SIZE).orderBy(F.desc("fold_index")).limit(1)
+    (_, end, low, _), path = campaigns.day_cuts(last, axis)[0], sinks.stored_path(spark, "champion")
+    settings = {a: replace(s, rounds=10) for a, s in campaign.CHALLENGERS.items()}
+    campaigns.refit(panel, axis, ("domestic", 20), end, campaign._used(panel), settings, path)
+    rows = campaigns.score_saved(panel, axis, ("domestic", 20), path, low, axis.count())
+    return rows.select(F.col("algorithm").alias("model"), "stock_code", "trade_date", "score")
 
 
 def queries() -> dict[str, r.Query]:

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stockloom.operators import folds, linear_folds, models, walkforward
-from stockloom.sources import sinks
+from stockloom.operators import campaigns, folds, forests, linear_folds, models
+from stockloom.sources import logs, sinks
 
 FEATURES = ["f", "g"]
 
@@ -84,24 +84,102 @@ def test_linear_folds_of_empty_panel_and_few_rows(panel):
     assert 0 < linear_folds.walk_forward(few, cuts, FEATURES, "label_D2", {"plain": 0.0}).count() < few.count()
 
 
+SMALL = {"lightgbm": {"rounds": (2, 9), "rate": (0.1, 0.5), "leaves": (2, 6)}, "xgboost": {"rounds": (2, 9), "rate": (0.1, 0.5), "depth": (1, 3)}}
+
+
+def _both(panel, size):
+    """Cuts of the one horizon that has a label and of one that has none."""
+    own = _cuts(panel, size)
+    return own.withColumn("horizon", F.lit(2)).unionByName(own.withColumn("horizon", F.lit(60)))
+
+
 def test_campaign_records_a_failure_and_goes_on(spark, panel):
-    grid = ({"rounds": 2, "depth": 1}, {"rounds": 2, "depth": 2})
-    combos = [("domestic", 2), ("overseas", 60)]  # there is no label of horizon 60
-    made, status = walkforward.campaign(panel, folds.date_axis(panel), lambda h: _cuts(panel, 18), combos, FEATURES, 50, sinks.stored_path(spark, "c"), grid)
-    assert {(r["market"], r["status"]) for r in status.collect()} == {("domestic", "success"), ("overseas", "error")}
-    got = made.collect()
-    assert {(r["algorithm"], r["fold_index"]) for r in got} == {(a, i) for a in ("lightgbm", "xgboost", "ensemble") for i in (0, 1)}
-    assert all(r["rank_ic"] > 0.3 for r in got if r["algorithm"] == "lightgbm")
-
-
-def test_champion_is_saved_and_loaded(panel, tmp_path):
-    last = _cuts(panel, 18).orderBy(F.desc("fold_index")).first()
-    own = panel.filter("market = 'domestic'")
-    given = {a: {"rounds": 2, "depth": 2} for a in models.ALGORITHMS}
-    used = walkforward.refit_champion(own, last, FEATURES, "label_D2", "xgboost", given, str(tmp_path))
-    assert used == own.filter((F.col("trade_date") < F.lit(last["train_end"])) & F.col("label_D2").isNotNull()).count()
-    val = walkforward.fold_rows(own, last)[1]
-    assert walkforward.score_champion(str(tmp_path), "xgboost", val, "label_D2").filter("score IS NOT NULL").count() == val.filter("label_D2 IS NOT NULL").count()
+    axis = sinks.stored(folds.date_axis(panel), "axis")
+    combos = [("domestic", 2), ("overseas", 60), ("nowhere", 2)]  # there is no label of horizon 60
+    rows, status, rungs = campaigns.campaign(panel, axis, _both(panel, 5), combos, FEATURES, 50, sinks.stored_path(spark, "c"), 6, (3, 9), SMALL)
+    assert {(r["market"], r["status"]) for r in status.collect()} == {("domestic", "success"), ("overseas", "error"), ("nowhere", "error")}
+    got = rows.collect()
+    assert {(r["algorithm"], r["fold_index"]) for r in got} == {(a, i) for a in ("lightgbm", "xgboost", "ensemble") for i in range(_cuts(panel, 5).count())}
+    assert np.mean([r["rank_ic"] for r in got if r["algorithm"] == "lightgbm"]) > 0.5
+    kept = {(r["algorithm"], r["rung"]): 0 for r in rungs.collect()} | {}
+    for r in rungs.collect():
+        kept[r["algorithm"], r["rung"]] += r["kept"]
+    assert kept == {("lightgbm", 0): 2, ("lightgbm", 1): 1, ("xgboost", 0): 2, ("xgboost", 1): 1}
+
+
+def test_search_finds_what_every_trial_run_to_its_end_finds(spark, panel):
+    """On this panel halving and the exhaustive search agree; the latter is held against a forest of each trial alone."""
+    axis = sinks.stored(folds.date_axis(panel), "axis")
+    data = campaigns.prepared(panel, axis, [("domestic", 2)], FEATURES, 50)
+    full, record = campaigns.search(data, 50, sinks.stored_path(spark, "s"), 5, (9,), 1, SMALL)
+    cut, alone = folds.purged_split(spark, 50, 2).first(), {}
+    for a in models.ALGORITHMS:
+        for t, setting in enumerate(campaigns.trials(a, 5, SMALL)):
+            m = forests.Model((a, t), 0, cut["train_end"], cut["val_start"], cut["val_end"], setting)
+            forest = forests.Forest(data.rows, [m], len(FEATURES), sinks.stored_path(spark, "one"))
+            forest.grow(setting.rounds)
+            alone[a, t] = campaigns._rank_ics(forest.scores())[0]
+    assert {(r[2], r[3]): r[6] for r in record} == pytest.approx(alone)
+    best = {a: max(range(5), key=lambda t: (alone[a, t], -t)) for a in models.ALGORITHMS}  # noqa: B023
+    assert full == {(0, a): campaigns.trials(a, 5, SMALL)[best[a]] for a in models.ALGORITHMS}
+    halved, _ = campaigns.search(data, 50, sinks.stored_path(spark, "s"), 5, (2, 9), 2, SMALL)
+    by_setting = {a: {s: alone[a, t] for t, s in enumerate(campaigns.trials(a, 5, SMALL))} for a in models.ALGORITHMS}
+    assert all(by_setting[a][halved[0, a]] >= sorted(by_setting[a].values())[-2] for a in models.ALGORITHMS)
+
+
+def test_trials_fill_their_space():
+    for a in models.ALGORITHMS:
+        made = campaigns.trials(a)
+        assert len(set(made)) == 50 and all(20 <= s.rounds <= 200 and 0.01 <= s.rate <= 0.3 for s in made)
+        assert min(s.rounds for s in made) < 30 and max(s.rounds for s in made) > 190
+    assert {s.leaves for s in campaigns.trials("lightgbm")} <= set(range(7, 64)) and {s.depth for s in campaigns.trials("xgboost")} == set(range(3, 11))
+
+
+def test_champion_is_saved_loaded_and_challenged(spark, panel, tmp_path):
+    axis = sinks.stored(folds.date_axis(panel), "axis")
+    settings = {a: forests.Setting(6, 0.3, 2, 4, 1.0, 2) for a in models.ALGORITHMS}
+    used = campaigns.refit(panel, axis, ("domestic", 2), 60, FEATURES, settings, str(tmp_path / "old"))
+    own = panel.filter("market = 'domestic'").join(axis, "trade_date")
+    assert used == own.filter("idx < 60 AND label_D2 IS NOT NULL").count()
+    got = campaigns.score_saved(panel, axis, ("domestic", 2), str(tmp_path / "old"), 70, 80)
+    assert got.count() == 2 * own.filter("idx >= 70 AND idx < 80 AND label_D2 IS NOT NULL").count()
+    # The same models, never saved.
+    data = campaigns.prepared(panel, axis, [("domestic", 2)], FEATURES, 60)
+    forest = forests.Forest(data.rows, [forests.Model((a,), 0, 60, 70, 80, s) for a, s in settings.items()], 2, str(tmp_path / "f"))
+    forest.grow(6)
+    key = lambda r, a: (a, r["stock_code"], r["trade_date"])
+    want = {key(r, models.ALGORITHMS[r["model"]]): r["score"] for r in forest.scores().collect()}
+    assert {key(r, r["algorithm"]): r["score"] for r in got.collect()} == pytest.approx(want)
+    # The champion of another combination is dropped, and a worse one is beaten on the same rows.
+    poor = {a: forests.Setting(1, 0.01, 1, 2, 0.0, 80) for a in models.ALGORITHMS}
+    campaigns.refit(panel, axis, ("overseas", 2), 20, FEATURES, poor, str(tmp_path / "poor"))
+    made = campaigns.challengers(panel, axis, [("domestic", 2), ("overseas", 2)], FEATURES, settings, str(tmp_path / "w"), holdout=8)
+    rows = campaigns.gate(made, panel, axis, {("overseas", 2): str(tmp_path / "poor")}, str(tmp_path / "new")).collect()
+    assert {(r["market"], r["algorithm"]) for r in rows} == {("overseas", a) for a in models.ALGORITHMS}
+    assert all(r["promoted"] == (r["rank_ic"] - r["champion_rank_ic"] > 0) for r in rows if r["champion_rank_ic"] is not None)
+    again = campaigns.score_saved(panel, axis, ("overseas", 2), str(tmp_path / "new" / "overseas-2"), *made.bounds[1][1:])
+    ours = made.scores().filter("market = 'overseas'")
+    assert again.select("algorithm", "stock_code", "trade_date", F.round("score", 9)).exceptAll(ours.select("algorithm", "stock_code", "trade_date", F.round("score", 9))).count() == 0
+
+
+def test_log_keeps_one_writer_of_a_version(spark, tmp_path):
+    path, schema = str(tmp_path / "log"), "market string, at int"
+    rows = lambda at: spark.createDataFrame([("m", at)], schema)
+    assert logs.read(spark, path, schema).count() == 0
+    assert logs.append(rows(1), path, "a", 0) == 0 and logs.append(rows(1), path, "a", 0) == 0
+    for expected in (0, 2):
+        with pytest.raises(logs.VersionConflict):
+            logs.append(rows(2), path, "b", expected)
+    assert logs.append(rows(2), path, "b", 1) == 1 and logs.append(rows(9), path, "a", 7) == 0
+    # A writer that has looked before another one commits fails on the commit itself.
+    before, known = logs.commits, logs.commits(spark, path)[:1]
+    logs.commits = lambda *_: known
+    try:
+        with pytest.raises(logs.VersionConflict, match="meanwhile"):
+            logs.append(rows(3), path, "c", 1)
+    finally:
+        logs.commits = before
+    assert sorted((r["at"], r["version"]) for r in logs.read(spark, path, schema).collect()) == [(1, 0), (2, 1)]
 
 
 def test_held_out_rows_end_boosting_and_leave_medians_alone(panel):
