@@ -177,7 +177,9 @@ def standing_gate(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(active, [*activation.COMBO]).select(*activation.COMBO, "trained_date", "rank_ic", "champion_rank_ic", "promoted", "active_trained_date")
 
 
-LOG = "market string, horizon string, algorithm string, trained_date date, promoted_at date, basis map<string,string>"
+#: The day of the rollback, after all activations.
+BACK = "2002-01-01"
+LOG = "market string, horizon int, algorithm string, trained_date date, promoted_at date, basis map<string,string>"
 
 
 def _logged(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,7 +195,7 @@ def _logged(spark: SparkSession, sf: str) -> DataFrame:
             raise AssertionError("a second writer of a version must fail")
         except logs.VersionConflict:
             logs.append(own, path, f"run-{year}", version)
-    back = activation.rolled_back(logs.read(spark, path, LOG).drop("version"), _versions(spark, sf), AT)
+    back = activation.rolled_back(logs.read(spark, path, LOG).drop("version"), _versions(spark, sf), BACK)
     logs.append(back, path, "rollback", len(years))
     now = activation.current(logs.read(spark, path, LOG))
     return now.select(*activation.COMBO, "trained_date", "promoted_at", F.col("basis")["rollback_from_trained_date"].alias("rollback_from"), (F.col("version") == len(years)).alias("from_rollback"))
@@ -345,7 +347,7 @@ def oracle_sql() -> dict[str, str]:
         "r_activations": p.sql("SELECT * FROM now", **log),
         "r_rollback": p.sql(f"SELECT n.market, n.horizon, n.algorithm, max(v.trained_date) AS trained_date, DATE '{AT}' AS promoted_at, CAST(n.trained_date AS VARCHAR) AS rollback_from FROM now n JOIN versions v ON v.market = n.market AND v.horizon = n.horizon AND v.algorithm = n.algorithm AND v.trained_date < n.trained_date GROUP BY ALL", **log),
         "r_dangling": p.sql("SELECT market || '_' || year(promoted_at) AS market, horizon, algorithm, trained_date FROM (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY market, horizon, algorithm, year(promoted_at) ORDER BY promoted_at DESC) = 1) ANTI JOIN (SELECT market, horizon, algorithm, trained_date FROM versions WHERE active) k USING (market, horizon, algorithm, trained_date)", **log),
-        "r_log": p.sql(f"SELECT n.market, n.horizon, n.algorithm, max(v.trained_date) AS trained_date, DATE '{AT}' AS promoted_at, CAST(n.trained_date AS VARCHAR) AS rollback_from, true AS from_rollback FROM now n JOIN versions v ON v.market = n.market AND v.horizon = n.horizon AND v.algorithm = n.algorithm AND v.trained_date < n.trained_date GROUP BY ALL", **log),
+        "r_log": p.sql(f"SELECT n.market, n.horizon, n.algorithm, max(v.trained_date) AS trained_date, DATE '{BACK}' AS promoted_at, CAST(n.trained_date AS VARCHAR) AS rollback_from, true AS from_rollback FROM now n JOIN versions v ON v.market = n.market AND v.horizon = n.horizon AND v.algorithm = n.algorithm AND v.trained_date < n.trained_date GROUP BY ALL", **log),
         "r_saved_combos": f"SELECT DISTINCT market, horizon, algorithm FROM ({r._ART})",
         "r_gauges": "SELECT event_type AS stage, max(CASE WHEN event_type = 'purchase' THEN ts END) AS last_success, arg_max(value, row(ts, event_id)) AS latest FROM events GROUP BY ALL",
     }
