@@ -27,14 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockloom.llm.common import removed, shared_dir, shuffle_partitions, slices, text_or_empty, written
+from stockloom.llm.common import ARROW_ROWS, removed, shared_dir, shuffle_partitions, slices, text_or_empty, written
 
 #: Entries of a list of words or phrases that a process holds at a time.
 BLOCK = 1 << 19
 #: A tile has 2**TILE_BITS ids a side; one is counted densely from DENSE pairs on.
 TILE_BITS, DENSE = 10, 1 << 16
 #: Pairs that a task gathers before it counts them; distinct words that it counts before it hands them on; tasks whose tiles meet.
-GATHER, HELD_WORDS, FAN = 1 << 21, 1 << 18, 16
+GATHER, HELD_WORDS, FAN = 1 << 20, 1 << 18, 16
+#: Rows of a batch of id arrays, each of a megabyte of text or of one longer text.
+ARRAY_ROWS = 8
 #: A pair of ids as one number: so many bits are for the word, the rest (35) for the phrase before it.
 WORD_BITS = 28
 RARE, GAP = -1, -2
@@ -155,11 +157,11 @@ def encoded(docs: DataFrame, listed: DataFrame, total: int, path: str, block: in
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(arrays, pa.binary())], names=["lang", "text", "words"])
 
         if total <= block:
-            return written(_texts(docs).mapInArrow(run, "words binary"), f"{path}-{step}")
+            return written(_texts(docs).mapInArrow(run, "words binary"), f"{path}-{step}", ARROW_ROWS)
         # Beyond one block the texts stay beside their ids until every block has been looked up.
         if rows is None:
             rows = _texts(docs).withColumn("words", F.lit(None).cast("binary"))
-        rows = written(rows.mapInArrow(more, "lang string, text string, words binary"), f"{path}-{step}")
+        rows = written(rows.mapInArrow(more, "lang string, text string, words binary"), f"{path}-{step}", ARROW_ROWS)
         if step:
             removed(spark, f"{path}-{step - 1}")
     return rows.select("words")
@@ -239,8 +241,8 @@ def pair_counts(arrays: DataFrame, head: str, length: int) -> DataFrame:
             return _part(tiles(first, second), part)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                own, word = _places(row[head], row["words"], length)
+            for i in range(batch.num_rows):
+                own, word = _places(batch.column(0)[i].as_py(), batch.column(batch.num_columns - 1)[i].as_py(), length)
                 keep = (own >= 0) & (word >= 0)
                 held.append((own[keep].astype(np.int64), word[keep].astype(np.int64)))
                 size += int(keep.sum())
@@ -280,7 +282,8 @@ def heads(arrays: DataFrame, head: str, length: int, listed: DataFrame, total: i
         def run(batches: Iterator[pa.RecordBatch], sent=sent, ends=step == last) -> Iterator[pa.RecordBatch]:
             keys, numbers = sent.value
             for batch in batches:
-                for own_bytes, words_, before in zip(*[c.to_pylist() for c in batch.columns]):
+                for i in range(batch.num_rows):
+                    own_bytes, words_, before = (c[i].as_py() for c in batch.columns)
                     own, on = _places(own_bytes, words_, length)
                     at = np.flatnonzero((own >= 0) & (on >= 0))
                     found = np.full(len(own), RARE, np.int64) if before is None else np.frombuffer(before, np.int64).copy()
@@ -292,7 +295,7 @@ def heads(arrays: DataFrame, head: str, length: int, listed: DataFrame, total: i
                     # The pass before is needed only by a further one.
                     yield pa.record_batch([pa.array([None if ends else own_bytes], pa.binary()), pa.array([words_], pa.binary()), pa.array([found.tobytes()], pa.binary())], names=["own", "words", "head"])
 
-        rows = written(rows.mapInArrow(run, "own binary, words binary, head binary"), f"{path}-{step}")
+        rows = written(rows.mapInArrow(run, "own binary, words binary, head binary"), f"{path}-{step}", ARRAY_ROWS)
         if step:
             removed(spark, f"{path}-{step - 1}")
     return rows.select("head", "words")
@@ -305,14 +308,15 @@ def frequent(docs: DataFrame, name: str = "phrases", block: int = BLOCK) -> tupl
     """
     spark = docs.sparkSession
     base = shared_dir(spark, name)
-    counts = written(word_counts(docs), f"{base}/counts")
+    counts = written(word_counts(docs), f"{base}/counts", ARROW_ROWS)
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     listed, total = ranked(counts.filter(F.col("f") >= LEAST), ["lang", "word"], f"{base}/words", WORD_BITS)
     arrays, head = encoded(docs, listed, total, f"{base}/texts", block), "words"
     grams = listed.select("lang", F.col("word").alias("phrase"), F.array("id").alias("parts"), "f", "id")
     every, word = [grams], listed.select(F.col("id").alias("b"), "word")
     for length in range(2, LONGEST + 1):
-        pairs, total = ranked(pair_counts(arrays, head, length), ["a", "b"], f"{base}/{length}")
+        found = written(pair_counts(arrays, head, length), f"{base}/counts-{length}", ARRAY_ROWS)
+        pairs, total = ranked(found, ["a", "b"], f"{base}/{length}")
         firsts = every[-1].select("lang", "phrase", "parts", F.col("id").alias("a"))
         grown = pairs.join(firsts, "a").join(word, "b")
         grown = grown.select("lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), F.concat("parts", F.array("b")).alias("parts"), "f", "id")
