@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Open days from trade to settlement, and the currency of each market's dividends.
-SETTLEMENT_DAYS = {"KRX": 2, "US": 1}
-CURRENCY = {"KRX": "KRW", "US": "USD"}
+#: Open days from trade to settlement, and the currency of dividends, by calendar.
+SETTLEMENT_DAYS = {"KRX": 2, "NYSE": 1}
+CURRENCY = {"KRX": "KRW", "NYSE": "USD"}
 MARKET_CALENDAR = {"domestic": "KRX", "overseas": "NYSE"}
 PRICES = ("open_price", "high_price", "low_price", "close_price")
 
@@ -30,14 +30,28 @@ def valid_dividends(events: DataFrame) -> DataFrame:
     return events.filter("event_type = 'DIVIDEND' AND cash_amount <> 0 AND event_subtype <> ''")
 
 
-def ex_dates(dividends: DataFrame, expanded: DataFrame) -> DataFrame:
+def settlement_days(code: Column, overrides: dict[str, int] | None = None) -> Column:
+    """Open days from trade to settlement of a calendar; null for none. ``overrides`` replace the days of known calendars.
+
+    An unknown calendar is an error, in the overrides at once and in the rows when they are read.
+    """
+    unknown = set(overrides or {}) - set(SETTLEMENT_DAYS)
+    if unknown:
+        raise ValueError(f"no settlement days for the calendars {sorted(unknown)}")
+    days = F.create_map(*[F.lit(x) for pair in (SETTLEMENT_DAYS | (overrides or {})).items() for x in pair])
+    error = F.raise_error(F.concat(F.lit("no settlement days for the calendar "), code)).cast("int")
+    return F.when(code.isNull(), F.lit(None)).when(code.isin(*SETTLEMENT_DAYS), F.try_element_at(days, code)).otherwise(error)
+
+
+def ex_dates(dividends: DataFrame, expanded: DataFrame, settlement: dict[str, int] | None = None) -> DataFrame:
     """Adds ``ex_date``: the stored one, else settlement days less one before the record date, and ``base_date``.
 
     The dividends have their ``calendar_code``; without one, or before the calendar begins, only a stored date counts.
+    ``settlement`` overrides the days of a calendar; a calendar without settlement days is an error.
     """
     cal = F.broadcast(expanded)  # one row per civil day and calendar
     rows = dividends
-    steps = F.when(F.col("calendar_code") == "KRX", SETTLEMENT_DAYS["KRX"] - 1).otherwise(SETTLEMENT_DAYS["US"] - 1)
+    steps = settlement_days(F.col("calendar_code"), settlement) - 1
     at = cal.select("calendar_code", F.col("cal_date").alias("event_date"), "idx_incl")
     rows = rows.join(at, ["calendar_code", "event_date"], "left").withColumn("target", F.col("idx_incl") - steps)
     opened = cal.filter("is_open").select("calendar_code", F.col("idx_incl").alias("target"), F.col("cal_date").alias("derived"))
@@ -46,13 +60,13 @@ def ex_dates(dividends: DataFrame, expanded: DataFrame) -> DataFrame:
     return rows.join(before, ["calendar_code", "ex_date"], "left").drop("target", "derived", "idx_incl")
 
 
-def dividends_checked(events: DataFrame, bars: DataFrame, expanded: DataFrame) -> DataFrame:
-    """Valid dividends with ``base_close`` and ``skip_reason`` (null: applied)."""
-    rows = ex_dates(valid_dividends(events), expanded)
-    expected = F.when(F.col("calendar_code") == "KRX", CURRENCY["KRX"]).otherwise(CURRENCY["US"])
+def dividends_checked(events: DataFrame, bars: DataFrame, expanded: DataFrame, settlement: dict[str, int] | None = None) -> DataFrame:
+    """Valid dividends with ``base_close`` and ``skip_reason`` (null: applied); a stock without a market is skipped as ``market``."""
+    rows = ex_dates(valid_dividends(events), expanded, settlement)
+    expected = F.try_element_at(F.create_map(*[F.lit(x) for pair in CURRENCY.items() for x in pair]), F.col("calendar_code"))
     base = bars.select("stock_code", F.col("trade_date").alias("base_date"), F.col("close_price").alias("base_close"))
     rows = rows.join(base, ["stock_code", "base_date"], "left")
-    reason = F.when(~F.col("currency_code").eqNullSafe(expected), "currency").when(F.col("base_close").isNull(), "no_base_close")
+    reason = F.when(F.col("calendar_code").isNull(), "market").when(~F.col("currency_code").eqNullSafe(expected), "currency").when(F.col("base_close").isNull(), "no_base_close")
     return rows.withColumn("skip_reason", reason)
 
 

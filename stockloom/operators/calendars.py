@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def next_open(rows: DataFrame, expanded: DataFrame, column: str = "start", bound: str = "bound") -> DataFrame:
+    """Adds ``next_open``: the first open day after the date, or null where it lies past the row's bound.
+
+    ``rows`` have ``calendar_code``, the date and the bound. Dates outside the calendar and null dates or bounds give null.
+    """
+    after = F.broadcast(expanded).select("calendar_code", F.col("cal_date").alias(column), F.col("next_open_excl").alias("_next"))
+    found = rows.join(after, ["calendar_code", column], "left")
+    return found.withColumn("next_open", F.when(F.col("_next") <= F.col(bound), F.col("_next"))).drop("_next")
+
+
 def nth_open(rows: DataFrame, expanded: DataFrame, n: int, column: str = "start") -> DataFrame:
     """Adds ``nth_open``: the n-th open day on or after the date, which counts if it is open itself.
 

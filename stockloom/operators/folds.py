@@ -29,15 +29,29 @@ def purged_split(spark: SparkSession, n: int, gap: int, ratios=(0.70, 0.15, 0.15
     return spark.createDataFrame([tuple(bounds)], "train_start int, train_end int, val_start int, val_end int, test_start int, test_end int")
 
 
-def weekly_folds(axis: DataFrame, gap: int, train_end: int, size: int, reserve: int | None = None) -> DataFrame:
+def weekly_folds(axis: DataFrame, gap: int, train_end: int, size: int, reserve: int | None = None, count: int | None = None) -> DataFrame:
     """Folds that advance by their validation size, as dates; the last upper bound may be open (null).
 
     ``reserve`` days stay free after the initial history: twice the gap, or the largest of several horizons
-    that share a number of folds.
+    that share a number of folds. There are as many folds as fit, or ``count``; sizes below 1, a negative gap and an axis
+    too short for ``count`` folds are errors.
     """
+    for name, value, least in (("train_end", train_end, 1), ("size", size, 1), ("gap", gap, 0), ("count", 1 if count is None else count, 1)):
+        if value < least:
+            raise ValueError(f"{name} must be at least {least}")
+    if count is not None:
+        days = axis.count()  # bounded by the calendar
+        if train_end + (count - 1) * size + gap > days:
+            raise ValueError(f"{days} days are too few for {count} folds")
+        return _dated(axis.sparkSession.range(count).select(F.col("id").cast("int").alias("fold_index")), axis, gap, train_end, size)
     n = axis.agg(F.count(F.lit(1)).alias("n"))
     room = F.greatest(F.floor((F.col("n") - train_end - (2 * gap if reserve is None else reserve)) / size), F.lit(0)).cast("int")
     folds = n.select(F.explode(F.when(room > 0, F.sequence(F.lit(0), room - 1)).otherwise(F.array().cast("array<int>"))).alias("fold_index"))
+    return _dated(folds, axis, gap, train_end, size)
+
+
+def _dated(folds: DataFrame, axis: DataFrame, gap: int, train_end: int, size: int) -> DataFrame:
+    """Bounds of the folds by their number, as dates of the axis."""
     folds = folds.withColumn("a", F.lit(train_end) + F.col("fold_index") * size).withColumns({"v": F.col("a") + gap, "z": F.col("a") + gap + size})
     for at, name in (("a", "train_end"), ("v", "val_start"), ("z", "val_end")):
         folds = folds.join(F.broadcast(axis.select(F.col("idx").alias(at), F.col("trade_date").alias(name))), at, "left").drop(at)

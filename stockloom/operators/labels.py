@@ -9,7 +9,7 @@ from stockloom.operators.adjustment import with_calendar
 
 HORIZONS = (20, 60)
 #: Open days between train and validation rows of each horizon, and the first day of each market's panel.
-PURGE_GAP = {h: h for h in HORIZONS}
+PURGE_GAP = {h: h for h in HORIZONS}  # another horizon is a KeyError
 START_DATES = {"domestic": "2005-01-01", "overseas": "2007-08-20"}
 
 
@@ -58,6 +58,17 @@ def first_row_per_date(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("_n", n).filter("_n = 1").drop("_n")
 
 
+def unrepeated(bars: DataFrame, *order: str) -> DataFrame:
+    """Bars without further rows of a stock and date: the first in the given ingest order stays.
+
+    Without an order the values of the row decide, so that the choice is the same in every run. The window is that of the
+    stock, as the other operators need it, so no further shuffle comes of it. Rows without a date stay.
+    """
+    rest = [c for c in bars.columns if c not in ("stock_code", "trade_date", *order)]
+    before = F.lag("trade_date").over(Window.partitionBy("stock_code").orderBy("trade_date", *order, *rest))
+    return bars.withColumn("_same", before == F.col("trade_date")).filter("_same IS NOT TRUE").drop("_same")
+
+
 def from_start(rows: DataFrame, universe: DataFrame, starts: dict[str, str] = START_DATES) -> DataFrame:
     """Rows of the universe's stocks from the first day of their market on."""
     own = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])
@@ -68,8 +79,8 @@ def from_start(rows: DataFrame, universe: DataFrame, starts: dict[str, str] = ST
 def split_labels(targets_: DataFrame, bars: DataFrame, events: DataFrame) -> DataFrame:
     """Adds ``label``: the resolved close over the bar's close adjusted for splits up to the target, less one."""
     splits = events.filter("event_type = 'SPLIT'").select("stock_code", "event_date", "stock_rate")
-    # A date that is there twice would multiply rows; its first close counts.
-    later = bars.groupBy("stock_code", F.col("trade_date").alias("resolved")).agg(F.first("close_price").alias("end_close"))
+    # A date that is there twice would multiply rows; the first of its bars counts.
+    later = unrepeated(bars).select("stock_code", F.col("trade_date").alias("resolved"), F.col("close_price").alias("end_close"))
     rows = targets_.join(later, ["stock_code", "resolved"], "left")
     meets = rows.filter("resolved IS NOT NULL").join(splits, "stock_code").filter("event_date > trade_date AND event_date <= target")
     factor = meets.groupBy("stock_code", "trade_date", "horizon").agg(F.product("stock_rate").alias("rate"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.operators import activation, calendars, campaigns, features, folds, gates, labels, metrics, registry_tables
+from stockloom.operators import activation, adjustment, calendars, campaigns, features, folds, gates, labels, metrics, registry_tables
 from stockloom.plans import campaign
 from stockloom.plans import registry as r
 from stockloom.sources import panels as p
@@ -80,6 +80,22 @@ def _nth_open(spark: SparkSession, sf: str) -> DataFrame:
     return _each([calendars.nth_open(days, cal, n).withColumn("n", F.lit(n)) for n in STEPS])
 
 
+#: Days after a date until which its next open day counts, and settlement days in place of the usual ones.
+BOUNDS, SETTLEMENT = (1, 2, 4), {"KRX": 4, "NYSE": 3}
+
+
+def _next_open(spark: SparkSession, sf: str) -> DataFrame:
+    cal = sinks.stored(r._expanded(spark, sf), "calendar")
+    days = cal.select("calendar_code", F.col("cal_date").alias("start"), F.explode(F.array(*[F.lit(b) for b in BOUNDS])).alias("days"))
+    return calendars.next_open(days.withColumn("bound", F.date_add("start", F.col("days"))), cal).drop("bound")
+
+
+def _settlement(spark: SparkSession, sf: str) -> DataFrame:
+    """Ex-dates of all valid dividends under other settlement days."""
+    m = r.market(spark, sf)
+    return adjustment.ex_dates(adjustment.valid_dividends(m.events), m.expanded, SETTLEMENT).select("stock_code", "event_date", "ex_date", "base_date")
+
+
 def _selected(spark: SparkSession, sf: str) -> DataFrame:
     """The features of a fit in the panel's order, their constraint, and how many labelled rows hold them."""
     rows, names = features.selected(r._panel(spark, sf), "label_D20")
@@ -178,7 +194,7 @@ def queries() -> dict[str, r.Query]:
         "s_scan_bars": lambda s, d: r._r(scans.scan_bars(p.bars(s, d), p.stocks(s, d).filter("asset_type = 'STOCK'"), *RANGE).select("stock_code", "trade_date", "close_price"), 9),
         "s_scan_universe": _universe, "s_market_data": _market_data, "s_cast_decimals": _decimals, "s_by_stock": _by_stock,
         "s_panel_cache": _panel_cache, "s_fold_metrics": _fold_metrics, "s_model_metadata": _model_metadata,
-        "c_nth_open": _nth_open, "f_selected": _selected, "l_first_rows": _first_rows,
+        "c_nth_open": _nth_open, "c_next_open": _next_open, "c_settlement": _settlement, "f_selected": _selected, "l_first_rows": _first_rows,
         "g_purged_split": _purged, "g_initial_folds": _initial, "g_final_window": _final_window,
         "m_timings": lambda s, d: r._r(registry_tables.timings(p.table(s, d, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds")))),
         "j_outcomes": lambda s, d: campaign._promotions(s, d).select("market", "horizon", "fold_index", registry_tables.verdict_outcome(F.col("promoted")).alias("outcome")),
@@ -211,6 +227,8 @@ def oracle_sql() -> dict[str, str]:
         "s_fold_metrics": p.sql("SELECT market, horizon, algorithm, fold_index, " + r._rs(["hit_rate", "rank_ic"]) + " FROM met", "scores", **r._ALL),
         "s_model_metadata": p.sql(f"SELECT a.market, a.horizon, a.algorithm, mean, icir, n AS train_rows, {PARAMETERS['depth']}::DOUBLE AS depth, {len(features.registry())} AS n_features, 'fold_metrics' AS fold_metrics FROM ({based['m_aggregate']}) a JOIN (SELECT market, horizon, algorithm, count(*) AS n FROM long GROUP BY ALL) USING (market, horizon, algorithm)", "scores", long=r._LONG),
         "c_nth_open": p.sql(f"SELECT e.calendar_code, e.cal_date AS start, n, o.cal_date AS nth_open FROM expanded e CROSS JOIN (SELECT unnest({list(STEPS)}) AS n) LEFT JOIN expanded o ON o.is_open AND o.calendar_code = e.calendar_code AND o.idx_incl = e.idx_incl + n - e.is_open::INTEGER", "expanded"),
+        "c_next_open": p.sql(f"SELECT calendar_code, cal_date AS start, n AS days, CASE WHEN next_open_excl <= cal_date + n::INTEGER THEN next_open_excl END AS next_open FROM expanded, (SELECT unnest({list(BOUNDS)}) AS n)", "expanded"),
+        "c_settlement": p.sql("SELECT e.stock_code, e.event_date, e.ex_date, y.prev_open_excl AS base_date FROM ex e LEFT JOIN expanded y ON y.calendar_code = e.calendar_code AND y.cal_date = e.ex_date", "corp_events", "expanded", ex=r._EX.replace("THEN 1 ELSE 0 END", f"THEN {SETTLEMENT['KRX'] - 1} ELSE {SETTLEMENT['NYSE'] - 1} END")),
         "f_selected": campaign.panel_sql(f"SELECT unnest([{picked}], recursive := true) FROM panel WHERE label_D20 IS NOT NULL"),
         "l_first_rows": p.sql("SELECT stock_code, trade_date, round(arg_min(price, k), 9) + 0.0 AS price FROM trades GROUP BY ALL", "trades"),
         "g_purged_split": p.sql(f"SELECT 0 AS train_start, a AS train_end, a + h AS val_start, a + h + b AS val_end, a + 2 * h + b AS test_start, n::INTEGER AS test_end, h AS horizon FROM (SELECT n, h, {part(0.7)} AS a, {part(0.15)} AS b FROM (SELECT count(*) AS n FROM axis), (VALUES (20), (60)) v(h))", "bars", axis=axis),

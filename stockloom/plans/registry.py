@@ -67,7 +67,7 @@ def _panel(spark: SparkSession, sf: str) -> DataFrame:
 def panel_of(m: p.Market, starts: dict[str, str] | None = None) -> DataFrame:
     """One row per stock and day of the graded universe: features on prices adjusted as of the stock's last bar, flows, labels."""
     members = m.universe.filter(F.col("grade").isin("A", "B"))
-    bars = labels.from_start(m.bars.drop("b"), members, starts or START)
+    bars = labels.unrepeated(labels.from_start(m.bars.drop("b"), members, starts or START))
     rows = features.technical(adjustment.adjust_prices(bars, m.events, m.expanded))
     flow = features.supply_demand(m.flows).drop("total_trading_value", *[f"{i}_net_value" for i in features.INVESTORS])
     found = adjustment.dividends_checked(m.events, bars, m.expanded)
