@@ -35,8 +35,8 @@ BLOCK = 1 << 19
 TILE_BITS, DENSE = 10, 1 << 16
 #: Pairs that a task gathers before it counts them; distinct words that it counts before it hands them on; tasks whose tiles meet.
 GATHER, HELD_WORDS, FAN = 1 << 20, 1 << 18, 16
-#: Rows of a batch of id arrays, each of a megabyte of text or of one longer text.
-ARRAY_ROWS = 8
+#: Bytes of text whose ids are in one array, unless one text is longer; rows of a batch of such arrays.
+ARRAY_BYTES, ARRAY_ROWS = 1 << 18, 16
 #: A pair of ids as one number: so many bits are for the word, the rest (35) for the phrase before it.
 WORD_BITS = 28
 RARE, GAP = -1, -2
@@ -144,7 +144,7 @@ def encoded(docs: DataFrame, listed: DataFrame, total: int, path: str, block: in
         sent = spark.sparkContext.broadcast(known)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, 1):
+            for batch in slices(batches, 1, ARRAY_BYTES):
                 arrays = [_ids(found, sent.value.get(lang, {}) | {b"\n": GAP}).tobytes() for lang, found in _by_language(batch)]
                 yield pa.record_batch([pa.array(arrays, pa.binary())], names=["words"])
 
