@@ -74,7 +74,7 @@ def features(word: str, buckets: int) -> list[int]:
 
     padded = f"^{word}$"
     own = [f"w{word}", f"s{word[-3:]}"] + [f"{n}{word[:n]}" for n in (3, 4, 5, 6) if len(word) >= n]
-    own += [f"t{padded[i:i + 3]}" for i in range(min(len(padded) - 2, 24))]
+    own += [f"t{padded[i:i + 3]}" for i in range(len(padded) - 2)]
     return [crc32(x.encode("utf-8", "surrogatepass")) % buckets for x in dict.fromkeys(own)]
 
 

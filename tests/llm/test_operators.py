@@ -276,6 +276,27 @@ def test_pipeline_rejects_toxic_documents_alone(spark):
     assert sum(i not in kept for i in toxic) >= 0.6 * len(toxic) and all(i in kept for i in clean)
 
 
+def test_pipeline_rejects_toxic_documents_of_odd_tables(spark):
+    """Null ids and texts, a very long text, clashing names; no documents; labels of one kind only."""
+    import corpus_pipeline
+    from stockloom.llm import toxicity
+
+    rows = [(1, "a b", "en", "s", 3, 9), (1, "a b", "en", "s", 3, 9), (None, None, None, None, None, 9), (2, "", "en", "s", 0, 9), (None, "x y", None, "s", 3, 9), (3, "w" * 50_000, "en", "s", 50_000, 9)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int")
+    kept = corpus_pipeline.reject_toxic(spark, given, SF)
+    assert kept.columns == given.columns and kept.count() == len(rows)
+    assert corpus_pipeline.reject_toxic(spark, given.limit(0), SF).count() == 0
+    model = toxicity.fit(["a b", "x y"], [1, 1])
+    assert toxicity.without_toxic(given, model).count() == 0
+
+
+def test_every_trigram_of_a_long_word_counts():
+    from stockloom.llm import toxicity
+
+    long = "abcdefghijklmnopqrstuvwxyz" * 3
+    assert set(toxicity.features(long + "qqq", 1 << 30)) - set(toxicity.features(long, 1 << 30)) and len(toxicity.features("".join(map(chr, range(97, 297))), 1 << 30)) > 190
+
+
 def test_pipeline_stages_with_odd_rows(spark):
     import corpus_pipeline
 
