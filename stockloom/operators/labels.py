@@ -1,4 +1,11 @@
-"""Forward realised returns with halt and delisting rules, in closed form."""
+"""Forward realised returns with halt and delisting rules, in closed form.
+
+A stock's events are one row of arrays beside its bars, so that no bar meets an event in a join: the splits and dividends
+between two dates are folded within the row. A stock has a few events a year.
+
+Nulls: rows without a date, or on days outside the calendar, have no target; a missing close gives a null label. Of bars
+that repeat a date the first counts. Empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
@@ -14,13 +21,13 @@ START_DATES = {"domestic": "2005-01-01", "overseas": "2007-08-20"}
 
 
 def targets(bars: DataFrame, expanded: DataFrame, universe: DataFrame, horizons=HORIZONS) -> DataFrame:
-    """``stock_code, trade_date, horizon, target, resolved, reason, halt_days, close_price`` for every bar and horizon.
+    """``stock_code, trade_date, horizon, target, resolved, reason, halt_days, close_price, end_close`` for every bar and horizon.
 
     The target is the horizon-th open day after the bar. A missing target day inside a halt rolls
     forward to the first later bar on an open day, unless the halt is as long as the horizon.
     """
     cal = F.broadcast(expanded)
-    rows = with_calendar(bars.select("stock_code", "trade_date", "close_price"), universe)
+    rows = with_calendar(unrepeated(bars).select("stock_code", "trade_date", "close_price"), universe)
     at = cal.select("calendar_code", F.col("cal_date").alias("trade_date"), "idx_incl", "is_open")
     rows = rows.join(at, ["calendar_code", "trade_date"])
     span = Window.partitionBy("stock_code")
@@ -30,15 +37,15 @@ def targets(bars: DataFrame, expanded: DataFrame, universe: DataFrame, horizons=
     opened = cal.filter("is_open").select("calendar_code", F.col("idx_incl").alias("t_idx"), F.col("cal_date").alias("target"))
     wanted = wanted.join(opened, ["calendar_code", "t_idx"], "left")
     # Observed open days around each target index: bars and targets in one ordered series per stock.
-    seen = rows.filter("is_open").select("stock_code", F.col("idx_incl").alias("i"), F.col("trade_date").alias("day"), F.lit(0).alias("probe"))
-    ask = wanted.select("stock_code", F.col("t_idx").alias("i"), F.lit(None).cast("date").alias("day"), F.lit(1).alias("probe")).distinct()
+    seen = rows.filter("is_open").select("stock_code", F.col("idx_incl").alias("i"), F.col("trade_date").alias("day"), F.col("close_price").alias("close"), F.lit(0).alias("probe"))
+    ask = wanted.select("stock_code", F.col("t_idx").alias("i"), F.lit(None).cast("date").alias("day"), F.lit(None).cast("double").alias("close"), F.lit(1).alias("probe")).distinct()
     both = seen.unionByName(ask)
     back = Window.partitionBy("stock_code").orderBy("i", "probe").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy("stock_code").orderBy(F.desc("i"), F.desc("probe")).rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.when(F.col("probe") == 0, F.struct("i", "day"))
+    mark = F.when(F.col("probe") == 0, F.struct("i", "day", "close"))
     around = both.withColumns({"prev": F.last(mark, True).over(back), "next": F.last(mark, True).over(ahead)}).filter("probe = 1")
     # A bar on the target day itself sorts before the probe, so it is the previous one.
-    around = around.select("stock_code", F.col("i").alias("t_idx"), F.col("prev.i").alias("p_i"), F.col("next.i").alias("n_i"), F.col("next.day").alias("n_day"))
+    around = around.select("stock_code", F.col("i").alias("t_idx"), F.col("prev.i").alias("p_i"), F.col("next.i").alias("n_i"), F.col("next.day").alias("n_day"), F.col("prev.close").alias("p_close"), F.col("next.close").alias("n_close"))
     met = wanted.join(around, ["stock_code", "t_idx"]).join(F.broadcast(universe.select("stock_code", F.col("delisted_at").isNotNull().alias("gone"))), "stock_code", "left")
     short = F.when(F.col("gone"), "delisted").otherwise("insufficient_future_data")
     length = F.coalesce("n_i", F.col("hi") + 1) - F.coalesce("p_i", F.col("lo")) - 1
@@ -49,7 +56,8 @@ def targets(bars: DataFrame, expanded: DataFrame, universe: DataFrame, horizons=
     )
     met = met.withColumn("reason", reason).withColumn("halt_days", F.when(F.col("target").isNotNull() & (F.col("target") <= F.col("last_obs")) & ~F.coalesce(observed, F.lit(False)), length))
     resolved = F.when(F.col("reason").isNotNull(), F.lit(None)).when(observed, F.col("target")).otherwise(F.col("n_day"))
-    return met.withColumn("resolved", resolved).select("stock_code", "trade_date", "horizon", "target", "resolved", "reason", "halt_days", "close_price")
+    end = F.when(resolved.isNotNull(), F.when(observed, F.col("p_close")).otherwise(F.col("n_close")))
+    return met.withColumns({"resolved": resolved, "end_close": end}).select("stock_code", "trade_date", "horizon", "target", "resolved", "reason", "halt_days", "close_price", "end_close")
 
 
 def first_row_per_date(rows: DataFrame, *order: str) -> DataFrame:
@@ -76,32 +84,36 @@ def from_start(rows: DataFrame, universe: DataFrame, starts: dict[str, str] = ST
     return rows.join(F.broadcast(first), "stock_code").filter(F.col("trade_date") >= F.col("_start")).drop("_start")
 
 
-def split_labels(targets_: DataFrame, bars: DataFrame, events: DataFrame) -> DataFrame:
+def _splits(events: DataFrame) -> DataFrame:
+    """``stock_code, splits``: dates and rates of each stock's splits."""
+    own = events.filter("event_type = 'SPLIT' AND stock_rate IS NOT NULL")
+    return own.groupBy("stock_code").agg(F.collect_list(F.struct("event_date", "stock_rate")).alias("splits"))
+
+
+#: The product of the rates of splits after one date up to another.
+_RATE = "aggregate(filter(splits, s -> s.event_date > {a} AND s.event_date <= {z}), 1.0D, (r, s) -> r * s.stock_rate)"
+
+
+def split_labels(targets_: DataFrame, events: DataFrame) -> DataFrame:
     """Adds ``label``: the resolved close over the bar's close adjusted for splits up to the target, less one."""
-    splits = events.filter("event_type = 'SPLIT'").select("stock_code", "event_date", "stock_rate")
-    # A date that is there twice would multiply rows; the first of its bars counts.
-    later = unrepeated(bars).select("stock_code", F.col("trade_date").alias("resolved"), F.col("close_price").alias("end_close"))
-    rows = targets_.join(later, ["stock_code", "resolved"], "left")
-    meets = rows.filter("resolved IS NOT NULL").join(splits, "stock_code").filter("event_date > trade_date AND event_date <= target")
-    factor = meets.groupBy("stock_code", "trade_date", "horizon").agg(F.product("stock_rate").alias("rate"))
-    rows = rows.join(factor, ["stock_code", "trade_date", "horizon"], "left")
-    return rows.withColumn("label", F.col("end_close") * F.coalesce("rate", F.lit(1.0)) / F.col("close_price") - 1).drop("rate", "end_close")
+    rows = targets_.join(_splits(events), "stock_code", "left")
+    rate = F.when(F.col("splits").isNull(), 1.0).otherwise(F.expr(_RATE.format(a="trade_date", z="target")))
+    return rows.withColumn("label", F.col("end_close") * rate / F.col("close_price") - 1).drop("splits")
 
 
-def all_labels(targets_: DataFrame, bars: DataFrame, events: DataFrame, dividends: DataFrame, order: DataFrame) -> DataFrame:
+def all_labels(targets_: DataFrame, events: DataFrame, dividends: DataFrame, order: DataFrame) -> DataFrame:
     """Adds ``label`` with splits and dividends up to the target.
 
     ``dividends`` are checked ones; ``order`` says which stocks' splits come first: their base closes
     are divided by the splits between the base day and the target.
     """
-    splits = events.filter("event_type = 'SPLIT'").select("stock_code", F.col("event_date").alias("split_date"), "stock_rate")
-    applied = dividends.filter("skip_reason IS NULL").select("stock_code", "ex_date", "event_date", "base_date", "cash_amount", "base_close")
-    applied = applied.join(order, "stock_code", "left").withColumn("split_first", F.coalesce("split_first", F.lit(False)))
-    asked = targets_.filter("resolved IS NOT NULL").select("stock_code", "trade_date", "horizon", "target")
-    meets = asked.join(applied, "stock_code").filter("ex_date > trade_date AND ex_date <= target").alias("m")
-    held = (F.col("m.stock_code") == F.col("s.stock_code")) & F.expr("m.split_first AND s.split_date > m.base_date AND s.split_date <= m.target")
-    own = [f"m.{c}" for c in ("stock_code", "trade_date", "horizon", "event_date", "cash_amount", "base_close")]
-    each = meets.join(splits.alias("s"), held, "left").groupBy(*own).agg(F.coalesce(F.product("s.stock_rate"), F.lit(1.0)).alias("rate"))
-    deflator = each.groupBy("stock_code", "trade_date", "horizon").agg(F.product(1 - F.col("cash_amount") * F.col("rate") / F.col("base_close")).alias("deflator"))
-    rows = split_labels(targets_, bars, events).join(deflator, ["stock_code", "trade_date", "horizon"], "left")
-    return rows.withColumn("label", (F.col("label") + 1) / F.coalesce("deflator", F.lit(1.0)) - 1).drop("deflator")
+    applied = dividends.filter("skip_reason IS NULL").join(order, "stock_code", "left")
+    first = F.coalesce("split_first", F.lit(False)).alias("split_first")
+    own = applied.groupBy("stock_code").agg(F.collect_list(F.struct("ex_date", "base_date", "cash_amount", "base_close", first)).alias("dividends"))
+    rows = targets_.join(_splits(events), "stock_code", "left").join(own, "stock_code", "left")
+    rows = rows.withColumn("splits", F.coalesce("splits", F.array().cast("array<struct<event_date:date,stock_rate:double>>")))
+    held = f"IF(d.split_first, {_RATE.format(a='d.base_date', z='target')}, 1.0D)"
+    deflator = F.expr(f"aggregate(filter(dividends, d -> d.ex_date > trade_date AND d.ex_date <= target), 1.0D, (r, d) -> r * (1 - d.cash_amount * {held} / d.base_close))")
+    rate = F.expr(_RATE.format(a="trade_date", z="target"))
+    label = F.col("end_close") * rate / F.col("close_price") / F.coalesce(deflator, F.lit(1.0)) - 1
+    return rows.withColumn("label", label).drop("splits", "dividends")

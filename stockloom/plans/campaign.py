@@ -20,7 +20,7 @@ INITIAL, SIZE, HOLDOUT = 500, 5, 20
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
     m = r.market(spark, sf)
-    return labels.all_labels(r._targets(m), m.bars, m.events, adjustment.dividends_checked(m.events, m.bars, m.expanded), adjustment.event_order(m.events))
+    return labels.all_labels(r._targets(m), m.events, adjustment.dividends_checked(m.events, m.bars, m.expanded), adjustment.event_order(m.events))
 
 
 def _label_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,9 +120,9 @@ PENALTIES = {"least_squares": 0.0, "ridge": 1.0}
 
 
 def _stored_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """The panel with its market as a table: fits read it many times."""
+    """The panel with its market as a table clustered by date: fits read it many times, and folds only their days."""
     rows = r._panel(spark, sf).join(F.broadcast(p.universe(spark, sf).select("stock_code", "market")), "stock_code")
-    return sinks.stored(rows, "panel")
+    return sinks.clustered(rows, "panel")
 
 
 def _cached_panel(spark: SparkSession, sf: str, root: str) -> DataFrame:

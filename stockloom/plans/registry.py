@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stockloom.functions.columns import rounded
 from stockloom.operators import adjustment, features, folds, gates, labels, metrics, registry_tables
 from stockloom.sources import panels as p
+from stockloom.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2000-12-31"
@@ -48,7 +49,7 @@ def _targets(m: p.Market) -> DataFrame:
 
 
 def _labelled(m: p.Market) -> DataFrame:
-    return labels.split_labels(_targets(m), m.bars, m.events)
+    return labels.split_labels(_targets(m), m.events)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +72,7 @@ def panel_of(m: p.Market, starts: dict[str, str] | None = None) -> DataFrame:
     rows = features.technical(adjustment.adjust_prices(bars, m.events, m.expanded))
     flow = features.supply_demand(m.flows).drop("total_trading_value", *[f"{i}_net_value" for i in features.INVESTORS])
     found = adjustment.dividends_checked(m.events, bars, m.expanded)
-    made = labels.all_labels(labels.targets(bars, m.expanded, m.universe), bars, m.events, found, adjustment.event_order(m.events))
+    made = labels.all_labels(labels.targets(bars, m.expanded, m.universe), m.events, found, adjustment.event_order(m.events))
     wide = made.groupBy("stock_code", "trade_date").agg(
         *[F.max(F.when(F.col("horizon") == h, F.col("label"))).alias(f"label_D{h}") for h in labels.HORIZONS],
         *[F.max(F.when(F.col("horizon") == h, F.col("reason"))).alias(f"label_D{h}_exclude_reason") for h in labels.HORIZONS],
@@ -162,13 +163,15 @@ _ART = """SELECT m || '_' || h || '_' || a || '_' || strftime(d, '%Y-%m-%d') ||
 
 
 def queries() -> dict[str, Query]:
-    tech = lambda m: features.technical(m.bars).select("stock_code", "trade_date", *_TECH)
+    tech = lambda bars: features.technical(bars).select("stock_code", "trade_date", *_TECH)
     split = lambda m: adjustment.adjust_split(m.bars, m.events, AS_OF)
     checked = lambda m: adjustment.dividends_checked(m.events, m.bars, m.expanded)
     on = lambda f: lambda s, d: f(market(s, d))
+    stored_bars = lambda s, d: p.bars_of(sinks.stored(p.daily(s, d), "daily"))
     verdict = lambda s, d: gates.verdicts(_metrics(s, d))
     versions = lambda s, d: registry_tables.parsed(_artifacts(s, d))
-    fold = lambda m: folds.weekly_folds(folds.date_axis(m.bars), 20, 500, 5)
+    fold = lambda bars: folds.weekly_folds(folds.date_axis(bars), 20, 500, 5)
+    sizes = lambda bars: folds.sizes(bars, fold(bars))
     return {
         "bars": lambda s, d: _r(p.bars(s, d).drop("b"), 9), "calendar": p.calendar, "universe": p.universe, "flows": p.flows,
         "corp_events": lambda s, d: p.corp_events(s, d).drop("b"),
@@ -179,15 +182,15 @@ def queries() -> dict[str, Query]:
         "a_dividend": on(lambda m: _r(adjustment.adjust_dividend(m.bars, m.events, m.expanded, AS_OF).select("stock_code", "trade_date", "close_price", F.col("volume").cast("long")), 9)),
         "a_adjust": on(lambda m: _r(_logs(adjustment.adjust_prices(m.bars, m.events, m.expanded, AS_OF).select("stock_code", "trade_date", *adjustment.PRICES, "volume")))),
         "a_skip_audit": on(lambda m: adjustment.skip_audit(m.events, m.bars, m.expanded)),
-        "f_technical": on(lambda m: _r(tech(m))),
+        "f_technical": lambda s, d: _r(tech(p.bars(s, d))),
         "f_supply_demand": lambda s, d: _r(features.supply_demand(p.flows(s, d)).select("stock_code", "trade_date", *_FLOW)),
         "l_targets": on(lambda m: _targets(m).select("stock_code", "trade_date", "horizon", "target", "resolved", "reason", "halt_days")),
         "l_labels": on(lambda m: _r(_labelled(m).select("stock_code", "trade_date", "horizon", "label", "reason"))),
         "l_reason_counts": on(lambda m: _targets(m).groupBy("horizon", "reason").agg(F.count(F.lit(1)).alias("n"))),
         "p_panel": lambda s, d: _r(_logs(_panel(s, d))),
         "p_universe_counts": lambda s, d: p.universe(s, d).groupBy("grade").agg(F.count(F.lit(1)).alias("n")),
-        "g_axis": lambda s, d: folds.date_axis(p.bars(s, d)), "g_weekly_folds": on(fold),
-        "g_slices": on(lambda m: folds.sizes(m.bars, fold(m))),
+        "g_axis": lambda s, d: folds.date_axis(p.bars(s, d)), "g_weekly_folds": lambda s, d: fold(stored_bars(s, d)),
+        "g_slices": lambda s, d: sizes(stored_bars(s, d)),
         "e_ensemble": lambda s, d: _r(p.scores(s, d).groupBy("market", "horizon").agg(F.sum(metrics.ensemble(F.col("score_a"), F.col("score_b"))).alias("total"), F.count(F.lit(1)).alias("n"))),
         "e_confidence": lambda s, d: _r(p.scores(s, d).select("k.*", metrics.confidence(metrics.ensemble(F.col("score_a"), F.col("score_b")), F.col("p10"), F.col("p90")).alias("value"))),
         "e_boundaries": lambda s, d: _r(metrics.grade_boundaries(p.scores(s, d), ["market", "horizon"], _RATIOS)),

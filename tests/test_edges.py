@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stockloom.operators import adjustment, calendars, features, folds, labels
 from stockloom.plans import registry
-from stockloom.sources import panels
+from stockloom.sources import panels, sinks
 
 SF = "/root/testdata/sf0.001"
 BARS = "stock_code string, trade_date date, open_price double, high_price double, low_price double, close_price double, volume long"
@@ -108,3 +108,16 @@ def test_rolling_sums_against_pandas(spark):
                 a, b = own[f"{name}_{w}"].astype(float), want[name].astype(float)
                 assert (a.isna() == b.isna()).all(), (stock, name, w)
                 assert np.allclose(a.dropna(), b.dropna(), rtol=1e-9, atol={"MA": 1e-14, "STD": 1e-15}.get(name, 1e-9)), (stock, name, w)
+
+
+def test_a_fold_reads_only_its_days(spark):
+    """The scan of a clustered table puts out the rows of a few row groups; the rows are those of any layout."""
+    rows = spark.range(8000).select(F.concat(F.lit("s"), F.col("id") % 20).alias("stock_code"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / 20).cast("int")).alias("trade_date"), F.col("id").alias("x"))
+    table = sinks.clustered(rows.orderBy(F.rand(1)), "clustered")
+    cut = folds.weekly_folds(folds.date_axis(table), 5, 60, 40).orderBy("fold_index").first()
+    window = table.filter((F.col("trade_date") >= F.lit(cut["val_start"])) & (F.col("trade_date") < F.lit(cut["val_end"])))
+    plan = window._jdf.queryExecution().executedPlan()
+    got = len(plan.executeCollect())
+    read = plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+    assert got == 40 * 20 and got <= read <= 2 * 8000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert window.exceptAll(rows).count() == 0
