@@ -31,10 +31,13 @@ from stockloom.llm.common import ARROW_ROWS, removed, shared_dir, shuffle_partit
 
 #: Entries of a list of words or phrases that a process holds at a time.
 BLOCK = 1 << 19
-#: A tile has 2**TILE_BITS ids a side; one is counted densely from DENSE pairs on.
-TILE_BITS, DENSE = 10, 1 << 16
+#: Ids below SIDE are one block; every further doubling of ids is SPLIT blocks, so that ranked ids fill tiles of pairs about evenly.
+#: A tile of up to DENSE_CELLS cells is counted densely where a DENSE-th of them can be full.
+SIDE, SPLIT, DENSE_CELLS, DENSE = 512, 8, 1 << 22, 16
 #: Pairs that a task gathers before it counts them; distinct words that it counts before it hands them on; tasks whose tiles meet.
-GATHER, HELD_WORDS, FAN = 1 << 20, 1 << 18, 16
+GATHER, HELD_WORDS, FAN = 1 << 20, 1 << 18, 64
+#: Distinct pairs that a task adds up before it hands them on.
+HELD_PAIRS = 1 << 22
 #: Bytes of text whose ids are in one array, unless one text is longer; rows of a batch of such arrays.
 ARRAY_BYTES, ARRAY_ROWS = 1 << 18, 16
 #: A pair of ids as one number: so many bits are for the word, the rest (35) for the phrase before it.
@@ -167,90 +170,128 @@ def encoded(docs: DataFrame, listed: DataFrame, total: int, path: str, block: in
     return rows.select("words")
 
 
-def tiles(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Tile, cells with pairs in order and their counts: full tiles by ``bincount``, the rest by sorted coordinates."""
-    low, cell_bits = (1 << TILE_BITS) - 1, 2 * TILE_BITS
-    tile = (first >> TILE_BITS) << (WORD_BITS - TILE_BITS) | (second >> TILE_BITS)
-    cell = (first & low) << TILE_BITS | (second & low)
-    order = np.argsort(tile, kind="stable")
-    tile, cell = tile[order], cell[order]
-    starts = np.flatnonzero(np.diff(tile, prepend=-1))
-    ends = np.append(starts[1:], len(order))
-    for begin, end in zip(starts.tolist(), ends.tolist()):
-        own = cell[begin:end]
-        if end - begin >= DENSE:
-            count = np.bincount(own, minlength=1 << cell_bits)
-            at = np.flatnonzero(count)
-            yield int(tile[begin]), at, count[at]
-        else:
-            yield int(tile[begin]), *np.unique(own, return_counts=True)
+def block_of(ids: np.ndarray) -> np.ndarray:
+    """The block of each id: wider the rarer."""
+    octave = np.frexp(np.maximum(ids, SIDE) / SIDE)[1] - 1
+    within = ((ids >> octave) - SIDE) * SPLIT // SIDE
+    return np.where(ids < SIDE, 0, 1 + octave * SPLIT + within)
+
+
+def bounds_of(block: int) -> tuple[int, int]:
+    """The first id of a block and how many it has."""
+    if block == 0:
+        return 0, SIDE
+    octave, within = divmod(block - 1, SPLIT)
+    low = (SIDE + within * SIDE // SPLIT) << octave
+    return low, (SIDE // SPLIT) << octave
+
+
+def _area(tile: int) -> tuple[int, int, int, int]:
+    """First row, rows, first column and columns of a tile."""
+    return *bounds_of(tile >> 16), *bounds_of(tile & 0xFFFF)
+
 
+def _width(tile: int) -> type:
+    _, rows, _, columns = _area(tile)
+    return np.int32 if rows * columns < 1 << 31 else np.int64
 
-def merged(cells: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of one tile added up: densely where there are many, else by sorted cells."""
-    cell, count = np.concatenate(cells), np.concatenate(counts)
-    if len(cell) >= DENSE:
-        total = np.zeros(1 << 2 * TILE_BITS, np.int64)
-        for at, n in zip(cells, counts):
-            total[at] += n  # the cells of one part are distinct
+
+def counted(tile: int, cells: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells of a tile in order and their counts: by a dense ``bincount`` where it can be full, else by sorted coordinates."""
+    _, rows, _, columns = _area(tile)
+    size = sum(map(len, cells))
+    if rows * columns <= DENSE_CELLS and size * DENSE >= rows * columns:
+        if counts is None:
+            total = np.bincount(np.concatenate(cells), minlength=rows * columns)
+        else:
+            total = np.zeros(rows * columns, np.int64)
+            for at, n in zip(cells, counts):
+                total[at] += n  # the cells of one part are distinct
         at = np.flatnonzero(total)
-        return at, total[at]
+        return at.astype(_width(tile)), total[at]
+    cell = np.concatenate(cells)
+    if counts is None:
+        at, n = np.unique(cell, return_counts=True)
+        return at, n
     order = np.argsort(cell, kind="stable")
     at, starts = np.unique(cell[order], return_index=True)
-    return at, np.add.reduceat(count[order], starts) if len(at) else count
+    return at, np.add.reduceat(np.concatenate(counts)[order], starts)
+
+
+def tiles(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Every tile with its distinct cells and their counts."""
+    tile = block_of(first) << 16 | block_of(second)
+    order = np.argsort(tile, kind="stable")
+    tile, first, second = tile[order], first[order], second[order]
+    starts = np.flatnonzero(np.diff(tile, prepend=-1))
+    for begin, end in zip(starts.tolist(), np.append(starts[1:], len(order)).tolist()):
+        own = int(tile[begin])
+        row, _, column, columns = _area(own)
+        cell = ((first[begin:end] - row) * columns + (second[begin:end] - column)).astype(_width(own))
+        yield own, *counted(own, [cell])
 
 
 _PARTS = "tile long, part long, cells binary, counts binary"
 
 
-def _part(found: Iterator[tuple[int, np.ndarray, np.ndarray]], part: int) -> pa.RecordBatch:
-    listed = [(t, c.astype(np.int32).tobytes(), n.astype(np.int64).tobytes()) for t, c, n in found]
-    tile, cells, counts = zip(*listed)
-    return pa.record_batch([pa.array(tile, pa.int64()), pa.array([part] * len(tile), pa.int64()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], names=["tile", "part", "cells", "counts"])
+def _part(found: dict[int, tuple[np.ndarray, np.ndarray]], part: int) -> pa.RecordBatch:
+    cells = [c.tobytes() for c, _ in found.values()]
+    counts = [n.astype(np.int64).tobytes() for _, n in found.values()]
+    return pa.record_batch([pa.array(found.keys(), pa.int64()), pa.array([part] * len(found), pa.int64()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], names=["tile", "part", "cells", "counts"])
 
 
-def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return merged([np.frombuffer(c, np.int32) for c in table["cells"].to_pylist()], [np.frombuffer(c, np.int64) for c in table["counts"].to_pylist()])
+def _merged(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    tile = table["tile"][0].as_py()
+    arrays = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
+    return tile, *counted(tile, arrays("cells", _width(tile)), arrays("counts", np.int64))
 
 
 def _fewer(table: pa.Table) -> pa.Table:
     """The parts of a tile that a group of tasks has made, as one."""
-    cell, count = _merged(table)
-    return pa.Table.from_batches([_part(iter([(table["tile"][0].as_py(), cell, count)]), table["part"][0].as_py())])
+    tile, cell, count = _merged(table)
+    return pa.Table.from_batches([_part({tile: (cell, count)}, table["part"][0].as_py())])
 
 
 def _frequent(table: pa.Table) -> pa.Table:
     """All counts of a tile; the pairs that are frequent enough."""
-    cell, count = _merged(table)
-    keep = count >= LEAST
-    left, right = divmod(table["tile"][0].as_py(), 1 << (WORD_BITS - TILE_BITS))
-    a, b = (left << TILE_BITS) + (cell[keep].astype(np.int64) >> TILE_BITS), (right << TILE_BITS) + (cell[keep].astype(np.int64) & ((1 << TILE_BITS) - 1))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "f": pa.array(count[keep], pa.int64())})
+    tile, cell, count = _merged(table)
+    row, _, column, columns = _area(tile)
+    a, b = np.divmod(cell[count >= LEAST].astype(np.int64), columns)
+    return pa.table({"a": pa.array(a + row, pa.int64()), "b": pa.array(b + column, pa.int64()), "f": pa.array(count[count >= LEAST], pa.int64())})
 
 
 def pair_counts(arrays: DataFrame, head: str, length: int) -> DataFrame:
     """``a, b, f``: counts of the id in ``head`` with the word ``length - 1`` places after it, both in one piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        gathered: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         part, size = TaskContext.get().partitionId(), 0
 
-        def handed() -> pa.RecordBatch:
-            first, second = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            return _part(tiles(first, second), part)
+        def added() -> int:
+            """Adds the gathered pairs to the counts; how many distinct ones there are."""
+            first, second = (np.concatenate(x) for x in zip(*gathered))
+            gathered.clear()
+            for tile, cell, count in tiles(first, second):
+                known = held.get(tile)
+                held[tile] = (cell, count) if known is None else counted(tile, [known[0], cell], [known[1], count])
+            return sum(len(c) for c, _ in held.values())
 
         for batch in batches:
             for i in range(batch.num_rows):
                 own, word = _places(batch.column(0)[i].as_py(), batch.column(batch.num_columns - 1)[i].as_py(), length)
                 keep = (own >= 0) & (word >= 0)
-                held.append((own[keep].astype(np.int64), word[keep].astype(np.int64)))
+                gathered.append((own[keep].astype(np.int64), word[keep].astype(np.int64)))
                 size += int(keep.sum())
                 if size >= GATHER:
-                    yield handed()
                     size = 0
+                    if added() >= HELD_PAIRS:
+                        yield _part(held, part)
+                        held.clear()
         if size:
-            yield handed()
+            added()
+        if held:
+            yield _part(held, part)
 
     width = arrays.rdd.getNumPartitions()
     rows = arrays.select(head, *(["words"] if head != "words" else [])).mapInArrow(run, _PARTS)

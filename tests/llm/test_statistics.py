@@ -87,16 +87,27 @@ def test_phrases_against_brute_force(spark, mixed, monkeypatch):
     assert phrases.op12_phrases(given.limit(0)).count() == 0
 
 
+def test_blocks_cover_all_ids_once():
+    ids = np.unique(np.concatenate([np.arange(20_000), 2 ** np.arange(35), 2 ** np.arange(1, 35) - 1]))
+    block = phrases.block_of(ids)
+    assert (np.diff(block) >= 0).all() and block.max() < 1 << 16
+    for i, b in zip(ids.tolist(), block.tolist()):
+        low, size = phrases.bounds_of(b)
+        assert low <= i < low + size
+    ends = [sum(phrases.bounds_of(b)) for b in range(200)]
+    assert [phrases.bounds_of(b)[0] for b in range(1, 200)] == ends[:-1]
+
+
 def test_tiles_count_pairs_however_dense(monkeypatch):
     r = np.random.default_rng(2)
     a, b = r.integers(0, 3000, 200_000) ** 2 // 3000, r.integers(0, 3000, 200_000) ** 2 // 3000
     a[:5], b[:5] = (1 << 34) + 7, (1 << 27) + 3
     want = Counter(zip(a.tolist(), b.tolist()))
-    for dense in (1, 20_000, 1 << 40):
+    monkeypatch.setattr(phrases, "LEAST", 1)
+    for dense in (1 << 40, 16, 0):
         monkeypatch.setattr(phrases, "DENSE", dense)
-        halves = [phrases._part(phrases.tiles(a[i::2], b[i::2]), i) for i in (0, 1)]
+        halves = [phrases._part({t: (c, n) for t, c, n in phrases.tiles(a[i::2], b[i::2])}, i) for i in (0, 1)]
         both = pa.Table.from_batches(halves)
-        monkeypatch.setattr(phrases, "LEAST", 1)
         got = Counter()
         for tile in set(both["tile"].to_pylist()):
             fewer = phrases._fewer(both.filter(pa.compute.equal(both["tile"], tile)))
