@@ -73,14 +73,18 @@ def technical(bars: DataFrame) -> DataFrame:
     for tiling, shift in (("_a_", 0), ("_b_", RESTART // 2)):
         rows = _running(rows, tiling, shift)
     names = ("n", "p", "c", "v", "cc", "vv", "cv", "dc", "dv")
-    before = {f"_lag{k}": F.lag("close_price", k).over(series) for k in range(1, max(WINDOWS) + 1)}
+    over = "OVER (PARTITION BY stock_code ORDER BY trade_date)"
+    before = [f"lag(close_price, {k}) {over} AS _lag{k}" for k in range(1, max(WINDOWS) + 1)]
     for w in WINDOWS:
-        for tiling in ("_a_", "_b_"):
-            before |= {f"{tiling}{k}_{w}": F.lag(f"{tiling}{k}", w).over(series) for k in names}
-            # One row less, for turns after the window's first row.
-            before |= {f"{tiling}{k}_{w}": F.lag(f"{tiling}{k}", w - 1).over(series) for k in ("dc", "dv")}
-    rows = rows.withColumns(before)
-    less, same, done = F.lit(0), F.lit(1), 1
+        # Turns count after the window's first row: one row less.
+        before += [f"lag({t}{k}, {w - 1 if k in ('dc', 'dv') else w}) {over} AS {t}{k}_{w}" for t in ("_a_", "_b_") for k in names]
+    rows = rows.selectExpr("*", *before)
+    # How many of the rows before are less or the same, window by window: each goes on from the shorter one's.
+    for kind, sign in (("less", "<"), ("same", "=")):
+        shorter, done = "0" if kind == "less" else "1", 1
+        for w in WINDOWS:
+            rows = rows.selectExpr("*", " + ".join([shorter, *[f"IF(_lag{k} {sign} close_price, 1, 0)" for k in range(done, w)]]) + f" AS _{kind}{w}")
+            shorter, done = f"_{kind}{w}", w
     for w in WINDOWS:
         gone = lambda t, k, least: F.when(F.col(f"{t}at") >= least, F.col(f"{t}{k}_{w}")).otherwise(0)
         both = {f"{t}{k}": F.col(f"{t}{k}") - gone(t, k, w - 1 if k in ("dc", "dv") else w) for t in ("_a_", "_b_") for k in names}
@@ -91,14 +95,7 @@ def technical(bars: DataFrame) -> DataFrame:
         out[f"MA_{w}"] = F.when(n == w, F.try_divide(centre + sc / w, c) - 1)
         deviation = F.when(turned_c == 0, 0.0).otherwise(F.sqrt(F.greatest(spread_c, F.lit(0.0)) / (w - 1)))
         out[f"STD_{w}"] = F.when(n == w, F.try_divide(deviation, c))
-        for k in range(done, w):
-            less = less + F.when(F.col(f"_lag{k}") < c, 1).otherwise(0)
-            same = same + F.when(F.col(f"_lag{k}") == c, 1).otherwise(0)
-        done = w
-        # Sums so far are columns of their own, so that the next window's go on from them.
-        rows = rows.withColumns({f"_less{w}": less, f"_same{w}": same})
-        less, same = F.col(f"_less{w}"), F.col(f"_same{w}")
-        out[f"RANK_{w}"] = F.when(n == w, (less + (same + 1) / 2) / w)
+        out[f"RANK_{w}"] = F.when(n == w, (F.col(f"_less{w}") + (F.col(f"_same{w}") + 1) / 2) / w)
         moves = (turned_c > 0) & (turned_v > 0) & (spread_c > 0) & (spread_v > 0)
         out[f"CORR_{w}"] = F.when((pairs == w) & moves, finite(F.try_divide(scv - sc * sv / w, F.sqrt(spread_c) * F.sqrt(spread_v))))
     return rows.select(*bars.columns, *[v.alias(k) for k, v in out.items()])
