@@ -37,7 +37,9 @@ SIDE, SPLIT, DENSE_CELLS, DENSE = 512, 8, 1 << 22, 16
 #: Pairs that a task gathers before it counts them; distinct words that it counts before it hands them on; tasks whose tiles meet.
 GATHER, HELD_WORDS, FAN = 1 << 20, 1 << 18, 64
 #: Distinct pairs that a task adds up before it hands them on.
-HELD_PAIRS = 1 << 22
+HELD_PAIRS = 1 << 21
+#: Bytes of counts in a batch that a task hands on, unless one tile has more.
+PART_BYTES = 1 << 21
 #: Bytes of text whose ids are in one array, unless one text is longer; rows of a batch of such arrays.
 ARRAY_BYTES, ARRAY_ROWS = 1 << 18, 16
 #: A pair of ids as one number: so many bits are for the word, the rest (35) for the phrase before it.
@@ -234,22 +236,35 @@ def tiles(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, np.ndarr
 _PARTS = "tile long, part long, cells binary, counts binary"
 
 
-def _part(found: dict[int, tuple[np.ndarray, np.ndarray]], part: int) -> pa.RecordBatch:
-    cells = [c.tobytes() for c, _ in found.values()]
-    counts = [n.astype(np.int64).tobytes() for _, n in found.values()]
-    return pa.record_batch([pa.array(found.keys(), pa.int64()), pa.array([part] * len(found), pa.int64()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], names=["tile", "part", "cells", "counts"])
+def _parts(found: dict[int, tuple[np.ndarray, np.ndarray]], part: int) -> Iterator[pa.RecordBatch]:
+    """The tiles with their cells and counts as bytes; a count has four bytes where all of the tile's fit."""
+    rows, size = [], 0
+    for tile, (cell, count) in found.items():
+        rows.append((tile, part, cell.tobytes(), count.astype(np.int32 if count.max() < 1 << 31 else np.int64).tobytes()))
+        size += len(rows[-1][2]) + len(rows[-1][3])
+        if size >= PART_BYTES:
+            yield _batch(rows)
+            rows, size = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["tile", "part", "cells", "counts"])
 
 
 def _merged(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
     tile = table["tile"][0].as_py()
-    arrays = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
-    return tile, *counted(tile, arrays("cells", _width(tile)), arrays("counts", np.int64))
+    cells = [np.frombuffer(x.as_buffer(), _width(tile)) for x in table["cells"]]
+    counts = [np.frombuffer(x.as_buffer(), np.int32 if len(x.as_buffer()) == 4 * len(c) else np.int64) for x, c in zip(table["counts"], cells)]
+    return tile, *counted(tile, cells, [n.astype(np.int64) for n in counts])
 
 
 def _fewer(table: pa.Table) -> pa.Table:
     """The parts of a tile that a group of tasks has made, as one."""
     tile, cell, count = _merged(table)
-    return pa.Table.from_batches([_part({tile: (cell, count)}, table["part"][0].as_py())])
+    return pa.Table.from_batches(_parts({tile: (cell, count)}, table["part"][0].as_py()))
 
 
 def _frequent(table: pa.Table) -> pa.Table:
@@ -286,12 +301,11 @@ def pair_counts(arrays: DataFrame, head: str, length: int) -> DataFrame:
                 if size >= GATHER:
                     size = 0
                     if added() >= HELD_PAIRS:
-                        yield _part(held, part)
+                        yield from _parts(held, part)
                         held.clear()
         if size:
             added()
-        if held:
-            yield _part(held, part)
+        yield from _parts(held, part)
 
     width = arrays.rdd.getNumPartitions()
     rows = arrays.select(head, *(["words"] if head != "words" else [])).mapInArrow(run, _PARTS)

@@ -106,8 +106,8 @@ def test_tiles_count_pairs_however_dense(monkeypatch):
     monkeypatch.setattr(phrases, "LEAST", 1)
     for dense in (1 << 40, 16, 0):
         monkeypatch.setattr(phrases, "DENSE", dense)
-        halves = [phrases._part({t: (c, n) for t, c, n in phrases.tiles(a[i::2], b[i::2])}, i) for i in (0, 1)]
-        both = pa.Table.from_batches(halves)
+        halves = [phrases._parts({t: (c, n) for t, c, n in phrases.tiles(a[i::2], b[i::2])}, i) for i in (0, 1)]
+        both = pa.Table.from_batches(batch for half in halves for batch in half)
         got = Counter()
         for tile in set(both["tile"].to_pylist()):
             fewer = phrases._fewer(both.filter(pa.compute.equal(both["tile"], tile)))
@@ -116,6 +116,13 @@ def test_tiles_count_pairs_however_dense(monkeypatch):
         assert got == want
 
 
+def test_large_counts_keep_their_bytes(monkeypatch):
+    tile, cell = int(phrases.block_of(np.array([7]))[0]) << 16, np.array([3, 9], np.int32)
+    given = [phrases._parts({tile: (cell, np.array(n))}, 0) for n in ([2**40, 1], [5, 2**31 - 1])]
+    (row,) = phrases._fewer(pa.Table.from_batches(b for g in given for b in g)).to_pylist()
+    assert np.frombuffer(row["counts"], np.int64).tolist() == [2**40 + 5, 2**31]
+
+
 def test_scores_of_counts_beyond_64_bits(spark):
     a, left, right = 3 * 10**15, 4 * 10**15, 9 * 10**15 + 1
     grams = spark.createDataFrame([("en", "x", [0], left), ("en", "y", [1], right), ("en", "x y", [0, 1], a)], "lang string, phrase string, parts array<long>, f long")
