@@ -43,19 +43,21 @@ def _halton(i: int, base: int) -> float:
     return out
 
 
+def _whole(at: float, low: int, high: int) -> int:
+    return min(int(low + at * (high - low + 1)), high)
+
+
 def trials(algorithm: str, count: int = TRIALS, space: dict = SPACE) -> list[Setting]:
     """Settings spread evenly over the space; rates by their logarithm. Boosting by leaves may be deeper than it has leaves for."""
-    out = []
+    out, bounds = [], space[algorithm]
+    low, high = (math.log(x) for x in bounds["rate"])
     for i in range(1, count + 1):
-        at = dict(zip(space[algorithm], (_halton(i, b) for b in (2, 3, 5))))
-        whole = lambda name: min(int(low + at[name] * (high - low + 1)), high) if (low := space[algorithm][name][0]) <= (high := space[algorithm][name][1]) else low  # noqa: E731, B023
-        low, high = (math.log(x) for x in space[algorithm]["rate"])
-        rate, rounds = math.exp(low + at["rate"] * (high - low)), whole("rounds")
+        rounds, rate = _whole(_halton(i, 2), *bounds["rounds"]), math.exp(low + _halton(i, 3) * (high - low))
         if algorithm == "lightgbm":
-            leaves = whole("leaves")
+            leaves = _whole(_halton(i, 5), *bounds["leaves"])
             out.append(Setting(rounds, rate, math.ceil(math.log2(leaves)) + 1, leaves, 0.0, 20))
         else:
-            depth = whole("depth")
+            depth = _whole(_halton(i, 5), *bounds["depth"])
             out.append(Setting(rounds, rate, depth, 2**depth, 1.0, 1))
     return out
 
