@@ -111,8 +111,8 @@ def _used(panel: DataFrame) -> list[str]:
 
 
 #: The search of the registered queries: as many trials as by default, over smaller trees and fewer of them.
-SPACE = {"lightgbm": {"rounds": (4, 12), "rate": (0.05, 0.5), "leaves": (3, 8)}, "xgboost": {"rounds": (4, 12), "rate": (0.05, 0.5), "depth": (2, 3)}}
-RUNGS = (3, 6, 12)
+SPACE = {"lightgbm": {"rounds": (3, 6), "rate": (0.05, 0.5), "leaves": (3, 8)}, "xgboost": {"rounds": (3, 6), "rate": (0.05, 0.5), "depth": (2, 3)}}
+RUNGS = (2, 6)
 #: Challengers boost until as many rounds as by default bring no gain.
 CHALLENGERS = {"lightgbm": forests.Setting(100, 0.1, 4, 8, 0.0, 20), "xgboost": forests.Setting(100, 0.3, 3, 8, 1.0, 1)}
 COMBOS = [(m, h) for m in ("domestic", "overseas") for h in labels.HORIZONS]
