@@ -94,7 +94,7 @@ def prepared(panel: DataFrame, axis: DataFrame, combos: Sequence[Combo], feature
 
 def _rank_ics(scores: DataFrame) -> dict[int, float]:
     rows = scores.select(F.lit("").alias("market"), F.lit(0).alias("horizon"), F.lit("").alias("algorithm"), F.col("model").alias("fold_index"), "score", "ret", F.lit(0.5).alias("confidence"), F.struct("trade_date", "stock_code").alias("k"))
-    return {r["fold_index"]: r["rank_ic"] for r in metrics.backtest(rows).select("fold_index", "rank_ic").collect()}  # a row for each model
+    return {r["fold_index"]: r["rank_ic"] for r in metrics.correlations(rows).select("fold_index", "rank_ic").collect()}  # a row for each model
 
 
 def search(data: Prepared, initial: int, path: str, count: int = TRIALS, rungs: Sequence[int] = RUNGS, keep: int = KEEP, space: dict = SPACE) -> tuple[dict[tuple[int, str], Setting], list[tuple]]:
@@ -173,7 +173,7 @@ def campaign(panel: DataFrame, axis: DataFrame, cuts: DataFrame, combos: Sequenc
     best, record = search(data, initial, f"{path}/search", count, rungs, space=space)
     at = {h: day_cuts(cuts.filter(F.col("horizon") == h), axis) for h in {h for _, h in data.combos.values()}}
     rows = walk_forward(data, fold_models(data, at, best), f"{path}/folds")
-    rows = metrics.backtest(metrics.by_algorithm(rows.withColumn("k", F.struct("trade_date", "stock_code"))))
+    rows = metrics.backtest(metrics.with_models(rows.withColumn("k", F.struct("trade_date", "stock_code"))))
     return rows, status, spark.createDataFrame(record, rung_schema)
 
 

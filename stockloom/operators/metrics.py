@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.functions.columns import correlation
+from stockloom.functions.columns import correlation, weighted_correlation, weighted_covariance
+from stockloom.operators.ordered import before, drawdowns
+from stockloom.sources import sinks
 
 KEYS = ("market", "horizon", "algorithm", "fold_index")
 #: Standard deviations between the 10 % and 90 % quantiles of a normal distribution.
@@ -51,37 +53,89 @@ def confidence(score: Column, p10: Column, p90: Column, strict: bool = False) ->
 
 def by_algorithm(scores: DataFrame) -> DataFrame:
     """Long rows of both models and their ensemble."""
+    return _long(with_models(scores))
+
+
+def with_models(scores: DataFrame) -> DataFrame:
+    """Rows with ``models``, an array of algorithm and score: both models and their ensemble."""
     made = {"lightgbm": F.col("score_a"), "xgboost": F.col("score_b"), "ensemble": ensemble(F.col("score_a"), F.col("score_b"))}
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("algorithm"), v.alias("score")) for k, v in made.items()]))
-    return scores.withColumn("m", each).select("market", "horizon", "fold_index", "m.algorithm", "m.score", "ret", "confidence", "k")
+    each = F.array(*[F.struct(F.lit(k).alias("algorithm"), v.alias("score")) for k, v in made.items()])
+    return scores.select("market", "horizon", "fold_index", each.alias("models"), "ret", "confidence", "k")
 
 
-def backtest(rows: DataFrame) -> DataFrame:
-    """Hit rate, two correlations, precision, Sharpe ratio, drawdown and calibration by key."""
-    own = Window.partitionBy(*KEYS)
-    hit = (F.signum("score") == F.signum("ret")).cast("double")
-    rows = rows.withColumns({"hit": hit, "gain": F.signum("score") * F.col("ret"), "n": F.count(F.lit(1)).over(own)})
+def _long(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("m", F.explode("models")).select("market", "horizon", "fold_index", "m.algorithm", "m.score", "ret", "confidence", "k")
+
+
+def correlations(rows: DataFrame) -> DataFrame:
+    """Hit rate, two correlations, precision and Sharpe ratio by key, from counts of each score and return.
+
+    Rows are counted before they are shuffled; ranks are sums of counts in ranges of values, so no task holds a whole key.
+    """
+    keys = list(KEYS)
+    cells = sinks.stored(rows.groupBy(*keys, "score", "ret").agg(F.count(F.lit(1)).alias("n")), "cells")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).alias("value"), F.col("n")) for c in ("score", "ret")]))
+    values = cells.select(*keys, each.alias("e")).select(*keys, "e.*").groupBy(*keys, "of", "value").agg(F.sum("n").alias("n"))
+    ranked = before(values, [*keys, "of"], "value", "n").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
+    gain = F.signum("score") * F.col("ret")
+    mean = lambda c: F.sum(c * F.col("n")) / F.sum(F.when(c.isNotNull(), F.col("n")))
+    centre = cells.groupBy(*keys).agg(F.sum("n").alias("_n"), mean(F.col("score")).alias("_score"), mean(F.col("ret")).alias("_ret"), mean(gain).alias("_gain"))
+    rows = cells.join(centre, keys)
     for c in ("score", "ret"):
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*KEYS, c))
-        rows = rows.withColumn(f"rank_{c}", F.rank().over(own.orderBy(c)) + (ties - 1) / 2)
-    in_order = own.orderBy("k")
-    rows = rows.withColumn("equity", F.product(1 + F.col("gain")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("peak", F.max("equity").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    # Five bins by confidence, the first n mod 5 one larger.
-    at, bins = F.row_number().over(own.orderBy("confidence", "k")) - 1, F.least(F.lit(5), F.col("n"))
-    small, larger = F.floor(F.col("n") / bins), F.col("n") % bins
-    tile = F.when(at < larger * (small + 1), F.floor(at / (small + 1))).otherwise(larger + F.floor((at - larger * (small + 1)) / small))
-    rows = rows.withColumn("bin", tile)
-    main = rows.groupBy(*KEYS).agg(
-        F.avg("hit").alias("hit_rate"), correlation("score", "ret").alias("ic"), correlation("rank_score", "rank_ret").alias("rank_ic"),
-        F.avg(F.when(F.col("score") != 0, F.col("hit"))).alias("precision"),
-        F.when(F.stddev_pop("gain") < 1e-12, 0.0).otherwise(F.try_divide(F.avg("gain"), F.stddev_pop("gain"))).alias("sharpe"),
-        F.abs(F.min(F.try_divide(F.col("equity") - F.col("peak"), F.col("peak")))).alias("max_drawdown"),
+        own = ranked.filter(F.col("of") == c).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("value").alias("_value"), F.col("rank").alias(f"rank_{c}"))
+        same = [F.col(k) == F.col(f"_{k}") for k in keys]
+        rows = rows.join(own, [*same, F.col(c).eqNullSafe(F.col("_value"))]).drop("_value", *[f"_{k}" for k in keys])
+    # About their means, so that squares keep their digits.
+    at = {"score": F.col("_score"), "ret": F.col("_ret"), "rank_score": (F.col("_n") + 1) / 2, "rank_ret": (F.col("_n") + 1) / 2}
+    hit = (F.signum("score") == F.signum("ret")).cast("double")
+    rows = rows.withColumns({**{c: F.col(c) - v for c, v in at.items()}, "hit": hit, "called": F.when(F.col("score") != 0, hit), "gain": gain - F.col("_gain")})
+    spread = F.sqrt(weighted_covariance("gain", "gain", "n"))
+    return rows.groupBy(*keys).agg(
+        mean(F.col("hit")).alias("hit_rate"), weighted_correlation("score", "ret", "n").alias("ic"), weighted_correlation("rank_score", "rank_ret", "n").alias("rank_ic"),
+        mean(F.col("called")).alias("precision"), F.when(spread < 1e-12, 0.0).otherwise(F.try_divide(F.first("_gain"), spread)).alias("sharpe"),
     )
-    binned = rows.groupBy(*KEYS, "bin").agg(F.avg("confidence").alias("c"), F.avg("hit").alias("h"))
+
+
+def calibration(rows: DataFrame) -> DataFrame:
+    """Correlation of mean confidence and hit rate over five bins by confidence and ``k``, the first n mod 5 one larger.
+
+    A group of equal confidence that lies in one bin goes there as a whole; only groups across a bound are split in the order of ``k``.
+    """
+    keys = list(KEYS)
+    rows = rows.select(*keys, "confidence", (F.signum("score") == F.signum("ret")).cast("double").alias("hit"), "k")
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), F.count("hit").alias("known")]
+    groups = before(rows.groupBy(*keys, "confidence").agg(*sums), keys, "confidence", "n")
+    total = groups.groupBy(*keys).agg(F.sum("n").alias("_n"))
+    bins = F.least(F.lit(5), F.col("_n"))
+    small, larger = F.floor(F.col("_n") / bins), F.col("_n") % bins
+
+    def tile(at: Column) -> Column:
+        return F.when(at < larger * (small + 1), F.floor(at / (small + 1))).otherwise(larger + F.floor((at - larger * (small + 1)) / small))
+
+    groups = groups.join(total, keys).withColumns({"bin": tile(F.col("before")), "_last": tile(F.col("before") + F.col("n") - 1)})
+    groups = sinks.stored(groups, "confidences")
+    whole = groups.filter("bin = _last").select(*keys, "bin", "confidence", "n", "hits", "known")
+    across = groups.filter("bin <> _last").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("confidence").alias("_confidence"), F.col("before").alias("_start"), "_n")
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    split = rows.join(across, [*same, F.col("confidence").eqNullSafe(F.col("_confidence"))]).select(*rows.columns, "_start", "_n", F.lit(1).alias("_one"))
+    split = before(split, [*keys, "confidence"], "k", "_one").withColumn("bin", tile(F.col("_start") + F.col("before")))
+    parts = whole.unionByName(split.groupBy(*keys, "bin", "confidence").agg(*sums))
+    share = F.sum(F.col("confidence") * F.col("n")) / F.sum(F.when(F.col("confidence").isNotNull(), F.col("n")))
+    binned = parts.groupBy(*keys, "bin").agg(share.alias("c"), F.try_divide(F.sum("hits"), F.sum("known")).alias("h"))
     spread = lambda c: F.max(c) - F.min(c) < 1e-12
-    calibrated = binned.groupBy(*KEYS).agg(F.when(spread("c") | spread("h"), 0.0).otherwise(F.coalesce(correlation("c", "h"), F.lit(0.0))).alias("calibration"))
-    return main.join(calibrated, [*KEYS])
+    return binned.groupBy(*keys).agg(F.when(spread("c") | spread("h"), 0.0).otherwise(F.coalesce(correlation("c", "h"), F.lit(0.0))).alias("calibration"))
+
+
+def backtest(rows: DataFrame) -> DataFrame:
+    """Hit rate, two correlations, precision, Sharpe ratio, drawdown and calibration by key; rows are long or have ``models``."""
+    if "models" in rows.columns:
+        wide, rows = rows, _long(rows)
+    else:
+        wide = rows.withColumn("models", F.array(F.struct("algorithm", "score")))
+    factors = F.transform("models", lambda m: 1 + F.signum(m["score"]) * F.col("ret"))
+    wide = wide.select("market", "horizon", "fold_index", F.col("models.algorithm").alias("names"), factors.alias("factors"), "k")
+    falls = drawdowns(wide, ["market", "horizon", "fold_index"], "k").withColumnRenamed("name", "algorithm")
+    return correlations(rows).join(falls, [*KEYS]).join(calibration(rows), [*KEYS])
 
 
 def grade_boundaries(rows: DataFrame, keys: list[str], ratios: dict[str, float]) -> DataFrame:
