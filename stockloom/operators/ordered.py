@@ -81,9 +81,9 @@ def drawdowns(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
     Factors may have any sign. Rows are sorted in ranges of key and ``by``; a task turns each batch into a few rows, a run of
     one sign each, and only these meet by key.
     """
-    # The hash first, so that a sort compares numbers; keys that share one still end each other's runs.
+    # By their hash, so that a sort compares numbers; keys that share one end each other's runs and stay right.
     rows = rows.select(*keys, F.to_json("names").alias("names"), "factors", F.xxhash64(*keys, "names").alias("_h"), by)
-    dealt = rows.repartitionByRange(_parts(rows), "_h", *keys, "names", by).sortWithinPartitions("_h", *keys, "names", by)
+    dealt = rows.repartitionByRange(_parts(rows), "_h", by).sortWithinPartitions("_h", by)
     types = dict(rows.dtypes)
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "block int", *(f"{k} {t}" for k, t in _RUN.items())])
     runs = dealt.select(*keys, "names", "factors").mapInArrow(lambda batches: _runs(batches, keys), schema)
