@@ -14,6 +14,8 @@ from stockloom.sources import sinks
 KEYS = ("market", "horizon", "algorithm", "fold_index")
 #: Standard deviations between the 10 % and 90 % quantiles of a normal distribution.
 SPREAD = 2.563
+#: Rows that a task counts, on average.
+TASK_ROWS = 1 << 19
 
 
 def ensemble(a: Column, b: Column) -> Column:
@@ -67,16 +69,35 @@ def _long(rows: DataFrame) -> DataFrame:
     return rows.withColumn("m", F.explode("models")).select("market", "horizon", "fold_index", "m.algorithm", "m.score", "ret", "confidence", "k")
 
 
-def correlations(rows: DataFrame) -> DataFrame:
-    """Hit rate, two correlations, precision and Sharpe ratio by key, from counts of each score and return.
+def counted(rows: DataFrame, size: int | None = None) -> DataFrame:
+    """``n`` rows of each key, score and return. ``size``: the number of rows, where it is known before they are computed.
 
-    Rows are counted before they are shuffled; ranks are sums of counts in ranges of values, so no task holds a whole key.
+    Rows are dealt by key and return before they are counted, ``TASK_ROWS`` to a task where their number is known: counts made where
+    the rows are read would hold as many scores and returns as a split of the input has.
+    """
+    wide = "models" in rows.columns
+    by = ["market", "horizon", "fold_index", "ret", *([] if wide else ["algorithm"])]
+    tasks = [] if size is None else [max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_ROWS))]
+    if wide:
+        # The names are the same in nearly every row, the scores are not.
+        rows = rows.select(*by, F.col("models.algorithm").alias("names"), F.col("models.score").alias("scores")).repartition(*tasks, *by)
+        rows = rows.select(*by, F.explode(F.arrays_zip("names", "scores")).alias("m")).select(*by, F.col("m.names").alias("algorithm"), F.col("m.scores").alias("score"))
+    else:
+        rows = rows.select(*by, "score").repartition(*tasks, *by)
+    return rows.groupBy(*KEYS, "score", "ret").agg(F.count(F.lit(1)).alias("n"))
+
+
+def correlations(rows: DataFrame, size: int | None = None) -> DataFrame:
+    """Hit rate, two correlations, precision and Sharpe ratio by key, from counts of each score and return; rows are long or have ``models``.
+
+    Rows are counted in tasks whose number follows ``size``, the number of rows; ranks are sums of counts in ranges of values. So no task holds a whole key.
     """
     keys = list(KEYS)
-    cells = sinks.stored(rows.groupBy(*keys, "score", "ret").agg(F.count(F.lit(1)).alias("n")), "cells")
+    cells = sinks.stored(counted(rows, size), "cells")
+    most = 2 * cells.count()
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).alias("value"), F.col("n")) for c in ("score", "ret")]))
     values = cells.select(*keys, each.alias("e")).select(*keys, "e.*").groupBy(*keys, "of", "value").agg(F.sum("n").alias("n"))
-    ranked = before(values, [*keys, "of"], "value", "n").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
+    ranked = before(values, [*keys, "of"], "value", "n", most).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     gain = F.signum("score") * F.col("ret")
     mean = lambda c: F.sum(c * F.col("n")) / F.sum(F.when(c.isNotNull(), F.col("n")))
     centre = cells.groupBy(*keys).agg(F.sum("n").alias("_n"), mean(F.col("score")).alias("_score"), mean(F.col("ret")).alias("_ret"), mean(gain).alias("_gain"))
@@ -126,8 +147,9 @@ def calibration(rows: DataFrame) -> DataFrame:
     return binned.groupBy(*keys).agg(F.when(spread("c") | spread("h"), 0.0).otherwise(F.coalesce(correlation("c", "h"), F.lit(0.0))).alias("calibration"))
 
 
-def backtest(rows: DataFrame) -> DataFrame:
+def backtest(rows: DataFrame, size: int | None = None) -> DataFrame:
     """Hit rate, two correlations, precision, Sharpe ratio, drawdown and calibration by key; rows are long or have ``models``."""
+    given = rows
     if "models" in rows.columns:
         wide, rows = rows, _long(rows)
     else:
@@ -135,7 +157,7 @@ def backtest(rows: DataFrame) -> DataFrame:
     factors = F.transform("models", lambda m: 1 + F.signum(m["score"]) * F.col("ret"))
     wide = wide.select("market", "horizon", "fold_index", F.col("models.algorithm").alias("names"), factors.alias("factors"), "k")
     falls = drawdowns(wide, ["market", "horizon", "fold_index"], "k").withColumnRenamed("name", "algorithm")
-    return correlations(rows).join(falls, [*KEYS]).join(calibration(rows), [*KEYS])
+    return correlations(given, size).join(falls, [*KEYS]).join(calibration(rows), [*KEYS])
 
 
 def grade_boundaries(rows: DataFrame, keys: list[str], ratios: dict[str, float]) -> DataFrame:

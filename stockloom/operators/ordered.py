@@ -19,13 +19,18 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def before(rows: DataFrame, keys: list[str], by: str, weight: str) -> DataFrame:
+#: Rows of a range, on average, where their number is known.
+RANGE_ROWS = 1 << 19
+
+
+def before(rows: DataFrame, keys: list[str], by: str, weight: str, most: int = 0) -> DataFrame:
     """Adds ``before``: the weights of the key's rows that come earlier by ``by``, which no two of them share.
 
-    Rows go to ranges of key and ``by``, so a large key lies in many tasks.
+    Rows go to ranges of key and ``by``, so a large key lies in many tasks. There are more ranges for more rows, of which there are ``most`` at most.
     """
+    parts = max(_parts(rows), -(-most // RANGE_ROWS))
     # Written, since the bounds of the ranges may differ when they are drawn again.
-    dealt = sinks.stored(rows.repartitionByRange(_parts(rows), *keys, by).withColumn("block", F.spark_partition_id()), "dealt")
+    dealt = sinks.stored(rows.repartitionByRange(parts, *keys, by).withColumn("block", F.spark_partition_id()), "dealt")
     up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("block", *keys).agg(F.sum(weight).alias("_own"))
     earlier = totals.select("block", *keys, F.sum("_own").over(up_to(Window.partitionBy(*keys).orderBy("block"))).alias("_earlier"))

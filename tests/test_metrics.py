@@ -73,3 +73,16 @@ def test_a_large_key_is_summed_in_many_ranges(spark):
     for v in range(2000):
         want[v], total = total, total + v % 3
     assert {r["v"]: r["before"] for r in got.collect()} == want and math.isfinite(total)
+
+
+def test_rows_are_counted_in_tasks_that_follow_their_number(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "TASK_ROWS", 100)
+    rows = spark.createDataFrame(_rows(3, 2000, 0.1), SCHEMA).repartition(1)
+    wide = rows.withColumn("models", F.array(F.struct("algorithm", "score")))
+    want = {tuple(r) for r in rows.groupBy(*metrics.KEYS, "score", "ret").count().collect()}
+    for given in (rows, wide):
+        made = metrics.counted(given, 2000)
+        assert {tuple(r) for r in made.collect()} == want and made.rdd.getNumPartitions() == 20
+        # Nothing is counted before the rows are dealt.
+        plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert "HashAggregate" not in plan.split("Exchange hashpartitioning")[1] and plan.count("Exchange hashpartitioning") == 1
