@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as trades of a stock (the part's brand) at a unit price."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("stock_code"))
+    # The brand's number is taken from each part, not from each of its line items.
+    brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("stock_code"), brand.alias("b"))
     lines = table(spark, sf_dir, "lineitem").join(part, "l_partkey")
     return lines.select(
-        "stock_code", F.regexp_extract("stock_code", r"(\d+)", 1).cast("int").alias("b"), F.to_date("l_shipdate").alias("trade_date"),
+        "stock_code", "b", F.to_date("l_shipdate").alias("trade_date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("quantity"), "l_extendedprice", "l_returnflag", "l_linestatus",
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("k"),
     )

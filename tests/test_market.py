@@ -91,3 +91,8 @@ def test_streamed_counters_match_batch(spark):
     events = spark.read.parquet(f"{folder}/events.parquet")
     got = counted_stream(spark, f"{folder}/events.parquet*", events.schema, "runs").collect()
     assert {tuple(r) for r in got} == {tuple(r) for r in registry_tables.run_counters(events).collect()}
+
+
+def test_a_brand_number_is_taken_from_parts_and_not_from_their_lines(spark):
+    plan = panels.trades(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" in plan and "regexp_extract" not in plan.split("Join")[0]
