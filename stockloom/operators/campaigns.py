@@ -73,14 +73,15 @@ class Prepared:
     status: list[tuple]
 
 
-def prepared(panel: DataFrame, axis: DataFrame, combos: Sequence[Combo], features: list[str], initial: int, name: str = "coded", cuts: dict[int, list[np.ndarray]] | None = None) -> Prepared:
-    """One table of coded rows, sorted by day within parts; bins are cut on the days before ``initial`` or given."""
+def prepared(panel: DataFrame, axis: DataFrame, combos: Sequence[Combo], features: list[str], initial: int | Sequence[int], name: str = "coded", cuts: dict[int, list[np.ndarray]] | None = None) -> Prepared:
+    """One table of coded rows, sorted by day within parts; bins are cut on the days before ``initial`` (one for all or one for each) or given."""
     spark, parts, found, kept, status = panel.sparkSession, [], {}, {}, []
     days = F.broadcast(axis.select("trade_date", F.col("idx").cast("int").alias("day")))
     for number, (market, horizon) in enumerate(combos):
         try:
             own = panel.filter(F.col("market") == market).join(days, "trade_date").select(F.lit(number).alias("combo"), "day", F.col(f"label_D{horizon}").cast("double").alias("y"), "stock_code", "trade_date", *features)
-            made = (edges(own.filter(F.col("day") < initial).filter("y IS NOT NULL"), features) if cuts is None else cuts).get(number)
+            end = initial if isinstance(initial, int) else initial[number]
+            made = (edges(own.filter(F.col("day") < end).filter("y IS NOT NULL"), features) if cuts is None else cuts).get(number)
             if made is None:
                 raise ValueError("no labelled rows in the initial history")
             found[number] = made
@@ -207,16 +208,27 @@ def load(spark: SparkSession, path: str) -> tuple[dict[str, Model], list[np.ndar
     return out, [np.array(r["cuts"], float) for r in bins], [r["feature"] for r in bins]
 
 
+def refits(panel: DataFrame, axis: DataFrame, ends: dict[Combo, int], features: list[str], best: dict[str, Setting], paths: dict[Combo, str]) -> dict[Combo, int]:
+    """T6 for several combinations: the given algorithms fitted on all days before each one's end and saved under its path. Returns the rows used.
+
+    All grow together, so there are no more jobs than for one.
+    """
+    spark, data = panel.sparkSession, prepared(panel, axis, list(ends), features, list(ends.values()), "refit")
+    for *_, error in data.status:
+        if error:
+            raise ValueError(error)
+    made = [Model((n, a), n, ends[c], ends[c], ends[c], s) for n, c in data.combos.items() for a, s in best.items()]
+    forest = Forest(data.rows, made, len(features), sinks.stored_path(spark, "refit"))
+    forest.grow(max(s.rounds for s in best.values()))
+    for n, c in data.combos.items():
+        save(spark, paths[c], {m.key[1]: m for m in made if m.combo == n}, data.cuts[n], features)
+    used = [F.count(F.when((F.col("combo") == n) & (F.col("day") < ends[c]), 1)) for n, c in data.combos.items()]
+    return dict(zip(data.combos.values(), data.rows.agg(*used).first()))
+
+
 def refit(panel: DataFrame, axis: DataFrame, combo: Combo, train_end: int, features: list[str], best: dict[str, Setting], path: str) -> int:
     """T6: the given algorithms fitted on all days before ``train_end`` and saved. Returns the rows used."""
-    data = prepared(panel, axis, [combo], features, train_end, "refit")
-    if not data.combos:
-        raise ValueError(data.status[0][3])
-    made = [Model((a,), 0, train_end, train_end, train_end, s) for a, s in best.items()]
-    forest = Forest(data.rows, made, len(features), sinks.stored_path(panel.sparkSession, "refit"))
-    forest.grow(max(s.rounds for s in best.values()))
-    save(panel.sparkSession, path, {m.key[0]: m for m in made}, data.cuts[0], features)
-    return data.rows.filter(F.col("day") < train_end).count()
+    return refits(panel, axis, {combo: train_end}, features, best, {combo: path})[combo]
 
 
 def score_saved(panel: DataFrame, axis: DataFrame, combo: Combo, path: str, low: int, high: int) -> DataFrame:

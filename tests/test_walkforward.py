@@ -162,6 +162,23 @@ def test_champion_is_saved_loaded_and_challenged(spark, panel, tmp_path):
     assert again.select("algorithm", "stock_code", "trade_date", F.round("score", 9)).exceptAll(ours.select("algorithm", "stock_code", "trade_date", F.round("score", 9))).count() == 0
 
 
+def test_champions_refitted_together_take_the_jobs_of_one(spark, panel, tmp_path, monkeypatch):
+    axis, calls, level = sinks.stored(folds.date_axis(panel), "axis"), [], forests.Forest._level
+    monkeypatch.setattr(forests.Forest, "_level", lambda self, *a: (calls.append(1), level(self, *a))[1])
+    settings = {a: forests.Setting(2, 0.3, 2, 4, 1.0, 2) for a in models.ALGORITHMS}
+    ends, at = {("domestic", 2): 60, ("overseas", 2): 40}, lambda kind, c: str(tmp_path / f"{kind}-{c[0]}")
+    used = campaigns.refits(panel, axis, ends, FEATURES, settings, {c: at("all", c) for c in ends})
+    assert len(calls) == 4
+    for c, end in ends.items():
+        assert campaigns.refit(panel, axis, c, end, FEATURES, settings, at("one", c)) == used[c]
+        (some, cuts, _), (want, own, _) = (campaigns.load(spark, at(kind, c)) for kind in ("all", "one"))
+        assert all(np.array_equal(x, y) for x, y in zip(cuts, own)) and some.keys() == want.keys()
+        for a, m in want.items():
+            assert some[a].base == pytest.approx(m.base) and len(some[a].trees) == len(m.trees)
+            for x, y in zip(some[a].trees, m.trees):
+                assert np.array_equal(x.feature, y.feature) and np.array_equal(x.bin, y.bin) and x.value == pytest.approx(y.value)
+
+
 def test_log_keeps_one_writer_of_a_version(spark, tmp_path):
     path, schema = str(tmp_path / "log"), "market string, at int"
     rows = lambda at: spark.createDataFrame([("m", at)], schema)
