@@ -91,6 +91,7 @@ def correlations(rows: DataFrame, size: int | None = None) -> DataFrame:
     """Hit rate, two correlations, precision and Sharpe ratio by key, from counts of each score and return; rows are long or have ``models``.
 
     Rows are counted in tasks whose number follows ``size``, the number of rows; ranks are sums of counts in ranges of values. So no task holds a whole key.
+    Joins name their sides: counts are so small in Parquet that Spark would broadcast them by the size of their files.
     """
     keys = list(KEYS)
     cells = sinks.stored(counted(rows, size), "cells")
@@ -101,11 +102,12 @@ def correlations(rows: DataFrame, size: int | None = None) -> DataFrame:
     gain = F.signum("score") * F.col("ret")
     mean = lambda c: F.sum(c * F.col("n")) / F.sum(F.when(c.isNotNull(), F.col("n")))
     centre = cells.groupBy(*keys).agg(F.sum("n").alias("_n"), mean(F.col("score")).alias("_score"), mean(F.col("ret")).alias("_ret"), mean(gain).alias("_gain"))
-    rows = cells.join(centre, keys)
+    # One row of each key.
+    rows = cells.join(F.broadcast(centre), keys)
     for c in ("score", "ret"):
         own = ranked.filter(F.col("of") == c).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("value").alias("_value"), F.col("rank").alias(f"rank_{c}"))
         same = [F.col(k) == F.col(f"_{k}") for k in keys]
-        rows = rows.join(own, [*same, F.col(c).eqNullSafe(F.col("_value"))]).drop("_value", *[f"_{k}" for k in keys])
+        rows = rows.join(own.hint("merge"), [*same, F.col(c).eqNullSafe(F.col("_value"))]).drop("_value", *[f"_{k}" for k in keys])
     # About their means, so that squares keep their digits.
     at = {"score": F.col("_score"), "ret": F.col("_ret"), "rank_score": (F.col("_n") + 1) / 2, "rank_ret": (F.col("_n") + 1) / 2}
     hit = (F.signum("score") == F.signum("ret")).cast("double")
@@ -133,12 +135,13 @@ def calibration(rows: DataFrame) -> DataFrame:
     def tile(at: Column) -> Column:
         return F.when(at < larger * (small + 1), F.floor(at / (small + 1))).otherwise(larger + F.floor((at - larger * (small + 1)) / small))
 
-    groups = groups.join(total, keys).withColumns({"bin": tile(F.col("before")), "_last": tile(F.col("before") + F.col("n") - 1)})
+    groups = groups.join(F.broadcast(total), keys).withColumns({"bin": tile(F.col("before")), "_last": tile(F.col("before") + F.col("n") - 1)})
     groups = sinks.stored(groups, "confidences")
     whole = groups.filter("bin = _last").select(*keys, "bin", "confidence", "n", "hits", "known")
     across = groups.filter("bin <> _last").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("confidence").alias("_confidence"), F.col("before").alias("_start"), "_n")
     same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    split = rows.join(across, [*same, F.col("confidence").eqNullSafe(F.col("_confidence"))]).select(*rows.columns, "_start", "_n", F.lit(1).alias("_one"))
+    # Four of a key at most.
+    split = rows.join(F.broadcast(across), [*same, F.col("confidence").eqNullSafe(F.col("_confidence"))]).select(*rows.columns, "_start", "_n", F.lit(1).alias("_one"))
     split = before(split, [*keys, "confidence"], "k", "_one").withColumn("bin", tile(F.col("_start") + F.col("before")))
     parts = whole.unionByName(split.groupBy(*keys, "bin", "confidence").agg(*sums))
     share = F.sum(F.col("confidence") * F.col("n")) / F.sum(F.when(F.col("confidence").isNotNull(), F.col("n")))

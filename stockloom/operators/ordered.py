@@ -36,7 +36,8 @@ def before(rows: DataFrame, keys: list[str], by: str, weight: str, most: int = 0
     earlier = totals.select("block", *keys, F.sum("_own").over(up_to(Window.partitionBy(*keys).orderBy("block"))).alias("_earlier"))
     within = F.sum(weight).over(up_to(Window.partitionBy("block", *keys).orderBy(by)))
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in ("block", *keys)]
-    out = dealt.withColumn("_within", within).alias("l").join(earlier.alias("r"), same)
+    # One row of each range and key that meet; the rows themselves may be many in a file small enough for Spark to broadcast.
+    out = dealt.withColumn("_within", within).alias("l").join(F.broadcast(earlier.alias("r")), same)
     count = F.coalesce("_within", F.lit(0)) + F.coalesce("_earlier", F.lit(0))
     return out.select(*[F.col(f"l.{c}").alias(c) for c in rows.columns], count.alias("before"))
 

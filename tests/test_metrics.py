@@ -86,3 +86,13 @@ def test_rows_are_counted_in_tasks_that_follow_their_number(spark, monkeypatch):
         # Nothing is counted before the rows are dealt.
         plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
         assert "HashAggregate" not in plan.split("Exchange hashpartitioning")[1] and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_counts_are_not_broadcast_for_the_size_of_their_files(spark):
+    rows = spark.createDataFrame(_rows(4, 300, 0.1), SCHEMA)
+    made = metrics.correlations(rows)
+    joins = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    # The two joins of counts with ranks are merged; what is broadcast has a row for each key, or range and key.
+    assert sum("rightHint=(strategy=merge)" in x for x in joins) == 2 and all("rightHint=(strategy=" in x and "leftHint" not in x for x in joins)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "BuildLeft" not in plan
