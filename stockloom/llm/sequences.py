@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from stockloom.llm import encoding
 from stockloom.llm.common import shared_dir, slices, text_or_empty, written
+from stockloom.llm.packing import ALONE_WORDS
 
 ARROW_ROWS = 1500
+#: Bytes of text that are encoded together, unless one text is longer: a word that they share is looked up once.
+TEXT_BYTES = 1 << 22
 #: Ids that a task reads back, and of them those that stay together.
 TASK_IDS, RUN_IDS = 1 << 22, 1 << 18
 
@@ -88,18 +91,18 @@ class _Shard:
         self._out.close()
 
 
-def write_sequences(docs: DataFrame, folder: str, layout: Format = Format(), vocabulary: str | None = None) -> DataFrame:
+def write_sequences(docs: DataFrame, folder: str, layout: Format = Format(), vocabulary: str | None = None, cache_words: int = encoding.CACHE_WORDS) -> DataFrame:
     """Write the shards under ``folder`` and return their index, one row per document, as a written table.
 
     ``shard_start`` counts the ids before the document in its shard; shards are numbered in
-    ascending order of their documents.
+    ascending order of their documents. ``cache_words``: distinct words that a worker remembers.
     """
     path = vocabulary or encoding.default_vocabulary()
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, at, encoder = None, 0, encoding.encoder(path)
+        out, at, encoder = None, 0, encoding.encoder(path, cache_words)
         number = TaskContext.get().partitionId()
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, TEXT_BYTES):
             out = out or _Shard(folder, layout, encoder.size)
             flat, first = encoder.encode(batch.column(1))
             n = np.diff(first) + 1
@@ -169,4 +172,4 @@ def read_spans(index: DataFrame, layout: Format = Format()) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Write all documents to Arrow files in the shared folder and read every document back from them."""
-    return read_spans(write_sequences(docs, shared_dir(spark, "sequences")))
+    return read_spans(write_sequences(docs, shared_dir(spark, "sequences"), cache_words=ALONE_WORDS))

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from stockloom.llm import chat, encoding, fingerprints, line_dedup, mixing, neighbours, ngram_join, packing, sequences, toxicity, warc
+from stockloom.llm import chat, common, encoding, fingerprints, line_dedup, mixing, neighbours, ngram_join, packing, sequences, toxicity, warc
 from stockloom.llm.common import shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -56,6 +56,13 @@ def test_token_files_round_trip(spark, odd, docs):
         assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_token_files_do_not_depend_on_the_words_remembered(spark, odd, tmp_path):
+    made = [sequences.read_spans(sequences.write_sequences(odd, f"file://{tmp_path}/{n}", cache_words=n)).collect() for n in (2, sequences.ALONE_WORDS)]
+    assert sorted(map(str, made[0])) == sorted(map(str, made[1])) and made[0]
+    # Slices of texts that are encoded together are larger than those of other operators.
+    assert sequences.TEXT_BYTES > common.SLICE_BYTES
+
+
 def test_packing_covers_every_id_once(odd, docs):
     for given in (odd, docs):
         pieces = packing.packed(given, with_ids=True).collect()
