@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from stockloom.llm.common import as_row, row_columns, row_key, shared_dir, written
 
 MIN_WORDS = 50
-#: Where a line begins: after a break, unless only white space is left of the line.
-LINE = r"(?<=\n)(?=[^\n])(?![ \t\r]*(?:\n|\z))"
+#: The break before a line, unless only white space is left of it. It begins with the break itself: a look behind at every character is slow.
+LINE = r"\n(?=[^\n])(?![ \t\r]*(?:\n|\z))"
 #: The space before a sentence; equal words are recognised up to 60 characters.
 SENTENCE = r" (?=\p{Lu}(?!\p{Lu})|(?<=[.!?] )(?!\p{Lu}\p{Lu})[^ \n])(?!(?<=(?:^|\s)(\S{1,60}) )\1(?:\s|$))"
 BLANK = " \n\t\r"
@@ -49,16 +49,31 @@ def _spaces(text: Column) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def _many_spaces(text: Column, n: int) -> Column:
+    """Whether there are ``n`` spaces or more; they are not counted in shorter texts."""
+    return (F.octet_length(text) >= n) & (_spaces(text) >= n)
+
+
+def _trimmed(text: Column) -> Column:
+    """Without white space around it; most lines have none, and Spark's trim lists every character."""
+    ends = [f(text, F.lit(x)) for x in BLANK for f in (F.startswith, F.endswith)]
+    return F.when(reduce(lambda a, b: a | b, ends), F.trim(text, F.lit(BLANK))).otherwise(text)
+
+
+def _ended(parts: Column, mark: str) -> Column:
+    """The mark at which they were split behind all parts but the last."""
+    last = F.size(parts) - 1
+    return F.transform(parts, lambda x, i: F.when(i < last, F.concat(x, F.lit(mark))).otherwise(x))
+
+
 def units(text: Column, min_words: int = MIN_WORDS) -> Column:
     """The lines, long ones as sentences, each with the white space behind it; joined together they are the text."""
 
     def cut(line: Column) -> Column:
-        parts = F.split(line, SENTENCE, -1)
-        last = F.size(parts) - 1
-        spaced = F.transform(parts, lambda x, i: F.when(i < last, F.concat(x, F.lit(" "))).otherwise(x))
-        return F.when(_spaces(F.substring_index(line, "\n", 1)) >= min_words - 1, spaced).otherwise(F.array(line))
+        long = _many_spaces(F.substring_index(line, "\n", 1), min_words - 1)
+        return F.when(long, _ended(F.split(line, SENTENCE, -1), " ")).otherwise(F.array(line))
 
-    return F.flatten(F.transform(F.split(text, LINE, -1), cut))
+    return F.flatten(F.transform(_ended(F.split(text, LINE, -1), "\n"), cut))
 
 
 def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -66,8 +81,8 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     They are numbered as ``units`` are, but for a first one without words.
     """
-    cut = F.transform(F.split("text", "\n", -1), lambda x: F.when(_spaces(x) >= min_words - 1, F.split(x, SENTENCE, -1)).otherwise(F.array(x)))
-    own = F.filter(F.transform(F.flatten(cut), lambda x: F.trim(x, F.lit(BLANK))), lambda x: x != "")
+    cut = F.transform(F.split("text", "\n", -1), lambda x: F.when(_many_spaces(x, min_words - 1), F.split(x, SENTENCE, -1)).otherwise(F.array(x)))
+    own = F.filter(F.transform(F.flatten(cut), _trimmed), lambda x: x != "")
     # Where all white space is single spaces and breaks, a line's words follow from its spaces.
     odd = reduce(lambda a, b: a | b, [F.contains("text", F.lit(x)) for x in ("  ", "\t", "\r", "\f", "\v")])
     words = lambda x, odd: F.when(odd, F.regexp_count(x, F.lit(r"\S+"))).otherwise(_spaces(x) + 1)

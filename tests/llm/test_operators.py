@@ -10,6 +10,8 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
+from pyspark.sql.functions import col
+
 from stockloom.llm import chat, common, encoding, fingerprints, line_dedup, mixing, neighbours, ngram_join, packing, sequences, toxicity, warc
 from stockloom.llm.common import shared_dir
 
@@ -541,3 +543,11 @@ def test_recall_of_links_near_the_threshold():
         same = a == b
         found += bool(same.reshape(s.bands, s.rows).all(1).any() and all(same[:n].sum() >= m for n, m in ngram_join.least_matches(s)))
     assert found >= 0.998 * pairs
+
+
+def test_units_are_split_at_breaks_and_hold_the_whole_text(spark):
+    texts = ["", "\n", "\n\na", " \n b \n\n \t\r\n c", "a\n \n", "a\n\n\nb\n ", "x. Y z\n", "a\r\nb\r\n\r\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", line_dedup.units(col("text"), 3).alias("u")).collect()
+    assert all("".join(r["u"]) == r["text"] for r in rows) and [r["u"] for r in rows][2:4] == [["\n\n", "a"], [" \n", " b \n\n \t\r\n", " c"]]
+    # A look behind would be tried at every character.
+    assert line_dedup.LINE.startswith(r"\n")
