@@ -62,8 +62,13 @@ def _trimmed(text: Column) -> Column:
 
 def _ended(parts: Column, mark: str) -> Column:
     """The mark at which they were split behind all parts but the last."""
-    last = F.size(parts) - 1
-    return F.transform(parts, lambda x, i: F.when(i < last, F.concat(x, F.lit(mark))).otherwise(x))
+
+    def ended(parts: Column) -> Column:
+        last = F.size(parts) - 1
+        return F.transform(parts, lambda x, i: F.when(i < last, F.concat(x, F.lit(mark))).otherwise(x))
+
+    # As a lambda's argument, the parts are made once and not again for each of them.
+    return F.element_at(F.transform(F.array(parts), ended), 1)
 
 
 def units(text: Column, min_words: int = MIN_WORDS) -> Column:

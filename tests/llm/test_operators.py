@@ -551,3 +551,9 @@ def test_units_are_split_at_breaks_and_hold_the_whole_text(spark):
     assert all("".join(r["u"]) == r["text"] for r in rows) and [r["u"] for r in rows][2:4] == [["\n\n", "a"], [" \n", " b \n\n \t\r\n", " c"]]
     # A look behind would be tried at every character.
     assert line_dedup.LINE.startswith(r"\n")
+
+
+def test_units_split_a_text_once_and_not_for_each_line(spark):
+    given = spark.createDataFrame([("a. B",)], "text string").select(line_dedup.units(col("text"), 3).alias("u"))
+    # One split into lines, one into sentences; a split for each part would make the work grow with the square of the lines.
+    assert given._jdf.queryExecution().analyzed().toString().count("split(") == 2
