@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,11 +74,26 @@ def counted(rows: DataFrame, size: int | None = None) -> DataFrame:
     """``n`` rows of each key, score and return. ``size``: the number of rows, where it is known before they are computed.
 
     Rows are dealt by key and return before they are counted, ``TASK_ROWS`` to a task where their number is known: counts made where
-    the rows are read would hold as many scores and returns as a split of the input has.
+    the rows are read would hold as many scores and returns as a split of the input has. Up to ``spark.shuffle.sort.bypassMergeThreshold``
+    tasks Spark deals rows without sorting them; for more it would hold a split's rows in memory, so they are dealt in rounds of so many.
     """
     wide = "models" in rows.columns
     by = ["market", "horizon", "fold_index", "ret", *([] if wide else ["algorithm"])]
-    tasks = [] if size is None else [max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_ROWS))]
+    if size is None:
+        return _counted(rows, by, wide)
+    context = rows.sparkSession.sparkContext
+    tasks = max(context.defaultParallelism, -(-size // TASK_ROWS))
+    rounds = -(-tasks // max(1, int(context.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))))
+    if rounds == 1:
+        return _counted(rows, by, wide, tasks)
+    # Not the hash that deals rows to tasks: those of a round would meet in a few of its tasks.
+    own = F.pmod(F.xxhash64(*by), F.lit(rounds))
+    # Written one by one: Spark counts the same partition of all parts of a union in one task.
+    each = [sinks.stored(_counted(rows.filter(own == i), by, wide, -(-tasks // rounds)), f"cells-{i}") for i in range(rounds)]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _counted(rows: DataFrame, by: list[str], wide: bool, *tasks: int) -> DataFrame:
     if wide:
         # The names are the same in nearly every row, the scores are not.
         rows = rows.select(*by, F.col("models.algorithm").alias("names"), F.col("models.score").alias("scores")).repartition(*tasks, *by)

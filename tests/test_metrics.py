@@ -88,6 +88,20 @@ def test_rows_are_counted_in_tasks_that_follow_their_number(spark, monkeypatch):
         assert "HashAggregate" not in plan.split("Exchange hashpartitioning")[1] and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_many_rows_are_dealt_in_rounds_that_need_no_sort(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "TASK_ROWS", 5)
+    odd = [("m", 20, "a", 1, 0.1, ret, 0.5, 2000) for ret in (None, 0.0, -0.0, float("nan"))]
+    rows = spark.createDataFrame(_rows(3, 2000, 0.1) + odd, SCHEMA).repartition(1)
+    wide = rows.withColumn("models", F.array(F.struct("algorithm", "score")))
+    seen, deal = [], type(wide).repartition
+    monkeypatch.setattr(type(wide), "repartition", lambda self, *by: seen.append(by[0]) or deal(self, *by))
+    made = metrics.counted(wide, 2004)
+    counts = lambda df: sorted(str(tuple(r)).replace("-0.0,", "0.0,") for r in df.collect())
+    assert counts(made) == counts(rows.groupBy(*metrics.KEYS, "score", "ret").count())
+    # Beyond 200 tasks a shuffle sorts, and a task holds the rows of its split.
+    assert sum(seen) >= 401 and max(seen) <= 200
+
+
 def test_counts_are_not_broadcast_for_the_size_of_their_files(spark):
     rows = spark.createDataFrame(_rows(4, 300, 0.1), SCHEMA)
     made = metrics.correlations(rows)
