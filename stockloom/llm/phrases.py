@@ -1,14 +1,16 @@
 """Phrase collocations: phrases of two to four words that occur together more than apart, for each language.
 
-Words get ids by falling frequency; a text becomes an array of ids, -1 for words that are too rare and
+A text is split once: a task numbers the words of a chunk of texts as they come, and hands on the arrays of numbers
+and the chunk's words with their counts. Words get ids by falling frequency, and those of a chunk's words
+meet its arrays in a join; a text becomes an array of ids, -1 for words that are too rare and
 -2 between pieces. Pairs of neighbours are counted in tiles of the table of all pairs: a tile is a square
-of ids, and ids of frequent words are small, so a few tiles hold most pairs. Within a task a tile with
-many pairs is counted with a dense ``bincount``, the pairs of all others by sorting their coordinates; the tasks' counts
-of a tile are added up in groups of ``FAN`` tasks, and those again, so that no task holds more than that many copies of a tile. Frequent pairs are ranked again and stand as ids in the place of their
+of ids, and ids of frequent words are small, so a few tiles hold most pairs. A task counts its pairs by sorting them
+and deals the distinct ones to tiles; the tasks' counts
+of a tile are added up (in a dense table where it can be full) in groups of ``FAN`` tasks, and those again, so that no task holds more than that many copies of a tile. Frequent pairs are ranked again and stand as ids in the place of their
 first word, and pairs of such an id with the word after it are phrases of three words; once more gives four.
 
-Nothing that grows with the corpus is whole in one process: words and phrases are looked up in blocks of at most
-``block`` entries, and a further block is a further pass over the id arrays. The arrays are written to the
+Nothing that grows with the corpus is whole in one process: a chunk has a bounded number of words, and phrases are looked up
+in blocks of at most ``block`` entries, where a further block is a further pass over the id arrays. The arrays are written to the
 shared folder, as are the ranked tables.
 
 Nulls: a null text is empty, a null language is ``und`` (and joins a language of that name). Repeated rows
@@ -18,7 +20,6 @@ one without phrases, gives no rows. Columns other than ``text`` and ``lang`` are
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +30,15 @@ from pyspark.sql import functions as F
 
 from stockloom.llm.common import ARROW_ROWS, removed, shared_dir, shuffle_partitions, slices, text_or_empty, written
 
-#: Entries of a list of words or phrases that a process holds at a time.
-BLOCK = 1 << 19
+#: Entries of a list of phrases that a process holds at a time, twelve bytes each.
+BLOCK = 1 << 22
 #: Ids below SIDE are one block; every further doubling of ids is SPLIT blocks, so that ranked ids fill tiles of pairs about evenly.
 #: A tile of up to DENSE_CELLS cells is counted densely where a DENSE-th of them can be full.
 SIDE, SPLIT, DENSE_CELLS, DENSE = 512, 8, 1 << 22, 16
-#: Pairs that a task gathers before it counts them; distinct words that it counts before it hands them on; tasks whose tiles meet.
-GATHER, HELD_WORDS, FAN = 1 << 20, 1 << 18, 64
-#: Distinct pairs that a task adds up before it hands them on.
-HELD_PAIRS = 1 << 21
+#: Pairs that a task gathers before it counts them; distinct words and words in all that it numbers before it hands them on; tasks whose tiles meet.
+GATHER, HELD_WORDS, HELD_PLACES, FAN = 1 << 19, 1 << 18, 1 << 21, 64
+#: Pairs that a task has counted when it adds them up; it hands them on where half as many are distinct.
+HELD_PAIRS = 3 << 19
 #: Bytes of counts in a batch that a task hands on, unless one tile has more.
 PART_BYTES = 1 << 21
 #: Bytes of text whose ids are in one array, unless one text is longer; rows of a batch of such arrays.
@@ -51,21 +52,23 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 _STOPS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
 
-def _separators() -> bytes:
-    table = bytearray(range(256))
+def _plain() -> bytes:
+    table = bytearray(bytes(range(256)).lower())
     for byte in _STOPS:
-        table[byte] = ord("\n")
+        table[byte] = ord(_GAP)
     for byte in _BLANKS:
         table[byte] = ord(" ")
     return bytes(table)
 
 
-_SEPARATORS = _separators()
+#: What stands for the end of a piece; no word has it.
+_GAP = b"."
+_PLAIN = _plain()
 
 
 def words(text: bytes) -> list[bytes]:
-    """Words in order, a line feed between pieces; ``bytes.lower`` changes A-Z alone."""
-    return [w for w in text.lower().translate(_SEPARATORS).replace(b"\n", b" \n ").split(b" ") if w]
+    """Words in order, a stop between pieces; A-Z alone are lowered."""
+    return text.translate(_PLAIN).replace(_GAP, b" . ").split()
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -81,28 +84,57 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
         yield lang, words(b"\n".join(texts))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``lang, word, f`` of every word; tasks hand on sums over many texts."""
+class _Numbers(dict):
+    """The words of a chunk and their numbers, the next one where a word is new; 0 is the gap between pieces."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
+    def __init__(self) -> None:
+        super().__init__({_GAP: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+_CHUNKS = pa.schema([("chunk", pa.int64()), ("words", pa.binary()), ("lang", pa.string()), ("word", pa.string()), ("at", pa.int32()), ("f", pa.int64())])
+
+
+def _chunk(chunk: int, lang: str, numbers: _Numbers, arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The arrays of a chunk, and its words with their numbers and counts."""
+
+    def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        columns["chunk"] = pa.array(np.full(n, chunk, np.int64))
+        return pa.record_batch([columns[c.name] if c.name in columns else pa.nulls(n, c.type) for c in _CHUNKS], schema=_CHUNKS)
+
+    yield rows(len(arrays), words=pa.array([a.tobytes() for a in arrays], pa.binary()))
+    n, f = len(numbers) - 1, np.bincount(np.concatenate(arrays), minlength=len(numbers))
+    named = pa.array(list(numbers)[1:], pa.binary()).cast(pa.string())
+    yield rows(n, lang=pa.array([lang] * n, pa.string()), word=named, at=pa.array(np.arange(1, n + 1, dtype=np.int32)), f=pa.array(f[1:].astype(np.int64)))
 
-        def handed() -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                counts.pop(b"\n", None)
-                names = pa.array(counts.keys(), pa.binary())
-                yield pa.record_batch([pa.array([lang] * len(counts), pa.string()), names.cast(pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "f"])
-            held.clear()
 
-        for batch in slices(batches, 1):
+def chunked(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds, for chunks of texts of one language.
+
+    ``chunk, words``: several texts as an array of the numbers of their words in the chunk (four bytes each), 0 between pieces.
+    ``chunk, lang, word, at, f``: a word of the chunk, its number there and its count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
+        serial, places = TaskContext.get().partitionId() << 32, 0
+        for batch in slices(batches, 1, ARRAY_BYTES):
             for lang, found in _by_language(batch):
-                held.setdefault(lang, Counter()).update(found)
-            if sum(map(len, held.values())) > HELD_WORDS:
-                yield from handed()
-        yield from handed()
+                numbers, arrays = held.setdefault(lang, (_Numbers(), []))
+                arrays.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+                places += len(found)
+            if places > HELD_PLACES or sum(len(n) for n, _ in held.values()) > HELD_WORDS:
+                for serial, (lang, own) in enumerate(held.items(), serial + 1):
+                    yield from _chunk(serial, lang, *own)
+                held.clear()
+                places = 0
+        for serial, (lang, own) in enumerate(held.items(), serial + 1):
+            yield from _chunk(serial, lang, *own)
 
-    counted = _texts(docs).mapInArrow(run, "lang string, word string, f long")
-    return counted.groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    return _texts(docs).mapInArrow(run, "chunk long, words binary, lang string, word string, at int, f long")
 
 
 def ranked(rows: DataFrame, keys: list[str], path: str, most_bits: int = 63 - WORD_BITS) -> tuple[DataFrame, int]:
@@ -129,47 +161,35 @@ def ranked(rows: DataFrame, keys: list[str], path: str, most_bits: int = 63 - WO
     return out, total
 
 
-def _blocks(listed: DataFrame, total: int, block: int, columns: list[str]) -> Iterator[list]:
-    """The list in blocks of bounded size, on the driver one at a time."""
+def _blocks(listed: DataFrame, total: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of ids, as numbers in order, and the ids that they have as phrases: in blocks of bounded size, on the driver one at a time."""
+    pair = F.shiftleft("a", WORD_BITS).bitwiseOR(F.col("b")).alias("pair")
     for low in range(0, max(total, 1), block):
-        yield listed.filter((F.col("id") >= low) & (F.col("id") < low + block)).select(*columns, "id").collect()
+        found = listed.filter((F.col("id") >= low) & (F.col("id") < low + block)).select(pair, "id").toArrow()
+        pairs, numbers = found["pair"].to_numpy(), found["id"].to_numpy()
+        order = np.argsort(pairs)
+        yield pairs[order], numbers[order].astype(_id_type(total))
 
 
-def _ids(found: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    return np.fromiter((known.get(w, RARE) for w in found), np.int32, len(found))
+def _id_type(total: int) -> type:
+    return np.int32 if total < 1 << 31 else np.int64
 
 
-def encoded(docs: DataFrame, listed: DataFrame, total: int, path: str, block: int = BLOCK) -> DataFrame:
+def _renamed(arrays: pa.Table, numbers: pa.Table) -> pa.Table:
+    """The arrays of a chunk with ids in the place of its own numbers; words without an id are too rare."""
+    given = [np.frombuffer(x.as_buffer(), np.int32) for x in arrays["words"]]
+    ids = np.full(1 + max((int(g.max()) for g in given if len(g)), default=0), RARE, np.int32)
+    ids[0] = GAP
+    ids[numbers["at"].to_numpy()] = numbers["id"].to_numpy()
+    return pa.table({"words": pa.array([ids[g].tobytes() for g in given], pa.binary())})
+
+
+def encoded(chunks: DataFrame, listed: DataFrame, path: str) -> DataFrame:
     """``words``: the texts as arrays of word ids (bytes, four to an id); several texts of a language share an array, a gap between them."""
-    spark, rows = docs.sparkSession, None
-    for step, entries in enumerate(_blocks(listed, total, block, ["lang", "word"])):
-        known: dict[str, dict[bytes, int]] = {}
-        for lang, word, number in entries:
-            known.setdefault(lang, {})[word.encode()] = number
-        sent = spark.sparkContext.broadcast(known)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, 1, ARRAY_BYTES):
-                arrays = [_ids(found, sent.value.get(lang, {}) | {b"\n": GAP}).tobytes() for lang, found in _by_language(batch)]
-                yield pa.record_batch([pa.array(arrays, pa.binary())], names=["words"])
-
-        def more(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, 1):
-                arrays = []
-                for lang, text, before in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                    now = _ids(words(text), sent.value.get(lang, {}) | {b"\n": GAP})
-                    arrays.append((now if before is None else np.maximum(now, np.frombuffer(before, np.int32))).tobytes())
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(arrays, pa.binary())], names=["lang", "text", "words"])
-
-        if total <= block:
-            return written(_texts(docs).mapInArrow(run, "words binary"), f"{path}-{step}", ARROW_ROWS)
-        # Beyond one block the texts stay beside their ids until every block has been looked up.
-        if rows is None:
-            rows = _texts(docs).withColumn("words", F.lit(None).cast("binary"))
-        rows = written(rows.mapInArrow(more, "lang string, text string, words binary"), f"{path}-{step}", ARROW_ROWS)
-        if step:
-            removed(spark, f"{path}-{step - 1}")
-    return rows.select("words")
+    ids = listed.select("word", "lang", F.col("id").cast("int").alias("id")).hint("shuffle_hash")
+    numbers = chunks.filter("word IS NOT NULL").join(ids, ["word", "lang"]).select(F.col("chunk").alias("of"), "at", "id")
+    arrays = chunks.filter("words IS NOT NULL").select("chunk", "words")
+    return written(arrays.groupBy("chunk").cogroup(numbers.groupBy("of")).applyInArrow(_renamed, "words binary"), path)
 
 
 def block_of(ids: np.ndarray) -> np.ndarray:
@@ -198,23 +218,16 @@ def _width(tile: int) -> type:
     return np.int32 if rows * columns < 1 << 31 else np.int64
 
 
-def counted(tile: int, cells: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct cells of a tile in order and their counts: by a dense ``bincount`` where it can be full, else by sorted coordinates."""
+def counted(tile: int, cells: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells of a tile in order and their counts: added up densely where the tile can be full, else by sorted coordinates."""
     _, rows, _, columns = _area(tile)
-    size = sum(map(len, cells))
-    if rows * columns <= DENSE_CELLS and size * DENSE >= rows * columns:
-        if counts is None:
-            total = np.bincount(np.concatenate(cells), minlength=rows * columns)
-        else:
-            total = np.zeros(rows * columns, np.int64)
-            for at, n in zip(cells, counts):
-                total[at] += n  # the cells of one part are distinct
+    if rows * columns <= DENSE_CELLS and sum(map(len, cells)) * DENSE >= rows * columns:
+        total = np.zeros(rows * columns, np.int64)
+        for at, n in zip(cells, counts):
+            total[at] += n  # the cells of one part are distinct
         at = np.flatnonzero(total)
         return at.astype(_width(tile)), total[at]
     cell = np.concatenate(cells)
-    if counts is None:
-        at, n = np.unique(cell, return_counts=True)
-        return at, n
     order = np.argsort(cell, kind="stable")
     at, starts = np.unique(cell[order], return_index=True)
     return at, np.add.reduceat(np.concatenate(counts)[order], starts)
@@ -222,24 +235,49 @@ def counted(tile: int, cells: list[np.ndarray], counts: list[np.ndarray] | None
 
 def tiles(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Every tile with its distinct cells and their counts."""
-    tile = block_of(first) << 16 | block_of(second)
-    order = np.argsort(tile, kind="stable")
-    tile, first, second = tile[order], first[order], second[order]
-    starts = np.flatnonzero(np.diff(tile, prepend=-1))
-    for begin, end in zip(starts.tolist(), np.append(starts[1:], len(order)).tolist()):
-        own = int(tile[begin])
-        row, _, column, columns = _area(own)
-        cell = ((first[begin:end] - row) * columns + (second[begin:end] - column)).astype(_width(own))
-        yield own, *counted(own, [cell])
+    yield from _dealt(*np.unique(first << WORD_BITS | second, return_counts=True))
+
+
+def _dealt(pairs: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Every tile with its cells and their counts, of distinct pairs in order."""
+    begin = 0
+    while begin < len(pairs):
+        # The pairs of a block of first ids stand together.
+        block = int(block_of(pairs[begin : begin + 1] >> WORD_BITS)[0])
+        row, rows = bounds_of(block)
+        end = begin + int(np.searchsorted(pairs[begin:], (row + rows) << WORD_BITS)) if (row + rows) >> (63 - WORD_BITS) == 0 else len(pairs)
+        first, second = (pairs[begin:end] >> WORD_BITS) - row, pairs[begin:end] & ((1 << WORD_BITS) - 1)
+        column = block_of(second).astype(np.uint16)
+        order = np.argsort(column, kind="stable")
+        column, first, second, count = column[order], first[order], second[order], counts[begin:end][order]
+        starts = np.flatnonzero(np.diff(column.astype(np.int32), prepend=-1))
+        for low, high in zip(starts.tolist(), np.append(starts[1:], len(order)).tolist()):
+            own = block << 16 | int(column[low])
+            _, _, left, columns = _area(own)
+            yield own, (first[low:high] * columns + (second[low:high] - left)).astype(_width(own)), count[low:high]
+        begin = end
+
+
+def _added(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order and their counts, of several such lists, which are not kept."""
+    if len(runs) == 1:
+        return runs[0]
+    pairs, counts = (np.concatenate(x) for x in zip(*runs))
+    runs.clear()
+    order = np.argsort(pairs)
+    pairs, counts = pairs[order], counts[order]
+    del order
+    starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+    return pairs[starts], np.add.reduceat(counts, starts)
 
 
 _PARTS = "tile long, part long, cells binary, counts binary"
 
 
-def _parts(found: dict[int, tuple[np.ndarray, np.ndarray]], part: int) -> Iterator[pa.RecordBatch]:
+def _parts(found: dict[int, tuple[np.ndarray, np.ndarray]] | Iterator[tuple[int, np.ndarray, np.ndarray]], part: int) -> Iterator[pa.RecordBatch]:
     """The tiles with their cells and counts as bytes; a count has four bytes where all of the tile's fit."""
     rows, size = [], 0
-    for tile, (cell, count) in found.items():
+    for tile, cell, count in ((t, *x) for t, x in found.items()) if isinstance(found, dict) else found:
         rows.append((tile, part, cell.tobytes(), count.astype(np.int32 if count.max() < 1 << 31 else np.int64).tobytes()))
         size += len(rows[-1][2]) + len(rows[-1][3])
         if size >= PART_BYTES:
@@ -279,33 +317,31 @@ def pair_counts(arrays: DataFrame, head: str, length: int) -> DataFrame:
     """``a, b, f``: counts of the id in ``head`` with the word ``length - 1`` places after it, both in one piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered: list[tuple[np.ndarray, np.ndarray]] = []
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        gathered: list[np.ndarray] = []
+        runs: list[tuple[np.ndarray, np.ndarray]] = []
         part, size = TaskContext.get().partitionId(), 0
 
-        def added() -> int:
-            """Adds the gathered pairs to the counts; how many distinct ones there are."""
-            first, second = (np.concatenate(x) for x in zip(*gathered))
-            gathered.clear()
-            for tile, cell, count in tiles(first, second):
-                known = held.get(tile)
-                held[tile] = (cell, count) if known is None else counted(tile, [known[0], cell], [known[1], count])
-            return sum(len(c) for c, _ in held.values())
+        def handed(least: int = 0) -> Iterator[pa.RecordBatch]:
+            """Adds up what was gathered; hands it on if there are so many distinct pairs."""
+            runs[:] = [_added(runs)]
+            if len(runs[0][0]) >= least:
+                yield from _parts(_dealt(*runs.pop()), part)
 
         for batch in batches:
             for i in range(batch.num_rows):
-                own, word = _places(batch.column(0)[i].as_py(), batch.column(batch.num_columns - 1)[i].as_py(), length)
-                keep = (own >= 0) & (word >= 0)
-                gathered.append((own[keep].astype(np.int64), word[keep].astype(np.int64)))
-                size += int(keep.sum())
+                _, own, word = _places(batch.column(0)[i].as_py(), batch.column(batch.num_columns - 1)[i].as_py(), length)
+                gathered.append(own.astype(np.int64) << WORD_BITS | word)
+                size += len(own)
                 if size >= GATHER:
+                    runs.append(np.unique(np.concatenate(gathered), return_counts=True))
+                    gathered.clear()
                     size = 0
-                    if added() >= HELD_PAIRS:
-                        yield from _parts(held, part)
-                        held.clear()
+                    if sum(len(pairs) for pairs, _ in runs) >= HELD_PAIRS:
+                        yield from handed(HELD_PAIRS // 2)
         if size:
-            added()
-        yield from _parts(held, part)
+            runs.append(np.unique(np.concatenate(gathered), return_counts=True))
+        if runs:
+            yield from handed()
 
     width = arrays.rdd.getNumPartitions()
     rows = arrays.select(head, *(["words"] if head != "words" else [])).mapInArrow(run, _PARTS)
@@ -315,45 +351,43 @@ def pair_counts(arrays: DataFrame, head: str, length: int) -> DataFrame:
     return rows.groupBy("tile").applyInArrow(_frequent, "a long, b long, f long")
 
 
-def _places(head: bytes, words_: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """At every place of an array: the head's id, and the word ``length - 1`` places on, or a gap past the end.
+def _places(head: bytes, words_: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where a frequent phrase of so many words can begin, the id of its head there, and its last word.
 
-    A head stands only where its own words are in one piece, so the word on from it need not be a gap's other side.
+    A head has one word less and stands only where its own words are in one piece. The phrase is frequent only where the head at the
+    next place, which is all of it but the first word, is so too.
     """
-    word = np.frombuffer(words_, np.int32)
-    on = np.append(word[length - 1 :], np.full(min(length - 1, len(word)), GAP, np.int32))
-    return np.frombuffer(head, np.int32 if len(head) == len(words_) else np.int64), on
+    word, own = np.frombuffer(words_, np.int32), np.frombuffer(head, np.int32 if len(head) == len(words_) else np.int64)
+    at = np.flatnonzero((own[:-1] >= 0) & (own[1:] >= 0))
+    return at, own[at], word[at + length - 1]
 
 
-def heads(arrays: DataFrame, head: str, length: int, listed: DataFrame, total: int, path: str, block: int = BLOCK) -> DataFrame:
-    """``words`` and ``head``: at every place the id (eight bytes) of the listed phrase of so many words that begins there, or -1."""
+def heads(arrays: DataFrame, head: str, length: int, listed: DataFrame, total: int, path: str, block: int = BLOCK) -> tuple[DataFrame, str]:
+    """``words`` and ``head``: at every place the id (four bytes, or eight) of the listed phrase of so many words that begins there, or -1; and the path of the arrays."""
     spark, last = arrays.sparkSession, max(total - 1, 0) // block
     rows = arrays.select(F.col(head).alias("own"), F.col("words"), F.lit(None).cast("binary").alias("head"))
-    for step, entries in enumerate(_blocks(listed, total, block, ["a", "b"])):
-        key = np.array([a << WORD_BITS | b for a, b, _ in entries], np.int64)
-        order = np.argsort(key)
-        sent = spark.sparkContext.broadcast((key[order], np.array([number for _, _, number in entries], np.int64)[order]))
+    for step, entries in enumerate(_blocks(listed, total, block)):
+        sent = spark.sparkContext.broadcast(entries)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, ends=step == last) -> Iterator[pa.RecordBatch]:
             keys, numbers = sent.value
             for batch in batches:
-                for i in range(batch.num_rows):
-                    own_bytes, words_, before = (c[i].as_py() for c in batch.columns)
-                    own, on = _places(own_bytes, words_, length)
-                    at = np.flatnonzero((own >= 0) & (on >= 0))
-                    found = np.full(len(own), RARE, np.int64) if before is None else np.frombuffer(before, np.int64).copy()
-                    if len(keys):
-                        pair = own[at].astype(np.int64) << WORD_BITS | on[at]
-                        place = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-                        hit = keys[place] == pair
-                        found[at[hit]] = numbers[place[hit]]
+                given = list(zip(*(c.to_pylist() for c in batch.columns)))
+                places = [_places(own, words_, length) for own, words_, _ in given]
+                # Each pair once and in order: a search in order stays near the entries that it has just read.
+                pairs, of = np.unique(np.concatenate([own.astype(np.int64) << WORD_BITS | word for _, own, word in places]), return_inverse=True)
+                place = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+                numbered = np.where(keys[place] == pairs, numbers[place], RARE)[of]
+                for (own_bytes, words_, before), (at, _, _), ids in zip(given, places, np.split(numbered, np.cumsum([len(at) for at, _, _ in places])[:-1])):
+                    found = np.full(len(words_) // 4, RARE, numbers.dtype) if before is None else np.frombuffer(before, numbers.dtype).copy()
+                    found[at[ids >= 0]] = ids[ids >= 0]
                     # The pass before is needed only by a further one.
                     yield pa.record_batch([pa.array([None if ends else own_bytes], pa.binary()), pa.array([words_], pa.binary()), pa.array([found.tobytes()], pa.binary())], names=["own", "words", "head"])
 
         rows = written(rows.mapInArrow(run, "own binary, words binary, head binary"), f"{path}-{step}", ARRAY_ROWS)
         if step:
             removed(spark, f"{path}-{step - 1}")
-    return rows.select("head", "words")
+    return rows.select("head", "words"), f"{path}-{last}"
 
 
 def frequent(docs: DataFrame, name: str = "phrases", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -363,10 +397,12 @@ def frequent(docs: DataFrame, name: str = "phrases", block: int = BLOCK) -> tupl
     """
     spark = docs.sparkSession
     base = shared_dir(spark, name)
-    counts = written(word_counts(docs), f"{base}/counts", ARROW_ROWS)
+    chunks = written(chunked(docs), f"{base}/chunks", ARROW_ROWS)
+    counts = written(chunks.filter("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("f").alias("f")), f"{base}/counts")
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     listed, total = ranked(counts.filter(F.col("f") >= LEAST), ["lang", "word"], f"{base}/words", WORD_BITS)
-    arrays, head = encoded(docs, listed, total, f"{base}/texts", block), "words"
+    arrays, head, path = encoded(chunks, listed, f"{base}/texts"), "words", f"{base}/texts"
+    removed(spark, f"{base}/chunks")
     grams = listed.select("lang", F.col("word").alias("phrase"), F.array("id").alias("parts"), "f", "id")
     every, word = [grams], listed.select(F.col("id").alias("b"), "word")
     for length in range(2, LONGEST + 1):
@@ -379,7 +415,9 @@ def frequent(docs: DataFrame, name: str = "phrases", block: int = BLOCK) -> tupl
         if not total:
             break
         if length < LONGEST:
-            arrays, head = heads(arrays, head, length, pairs, total, f"{base}/heads-{length}", block), "head"
+            (arrays, further), head = heads(arrays, head, length, pairs, total, f"{base}/heads-{length}", block), "head"
+            removed(spark, path)  # nothing reads the arrays before any more
+            path = further
     out = every[0].unionByName(every[1])
     for more in every[2:]:
         out = out.unionByName(more)

@@ -87,6 +87,19 @@ def test_phrases_against_brute_force(spark, mixed, monkeypatch):
     assert phrases.op12_phrases(given.limit(0)).count() == 0
 
 
+def test_texts_are_read_once_however_many_words(spark, mixed, monkeypatch):
+    """Words are looked up in no blocks, so a larger vocabulary costs no further pass over the texts; chunks of few words; pairs handed on early."""
+    made, given, want = [], _table(spark, mixed), _phrases(mixed)
+    stored = phrases.written
+    monkeypatch.setattr(phrases, "written", lambda rows, path, *more: made.append(path.rsplit("/", 1)[1]) or stored(rows, path, *more))
+    for name, few in (("HELD_WORDS", 4), ("HELD_PLACES", 2000), ("ARRAY_BYTES", 2000), ("GATHER", 50), ("HELD_PAIRS", 20)):
+        monkeypatch.setattr(phrases, name, few, raising=False)
+    totals, grams = phrases.frequent(given.repartition(3), block=5)
+    assert sum("texts" in name for name in made) == 1
+    best = phrases.first_of_each(phrases.scored(grams)).join(totals, "lang")
+    assert {tuple(r) for r in best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()} == want
+
+
 def test_blocks_cover_all_ids_once():
     ids = np.unique(np.concatenate([np.arange(20_000), 2 ** np.arange(35), 2 ** np.arange(1, 35) - 1]))
     block = phrases.block_of(ids)
